@@ -18,15 +18,14 @@ LOG_LINE_TIME = "yyyy-MM-dd'T'HH:mm:ss"
 
 def alert_datetime(text: Column) -> Column:
     """Wall-clock time as written: an offset is dropped, not applied."""
-    iso = F.upper(empty_to_null(F.regexp_extract(text, ISO_TIME, 1)))
-    plain = empty_to_null(F.regexp_extract(text, PLAIN_TIME, 1))
-    return F.coalesce(iso, plain).try_cast("timestamp_ntz")
+    iso = F.upper(F.regexp_extract(text, ISO_TIME, 1)).try_cast("timestamp_ntz")
+    plain = F.regexp_extract(text, PLAIN_TIME, 1).try_cast("timestamp_ntz")
+    return F.coalesce(iso, plain)
 
 
 def whole_number(text: Column) -> Column:
-    """Integer value of a text; decimals and other text give null."""
-    trimmed = blank_to_null(text)
-    return F.when(F.rlike(trimmed, F.lit(WHOLE_NUMBER)), trimmed.try_cast("int"))
+    """Integer value of a trimmed text; decimals and other text give null."""
+    return F.when(F.rlike(text, F.lit(WHOLE_NUMBER)), text.try_cast("int"))
 
 
 def severity_from_level(level: Column) -> Column:

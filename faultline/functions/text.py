@@ -42,12 +42,6 @@ def match(text: Column, pattern: str) -> Column:
     return empty_to_null(F.regexp_extract(text, pattern, 1))
 
 
-def after(text: Column, marker: Column) -> Column:
-    """Text behind the first occurrence of a marker, null when it is absent."""
-    at = F.instr(text, marker)
-    return F.when(at > 0, F.substring(text, at + F.length(marker), F.length(text)))
-
-
 def seconds_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
 

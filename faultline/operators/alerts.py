@@ -8,7 +8,6 @@ from faultline import schemas
 from faultline.functions import alertfields as A
 from faultline.functions.text import blank_to_null, instant, is_blank
 
-CONTAINER = r"^\s*[\[{]"
 CONTAINER_TYPE = "^(OBJECT|ARRAY)"
 
 
@@ -35,24 +34,61 @@ def explode_alerts(payloads: DataFrame, mode: str = "first") -> DataFrame:
     ).withColumn("alert_index", F.when(has_alerts, F.col("position"))).drop("position")
 
 
-def _read(source: str) -> Column:
-    """Trimmed text of one source path; blank text and nested objects count as absent."""
+SOURCES = list(
+    dict.fromkeys(
+        [
+            *C.ALERT_NAME, *C.ALERT_SERVICE, *C.ALERT_SEVERITY_FIRST, "result.level", *C.ALERT_SEVERITY_LAST,
+            *C.ALERT_STATUS, *C.ALERT_SOURCE, *C.ALERT_TRACE, *C.ALERT_STATUS_CODE, *C.ALERT_FAILURE,
+            *C.ALERT_MESSAGE, *C.ALERT_STARTED, *C.ALERT_RAW_LOG,
+        ]
+    )
+)
+
+
+def _text(source: str) -> Column:
+    """Text of one source path as written in the document."""
     root, *path = source.split(".")
-    start = {"$": F.col("doc"), "result": F.col("doc.result"), "alert": F.col("alert")}[root]
-    value = start
+    value = {"$": F.col("doc"), "result": F.col("doc.result"), "alert": F.col("alert")}[root]
     for name in path:
         value = value[name]
+    return value
+
+
+def _node(source: str) -> Column:
+    """The same place as a typed node, to tell an object from a text that looks like one."""
+    root, *path = source.split(".")
     steps = "".join(f'["{name}"]' for name in path)
+    place = F.lit(("$.result" if root == "result" else "$") + steps)
     if root == "alert":
-        place = F.when(
-            F.col("alert_index").isNotNull(),
-            F.concat(F.lit("$.alerts["), F.col("alert_index").cast("string"), F.lit("]" + steps)),
-        ).otherwise(F.lit("$" + steps))
-    else:
-        place = F.lit(("$" if root == "$" else "$.result") + steps)
-    node = F.try_variant_get(F.try_parse_json("payload"), place, "variant")
-    nested = F.rlike(value, F.lit(CONTAINER)) & F.rlike(F.schema_of_variant(node), F.lit(CONTAINER_TYPE))
-    return F.when(~F.coalesce(nested, F.lit(False)), blank_to_null(value))
+        listed = F.concat(F.lit("$.alerts["), F.col("alert_index").cast("string"), F.lit("]" + steps))
+        place = F.coalesce(listed, place)
+    return F.try_variant_get(F.try_parse_json("payload"), place, "variant")
+
+
+def _place(source: str) -> str:
+    return f"_s{SOURCES.index(source)}"
+
+
+def read_sources(alerts: DataFrame) -> DataFrame:
+    """Trimmed text of every source as a column; blank text and nested objects count as absent.
+
+    Two projections, so that each text is read from its document once. Only a text that begins like an
+    object is looked up a second time.
+    """
+    read = alerts.withColumns({_place(source): _text(source) for source in SOURCES})
+
+    def usable(source: str) -> Column:
+        text = F.col(_place(source))
+        nested = F.rlike(F.schema_of_variant(_node(source)), F.lit(CONTAINER_TYPE))
+        return F.when(
+            F.substring(text, 1, 1).isin("{", "["), F.when(~F.coalesce(nested, F.lit(False)), blank_to_null(text))
+        ).otherwise(blank_to_null(text))
+
+    return read.withColumns({_place(source): usable(source) for source in SOURCES}).drop("doc", "alert")
+
+
+def _read(source: str) -> Column:
+    return F.col(_place(source))
 
 
 def _first(sources: list[str], *defaults: Column) -> Column:
@@ -64,7 +100,7 @@ def normalize_alerts(payloads: DataFrame, as_of=None, mode: str = "first") -> Da
     searched = _read("$.search_name").isNotNull()
     col = F.col
     kept = [c for c in payloads.columns if c != "payload"]
-    fields = explode_alerts(payloads, mode).select(
+    fields = read_sources(explode_alerts(payloads, mode)).select(
         *kept,
         "payload",
         "alert_index",

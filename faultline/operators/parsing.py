@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import logfields as L
+from faultline.functions.text import empty_to_null
 
 PARSED = [
     "incident_id", "service_name", "log_level", "error_message", "exception_type", "status_code",
@@ -14,31 +15,41 @@ PARSED = [
 def parse_logs(requests: DataFrame, zone: str = "UTC") -> DataFrame:
     """All fields of each request's raw log; the request's own values are fallbacks.
 
-    Plain column expressions: no shuffle, and the same plan on a stream.
+    Plain column expressions: no shuffle, and the same plan on a stream. Each pattern is searched once,
+    in a projection of its own, because later rules read its capture several times.
     """
     col = F.col
-    found = requests.withColumns(
+    kept = [name for name in requests.columns if name not in PARSED and name != "timestamp"]
+    captured = requests.withColumns({f"_{name}": L.capture("raw_log", name) for name in L.PATTERNS})
+    found = captured.withColumns(
         {
-            "_exception": L.extract_exception(col("raw_log")),
-            "_status": L.extract_status_code(col("raw_log"), col("status_code")),
+            "_exception": empty_to_null(col("_exception")),
+            "_status": F.coalesce(col("_status").try_cast("int"), col("status_code").cast("int")),
         }
-    ).withColumn(
-        "_message", L.extract_error_message(col("raw_log"), col("_exception"), col("error_message"))
+    ).withColumn("_marker", F.instr("raw_log", F.concat("_exception", F.lit(":"))))
+    read = found.withColumn(
+        "_text",
+        L.error_message(col("raw_log"), col("_exception"), col("_marker"), col("_message"), col("error_message")),
     )
-    kept = [name for name in requests.columns if name not in PARSED and name != "timestamp"]
-    return found.select(
+    lowered = read.withColumns(
+        {
+            "_everything": L.everything(col("raw_log"), col("_exception"), col("_text")),
+            "_named": F.coalesce(empty_to_null(col("_failure")), empty_to_null(col("failure_type"))),
+        }
+    )
+    return lowered.select(
         *kept,
         "incident_id",
-        L.extract_service(col("raw_log"), col("service_name")).alias("service_name"),
-        L.extract_log_level(col("raw_log")).alias("log_level"),
-        col("_message").alias("error_message"),
+        F.coalesce(empty_to_null(col("_service")), col("service_name")).alias("service_name"),
+        empty_to_null(col("_level")).alias("log_level"),
+        col("_text").alias("error_message"),
         col("_exception").alias("exception_type"),
         col("_status").alias("status_code"),
-        L.extract_trace_id(col("raw_log"), col("trace_id")).alias("trace_id"),
-        L.classify_failure(
-            col("raw_log"), col("failure_type"), col("_exception"), col("_message"), col("_status")
-        ).alias("failure_type"),
-        L.extract_timestamp(col("raw_log"), col("timestamp"), zone).alias("log_timestamp"),
+        F.coalesce(empty_to_null(col("_trace")), col("trace_id")).alias("trace_id"),
+        F.when(col("_named").isNotNull(), L.normalize_failure_type(col("_named")))
+        .otherwise(L.failure_by_rule(col("_everything"), col("_status")))
+        .alias("failure_type"),
+        F.coalesce(L.parse_log_datetime(col("_timestamp"), zone), col("timestamp")).alias("log_timestamp"),
         "raw_log",
     )
 
