@@ -12,6 +12,7 @@ from faultline import schemas
 from faultline.functions.text import chain
 from faultline.operators.features import build_feature_matrix, fit_encoders
 from faultline.operators.keyed import latest_per_key
+from faultline.session import stage
 
 # Rows that may take part in the samples of all trees; picked by hash, so its size does not grow.
 POOL_FACTOR = 4
@@ -127,39 +128,42 @@ def raw_scores(matrix: DataFrame, nodes: DataFrame, sample: int) -> DataFrame:
 def exact_quantile(rows: DataFrame, column: str, share: float) -> float | None:
     """Exact percentile with linear interpolation; only counts per score interval reach the driver.
 
-    The interval holding the wanted ranks is cut again until it has few distinct values.
+    The interval holding the wanted rank is cut again until it has few distinct values.
     """
-    value = F.col(column)
-    low, high, total = rows.agg(F.min(value), F.max(value), F.count(value)).first()
+    value = F.col("v")
+    scores = stage(rows.select(F.col(column).cast("double").alias("v")).filter("v is not null"), "scores")
+    low, high, total = scores.agg(F.min(value), F.max(value), F.count(value)).first()
     if total == 0:
         return None
-    place = share * (total - 1)
-    wanted = [math.floor(place), math.ceil(place)]
-    return sum(
-        weight * _ranked(rows, column, rank, low, high)
-        for rank, weight in zip(wanted, [1 - (place - wanted[0]), place - wanted[0]])
-        if weight > 0
-    )
-
-
-def _ranked(rows: DataFrame, column: str, rank: int, low: float, high: float) -> float:
-    value, inside, skipped = F.col(column), rows, 0
+    rank = math.floor(share * (total - 1))
+    rest = share * (total - 1) - rank
+    inside, skipped = scores, 0
     while True:
-        distinct = inside.groupBy(value.alias("v")).agg(F.count("*").alias("n"))
-        if low == high or distinct.limit(QUANTILE_VALUES + 1).count() <= QUANTILE_VALUES:
-            for v, n in distinct.orderBy("v").toLocalIterator():
-                skipped += n
-                if skipped > rank:
-                    return v
+        distinct = inside.groupBy("v").agg(F.count("*").alias("n")).limit(QUANTILE_VALUES + 1).collect()
+        if len(distinct) <= QUANTILE_VALUES:
+            break
         width = (high - low) / QUANTILE_CELLS
         cell = F.least(F.floor((value - low) / width), F.lit(QUANTILE_CELLS - 1))
         counted = inside.groupBy(cell.alias("cell")).agg(F.count("*"), F.min(value), F.max(value))
-        for number, n, cell_low, cell_high in sorted(counted.collect()):
+        for _, n, cell_low, cell_high in sorted(counted.collect()):
             if skipped + n > rank:
                 inside = inside.filter((value >= cell_low) & (value <= cell_high))
                 low, high = cell_low, cell_high
                 break
             skipped += n
+    lower = upper = None
+    for v, n in sorted(distinct):
+        skipped += n
+        if lower is None and skipped > rank:
+            lower = v
+        if skipped > rank + 1:
+            upper = v
+            break
+    if rest == 0:
+        return lower
+    if upper is None:
+        upper = scores.filter(value > max(v for v, _ in distinct)).agg(F.min(value)).first()[0]
+    return lower + rest * (upper - lower)
 
 
 def fit_isolation_forest(
@@ -179,8 +183,7 @@ def fit_isolation_forest(
     rows = matrix.count()
     share = C.SMALL_CONTAMINATION if rows < C.SMALL_SAMPLE else contamination
     used = min(sample, rows)
-    built = fit_trees(sample_trees(matrix, trees, used, seed), seed, version).toPandas()
-    nodes = spark.createDataFrame(built[[f.split()[0] for f in schemas.FOREST_NODE.split(", ")]], schemas.FOREST_NODE)
+    nodes = stage(fit_trees(sample_trees(matrix, trees, used, seed), seed, version), "forest")
     scored = raw_scores(matrix, nodes, used)
     if exact:
         threshold = exact_quantile(scored, "raw_score", share)
@@ -268,8 +271,9 @@ def train_anomaly_model(parsed: DataFrame, **options):
     """(status, encoders, model) fitted on all parsed logs; `failed` without any."""
     if parsed.isEmpty():
         return "failed: no data", None, None
-    encoders = fit_encoders(parsed)
-    return "success", encoders, fit_isolation_forest(build_feature_matrix(parsed, encoders), **options)
+    encoders = stage(fit_encoders(parsed), "encoders")
+    matrix = stage(build_feature_matrix(parsed, encoders), "features")
+    return "success", encoders, fit_isolation_forest(matrix, **options)
 
 
 def training_summary(parsed: DataFrame, results: DataFrame) -> DataFrame:

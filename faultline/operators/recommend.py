@@ -7,6 +7,7 @@ from faultline import constants as C
 from faultline.functions import advice
 from faultline.functions.text import empty_to_null, strip
 from faultline.operators.similarity import find_similar_incidents, incident_text
+from faultline.session import stage
 
 SIMILAR_FIELDS = [
     "rank", "incident_id", "incident_number", "alert_name", "service_name", "status", "severity",
@@ -88,7 +89,7 @@ def recommend_from(incidents: DataFrame, ids: DataFrame, similar: DataFrame, ans
 
 def recommend_root_causes(incidents: DataFrame, ids: DataFrame, k: int = 3, answers=None, **options) -> DataFrame:
     """Recommendations with their similar incidents; one fit serves all requested ids."""
-    similar = find_similar_incidents(incidents, ids, k, **options).persist()
+    similar = stage(find_similar_incidents(incidents, ids, k, **options), "similar")
     return attach_similar(recommend_from(incidents, ids, similar, answers), similar)
 
 

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from faultline import constants as C
 from faultline.functions.text import empty_to_null
 from faultline.operators.incidents import candidate_order, has_signal
+from faultline.session import stage
 
 QUERY_BLOCK = 2048
 CANDIDATE_SHARD = 50_000
 CHUNK = 4096
+ASKED = "asked_"
 TEXT_FIELDS = [
     "alert_name", "title", "description", "service_name", "severity", "source", "status", "raw_log", "notes",
 ]
@@ -192,6 +194,7 @@ def _compare(keep: int, width: int):
     def compare(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
             return pd.DataFrame([], columns=layout)
+        queries = queries.rename(columns=lambda name: name.removeprefix(ASKED))
         candidates = candidates.sort_values(PLACE, ascending=False, na_position="last")
         asked = _dense(queries, width)
         names = candidates["signature"].to_numpy()
@@ -227,11 +230,12 @@ def cosine_matches(queries: DataFrame, candidates: DataFrame, keep: int, width:
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *used,
     )
     other = candidates.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"),
         F.pmod(F.xxhash64("signature"), F.lit(shards)).cast("int").alias("shard"), *used, "place.*",
     )
+    own = own.toDF(*[ASKED + name for name in own.columns])
     return (
-        own.groupBy("block", "shard")
+        own.groupBy(f"{ASKED}block", f"{ASKED}shard")
         .cogroup(other.groupBy("block", "shard"))
         .applyInPandas(_compare(keep, width), "query_signature string, signature string, score double")
     )
@@ -248,9 +252,9 @@ def find_similar_incidents(
     keyed = signatures(incidents)
     pool = has_signal(keyed)
     asked = keyed.join(ids.select(F.col("incident_id").alias("id")), "id", "left_semi")
-    documents = fit_vectors(distinct_signatures(pool), vocabulary_size, stop_words).persist()
+    documents = stage(fit_vectors(distinct_signatures(pool), vocabulary_size, stop_words), "vectors")
     wanted = documents.join(asked.select("signature").distinct(), "signature", "left_semi")
-    matches = cosine_matches(wanted, documents, k + 1, vocabulary_size)
+    matches = stage(cosine_matches(wanted, documents, k + 1, vocabulary_size), "matches")
     best = Window.partitionBy("query_signature").orderBy(F.col("score").desc(), F.col("place").desc())
     matches = matches.join(documents.select("signature", "place"), "signature")
     matches = matches.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)

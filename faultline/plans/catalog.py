@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from faultline.plans import incidents, logs  # noqa: F401
+from faultline.plans import incidents, logs, models  # noqa: F401
 from faultline.plans.registry import ORACLES, QUERIES  # noqa: F401

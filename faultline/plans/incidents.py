@@ -14,7 +14,7 @@ from faultline.plans.registry import MAPPINGS, query
 AS_OF = A.ORDER_AS_OF
 
 MAPPINGS["checks"] = """
-select incident_id, incident_id % 7 = 0 as is_anomaly, (incident_id % 100) / 128.0e0 as anomaly_score,
+select incident_id, incident_id % 7 = 0 as is_anomaly, (incident_id % 97) / 97.0e0 as anomaly_score,
        'reason ' || cast(incident_id % 3 as string) as reason, 'isolation-forest-v1' as model_version,
        log_timestamp as updated_at
 from {parsed}
@@ -29,7 +29,7 @@ def checks(spark, folder):
     """Anomaly results with a rule in place of a model, so that the SQL can follow them."""
     number = F.col("incident_id")
     return parsed(spark, folder).select(
-        "incident_id", (number % 7 == 0).alias("is_anomaly"), ((number % 100) / F.lit(128.0)).alias("anomaly_score"),
+        "incident_id", (number % 7 == 0).alias("is_anomaly"), ((number % 97) / F.lit(97.0)).alias("anomaly_score"),
         F.concat(F.lit("reason "), (number % 3).cast("string")).alias("reason"),
         F.lit(C.MODEL_VERSION).alias("model_version"), F.col("log_timestamp").alias("updated_at"),
     )
