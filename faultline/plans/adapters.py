@@ -195,7 +195,7 @@ select o_orderkey as request_id, 'ACC' || lpad(cast(o_custkey as string), 8, '0'
        'Merchant-' || cast(o_orderkey % 50 as string) as merchant_name,
        case when o_orderkey % 97 = 0 then cast(null as decimal(38,2))
             when o_orderkey % 89 = 0 then cast(0 as decimal(38,2))
-            else cast((cast(floor(o_totalprice) as bigint) % 800000) * 0.01 as decimal(38,2)) end as amount,
+            else cast((cast(floor(o_totalprice) as bigint) % 400000) * 0.02 as decimal(38,2)) end as amount,
        o_orderdate as ts
 from {orders}
 """
