@@ -374,7 +374,7 @@ def route_alerts(spark, folder):
     return rules.route_alerts(labelled, routes, "default").select("event_id", "receiver")
 
 
-@query("""
+MAPPINGS["notifications"] = """
 with hits as (select rule, epoch_us(ts) / 1e6 as s from {rule_hits}),
 marked as (select *, case when s - lag(s) over (partition by rule order by s) <= 3600 then 0 else 1 end as fresh from hits),
 lives as (select rule, s, sum(fresh) over (partition by rule order by s rows unbounded preceding) as life from marked),
@@ -385,7 +385,10 @@ sent as (select *, unnest(range(beat, greatest(beat, coalesce(following - 1, las
 select rule, make_timestamp(cast(round((s0 + 600 + slot * 1800) * 1000000) as bigint)) as sent_at,
        case when slot > beat then 'repeat' when beat = 0 then 'first' else 'change' end as kind, case when slot = beat then n else 0 end as new_alerts
 from sent
-""")
+"""
+
+
+@query("select * from {notifications}")
 def group_notifications(spark, folder):
     hits = rules.log_rule_hits(logs(spark, folder)).select("rule", "ts")
     return rules.group_notifications(hits, ["rule"], wait=600.0, interval=1800.0, repeat=7200.0, lifetime=3600.0)

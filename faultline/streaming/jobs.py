@@ -1,8 +1,21 @@
-"""Streaming forms of the batch operators."""
+"""Streaming forms of the batch operators.
 
-from pyspark.sql import DataFrame
+Stateless operators (parsing, normalisation, enrichment, routing) are the batch functions applied to a
+stream. Here are the jobs that need a watermark, a sink or several writes.
+"""
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from faultline.operators import alerts, forest, keyed, parsing, rules
 from faultline.session import scratch
+from faultline.sources import logs as sources
+from faultline.sources import tables
+
+LATENESS = "5 minutes"
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -19,3 +32,96 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def for_each_batch(
+    stream: DataFrame, work: Callable[[DataFrame, int], None], progress: str, once: bool = True
+) -> StreamingQuery:
+    """Start a job that hands every micro-batch to `work`; progress survives restarts."""
+    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", progress)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def ingest_logs(stream: DataFrame, table_path: str, lines_path: str, progress: str, as_of=None) -> StreamingQuery:
+    """Normalise levels, stamp arrival and write each batch to the daily table and the JSON-lines sink."""
+    enriched = sources.add_ingested_at(sources.upper_log_level(stream), as_of)
+    return for_each_batch(enriched, lambda batch, _: sources.fan_out_logs(batch, table_path, lines_path), progress)
+
+
+def upsert_stream(
+    stream: DataFrame, path: str, schema: str, key: str, order: list[str], progress: str, as_of=None
+) -> StreamingQuery:
+    """Keep a versioned table with one row per key; a repeated batch leads to the same rows."""
+
+    def work(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        current = tables.read_version(spark, path)
+        target = tables.empty_table(spark, schema) if current is None else current
+        tables.write_version(keyed.upsert_by_key(target, batch, key, order, as_of), path)
+
+    return for_each_batch(stream, work, progress)
+
+
+def with_event_time(rows: DataFrame, lateness: str, column: str = "ts") -> DataFrame:
+    """Watermark on the event time, which streams keep as an instant (UTC session)."""
+    return rows.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, lateness)
+
+
+def _wall(rows: DataFrame, column: str = "run_at") -> DataFrame:
+    return rows.withColumn(column, F.col(column).cast("timestamp_ntz"))
+
+
+def log_pattern_alerts(
+    logs: DataFrame, length: str = "5 minutes", slide: str = "1 minute", lateness: str = LATENESS, **options
+) -> DataFrame:
+    """Sliding rule counts; a window is reported once it can no longer change."""
+    return _wall(rules.log_pattern_alerts(with_event_time(logs, lateness), length, slide, **options))
+
+
+def login_failure_alerts(logs: DataFrame, length: str = "1 minute", lateness: str = LATENESS) -> DataFrame:
+    return _wall(rules.login_failure_alerts(with_event_time(logs, lateness), length))
+
+
+def first_hits(logs: DataFrame, key: str, lateness: str = LATENESS) -> DataFrame:
+    """Rule hits without repeats of the same event, for sources that deliver more than once."""
+    hits = rules.log_rule_hits(with_event_time(logs, lateness))
+    return hits.dropDuplicatesWithinWatermark([key, "rule"])
+
+
+def score_stream(parsed: DataFrame, encoders: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Anomaly results of arriving parsed logs, scored by a stored forest."""
+    return forest.score_isolation_forest(forest.build_feature_matrix(parsed, encoders), *model)
+
+
+def alerts_to_incidents(
+    payloads: DataFrame,
+    folder: str,
+    progress: str,
+    encoders: DataFrame | None = None,
+    model: tuple[DataFrame, DataFrame] | None = None,
+    as_of=None,
+) -> StreamingQuery:
+    """Alert documents to incidents, parsed logs and anomaly results, each batch written to its own place.
+
+    The batch number is the partition of every table, so a batch that runs again replaces itself.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        rows = alerts.normalize_alerts(batch, as_of).persist()
+        parsed = parsing.parse_logs(alerts.parse_requests(rows))
+        marked = alerts.apply_parse_outcome(alerts.build_incidents(rows), parsed, as_of)
+        written = {"incidents": marked, "parsed_logs": parsed}
+        if encoders is not None:
+            results = forest.detect_anomalies(rows.select(F.col("payload_id").alias("incident_id")), parsed, encoders, model)
+            written["anomaly_results"] = results.filter("found").drop("found")
+        for name, table in written.items():
+            table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        rows.unpersist()
+
+    return for_each_batch(payloads, work, progress)
+
+
+def stored_batches(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}").drop("batch")
+
+
