@@ -64,7 +64,7 @@ def compare(spark, connection, folder, name, run, sql) -> str:
     if sql is None:
         return f"rows-only {got.num_rows} rows {took:.1f}s" if got.num_rows else "EMPTY"
     start = time.time()
-    want = connection.execute(sql).to_arrow_table()
+    want = connection.sql(sql).to_arrow_table()
     slow = time.time() - start
     if sorted(got.column_names) != sorted(want.column_names):
         return f"FAIL columns {sorted(got.column_names)} {sorted(want.column_names)}"
