@@ -28,6 +28,18 @@ def blank_to_null(text: Column) -> Column:
     return F.when(~is_blank(text), F.btrim(text, F.lit(CONTROL_SPACE)))
 
 
+def sql_text(text: str) -> str:
+    """A text as an SQL literal, every character escaped."""
+    return "'" + "".join(f"\\u{ord(char):04x}" for char in text) + "'"
+
+
+def blank_to_null_sql(name: str) -> str:
+    """`blank_to_null` of a column as SQL text, for projections of many columns."""
+    return (
+        f"case when btrim({name}, {sql_text(UNICODE_SPACE)}) <> '' then btrim({name}, {sql_text(CONTROL_SPACE)}) end"
+    )
+
+
 def empty_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from faultline import constants as C
 from faultline import schemas
 from faultline.functions import alertfields as A
-from faultline.functions.text import blank_to_null, instant, is_blank
+from faultline.functions.text import blank_to_null_sql, instant, is_blank
 
 CONTAINER_TYPE = "^(OBJECT|ARRAY)"
 
@@ -45,78 +45,78 @@ SOURCES = list(
 )
 
 
-def _text(source: str) -> Column:
+def _place(source: str) -> str:
+    return f"_s{SOURCES.index(source)}"
+
+
+def _text(source: str) -> str:
     """Text of one source path as written in the document."""
-    root, *path = source.split(".")
-    value = {"$": F.col("doc"), "result": F.col("doc.result"), "alert": F.col("alert")}[root]
-    for name in path:
-        value = value[name]
-    return value
+    root, name, *label = source.split(".")
+    start = {"$": "doc", "result": "doc.result", "alert": "alert"}[root]
+    return f"{start}.`{name}`" + "".join(f"['{part}']" for part in label)
 
 
-def _node(source: str) -> Column:
+def _node(source: str) -> str:
     """The same place as a typed node, to tell an object from a text that looks like one."""
     root, *path = source.split(".")
     steps = "".join(f'["{name}"]' for name in path)
-    place = F.lit(("$.result" if root == "result" else "$") + steps)
+    place = f"'$.result{steps}'" if root == "result" else f"'${steps}'"
     if root == "alert":
-        listed = F.concat(F.lit("$.alerts["), F.col("alert_index").cast("string"), F.lit("]" + steps))
-        place = F.coalesce(listed, place)
-    return F.try_variant_get(F.try_parse_json("payload"), place, "variant")
+        place = f"coalesce(concat('$.alerts[', cast(alert_index as string), ']{steps}'), {place})"
+    return f"try_variant_get(try_parse_json(payload), {place}, 'variant')"
 
 
-def _place(source: str) -> str:
-    return f"_s{SOURCES.index(source)}"
+def _usable(source: str) -> str:
+    text = _place(source)
+    trimmed = blank_to_null_sql(text)
+    nested = f"coalesce(schema_of_variant({_node(source)}) rlike '{CONTAINER_TYPE}', false)"
+    return (
+        f"case when substring({text}, 1, 1) in ('{{', '[') then case when not {nested} then {trimmed} end "
+        f"else {trimmed} end as {text}"
+    )
 
 
 def read_sources(alerts: DataFrame) -> DataFrame:
     """Trimmed text of every source as a column; blank text and nested objects count as absent.
 
     Two projections, so that each text is read from its document once. Only a text that begins like an
-    object is looked up a second time.
+    object is looked up a second time. The many columns are SQL text, which is quick to analyse.
     """
-    read = alerts.withColumns({_place(source): _text(source) for source in SOURCES})
-
-    def usable(source: str) -> Column:
-        text = F.col(_place(source))
-        nested = F.rlike(F.schema_of_variant(_node(source)), F.lit(CONTAINER_TYPE))
-        return F.when(
-            F.substring(text, 1, 1).isin("{", "["), F.when(~F.coalesce(nested, F.lit(False)), blank_to_null(text))
-        ).otherwise(blank_to_null(text))
-
-    return read.withColumns({_place(source): usable(source) for source in SOURCES}).drop("doc", "alert")
+    kept = [name for name in alerts.columns if name not in ("doc", "alert")]
+    read = alerts.selectExpr("*", *[f"{_text(source)} as {_place(source)}" for source in SOURCES])
+    return read.selectExpr(*[f"`{name}`" for name in kept], *[_usable(source) for source in SOURCES])
 
 
 def _read(source: str) -> Column:
     return F.col(_place(source))
 
 
-def _first(sources: list[str], *defaults: Column) -> Column:
-    return F.coalesce(*[_read(source) for source in sources], *defaults)
+def _first(sources: list[str], *defaults: str) -> Column:
+    return F.expr(f"coalesce({', '.join([*map(_place, sources), *defaults])})")
 
 
 def normalize_alerts(payloads: DataFrame, as_of=None, mode: str = "first") -> DataFrame:
     """One incident candidate per alert; each field is the first non-blank of its ordered sources."""
-    searched = _read("$.search_name").isNotNull()
+    searched = f"{_place('$.search_name')} is not null"
     col = F.col
     kept = [c for c in payloads.columns if c != "payload"]
     fields = read_sources(explode_alerts(payloads, mode)).select(
         *kept,
         "payload",
         "alert_index",
-        _first(C.ALERT_NAME, F.lit(C.DEFAULT_ALERT_NAME)).alias("alert_name"),
-        _first(C.ALERT_SERVICE, F.lit(C.DEFAULT_SERVICE)).alias("service_name"),
+        _first(C.ALERT_NAME, f"'{C.DEFAULT_ALERT_NAME}'").alias("alert_name"),
+        _first(C.ALERT_SERVICE, f"'{C.DEFAULT_SERVICE}'").alias("service_name"),
         F.coalesce(
             _first(C.ALERT_SEVERITY_FIRST),
             A.severity_from_level(_read("result.level")),
             _first(C.ALERT_SEVERITY_LAST),
             F.lit(C.DEFAULT_SEVERITY),
         ).alias("severity"),
-        _first(C.ALERT_STATUS, F.when(searched, "OPEN").otherwise("firing")).alias("raw_status"),
-        _first(C.ALERT_SOURCE, F.when(searched, "splunk").otherwise("grafana-webhook")).alias("source"),
+        _first(C.ALERT_STATUS, f"if({searched}, 'OPEN', 'firing')").alias("raw_status"),
+        _first(C.ALERT_SOURCE, f"if({searched}, 'splunk', 'grafana-webhook')").alias("source"),
         _first(C.ALERT_TRACE).alias("trace_id"),
         F.coalesce(*[A.whole_number(_read(s)) for s in C.ALERT_STATUS_CODE]).alias("status_code"),
-        _first(C.ALERT_FAILURE, F.lit(C.DEFAULT_FAILURE)).alias("failure_type"),
+        _first(C.ALERT_FAILURE, f"'{C.DEFAULT_FAILURE}'").alias("failure_type"),
         _first(C.ALERT_MESSAGE).alias("error_message"),
         F.coalesce(*[A.alert_datetime(_read(s)) for s in C.ALERT_STARTED], instant(as_of)).alias("created_at"),
         _first(C.ALERT_RAW_LOG).alias("raw_log"),

@@ -12,10 +12,11 @@ from faultline import schemas
 from faultline.functions.text import chain
 from faultline.operators.features import build_feature_matrix, fit_encoders
 from faultline.operators.keyed import latest_per_key
-from faultline.session import stage
+from faultline.session import spread, stage
 
-# Rows that may take part in the samples of all trees; picked by hash, so its size does not grow.
-POOL_FACTOR = 4
+DRAWS = 1 << 40
+# A tree's candidates are the rows below a hash bound, this many times its sample on average.
+SPARE = 4
 EULER = 0.5772156649015329
 # One cell per score interval in the first pass of the exact percentile.
 QUANTILE_CELLS = 65536
@@ -33,16 +34,22 @@ def path_constant(size):
 def sample_trees(matrix: DataFrame, trees: int, sample: int, seed: int) -> DataFrame:
     """The rows of every tree, chosen by hash so that partitioning does not matter.
 
-    A hash bound keeps a pool of fixed expected size; each tree takes its own smallest hashes of it.
+    A hash bound keeps a pool that could fill all trees without sharing a row, whatever the number of
+    rows; each tree takes its own smallest hashes of it.
     """
     rows = matrix.count()
-    pool = POOL_FACTOR * trees * sample
-    draw = F.pmod(F.xxhash64("incident_id", F.lit(seed)), F.lit(1 << 40))
-    kept = matrix if rows <= pool else matrix.filter(draw < int((1 << 40) * pool / rows))
+    pool = trees * sample
+    kept = matrix if rows <= pool else matrix.filter(_draw("incident_id", F.lit(seed)) < int(DRAWS * pool / rows))
     every = kept.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = [F.xxhash64("incident_id", "tree", F.lit(seed + 1)), F.col("incident_id")]
-    ranked = every.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy(*order)))
-    return ranked.filter(F.col("place") <= sample)
+    every = every.withColumn("draw", _draw("incident_id", "tree", F.lit(seed + 1)))
+    share = SPARE * sample / min(rows, pool)
+    near = every if share >= 1 else every.filter(F.col("draw") < int(DRAWS * share))
+    order = Window.partitionBy("tree").orderBy("draw", "incident_id")
+    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
+
+
+def _draw(*columns) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(DRAWS))
 
 
 def grow(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
@@ -272,7 +279,7 @@ def train_anomaly_model(parsed: DataFrame, **options):
     if parsed.isEmpty():
         return "failed: no data", None, None
     encoders = stage(fit_encoders(parsed), "encoders")
-    matrix = stage(build_feature_matrix(parsed, encoders), "features")
+    matrix = spread(stage(build_feature_matrix(parsed, encoders), "features"))
     return "success", encoders, fit_isolation_forest(matrix, **options)
 
 

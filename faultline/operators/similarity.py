@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from faultline import constants as C
 from faultline.functions.text import empty_to_null
 from faultline.operators.incidents import candidate_order, has_signal
-from faultline.session import stage
+from faultline.session import spread, stage
 
 QUERY_BLOCK = 2048
 CANDIDATE_SHARD = 50_000
@@ -156,7 +156,7 @@ def fit_vectors(
     """Documents with their vectors; a document without vocabulary terms has an empty one."""
     stop_words = default_stop_words() if stop_words is None else stop_words
     occurrences = term_occurrences(documents, stop_words)
-    terms = document_terms(occurrences, limit_vocabulary(occurrences, vocabulary_size))
+    terms = stage(document_terms(occurrences, limit_vocabulary(occurrences, vocabulary_size)), "terms")
     return documents.join(vectors(terms, idf_table(terms, documents)), "signature", "left")
 
 
@@ -252,7 +252,8 @@ def find_similar_incidents(
     keyed = signatures(incidents)
     pool = has_signal(keyed)
     asked = keyed.join(ids.select(F.col("incident_id").alias("id")), "id", "left_semi")
-    documents = stage(fit_vectors(distinct_signatures(pool), vocabulary_size, stop_words), "vectors")
+    distinct = spread(stage(distinct_signatures(pool), "signatures"))
+    documents = stage(fit_vectors(distinct, vocabulary_size, stop_words).drop("text"), "vectors")
     wanted = documents.join(asked.select("signature").distinct(), "signature", "left_semi")
     matches = stage(cosine_matches(wanted, documents, k + 1, vocabulary_size), "matches")
     best = Window.partitionBy("query_signature").orderBy(F.col("score").desc(), F.col("place").desc())

@@ -7,7 +7,7 @@ text only, no clock and no random numbers. `{events}` and the like name the sour
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.session import configure
+from faultline.session import configure, spread
 
 EVENT_AS_OF = "2024-01-31 00:00:00"
 ORDER_AS_OF = "2001-08-01 00:00:00"
@@ -260,10 +260,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def mapped(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    """One mapping as a DataFrame over the tables it names."""
+def mapped(spark: SparkSession, folder: str, sql: str, heavy: bool = False) -> DataFrame:
+    """One mapping as a DataFrame over the tables it names.
+
+    `heavy` is for text work that costs more than reading: a table of fewer files than cores is spread.
+    """
     configure(spark)
     used = {name: table(spark, folder, name) for name in TABLES if "{" + name + "}" in sql}
+    if heavy:
+        used = {name: spread(rows) for name, rows in used.items()}
     return spark.sql(sql, **used)
 
 

@@ -51,7 +51,7 @@ from {parsed_messages}
 
 
 def parsed(spark, folder):
-    return parsing.parse_logs(A.mapped(spark, folder, A.PARSE_REQUESTS))
+    return parsing.parse_logs(A.mapped(spark, folder, A.PARSE_REQUESTS, heavy=True))
 
 
 def logs(spark, folder):
@@ -59,7 +59,7 @@ def logs(spark, folder):
 
 
 def payloads(spark, folder):
-    return A.mapped(spark, folder, A.ALERT_PAYLOADS)
+    return A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True)
 
 
 @query("select * from {parsed}")
@@ -341,7 +341,7 @@ select incident_id, case when trim(raw_log) = '' then 'No details returned'
   when length(raw_log) > 60 then substr(raw_log, 1, 60) || '...' else raw_log end as summary from {requests}
 """)
 def summarize_text(spark, folder):
-    rows = A.mapped(spark, folder, A.PARSE_REQUESTS)
+    rows = A.mapped(spark, folder, A.PARSE_REQUESTS, heavy=True)
     return rows.select("incident_id", alertfields.summarize_text(F.col("raw_log"), 60).alias("summary"))
 
 

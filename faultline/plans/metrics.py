@@ -9,7 +9,7 @@ from faultline.operators import keyed
 from faultline.plans import adapters as A
 from faultline.plans.logs import logs
 from faultline.plans.registry import MAPPINGS, query
-from faultline.session import scratch
+from faultline.session import scratch, stage
 from faultline.sources import logs as sources
 
 WINDOW, STEP = 21600.0, 3600.0
@@ -413,8 +413,9 @@ select n.payload_id as id, n.alert_name, n.status, 'COMPLETED' as parser_status,
 from {{normalized}} n join {{alert_parsed}} p on p.incident_id = n.payload_id
 """)
 def alerts_to_incidents(spark, folder):
-    rows = alerts.normalize_alerts(A.mapped(spark, folder, A.ALERT_PAYLOADS), A.EVENT_AS_OF)
-    parsed = parsing.parse_logs(alerts.parse_requests(rows))
+    documents = A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True)
+    rows = stage(alerts.normalize_alerts(documents, A.EVENT_AS_OF), "alerts")
+    parsed = stage(parsing.parse_logs(alerts.parse_requests(rows)), "parsed-logs")
     marked = alerts.apply_parse_outcome(alerts.build_incidents(rows), parsed, A.EVENT_AS_OF)
     details = parsed.select(
         F.col("incident_id").alias("id"), "failure_type", "status_code", "error_message", "log_timestamp"

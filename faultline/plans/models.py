@@ -8,7 +8,7 @@ from faultline.operators import features, forest, incidents, recommend, similari
 from faultline.plans import adapters as A
 from faultline.plans.logs import parsed
 from faultline.plans.registry import MAPPINGS, query
-from faultline.session import scratch, stage
+from faultline.session import scratch, spread, stage
 from faultline.sources import tables
 
 STOP_WORDS = ["the", "of", "and", "to", "in", "le", "la", "les", "des", "der", "die", "und", "el", "los", "de"]
@@ -124,7 +124,7 @@ def detect_batch_left_join(spark, folder):
 
 @query()
 def fit_isolation_forest(spark, folder):
-    nodes, _ = forest.fit_isolation_forest(stage(matrix(spark, folder), "features"))
+    nodes, _ = forest.fit_isolation_forest(spread(stage(matrix(spark, folder), "features")))
     return nodes.groupBy("tree").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
 
 
@@ -214,7 +214,7 @@ from {doc_scores}
 
 
 def doc_incidents(spark, folder):
-    return A.mapped(spark, folder, A.SIMILARITY_INCIDENTS)
+    return A.mapped(spark, folder, A.SIMILARITY_INCIDENTS, heavy=True)
 
 
 def doc_queries(spark, folder):
@@ -223,7 +223,7 @@ def doc_queries(spark, folder):
 
 def _documents(spark, folder):
     keyed = similarity.signatures(doc_incidents(spark, folder))
-    return keyed, similarity.distinct_signatures(keyed)
+    return keyed, spread(stage(similarity.distinct_signatures(keyed), "signatures"))
 
 
 @query("select term, tf from {doc_vocabulary}")
@@ -244,7 +244,7 @@ def tokenize(spark, folder):
 def idf(spark, folder):
     _, documents = _documents(spark, folder)
     occurrences = similarity.term_occurrences(documents, STOP_WORDS)
-    terms = similarity.document_terms(occurrences, similarity.limit_vocabulary(occurrences))
+    terms = stage(similarity.document_terms(occurrences, similarity.limit_vocabulary(occurrences)), "terms")
     return similarity.idf_table(terms, documents).select("term", F.round("idf", 6).alias("idf"), "df")
 
 
@@ -252,7 +252,7 @@ def idf(spark, folder):
 def tfidf(spark, folder):
     keyed, documents = _documents(spark, folder)
     occurrences = similarity.term_occurrences(documents, STOP_WORDS)
-    terms = similarity.document_terms(occurrences, similarity.limit_vocabulary(occurrences))
+    terms = stage(similarity.document_terms(occurrences, similarity.limit_vocabulary(occurrences)), "terms")
     weights = similarity.tfidf_l2(terms, similarity.idf_table(terms, documents))
     rows = keyed.select("id", "signature").join(weights, "signature")
     return rows.select("id", "term", F.round("weight", 5).alias("weight"))

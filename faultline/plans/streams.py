@@ -33,14 +33,14 @@ def closed(df, time="ts"):
 
 @query("select incident_id, service_name, failure_type, status_code, log_timestamp from {parsed}")
 def stream_parse_logs(spark, folder):
-    stream = as_stream(A.mapped(spark, folder, A.PARSE_REQUESTS), "requests", files=4)
+    stream = as_stream(A.mapped(spark, folder, A.PARSE_REQUESTS, heavy=True), "requests", files=4)
     parsed = jobs.run_available(parsing.parse_logs(stream), "parsed")
     return parsed.select("incident_id", "service_name", "failure_type", "status_code", "log_timestamp")
 
 
 @query("select payload_id, alert_name, service_name, severity, status, created_at from {normalized}")
 def stream_normalize_alerts(spark, folder):
-    stream = as_stream(A.mapped(spark, folder, A.ALERT_PAYLOADS), "payloads", files=4)
+    stream = as_stream(A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True), "payloads", files=4)
     rows = jobs.run_available(alerts.normalize_alerts(stream, A.EVENT_AS_OF), "alerts")
     return rows.select("payload_id", "alert_name", "service_name", "severity", "status", "created_at")
 
@@ -129,7 +129,7 @@ from {normalized} n join {alert_parsed} p on p.incident_id = n.payload_id
 """)
 def stream_alerts_to_incidents(spark, folder):
     target, progress = scratch(spark, "incident-tables"), scratch(spark, "progress")
-    stream = as_stream(A.mapped(spark, folder, A.ALERT_PAYLOADS), "payloads", files=2)
+    stream = as_stream(A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True), "payloads", files=2)
     jobs.alerts_to_incidents(stream, target, progress, as_of=A.EVENT_AS_OF).awaitTermination()
     marked = jobs.stored_batches(spark, target, "incidents").select("id", "alert_name", "trace_id")
     parsed = jobs.stored_batches(spark, target, "parsed_logs")

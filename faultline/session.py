@@ -45,3 +45,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(stored: DataFrame) -> DataFrame:
+    """A stored table in at least as many partitions as cores, for work that costs more than its bytes."""
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored if stored.rdd.getNumPartitions() >= cores else stored.repartition(cores)
