@@ -46,7 +46,7 @@ SOURCES = list(
 
 
 def _place(source: str) -> str:
-    return f"_s{SOURCES.index(source)}"
+    return f"_texts[{SOURCES.index(source)}]"
 
 
 def _text(source: str) -> str:
@@ -56,39 +56,36 @@ def _text(source: str) -> str:
     return f"{start}.`{name}`" + "".join(f"['{part}']" for part in label)
 
 
-def _node(source: str) -> str:
-    """The same place as a typed node, to tell an object from a text that looks like one."""
-    root, *path = source.split(".")
-    steps = "".join(f'["{name}"]' for name in path)
-    place = f"'$.result{steps}'" if root == "result" else f"'${steps}'"
-    if root == "alert":
-        place = f"coalesce(concat('$.alerts[', cast(alert_index as string), ']{steps}'), {place})"
-    return f"try_variant_get(try_parse_json(payload), {place}, 'variant')"
-
-
-def _usable(source: str) -> str:
-    text = _place(source)
-    trimmed = blank_to_null_sql(text)
-    nested = f"coalesce(schema_of_variant({_node(source)}) rlike '{CONTAINER_TYPE}', false)"
-    return (
-        f"case when substring({text}, 1, 1) in ('{{', '[') then case when not {nested} then {trimmed} end "
-        f"else {trimmed} end as {text}"
-    )
+def _steps(source: str) -> str:
+    return "".join(f'["{name}"]' for name in source.split(".")[1:])
 
 
 def read_sources(alerts: DataFrame) -> DataFrame:
-    """Trimmed text of every source as a column; blank text and nested objects count as absent.
+    """Trimmed texts of all sources as one array; blank text and nested objects count as absent.
 
-    Two projections, so that each text is read from its document once. Only a text that begins like an
-    object is looked up a second time. The many columns are SQL text, which is quick to analyse.
+    A text that begins like an object is looked up again as a typed node, which tells an object from a
+    text that looks like one. One small rule runs over the array, so the generated code stays short.
     """
     kept = [name for name in alerts.columns if name not in ("doc", "alert")]
-    read = alerts.selectExpr("*", *[f"{_text(source)} as {_place(source)}" for source in SOURCES])
-    return read.selectExpr(*[f"`{name}`" for name in kept], *[_usable(source) for source in SOURCES])
+    read = alerts.selectExpr(*[f"`{name}`" for name in kept], f"array({', '.join(map(_text, SOURCES))}) as _raw")
+    whole = ", ".join(f"'{'$.result' if s.startswith('result.') else '$'}{_steps(s)}'" for s in SOURCES)
+    listed = ", ".join(f"'{_steps(s)}'" if s.startswith("alert.") else "null" for s in SOURCES)
+    place = (
+        f"coalesce(concat('$.alerts[', cast(alert_index as string), ']', element_at(array({listed}), i + 1)), "
+        f"element_at(array({whole}), i + 1))"
+    )
+    node = f"try_variant_get(try_parse_json(payload), {place}, 'variant')"
+    nested = f"coalesce(schema_of_variant({node}) rlike '{CONTAINER_TYPE}', false)"
+    trimmed = blank_to_null_sql("x")
+    usable = (
+        f"transform(_raw, (x, i) -> case when substring(x, 1, 1) in ('{{', '[') "
+        f"then case when not {nested} then {trimmed} end else {trimmed} end)"
+    )
+    return read.selectExpr(*[f"`{name}`" for name in kept], f"{usable} as _texts")
 
 
 def _read(source: str) -> Column:
-    return F.col(_place(source))
+    return F.expr(_place(source))
 
 
 def _first(sources: list[str], *defaults: str) -> Column:

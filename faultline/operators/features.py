@@ -28,11 +28,11 @@ def encode(rows: DataFrame, encoders: DataFrame, name: str, column: str, target:
     """
     own = encoders.filter(F.col("encoder") == name)
     classes = own.select(F.col("class").alias("_class"), F.col("idx").alias("_idx"))
-    unknown = own.filter(F.col("class") == C.UNKNOWN_CLASS).agg(F.max("idx").alias("_unknown"))
+    unknown = own.filter(F.col("class") == C.UNKNOWN_CLASS).agg(F.max("idx")).scalar()
     value = F.coalesce(empty_to_null(F.col(column)), F.lit(C.UNKNOWN_CLASS))
     joined = rows.withColumn("_value", value).join(classes, F.col("_value") == F.col("_class"), "left")
-    index = F.coalesce("_idx", "_unknown", F.lit(0)).cast("float")
-    return joined.join(unknown).withColumn(target, index).drop("_value", "_class", "_idx", "_unknown")
+    index = F.coalesce(F.col("_idx"), unknown, F.lit(0)).cast("float")
+    return joined.withColumn(target, index).drop("_value", "_class", "_idx")
 
 
 def status_feature(status: Column) -> Column:

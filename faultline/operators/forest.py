@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline import constants as C
@@ -13,6 +13,7 @@ from faultline.functions.text import chain
 from faultline.operators.features import build_feature_matrix, fit_encoders
 from faultline.operators.keyed import latest_per_key
 from faultline.session import spread, stage
+from faultline.sources.tables import load_model, save_model
 
 DRAWS = 1 << 40
 # A tree's candidates are the rows below a hash bound, this many times its sample on average.
@@ -285,18 +286,32 @@ def train_anomaly_model(parsed: DataFrame, **options):
 
 def training_summary(parsed: DataFrame, results: DataFrame) -> DataFrame:
     """Samples trained, results saved and status in one row."""
-    saved = results.agg(F.count_if("found").alias("results_saved"))
     trained = parsed.agg(F.count("*").alias("samples_trained"))
     status = F.when(F.col("samples_trained") > 0, "success").otherwise("failed: no data")
-    return trained.join(saved).withColumn("status", status)
+    return trained.withColumns(
+        {"results_saved": results.agg(F.count_if("found")).scalar(), "status": status}
+    )
 
 
 def anomaly_status(results: DataFrame, params: DataFrame, encoders: DataFrame) -> DataFrame:
     """Whether a model and encoders exist, the contamination and the number of saved results."""
-    model = params.agg(F.max("contamination").alias("contamination"))
     return (
         results.agg(F.count("*").alias("results_saved"))
-        .join(model)
-        .join(encoders.agg((F.count("*") > 0).alias("encoders_loaded")))
+        .withColumns(
+            {
+                "contamination": params.agg(F.max("contamination")).scalar(),
+                "encoders_loaded": encoders.agg(F.count("*") > 0).scalar(),
+            }
+        )
         .withColumn("model_trained", F.col("contamination").isNotNull())
     )
+
+
+def train_if_missing(spark: SparkSession, path: str, parsed: DataFrame, **options):
+    """(encoders, model) stored under a path, trained and saved first when there is none."""
+    encoders, model = load_model(spark, path)
+    if encoders is None or model is None:
+        status, encoders, model = train_anomaly_model(parsed, **options)
+        if status == "success":
+            save_model(path, encoders, *model)
+    return encoders, model

@@ -144,7 +144,7 @@ def incident_summary(incidents: DataFrame, anomalies: DataFrame, as_of=None) ->
         F.count_if(D.severity_tone(F.col("severity")) == "critical").alias("critical"),
         F.count_if(D.local_day(F.col("created_at")) == today).alias("new_today"),
     )
-    return tiles.join(anomalies.agg(F.count_if("is_anomaly").alias("anomalies")))
+    return tiles.withColumn("anomalies", anomalies.agg(F.count_if("is_anomaly")).scalar())
 
 
 def itsm_queue(incidents: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def upsert_by_key(
     newest = latest_per_key(updates, [key], order).select(key, *[F.col(c).alias(f"_new_{c}") for c in changed])
     newest = newest.withColumn("_hit", F.lit(True))
     fresh = number_by_bucket(newest.join(target, key, "left_anti").select(key), key, "_number")
-    top = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    ids = fresh.join(top).select(key, (F.col("_number") + F.col("_top")).alias("_id"))
+    top = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    ids = fresh.select(key, (F.col("_number") + top).alias("_id"))
     merged = target.join(newest, key, "full_outer").join(ids, key, "left")
     hit = F.col("_hit").isNotNull()
 
@@ -92,9 +92,9 @@ def exclude_self(rows: DataFrame, column: str, current) -> DataFrame:
 def merge_list(rows: DataFrame, updates: DataFrame, key: str, position: str) -> DataFrame:
     """Replace listed rows by their update in place; new rows go before all others."""
     old = rows.select(key, F.col(position).alias("_position"))
-    first = rows.agg(F.coalesce(F.min(position), F.lit(0)).alias("_first"))
-    placed = updates.drop(position).join(old, key, "left").join(first)
-    placed = placed.withColumn(position, F.coalesce("_position", F.col("_first") - 1)).select(*rows.columns)
+    front = rows.agg(F.coalesce(F.min(position), F.lit(0)) - 1).scalar()
+    placed = updates.drop(position).join(old, key, "left")
+    placed = placed.withColumn(position, F.coalesce(F.col("_position"), front)).select(*rows.columns)
     return rows.join(updates, key, "left_anti").unionByName(placed)
 
 

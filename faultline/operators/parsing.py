@@ -65,7 +65,7 @@ def failure_counts(parsed: DataFrame) -> DataFrame:
 def parse_quality(parsed: DataFrame, incidents: DataFrame) -> DataFrame:
     """Rows with no value per field, and incidents by parser status, in one row."""
     fields = [name for name in PARSED if name not in ("incident_id", "raw_log")]
-    nulls = parsed.agg(
+    nulls = F.struct(
         F.count("*").alias("logs"),
         *[F.count_if(F.col(name).isNull()).alias(f"{name}_missing") for name in fields],
     )
@@ -75,4 +75,4 @@ def parse_quality(parsed: DataFrame, incidents: DataFrame) -> DataFrame:
         F.count_if(status == "FAILED").alias("failed"),
         F.count_if(status == "PENDING").alias("pending"),
     )
-    return nulls.join(tiles)
+    return tiles.withColumn("_nulls", parsed.agg(nulls).scalar()).select("*", "_nulls.*").drop("_nulls")

@@ -122,10 +122,10 @@ def document_terms(occurrences: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def idf_table(terms: DataFrame, documents: DataFrame) -> DataFrame:
     """Smooth inverse document frequency, ln((1 + n) / (1 + df)) + 1, with a position per term."""
     counted = terms.groupBy("term").agg(F.sum("copies").alias("df"))
-    total = documents.agg(F.sum("copies").alias("n"))
-    weight = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    total = documents.agg(F.sum("copies")).scalar()
+    weight = F.log((1 + total) / (1 + F.col("df"))) + 1
     position = F.row_number().over(Window.orderBy("term")) - 1
-    return counted.join(total).select("term", "df", weight.alias("idf"), position.cast("int").alias("position"))
+    return counted.select("term", "df", weight.alias("idf"), position.cast("int").alias("position"))
 
 
 def tfidf_l2(terms: DataFrame, idf: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from faultline.operators import keyed
 from faultline.plans import adapters as A
 from faultline.plans.logs import parsed
 from faultline.plans.registry import MAPPINGS, query
+from faultline.sources import tables
 
 AS_OF = A.ORDER_AS_OF
 
@@ -319,6 +320,22 @@ def anomaly_view(spark, folder):
     return I.anomaly_view(checks(spark, folder))
 
 
+@query(f"""
+select incident_id, answer as recommended_root_cause, 'rules-and-similarity' as model_used, {_iso('updated_at')}
+from (select a.*, i.updated_at from {{answers}} a join {{incidents}} i on i.id = a.incident_id) where incident_id % 2 = 0
+""")
+def recommendation_view(spark, folder):
+    times = incidents(spark, folder).select(F.col("id").alias("incident_id"), "updated_at")
+    rows = advice_rows(spark, folder).join(times, "incident_id")
+    return I.recommendation_view(rows.select("incident_id", "recommended_root_cause", "model_used", "updated_at"))
+
+
+@query("select o_orderkey, o_totalprice from {orders} where o_orderdate >= timestamp '2000-01-01 00:00:00'")
+def scan_table(spark, folder):
+    rows = tables.scan_table(spark, f"{folder}/orders.parquet")
+    return rows.filter("o_orderdate >= timestamp_ntz '2000-01-01 00:00:00'").select("o_orderkey", "o_totalprice")
+
+
 LOCAL = "strftime(timezone('Europe/Dublin', timezone('UTC', {0})), '%d/%m/%Y, %H:%M:%S')"
 
 

@@ -163,9 +163,8 @@ select 0.05e0 as contamination, true as encoders_loaded, true as model_trained,
 """)
 def anomaly_status(spark, folder):
     rows = stored_logs(spark, folder)
-    _, encoders, model = forest.train_anomaly_model(rows)
     path = scratch(spark, "model")
-    tables.save_model(path, encoders, *model)
+    forest.train_if_missing(spark, path, rows)
     encoders, model = tables.load_model(spark, path)
     results = forest.detect_anomalies(rows.select("incident_id"), rows, encoders, model)
     return forest.anomaly_status(results, model[1], encoders)
