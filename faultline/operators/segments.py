@@ -21,38 +21,48 @@ def with_previous(
     rows: DataFrame, keys: list[str], order: list[str], segment: Column, values: list[str], prefix: str = "prev_"
 ) -> DataFrame:
     """Add the values of the preceding row of the same key, null for the first."""
-    cut = rows.withColumn(SEGMENT, segment)
+    return _previous(rows.withColumn(SEGMENT, segment), keys, order, values, prefix).drop(SEGMENT)
+
+
+def _previous(cut: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str) -> DataFrame:
     inside = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
-    tail = F.max_by(F.struct(*values), F.struct(*order))
-    tails = cut.groupBy(*keys, SEGMENT).agg(tail.alias("_tail"))
-    before = F.lag("_tail").over(Window.partitionBy(*keys).orderBy(SEGMENT))
-    tails = tails.withColumn("_before", before).drop("_tail")
+    # one plain order column keeps the summary a hash aggregate
+    newest = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    tails = cut.groupBy(*keys, SEGMENT).agg(*[F.max_by(v, newest).alias(f"_tail_{v}") for v in values])
+    along = Window.partitionBy(*keys).orderBy(SEGMENT)
+    before = [F.lag(f"_tail_{v}").over(along).alias(f"_before_{v}") for v in values]
+    tails = tails.select(*keys, SEGMENT, *before)
     placed = cut.withColumns(
-        {"_own": F.lag(F.struct(*values)).over(inside), "_place": F.row_number().over(inside)}
+        {"_place": F.row_number().over(inside)} | {f"_own_{v}": F.lag(v).over(inside) for v in values}
     )
     joined = placed.join(tails, [*keys, SEGMENT])
-    chosen = F.when(F.col("_place") == 1, F.col("_before")).otherwise(F.col("_own"))
-    joined = joined.withColumn("_prev", chosen)
-    added = {prefix + name: F.col(f"_prev.{name}") for name in values}
-    return joined.withColumns(added).drop(SEGMENT, "_own", "_place", "_before", "_prev")
+    added = {
+        prefix + v: F.when(F.col("_place") == 1, F.col(f"_before_{v}")).otherwise(F.col(f"_own_{v}")) for v in values
+    }
+    spent = [f"_{kind}_{v}" for kind in ("own", "before") for v in values]
+    return joined.withColumns(added).drop("_place", *spent)
 
 
 def running_total(
     rows: DataFrame, keys: list[str], order: list[str], segment: Column, value: Column, name: str
 ) -> DataFrame:
     """Add the cumulative sum up to each row of its key."""
-    cut = rows.withColumns({SEGMENT: segment, "_value": value})
+    return _total(rows.withColumn(SEGMENT, segment), keys, order, value, name).drop(SEGMENT)
+
+
+def _total(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    cut = rows.withColumn("_value", value)
     inside = Window.partitionBy(*keys, SEGMENT).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy(*keys, SEGMENT).agg(F.sum("_value").alias("_sum"))
     shifts = sums.withColumn("_shift", F.sum("_sum").over(before)).drop("_sum")
     joined = cut.withColumn("_inside", F.sum("_value").over(inside)).join(shifts, [*keys, SEGMENT])
-    total = F.col("_inside") + F.coalesce(F.col("_shift"), F.lit(0).cast(rows.select(value).schema[0].dataType))
-    return joined.withColumn(name, total).drop(SEGMENT, "_value", "_inside", "_shift")
+    total = F.col("_inside") + F.coalesce(F.col("_shift"), F.lit(0).cast(cut.schema["_value"].dataType))
+    return joined.withColumn(name, total).drop("_value", "_inside", "_shift")
 
 
 def runs(rows: DataFrame, keys: list[str], order: list[str], segment: Column, state: str) -> DataFrame:
     """Add `run`, the number of the unbroken stretch of equal state that a row belongs to."""
-    marked = with_previous(rows, keys, order, segment, [state], "_was_")
+    marked = _previous(rows.withColumn(SEGMENT, segment), keys, order, [state], "_was_")
     change = (~F.col(f"_was_{state}").eqNullSafe(F.col(state))).cast("bigint")
-    return running_total(marked, keys, order, segment, change, "run").drop(f"_was_{state}")
+    return _total(marked, keys, order, change, "run").drop(SEGMENT, f"_was_{state}")
