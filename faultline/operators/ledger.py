@@ -280,34 +280,45 @@ def settle_transfers(accounts: DataFrame, transfers: DataFrame, blocks: int | No
     and folds the accounts they touch again. A transfer depends on earlier ones only, so every round
     settles at least the next one in time: the fixed point is the exact replay.
     """
-    col = F.col
+    col, number = F.col, F.lit
     valid = validate_transfers(transfers).filter(col("reject_reason").isNull())
     legs = stage(transfer_legs(valid), "legs")
     credits = legs.filter(col("leg") == "credit")
 
-    def fold(offered: DataFrame) -> DataFrame:
+    def fold(offered: DataFrame, turn: int) -> DataFrame:
         results = apply_balance_updates(accounts, offered, blocks)
-        return legs.select("update_id", "request_id", "leg", "account_number").join(
-            results.select("update_id", "applied", "message", "balance_after"), "update_id"
-        )
-
-    def debits(rows: DataFrame) -> DataFrame:
-        return rows.filter(col("leg") == "debit").select("request_id", col("applied").alias("open"))
-
-    outcomes = stage(fold(legs), "outcomes")
-    before = legs.select("request_id").distinct().withColumn("was_open", F.lit(True))
-    while True:
-        now = debits(outcomes)
-        changed = now.join(before, "request_id").filter(col("open") != col("was_open"))
+        named = offered.select("update_id", "request_id", "leg", "account_number")
+        outcomes = named.join(results.select("update_id", "applied", "message", "balance_after"), "update_id")
+        return stage(outcomes.withColumn("turn", number(turn)), "outcomes")
+
+    def debits(outcomes: DataFrame) -> DataFrame:
+        return outcomes.filter(col("leg") == "debit").select("request_id", col("applied").alias("open"))
+
+    outcomes = fold(legs, 0)
+    parts, turns = [outcomes], []
+    changed = stage(debits(outcomes).filter(~col("open")), "changed")
+    refused = changed.select("request_id")
+    while not changed.isEmpty():
+        turn = len(parts)
         touched = stage(credits.join(changed, "request_id").select("account_number").distinct(), "touched")
-        if touched.isEmpty():
-            return outcomes
-        refused = credits.join(now.filter(~col("open")), "request_id", "left_semi").select("update_id")
-        offered = legs.join(touched, "account_number", "left_semi").join(refused, "update_id", "left_anti")
-        before = now.withColumnRenamed("open", "was_open")
-        outcomes = stage(
-            outcomes.join(touched, "account_number", "left_anti").unionByName(fold(offered)), "outcomes"
-        )
+        withheld = credits.join(refused, "request_id", "left_semi").select("update_id")
+        offered = legs.join(touched, "account_number", "left_semi").join(withheld, "update_id", "left_anti")
+        outcomes = fold(offered, turn)
+        parts.append(outcomes)
+        turns.append(touched.withColumn("last", number(turn)))
+        was = refused.withColumn("was_refused", number(True))
+        state = debits(outcomes).join(was, "request_id", "left")
+        moved = col("open") == F.coalesce(col("was_refused"), number(False))
+        changed = stage(state.filter(moved).select("request_id", "open"), "changed")
+        reopened, closed = changed.filter(col("open")), changed.filter(~col("open")).select("request_id")
+        refused = stage(refused.join(reopened, "request_id", "left_anti").union(closed), "refused")
+    if not turns:
+        return outcomes.drop("turn")
+    # an account's outcomes are those of the last round that folded it
+    everything = reduce(DataFrame.unionByName, parts)
+    last = reduce(DataFrame.unionByName, turns).groupBy("account_number").agg(F.max("last").alias("last"))
+    joined = everything.join(last, "account_number", "left")
+    return stage(joined.filter(col("turn") == F.coalesce("last", number(0))).drop("turn", "last"), "settled")
 
 
 def transfer_legs_join(settled: DataFrame) -> DataFrame:
