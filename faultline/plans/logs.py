@@ -6,7 +6,6 @@ from faultline import constants as C
 from faultline.functions import alertfields
 from faultline.functions.labels import contains_text, has_phrase
 from faultline.operators import alerts, ledger, parsing
-from faultline.operators.keyed import read_with_fallback
 from faultline.plans import adapters as A
 from faultline.plans.registry import MAPPINGS, query
 from faultline.session import scratch
