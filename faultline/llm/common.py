@@ -56,7 +56,7 @@ class SharedFile:
         self.fs, root = filesystem(folder)
         self.fs.create_dir(root, recursive=True)
         self.name = f"{stem}-{uuid.uuid4().hex}{suffix}"
-        self.out, self.position = self.fs.open_output_stream(f"{root}/{self.name}"), 0
+        self.out, self.position = self.fs.open_output_stream(f"{root}/{self.name}", compression=None), 0
 
     def write(self, data: bytes) -> int:
         """Append; gives the offset at which the data starts."""

@@ -53,3 +53,35 @@ def op4_token_files(spark, sf_dir):
     folder = scratch(spark, "tokens")
     files = tokenfiles.write(table(spark, sf_dir, "documents"), byte_bpe_path(), folder, END_ID)
     return tokenfiles.read(spark, files, folder)
+
+
+@query
+def op10_kernel_language(spark, sf_dir):
+    """Language of every document."""
+    from faultline.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ordinal_quality(spark, sf_dir):
+    """Expected grade and tail probability of every document, and whether it is kept."""
+    from faultline.llm import quality
+
+    return quality.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_arc_converter(spark, sf_dir):
+    """All pages through ARC and WARC files."""
+    from faultline.llm import arc
+
+    return arc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "archives"))
+
+
+ORACLES["op5_arc_converter"] = """
+select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+  case when strlen(html) >= 1000 and page_id <> newest then 'revisit' else 'response' end as record_type,
+  case when strlen(html) >= 1000 and page_id <> newest then newest end as refers_to
+from (select *, max(page_id) over (partition by coalesce(html, '')) as newest from pages)
+"""
