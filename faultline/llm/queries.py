@@ -85,3 +85,11 @@ select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha
   case when strlen(html) >= 1000 and page_id <> newest then newest end as refers_to
 from (select *, max(page_id) over (partition by coalesce(html, '')) as newest from pages)
 """
+
+
+@query
+def op7_circulant_minhash(spark, sf_dir):
+    """Groups of documents that share at least 80 % of their four-word shingles."""
+    from faultline.llm import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
