@@ -93,3 +93,11 @@ def op7_circulant_minhash(spark, sf_dir):
     from faultline.llm import neardup
 
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+@query
+def op9_simhash_decontamination(spark, sf_dir):
+    """Benchmark passages found in the documents."""
+    from faultline.llm import decontam
+
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
