@@ -101,3 +101,11 @@ def op9_simhash_decontamination(spark, sf_dir):
     from faultline.llm import decontam
 
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_bottom_k(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    from faultline.llm import sketches
+
+    return sketches.compare_with_edits(table(spark, sf_dir, "documents"))
