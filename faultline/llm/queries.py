@@ -109,3 +109,11 @@ def op8_bottom_k(spark, sf_dir):
     from faultline.llm import sketches
 
     return sketches.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_diagonal_licences(spark, sf_dir):
+    """License phrases and texts in every document."""
+    from faultline.llm import licences
+
+    return licences.scan(table(spark, sf_dir, "documents"))
