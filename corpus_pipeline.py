@@ -1,9 +1,57 @@
-"""The corpus pipeline: documents through the stages below, each written as Parquet and read by the next."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read by the next.
 
-STAGES = []
+Documents of unknown language, documents of low grade and documents with a benchmark passage go; of each group of near
+duplicates one stays; the rest is encoded. All but the last stage return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from faultline.llm import decontam, langid, neardup, quality, treebpe
+from faultline.llm.common import stage
+from faultline.llm.queries import byte_bpe_path, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the string kernels know; `und` and uncertain ones go."""
+    return langid.known(docs)
+
+
+def grades(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are good and not toxic by their grade."""
+    return quality.good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 80 % of its five-word shingles."""
+    return neardup.one_of_each(docs, k=5, percent=80)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
+    path = byte_bpe_path()
+    return treebpe.digests(treebpe.decode(treebpe.encode(docs, path), path))
+
+
+STAGES = [
+    ("language", language),
+    ("quality", grades),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_passages),
+    ("tokens", tokens),
+]
+# The fitted models and MinHash are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,6 +39,26 @@ def map_columns(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]
     return df.mapInArrow(run, types)
 
 
+def keep_rows(df: DataFrame, columns: list[str], good: Callable[..., list[bool]]) -> DataFrame:
+    """The rows, whole, for which `good` (given those columns of a batch as lists) says so."""
+    small_batches(df.sparkSession)
+    types = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(good(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in columns)), pa.bool_()))
+
+    return df.mapInArrow(run, types)
+
+
+def without(df: DataFrame, key: str, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Rows whose key is not in `gone`; a null key stays. Up to `most` keys are sent to all tasks, so texts do not
+    travel; more are joined by a shuffle."""
+    gone = stage(gone.select(F.col(key).alias("_gone")).distinct(), "gone")
+    few = gone.limit(most + 1).count() <= most
+    return df.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("_gone"), "left_anti")
+
+
 def filesystem(path: str):
     """(pyarrow file system, path in it) of a folder all executors reach."""
     from pyarrow import fs

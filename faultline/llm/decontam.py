@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import map_columns, small_batches
+from faultline.llm.common import keep_rows, map_columns, small_batches
 from faultline.llm.words import NOT_ALNUM, grams, hashed_words
 
 RADIUS = 5
@@ -177,13 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = LEAS
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = LEAST) -> DataFrame:
     """The rows, whole, in which no item is found."""
     spark = docs.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for index in indexes(benchmark, k, least):
         sent = spark.sparkContext.broadcast(index)
-
-        def work(cols, sent=sent):
-            keep = [not found for found in sent.value.matches(cols["text"])]
-            return {n: [v for v, good in zip(values, keep, strict=True) if good] for n, values in cols.items()}
-
-        docs = map_columns(docs, work, schema)
+        docs = keep_rows(docs, ["text"], lambda texts, sent=sent: [not found for found in sent.value.matches(texts)])
     return docs

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import map_columns
+from faultline.llm.common import keep_rows, map_columns
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -171,3 +171,9 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
         return cols | {"lang_pred": langs, "score": best}
 
     return map_columns(rows, work, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows, whole, whose language is known with a score of at least `least`."""
+    model = model_of(docs.select("doc_id", "text", "lang"))
+    return keep_rows(docs, ["text"], lambda texts: [s >= least and name != UNKNOWN for name, s in zip(*scores(texts, model), strict=True)])

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import map_columns, small_batches, stage
+from faultline.llm.common import map_columns, small_batches, stage, without
 from faultline.llm.components import components
 from faultline.llm.words import BLANKS, hashed_words, mix, shingle_set
 
@@ -211,3 +211,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, whole, of the document with the smallest doc_id of each group; null doc_ids stay."""
+    return without(docs, "doc_id", near_duplicates(docs, k, percent).where("not kept"))

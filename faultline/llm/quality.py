@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import map_columns, small_batches
+from faultline.llm.common import keep_rows, map_columns, small_batches
 
 BUCKETS = 1 << 18
 SAMPLE, STEPS = 6000, 300
@@ -222,6 +222,21 @@ def apply(docs: DataFrame, model, select: int = 2, keep: float = KEEP) -> DataFr
     return map_columns(docs, work, schema + ", expected_grade double, tail_probability double, kept boolean")
 
 
+def good(docs: DataFrame, labels: DataFrame, select: int = 2, keep: float = KEEP) -> DataFrame:
+    """The rows, whole, whose tail probability reaches `keep`."""
+    model = model_of(docs.select("doc_id", "text"), ratings(labels))
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(texts):
+        weights, thresholds = sent.value
+        known = _scores(weights)
+        return (predict(np.array([known.score(t) for t in texts]), thresholds, select)[1] >= keep).tolist()
+
+    return keep_rows(docs, ["text"], work)
+
+
 _KNOWN: list[TokenScores] = []
 
 
