@@ -11,12 +11,24 @@ from faultline.functions.text import blank_to_null_sql, instant, is_blank
 CONTAINER_TYPE = "^(OBJECT|ARRAY)"
 
 
+def accepted(payloads: DataFrame) -> DataFrame:
+    """Documents that are JSON objects; only these become incidents."""
+    return payloads.filter(F.json_object_keys("payload").isNotNull())
+
+
+def rejected(payloads: DataFrame) -> DataFrame:
+    """The other documents, with a reason."""
+    wrong = payloads.filter(F.json_object_keys("payload").isNull())
+    reason = F.when(is_blank(F.col("payload")), "empty document").otherwise("not a JSON object")
+    return wrong.withColumn("reject_reason", reason)
+
+
 def explode_alerts(payloads: DataFrame, mode: str = "first") -> DataFrame:
-    """Parse each document once and choose its alert node.
+    """Parse each accepted document once and choose its alert node.
 
     `first` keeps alerts[0] only; `all` gives one row per alert. With no alerts the payload is the node.
     """
-    parsed = payloads.withColumn("doc", F.from_json("payload", schemas.ALERT_JSON))
+    parsed = accepted(payloads).withColumn("doc", F.from_json("payload", schemas.ALERT_JSON))
     own = F.struct("doc.status", "doc.startsAt", "doc.labels", "doc.annotations")
     has_alerts = F.coalesce(F.size("doc.alerts"), F.lit(0)) > 0
     if mode == "first":
@@ -92,8 +104,16 @@ def _first(sources: list[str], *defaults: str) -> Column:
     return F.expr(f"coalesce({', '.join([*map(_place, sources), *defaults])})")
 
 
+def alert_id(payload_id: Column, index: Column) -> Column:
+    """The document's id for its first alert, a hash of both numbers for the others."""
+    return F.when(index > 0, F.xxhash64(payload_id, index)).otherwise(payload_id)
+
+
 def normalize_alerts(payloads: DataFrame, as_of=None, mode: str = "first") -> DataFrame:
-    """One incident candidate per alert; each field is the first non-blank of its ordered sources."""
+    """One incident candidate per alert; each field is the first non-blank of its ordered sources.
+
+    `alert_id` tells the alerts of one document apart where documents have an id.
+    """
     searched = f"{_place('$.search_name')} is not null"
     col = F.col
     kept = [c for c in payloads.columns if c != "payload"]
@@ -118,6 +138,8 @@ def normalize_alerts(payloads: DataFrame, as_of=None, mode: str = "first") -> Da
         F.coalesce(*[A.alert_datetime(_read(s)) for s in C.ALERT_STARTED], instant(as_of)).alias("created_at"),
         _first(C.ALERT_RAW_LOG).alias("raw_log"),
     )
+    if "payload_id" in payloads.columns:
+        fields = fields.withColumn("alert_id", alert_id(col("payload_id"), col("alert_index")))
     return (
         fields.withColumns(
             {
@@ -140,10 +162,10 @@ def normalize_alerts(payloads: DataFrame, as_of=None, mode: str = "first") -> Da
     )
 
 
-def build_incidents(alerts: DataFrame, id_column: str = "payload_id", repeatable: bool = True) -> DataFrame:
+def build_incidents(alerts: DataFrame, id_column: str = "alert_id", repeatable: bool = True) -> DataFrame:
     """Incident rows waiting for the parser."""
     col = F.col
-    key = F.concat_ws(":", col(id_column).cast("string"), col("alert_index").cast("string")) if repeatable else None
+    key = col(id_column).cast("string") if repeatable else None
     return alerts.select(
         col(id_column).alias("id"),
         "alert_name",
@@ -163,7 +185,7 @@ def build_incidents(alerts: DataFrame, id_column: str = "payload_id", repeatable
     )
 
 
-def parse_requests(alerts: DataFrame, id_column: str = "payload_id") -> DataFrame:
+def parse_requests(alerts: DataFrame, id_column: str = "alert_id") -> DataFrame:
     """What the log parser reads for each alert."""
     return alerts.select(
         F.col(id_column).alias("incident_id"), "raw_log", "service_name",

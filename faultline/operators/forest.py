@@ -16,7 +16,7 @@ from faultline.session import spread, stage
 from faultline.sources.tables import load_model, save_model
 
 DRAWS = 1 << 40
-# A tree's candidates are the rows below a hash bound, this many times its sample on average.
+# A tree draws from the rows below a hash bound, this many times its sample on average.
 SPARE = 4
 EULER = 0.5772156649015329
 # One cell per score interval in the first pass of the exact percentile.
@@ -35,18 +35,25 @@ def path_constant(size):
 def sample_trees(matrix: DataFrame, trees: int, sample: int, seed: int) -> DataFrame:
     """The rows of every tree, chosen by hash so that partitioning does not matter.
 
-    A hash bound keeps a pool that could fill all trees without sharing a row, whatever the number of
-    rows; each tree takes its own smallest hashes of it.
+    Each row draws a number for each tree and goes to the trees whose number lies below a bound; a tree takes its
+    smallest numbers. When a tree falls short the bound is widened and the draw repeated. The way is the same for
+    any number of rows.
     """
     rows = matrix.count()
-    pool = trees * sample
-    kept = matrix if rows <= pool else matrix.filter(_draw("incident_id", F.lit(seed)) < int(DRAWS * pool / rows))
-    every = kept.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    every = every.withColumn("draw", _draw("incident_id", "tree", F.lit(seed + 1)))
-    share = SPARE * sample / min(rows, pool)
-    near = every if share >= 1 else every.filter(F.col("draw") < int(DRAWS * share))
-    order = Window.partitionBy("tree").orderBy("draw", "incident_id")
-    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
+    if not rows:
+        return matrix.limit(0).withColumns({"tree": F.lit(0), "draw": F.lit(0).cast("bigint"), "place": F.lit(0)})
+    share = min(1.0, SPARE * sample / rows)
+    key = F.xxhash64("incident_id", *C.FEATURES)
+    order = Window.partitionBy("tree").orderBy("draw", "incident_id", *C.FEATURES)
+    while True:
+        bound = int(DRAWS * share)
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: _draw(key, tree, F.lit(seed)) < bound)
+        near = matrix.withColumn("tree", F.explode(drawn)).withColumn("draw", _draw(key, F.col("tree"), F.lit(seed)))
+        place = F.row_number().over(order)
+        chosen = stage(near.withColumn("place", place).filter(F.col("place") <= sample), "samples")
+        if share >= 1 or chosen.count() == trees * min(sample, rows):
+            return chosen
+        share = min(1.0, 4 * share)
 
 
 def _draw(*columns) -> Column:
@@ -136,7 +143,8 @@ def raw_scores(matrix: DataFrame, nodes: DataFrame, sample: int) -> DataFrame:
 def exact_quantile(rows: DataFrame, column: str, share: float) -> float | None:
     """Exact percentile with linear interpolation; only counts per score interval reach the driver.
 
-    The interval holding the wanted rank is cut again until it has few distinct values.
+    The interval holding the wanted rank is cut again until it has few distinct values. The limit on distinct values
+    only chooses between two exact ways; no row is left out.
     """
     value = F.col("v")
     scores = stage(rows.select(F.col(column).cast("double").alias("v")).filter("v is not null"), "scores")
@@ -238,9 +246,15 @@ def score_isolation_forest(matrix: DataFrame, nodes: DataFrame, params: DataFram
     ).drop("raw_score")
 
 
+def last_logs(parsed: DataFrame) -> DataFrame:
+    """The last parsed log of each incident."""
+    order = [c for c in ("log_timestamp", "created_at", "id", "raw_log") if c in parsed.columns]
+    return latest_per_key(parsed, ["incident_id"], order)
+
+
 def requested_logs(ids: DataFrame, parsed: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Requested incident ids with the newest parsed log of each; ids without one keep a row."""
-    logs = parsed if order is None else latest_per_key(parsed, ["incident_id"], order)
+    logs = last_logs(parsed) if order is None else latest_per_key(parsed, ["incident_id"], order)
     return ids.select("incident_id").join(logs.withColumn("found", F.lit(True)), "incident_id", "left").withColumn(
         "found", F.coalesce("found", F.lit(False))
     )
@@ -251,10 +265,11 @@ def detect_anomalies(
 ) -> DataFrame:
     """One result per requested id; ids without a log, or without a model, get a default result.
 
-    `found` is false for ids without a log: those are reported but not saved.
+    An incident with several logs is judged by its last. `found` is false for ids without a log: those are reported
+    but not saved; `missing_first` puts them before the others.
     """
     asked = ids.select("incident_id")
-    matrix = build_feature_matrix(parsed.join(asked.distinct(), "incident_id", "left_semi"), encoders)
+    matrix = build_feature_matrix(last_logs(parsed.join(asked.distinct(), "incident_id", "left_semi")), encoders)
     if model is None:
         results = matrix.select(
             "incident_id", F.lit(False).alias("is_anomaly"), F.lit(0.0).alias("anomaly_score"),
@@ -275,6 +290,11 @@ def detect_anomalies(
     )
 
 
+def missing_first(results: DataFrame) -> DataFrame:
+    """Results in the order of an answer: ids without a log first."""
+    return results.orderBy("found", "incident_id")
+
+
 def train_anomaly_model(parsed: DataFrame, **options):
     """(status, encoders, model) fitted on all parsed logs; `failed` without any."""
     if parsed.isEmpty():

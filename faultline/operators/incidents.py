@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline import constants as C
 from faultline.functions import display as D
+from faultline.operators.keyed import latest_per_key
 from faultline.functions.text import (
     EPOCH, blank_to_null, chain, empty_to_null, instant, is_blank, seconds_between, strip, text_or,
 )
@@ -30,9 +31,16 @@ def incidents_with_parsed_logs(incidents: DataFrame, parsed: DataFrame) -> DataF
     return incidents.join(logs, incidents["id"] == logs["_key"], "left").drop("_key")
 
 
+def first_result(results: DataFrame) -> DataFrame:
+    """The first result of each incident in the order of results (newest, then largest id)."""
+    marked = results.withColumn("_no_time", F.col("updated_at").isNull())
+    order = ["_no_time", *[c for c in ("updated_at", "id") if c in results.columns]]
+    return latest_per_key(marked, ["incident_id"], order).drop("_no_time")
+
+
 def incident_anomaly_join(incidents: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """Incidents with the label, tone, score and reason of their anomaly check."""
-    checks = anomalies.select(
+    """Incidents with the label, tone, score and reason of their first anomaly check."""
+    checks = first_result(anomalies).select(
         F.col("incident_id").alias("_key"), "is_anomaly", "anomaly_score",
         F.col("reason").alias("anomaly_reason"), F.col("model_version").alias("anomaly_model"),
         F.col("updated_at").alias("anomaly_updated_at"),
@@ -48,7 +56,9 @@ def incident_anomaly_join(incidents: DataFrame, anomalies: DataFrame) -> DataFra
 
 
 def incident_recommendation_join(incidents: DataFrame, recommendations: DataFrame) -> DataFrame:
-    advice = recommendations.select(
+    """Incidents with their first recommendation."""
+    firsts = first_result(recommendations) if "updated_at" in recommendations.columns else recommendations
+    advice = firsts.select(
         F.col("incident_id").alias("_key"), "similar_incident_id", "similarity_score",
         "recommended_root_cause", "recommended_fix", "evidence", "model_used",
     )
@@ -174,7 +184,7 @@ def queue_bands(incidents: DataFrame, open_is_active: bool = False) -> DataFrame
 # --- orders -----------------------------------------------------------------------------------------------
 
 def incidents_newest_first(incidents: DataFrame) -> DataFrame:
-    return incidents.orderBy(F.col("created_at").desc_nulls_first())
+    return incidents.orderBy(F.col("created_at").desc_nulls_first(), "id")
 
 
 def incidents_ui_order(incidents: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def number_by_bucket(rows: DataFrame, key: str, name: str, width: int = NUMBER_W
     Keys are cut into ranges of `width`; ranges are numbered on their own and shifted by the
     row counts of the ranges before them.
     """
-    cut = rows.withColumn("_range", F.floor(F.col(key) / width))
+    cut = rows.withColumn("_range", F.expr(f"`{key}` div {width}"))
     counts = cut.groupBy("_range").agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
@@ -106,8 +106,16 @@ def union_defaults(rows: DataFrame, column: str, defaults: list[str]) -> DataFra
 
 
 def vector_or(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """All of left, and the series of right whose labels left does not have."""
-    return left.unionByName(right.join(left.select(*on), on, "left_anti"))
+    """All of left, and the series of right whose labels left does not have.
+
+    A vector has one value per label set, so one aggregate picks the left value where there is one and each side
+    is computed once.
+    """
+    if set(left.columns) != {*on, "value"}:
+        return left.unionByName(right.join(left.select(*on), on, "left_anti"))
+    both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
+    first = F.min(F.struct("_side", "value")).alias("_first")
+    return both.groupBy(*on).agg(first).select(*on, F.col("_first.value").alias("value")).select(*left.columns)
 
 
 def vector_divide(left: DataFrame, right: DataFrame, on: list[str], floor: float | None = None) -> DataFrame:

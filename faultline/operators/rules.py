@@ -76,15 +76,28 @@ def service_down_alerts(samples: DataFrame, pending: float = 30.0, segment_secon
     )
 
 
-def no_data_state(samples: DataFrame, jobs: list[str], as_of, lookback: float, no_data: str = "NoData") -> DataFrame:
-    """State of each expected job: NoData without samples in the lookback, Alerting when down, else OK."""
+def no_data_state(
+    samples: DataFrame, jobs: list[str], as_of, lookback: float, no_data: str = "NoData", on_error: str = "Alerting"
+) -> DataFrame:
+    """State of each expected job: NoData without samples in the lookback, Alerting when down, else OK.
+
+    A newest sample without a number is an evaluation error and gives `on_error`.
+    """
     now = instant(as_of)
     age = seconds_between(F.col("ts"), now)
     recent = samples.filter((F.col("metric") == "up") & (age >= 0) & (age < lookback))
-    last = recent.groupBy(F.col("labels")["job"].alias("job")).agg(F.max_by("value", "ts").alias("value"))
+    last = recent.groupBy(F.col("labels")["job"].alias("job")).agg(
+        F.max_by("value", "ts").alias("value"), F.lit(True).alias("seen")
+    )
     names = F.explode(F.array(*[F.lit(job) for job in jobs]))
     expected = samples.sparkSession.range(1).select(names.alias("job"))
-    state = F.when(F.col("value").isNull(), no_data).when(F.col("value") < 1, "Alerting").otherwise("OK")
+    value = F.col("value")
+    state = (
+        F.when(F.col("seen").isNull(), no_data)
+        .when(value.isNull() | F.isnan(value), on_error)
+        .when(value < 1, "Alerting")
+        .otherwise("OK")
+    )
     return expected.join(last, "job", "left").select("job", state.alias("state"))
 
 

@@ -10,6 +10,7 @@ from faultline.operators import keyed
 from faultline.plans import adapters as A
 from faultline.plans.logs import parsed
 from faultline.plans.registry import MAPPINGS, query
+from faultline.session import stage
 from faultline.sources import tables
 
 AS_OF = A.ORDER_AS_OF
@@ -131,7 +132,9 @@ select i.id, case when c.incident_id is null then 'Not checked' when c.is_anomal
 from {incidents} i left join {checks} c on c.incident_id = i.id
 """)
 def incident_anomaly_join(spark, folder):
-    rows = I.incident_anomaly_join(incidents(spark, folder), checks(spark, folder))
+    newest = checks(spark, folder)
+    older = newest.withColumns({"updated_at": F.expr("updated_at - interval '1' day"), "is_anomaly": ~F.col("is_anomaly")})
+    rows = I.incident_anomaly_join(incidents(spark, folder), older.unionByName(newest))
     return rows.select("id", "anomaly_label", "anomaly_tone", "anomaly_score")
 
 
@@ -174,26 +177,38 @@ def exclude_self(spark, folder):
     return keyed.exclude_self(incidents(spark, folder), "id", 77).select("id")
 
 
+def positions(ordered):
+    """The place of each row in an ordered result, seen from its own physical order."""
+    stored = stage(ordered.withColumn("_physical", F.monotonically_increasing_id()), "ordered")
+    # One range of numbers per partition.
+    return keyed.number_by_bucket(stored, "_physical", "position", 1 << 33).drop("_physical")
+
+
+PLACES = {
+    "incidents_newest_first": "row_number() over (order by created_at desc nulls first, id)",
+    "incidents_ui_order": "row_number() over (order by coalesce(created_at, timestamp '1970-01-01') desc, id desc)",
+    "candidates_order": "row_number() over (order by resolved_at desc nulls first, updated_at desc nulls first, id desc)",
+}
 for _name, _order in {
     "incidents_newest_first": I.incidents_newest_first,
     "incidents_ui_order": I.incidents_ui_order,
     "candidates_order": I.candidates_order,
 }.items():
     def _run(spark, folder, order=_order):
-        return order(incidents(spark, folder)).select("id", "created_at", "resolved_at", "updated_at")
+        return positions(order(incidents(spark, folder)).select("id", "created_at", "resolved_at", "updated_at"))
 
-    query("select id, created_at, resolved_at, updated_at from {incidents}", _name)(_run)
+    query(f"select id, created_at, resolved_at, updated_at, {PLACES[_name]} as position from {{incidents}}", _name)(_run)
 
 
-@query("select incident_id as id, log_timestamp as created_at from {parsed}")
+@query("select incident_id as id, log_timestamp as created_at, row_number() over (order by log_timestamp desc nulls first, incident_id desc) as position from {parsed}")
 def parsed_logs_order(spark, folder):
     rows = parsed(spark, folder).select(F.col("incident_id").alias("id"), F.col("log_timestamp").alias("created_at"))
-    return I.parsed_logs_order(rows)
+    return positions(I.parsed_logs_order(rows))
 
 
-@query("select incident_id as id, updated_at from {checks}")
+@query("select incident_id as id, updated_at, row_number() over (order by updated_at desc nulls first, incident_id desc) as position from {checks}")
 def results_order(spark, folder):
-    return I.results_order(checks(spark, folder).select(F.col("incident_id").alias("id"), "updated_at"))
+    return positions(I.results_order(checks(spark, folder).select(F.col("incident_id").alias("id"), "updated_at")))
 
 
 # --- life cycle and keyed tables --------------------------------------------------------------------------

@@ -135,15 +135,18 @@ def read_log_stream(spark, folder):
 @query(f"""
 select ts, level, logger_name, service_name, coalesce(trace_id, 'none') as trace_id, message, exception, context from (
   select ts, level, logger_name, service_name, trace_id, message, exception, 'bank' as context from {{logs}}
-  union all select ts, level, logger_name, service_name, null, message, null, null from {{logs}})
+  union all select ts, level, logger_name, service_name, null, message, exception, null from {{logs}})
 """)
 def unify_log_layouts(spark, folder):
-    events = logs(spark, folder)
-    composite = events.select(
-        "ts", "level", "logger_name", "service_name", "trace_id", "message", "exception", F.lit("bank").alias("context")
-    )
-    encoder = events.select("ts", "level", "logger_name", "service_name", "message")
-    return sources.unify_log_layouts(composite, encoder)
+    """Both layouts as they are written and read back: one has trace id and context, the other stack traces."""
+    events, paths = logs(spark, folder), [scratch(spark, name) for name in ("composite", "encoder")]
+    common = ["ts", "level", "logger_name", "service_name", "message"]
+    composite = events.select(*common, "trace_id", "exception", F.lit("bank").alias("context"))
+    encoder = events.select(*common, F.col("exception").alias("stack_trace"), F.lit("main").alias("thread_name"))
+    sources.to_json_lines(composite).write.text(paths[0])
+    sources.to_json_lines(encoder).write.text(paths[1])
+    both = sources.unify_log_layouts(*[sources.read_json_lines(spark, path) for path in paths])
+    return both.select(*common, "trace_id", "exception", "context")
 
 
 @query(f"""
@@ -192,12 +195,27 @@ def read_with_fallback(spark, folder):
     return keyed.read_with_fallback(rows.filter("incident_id % 2 = 0"), secondary, "incident_id")
 
 
-@query("select payload_id, length(payload) as chars from {payloads}")
-def read_alert_payloads(spark, folder):
+def _arrived(spark, folder):
+    """Documents written as lines and read back; every third is cut off."""
     path = scratch(spark, "payloads")
-    payloads(spark, folder).select("payload_id", "payload").write.partitionBy().json(path)
-    documents = spark.read.schema("payload_id bigint, payload string").json(path)
-    return documents.select("payload_id", F.length("payload").cast("bigint").alias("chars"))
+    texts = payloads(spark, folder).select(F.when(F.col("payload_id") % 3 == 0, F.expr("left(payload, length(payload) - 1)")).otherwise(F.col("payload")).alias("value"))
+    texts.write.text(path)
+    return sources.read_alert_payloads(spark, path)
+
+
+MAPPINGS["arrived"] = "select distinct case when payload_id % 3 = 0 then left(payload, length(payload) - 1) else payload end as payload from {payloads}"
+
+
+@query("select md5(payload) as digest, 1::bigint as ids from {arrived}")
+def read_alert_payloads(spark, folder):
+    rows = _arrived(spark, folder)
+    # A text in two files has an id in each.
+    return rows.groupBy(F.md5("payload").alias("digest")).agg((F.min("payload_id") <= F.max("payload_id")).cast("bigint").alias("ids"))
+
+
+@query("select md5(payload) as digest, 'not a JSON object' as reject_reason from {arrived} where not json_valid(payload)")
+def rejected_alerts(spark, folder):
+    return alerts.rejected(_arrived(spark, folder)).select(F.md5("payload").alias("digest"), "reject_reason").distinct()
 
 
 # --- log filters ------------------------------------------------------------------------------------------
@@ -337,11 +355,17 @@ def build_incidents(spark, folder):
 
 @query("""
 select incident_id, case when trim(raw_log) = '' then 'No details returned'
-  when length(raw_log) > 60 then substr(raw_log, 1, 60) || '...' else raw_log end as summary from {requests}
+  when length(raw_log) > 60 then substr(raw_log, 1, 60) || '...' else raw_log end as summary,
+  case when length(raw_log || raw_log) > 180 then substr(raw_log || raw_log, 1, 180) || '...' else raw_log || raw_log end as long_summary
+from {requests}
 """)
 def summarize_text(spark, folder):
     rows = A.mapped(spark, folder, A.PARSE_REQUESTS, heavy=True)
-    return rows.select("incident_id", alertfields.summarize_text(F.col("raw_log"), 60).alias("summary"))
+    twice = F.concat("raw_log", "raw_log")
+    return rows.select(
+        "incident_id", alertfields.summarize_text(F.col("raw_log"), 60).alias("summary"),
+        alertfields.summarize_text(twice).alias("long_summary"),
+    )
 
 
 @query(f"""

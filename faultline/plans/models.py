@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from faultline import constants as C
+from faultline import schemas
 from faultline.functions import advice
 from faultline.operators import features, forest, incidents, recommend, similarity
 from faultline.plans import adapters as A
@@ -122,17 +123,93 @@ def detect_batch_left_join(spark, folder):
     return rows.select("incident_id", "found", "failure_type")
 
 
-@query()
+@query(f"""
+select cast(tree as int) as tree, least({C.FOREST_SAMPLE}, n) as sample, true as is_binary, true as depth_fits
+from range({C.FOREST_TREES}) as t(tree), (select count(*) as n from {{matrix}})
+""")
 def fit_isolation_forest(spark, folder):
-    nodes, _ = forest.fit_isolation_forest(spread(stage(matrix(spark, folder), "features")))
-    return nodes.groupBy("tree").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
+    """What holds for every tree whatever the random numbers: rows in its leaves, two ways per split, its depth."""
+    rows = spread(stage(matrix(spark, folder), "features"))
+    nodes, _ = forest.fit_isolation_forest(rows)
+    leaf = F.col("feature") < 0
+    limit = F.ceil(F.log2(F.greatest(F.lit(2), F.sum(F.when(leaf, F.col("size"))))))
+    return nodes.groupBy("tree").agg(
+        F.sum(F.when(leaf, F.col("size"))).alias("sample"),
+        (F.count("*") == 2 * F.count_if(leaf) - 1).alias("is_binary"), (F.max("depth") <= limit).alias("depth_fits"),
+    )
+
+
+# A small fixed forest over (status_code, is_error, service_idx, failure_idx, hour_of_day, error_msg_length).
+FIXED_NODES = [
+    # tree, node, feature, threshold, left, right, size, depth
+    (0, 0, 0, 450.0, 1, 2, 64, 0), (0, 1, 4, 11.0, 3, 4, 40, 1), (0, 2, -1, 0.0, -1, -1, 24, 1),
+    (0, 3, -1, 0.0, -1, -1, 2, 2), (0, 4, -1, 0.0, -1, -1, 38, 2),
+    (1, 0, 5, 40.0, 1, 2, 64, 0), (1, 1, -1, 0.0, -1, -1, 1, 1), (1, 2, 1, 0.5, 3, 4, 63, 1),
+    (1, 3, 2, 3.0, 5, 6, 33, 2), (1, 4, -1, 0.0, -1, -1, 30, 2), (1, 5, -1, 0.0, -1, -1, 3, 3), (1, 6, -1, 0.0, -1, -1, 30, 3),
+]
+FIXED_THRESHOLD, FIXED_SAMPLE = -0.5, 64
+MAPPINGS["fixed_nodes"] = "select * from (values " + ", ".join(map(str, FIXED_NODES)) + (
+    ") as n(tree, node, feature, threshold, lo, hi, size, depth)"
+)
+
 
+def _path_constant(size):
+    return f"""case when {size} <= 1 then 0.0e0 when {size} = 2 then 1.0e0
+      else 2 * (ln({size} - 1) + {forest.EULER}) - 2.0e0 * ({size} - 1) / {size} end"""
 
-@query()
+
+@query(f"""
+with recursive walk as (
+  select m.*, n.tree, n.node, n.feature, n.threshold, n.lo, n.hi, n.size, n.depth from {{matrix}} m join {{fixed_nodes}} n on n.node = 0
+  union all
+  select w.* exclude (tree, node, feature, threshold, lo, hi, size, depth), n.tree, n.node, n.feature, n.threshold, n.lo, n.hi, n.size, n.depth
+  from walk w join {{fixed_nodes}} n on n.tree = w.tree and w.feature >= 0 and n.node = case
+    when [status_code, is_error, service_idx, failure_idx, hour_of_day, error_msg_length][cast(w.feature as bigint) + 1] <= w.threshold then w.lo else w.hi end
+), raw as (
+  select incident_id, -pow(2.0e0, -sum(depth + {_path_constant("size")}) / (2 * ({_path_constant(str(FIXED_SAMPLE))}))) as raw_score
+  from walk where feature < 0 group by 1
+)
+select incident_id, round(raw_score - {FIXED_THRESHOLD}, 6) as decision, raw_score - {FIXED_THRESHOLD} < 0 as is_anomaly,
+       round(greatest(0.0e0, least(1.0e0, 0.5e0 - (raw_score - {FIXED_THRESHOLD}))), 6) as anomaly_score
+from raw
+""")
+def score_isolation_forest(spark, folder):
+    """The walk, decision and score of a forest that is known."""
+    nodes = spark.createDataFrame([(C.MODEL_VERSION, *n) for n in FIXED_NODES], schemas.FOREST_NODE)
+    params = spark.createDataFrame(
+        [(C.MODEL_VERSION, C.CONTAMINATION, FIXED_THRESHOLD, 2, FIXED_SAMPLE, C.FOREST_SEED)], schemas.FOREST_PARAMS
+    )
+    scored = forest.score_isolation_forest(matrix(spark, folder), nodes, params)
+    return scored.select(
+        "incident_id", F.round("decision", 6).alias("decision"), "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score")
+    )
+
+
+@query(f"""
+select a.incident_id, p.incident_id is not null as found, true as reason_fits, true as score_fits, true as share_fits,
+       case when p.incident_id is not null then '{C.MODEL_VERSION}' end as model_version
+from {{asked}} a left join {{parsed}} p on p.incident_id = a.incident_id
+""")
 def detect_anomalies(spark, folder):
-    rows = stored_logs(spark, folder)
-    _, encoders, model = forest.train_anomaly_model(rows)
-    return forest.detect_anomalies(asked(spark, folder), rows, encoders, model)
+    """The trained path on logs of which half are repeated: one result per asked id, a reason that fits its flag, a score
+    that fits it too, and no more flags among all logs than the contamination allows."""
+    once = stored_logs(spark, folder)
+    older = once.filter("incident_id % 2 = 0").withColumn("log_timestamp", F.expr("log_timestamp - interval '1' day"))
+    _, encoders, model = forest.train_anomaly_model(once)
+    results = stage(
+        forest.detect_anomalies(asked(spark, folder), once.unionByName(older), encoders, model), "results"
+    )
+    col = F.col
+    every = forest.detect_anomalies(once.select("incident_id"), once, encoders, model)
+    share = every.agg(F.count_if("is_anomaly") <= C.CONTAMINATION * F.count("*")).scalar()
+    reason = F.when(~col("found"), col("reason") == C.REASON_MISSING).otherwise(
+        col("is_anomaly") == (col("reason") != C.REASON_NORMAL)
+    )
+    return results.select(
+        "incident_id", "found", reason.alias("reason_fits"),
+        F.when(col("is_anomaly"), col("anomaly_score") > 0.5).otherwise(col("anomaly_score") <= 0.5).alias("score_fits"),
+        share.alias("share_fits"), "model_version",
+    )
 
 
 @query("""
@@ -231,12 +308,12 @@ def limit_vocabulary(spark, folder):
     return similarity.limit_vocabulary(similarity.term_occurrences(documents, STOP_WORDS))
 
 
-@query("select id, cast(len(words) as bigint) as words, array_to_string(words[1:3], ' ') as head from {doc_words}")
+@query("select id, cast(len(words) as bigint) as words, md5(array_to_string(words, ' ')) as digest from {doc_words}")
 def tokenize(spark, folder):
     rows = doc_incidents(spark, folder)
     words = similarity.remove_stop_words(similarity.tokenize(similarity.incident_text(rows)), STOP_WORDS)
     split = rows.select("id", words.alias("w"))
-    return split.select("id", F.size("w").cast("bigint").alias("words"), F.concat_ws(" ", F.slice("w", 1, 3)).alias("head"))
+    return split.select("id", F.size("w").cast("bigint").alias("words"), F.md5(F.concat_ws(" ", "w")).alias("digest"))
 
 
 @query("select term, round(ln((1 + (select count(*) from {doc_incidents})) / (1 + df)) + 1, 6) as idf, df from {doc_vocabulary}")
@@ -392,16 +469,16 @@ def recommend_root_causes(spark, folder):
 
 
 @query("""
-select i.id as incident_id, length('You are helping an incident analyst. Use the current incident and similar past notes. Return two short sections exactly named ''Root cause:'' and ''Recommended fix:''.'
+select i.id as incident_id, md5('You are helping an incident analyst. Use the current incident and similar past notes. Return two short sections exactly named ''Root cause:'' and ''Recommended fix:''.'
   || chr(10) || chr(10) || 'Current incident:' || chr(10)
   || concat_ws(' ', i.alert_name, i.title, i.description, i.service_name, i.severity, i.source, i.status, i.raw_log, i.notes,
        p.log_level, p.error_message, p.exception_type, cast(p.status_code as string), p.failure_type)
   || chr(10) || chr(10) || 'Similar past incidents:' || chr(10)
   || coalesce('Incident ' || coalesce(b.incident_number, cast(b.id as string)) || ' score='
-      || regexp_replace(printf('%.4f', (b.id % 100) / 100.0e0), '(\\.[0-9]+?)0+$', '\\1') || chr(10) || 'Notes:' || chr(10) || coalesce(b.notes, 'No notes available'), 'No similar incidents found.')) as chars
+      || regexp_replace(printf('%.4f', (b.id % 100) / 100.0e0), '(\\.[0-9]+?)0+$', '\\1') || chr(10) || 'Notes:' || chr(10) || coalesce(b.notes, 'No notes available'), 'No similar incidents found.')) as digest
 from {incidents} i left join {incidents} b on b.id = i.id + 1 left join {parsed} p on p.incident_id = i.id
 """)
 def build_prompt(spark, folder):
     rows, ids, match = advice_inputs(spark, folder)
     texts = recommend.prompts(rows, ids, match)
-    return texts.select("incident_id", F.length("prompt").cast("bigint").alias("chars"))
+    return texts.select("incident_id", F.md5("prompt").alias("digest"))

@@ -4,7 +4,9 @@ LOG_EVENT = (
     "ts timestamp_ntz, level string, log_level string, logger_name string, service_name string, "
     "trace_id string, message string, exception string"
 )
-LOG_JSON = "`@timestamp` timestamp," + LOG_EVENT.split(",", 1)[1]
+# Fields that only one of the two written layouts has.
+LAYOUT_FIELDS = "context string, thread_name string, stack_trace string"
+LOG_JSON = "`@timestamp` timestamp," + LOG_EVENT.split(",", 1)[1] + ", " + LAYOUT_FIELDS
 ALERT_PAYLOAD = "payload_id bigint, payload string, received_at timestamp_ntz"
 PARSE_REQUEST = (
     "incident_id bigint, raw_log string, service_name string, timestamp timestamp_ntz, trace_id string, "

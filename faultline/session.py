@@ -1,5 +1,6 @@
 """Session settings and the shared scratch folder."""
 
+import re
 import tempfile
 import uuid
 
@@ -25,21 +26,42 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir` where the cluster names one.
+    """The folder every executor can reach: `spark.checkpoint.dir`, which the cluster names.
 
-    Only a session that names none, as in tests, gets a folder of its own.
+    Only a local session may leave it unset, as tests do, and gets a folder of its own. On a cluster a folder of
+    one machine would lose what the others write, so the setting is required there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="run-")
+    return _OWN[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for one run's output inside the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one run's output inside the shared folder; `drop_staged` removes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Remove what this application has staged so far; call it when the results that read it are written."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

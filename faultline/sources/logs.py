@@ -46,9 +46,14 @@ def to_json_lines(logs: DataFrame) -> DataFrame:
 
 
 def read_alert_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """One JSON document per line, as text."""
+    """One JSON document per line as text, with a `payload_id` made of file and text, the same on every read.
+
+    A document that stands twice in a file is the same document.
+    """
     reader = spark.readStream if stream else spark.read
-    return reader.text(path).withColumnRenamed("value", "payload")
+    return reader.text(path).select(
+        F.xxhash64("_metadata.file_path", "value").alias("payload_id"), F.col("value").alias("payload")
+    )
 
 
 def read_metric_samples(spark: SparkSession, path: str, stream: bool = False, format: str = "parquet") -> DataFrame:
@@ -57,8 +62,14 @@ def read_metric_samples(spark: SparkSession, path: str, stream: bool = False, fo
 
 
 def unify_log_layouts(composite: DataFrame, encoder: DataFrame) -> DataFrame:
-    """Both event layouts in one; absent columns are null, a missing trace id is `none`."""
+    """Both event layouts in one; absent columns are null, a missing trace id is `none`.
+
+    The encoder's layout writes exception text as `stack_trace`.
+    """
     both = composite.unionByName(encoder, allowMissingColumns=True)
+    if "stack_trace" in both.columns:
+        own = [F.col("exception")] if "exception" in both.columns else []
+        both = both.withColumn("exception", F.coalesce(*own, "stack_trace")).drop("stack_trace")
     return both.withColumn("trace_id", F.coalesce("trace_id", F.lit(NO_TRACE)))
 
 
@@ -84,14 +95,17 @@ def write_daily_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_daily_logs(spark: SparkSession, path: str, day_from: str, day_to: str) -> DataFrame:
-    """Events of a range of days; only those partitions are listed and read."""
+    """Events of a range of days; only those partitions are read."""
     logs = spark.read.option("recursiveFileLookup", "false").parquet(path)
     return logs.filter(F.col("event_day").cast("string").between(day_from, day_to))
 
 
-def fan_out_logs(batch: DataFrame, table_path: str, lines_path: str) -> None:
-    """Write one batch to the daily table and to a JSON-lines sink."""
+def fan_out_logs(batch: DataFrame, table_path: str, lines_path: str, number: int = 0) -> None:
+    """Write one batch to the daily table and to a JSON-lines sink.
+
+    The batch number is a folder of both, so a batch that runs again replaces itself.
+    """
     kept = batch.persist()
-    write_daily_logs(kept, table_path)
-    to_json_lines(kept).write.mode("append").text(lines_path)
+    write_daily_logs(kept, f"{table_path}/batch={number}", "overwrite")
+    to_json_lines(kept).write.mode("overwrite").text(f"{lines_path}/batch={number}")
     kept.unpersist()

@@ -33,20 +33,31 @@ def write_version(df: DataFrame, path: str, partition_by: list[str] = []) -> str
     """
     version = uuid.uuid4().hex
     df.write.partitionBy(*partition_by).parquet(f"{path}/{version}")
-    one = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
+    return _point(df.sparkSession, path, version)
+
+
+def _point(spark: SparkSession, path: str, version: str) -> str:
+    """Make a written version the current one: the pointer with the highest number wins, whatever the clocks say."""
+    number = (_newest(spark, path) or (0, None))[0] + 1
+    one = spark.range(1).select(F.lit(version).alias("version"), F.lit(number).cast("bigint").alias("number"))
     one.coalesce(1).write.mode("append").parquet(f"{path}/{POINTER}")
     return version
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
+def _newest(spark: SparkSession, path: str) -> tuple[int, str] | None:
     try:
-        pointers = spark.read.parquet(f"{path}/{POINTER}")
+        pointers = spark.read.schema("version string, number bigint").parquet(f"{path}/{POINTER}")
+        row = pointers.agg(F.max("number").alias("number"), F.max_by("version", "number").alias("version")).first()
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
-    row = pointers.agg(F.max_by("version", "at").alias("version")).first()
-    return row["version"]
+    return (row["number"], row["version"])
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    found = _newest(spark, path)
+    return found and found[1]
 
 
 def read_version(spark: SparkSession, path: str, version: str | None = None) -> DataFrame | None:
@@ -55,17 +66,21 @@ def read_version(spark: SparkSession, path: str, version: str | None = None) ->
     return None if version is None else spark.read.parquet(f"{path}/{version}")
 
 
-def save_model(path: str, encoders: DataFrame, nodes: DataFrame, params: DataFrame) -> None:
+def save_model(path: str, encoders: DataFrame, nodes: DataFrame, params: DataFrame) -> str:
+    """Write all parts of a model under one version, then switch one pointer, so no reader mixes two models."""
+    version = uuid.uuid4().hex
     for name, table in (("encoders", encoders), ("nodes", nodes), ("params", params)):
-        write_version(table, f"{path}/{name}")
+        table.write.parquet(f"{path}/{version}/{name}")
+    return _point(encoders.sparkSession, path, version)
 
 
 def load_model(spark: SparkSession, path: str):
-    """(encoders, (nodes, params)); a part that is not stored is None."""
-    encoders, nodes, params = (
-        read_version(spark, f"{path}/{name}") for name in ("encoders", "nodes", "params")
-    )
-    return encoders, None if nodes is None or params is None else (nodes, params)
+    """(encoders, (nodes, params)) of the newest model; (None, None) when none is stored."""
+    version = current_version(spark, path)
+    if version is None:
+        return None, None
+    encoders, nodes, params = (spark.read.parquet(f"{path}/{version}/{name}") for name in ("encoders", "nodes", "params"))
+    return encoders, (nodes, params)
 
 
 def empty_table(spark: SparkSession, schema: str) -> DataFrame:

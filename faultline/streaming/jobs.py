@@ -45,7 +45,9 @@ def for_each_batch(
 def ingest_logs(stream: DataFrame, table_path: str, lines_path: str, progress: str, as_of=None) -> StreamingQuery:
     """Normalise levels, stamp arrival and write each batch to the daily table and the JSON-lines sink."""
     enriched = sources.add_ingested_at(sources.upper_log_level(stream), as_of)
-    return for_each_batch(enriched, lambda batch, _: sources.fan_out_logs(batch, table_path, lines_path), progress)
+    return for_each_batch(
+        enriched, lambda batch, number: sources.fan_out_logs(batch, table_path, lines_path, number), progress
+    )
 
 
 def upsert_stream(
@@ -112,7 +114,7 @@ def alerts_to_incidents(
         marked = alerts.apply_parse_outcome(alerts.build_incidents(rows), parsed, as_of)
         written = {"incidents": marked, "parsed_logs": parsed}
         if encoders is not None:
-            results = forest.detect_anomalies(rows.select(F.col("payload_id").alias("incident_id")), parsed, encoders, model)
+            results = forest.detect_anomalies(rows.select(F.col("alert_id").alias("incident_id")), parsed, encoders, model)
             written["anomaly_results"] = results.filter("found").drop("found")
         for name, table in written.items():
             table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")

@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import duckdb  # noqa: E402
 import pandas as pd  # noqa: E402
 
+from faultline.session import drop_staged  # noqa: E402
 from tests.session import local_session  # noqa: E402
 
 TABLES = (
@@ -61,6 +62,7 @@ def compare(spark, connection, folder, name, run, sql) -> str:
     df = run(spark, folder)
     got = df.toArrow()
     took = time.time() - start
+    drop_staged(spark)
     if sql is None:
         return f"rows-only {got.num_rows} rows {took:.1f}s" if got.num_rows else "EMPTY"
     start = time.time()

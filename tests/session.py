@@ -1,6 +1,7 @@
 """Local session for tests and checks."""
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,7 @@ def local_session(cores: str | int = "8", memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
