@@ -68,10 +68,15 @@ def incident_recommendation_join(incidents: DataFrame, recommendations: DataFram
 
 # --- filters ----------------------------------------------------------------------------------------------
 
+def signal_of(incidents: DataFrame) -> Column:
+    """Whether any of the fields that similarity reads has text."""
+    nested = [F.col(f"parsed_log.{name}") for name in PARSED_SIGNALS] if "parsed_log" in incidents.columns else []
+    return ~is_blank(F.concat_ws("", *[F.col(c) for c in SIGNALS], *nested))
+
+
 def has_signal(incidents: DataFrame) -> DataFrame:
     """Keep incidents with text in any of the fields that similarity reads."""
-    nested = [F.col(f"parsed_log.{name}") for name in PARSED_SIGNALS] if "parsed_log" in incidents.columns else []
-    return incidents.filter(~is_blank(F.concat_ws("", *[F.col(c) for c in SIGNALS], *nested)))
+    return incidents.filter(signal_of(incidents))
 
 
 def filter_parser_status(incidents: DataFrame, status: str = "ALL") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from faultline import constants as C
 from faultline.functions.text import empty_to_null
-from faultline.operators.incidents import candidate_order, has_signal
+from faultline.operators.incidents import candidate_order, has_signal, signal_of
 from faultline.session import spread, stage
 
 QUERY_BLOCK = 2048
@@ -252,9 +252,12 @@ def find_similar_incidents(
     keyed = signatures(incidents)
     pool = has_signal(keyed)
     asked = keyed.join(ids.select(F.col("incident_id").alias("id")), "id", "left_semi")
-    distinct = spread(stage(distinct_signatures(pool), "signatures"))
-    documents = stage(fit_vectors(distinct, vocabulary_size, stop_words).drop("text"), "vectors")
-    wanted = documents.join(asked.select("signature").distinct(), "signature", "left_semi")
+    # Requested incidents are compared whatever fields they have; candidates need a signal.
+    fitted = pool.unionByName(asked.filter(~signal_of(asked)))
+    distinct = spread(stage(distinct_signatures(fitted), "signatures"))
+    every = stage(fit_vectors(distinct, vocabulary_size, stop_words).drop("text"), "vectors")
+    wanted = every.join(asked.select("signature").distinct(), "signature", "left_semi")
+    documents = every.join(pool.select("signature").distinct(), "signature", "left_semi")
     matches = stage(cosine_matches(wanted, documents, k + 1, vocabulary_size), "matches")
     best = Window.partitionBy("query_signature").orderBy(F.col("score").desc(), F.col("place").desc())
     matches = matches.join(documents.select("signature", "place"), "signature")

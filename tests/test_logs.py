@@ -153,7 +153,8 @@ def test_search_alert_and_odd_values(spark):
     assert rows[2].status_code == 503 and rows[2].error_message == "PlatformIncident detected"
     assert rows[2].raw_log == '{"text": "kept"}' and rows[2].severity == "true"
     assert rows[3].status_code is None and rows[3].created_at == datetime(2026, 7, 12, 10, 15)
-    assert rows[4].alert_name == "PlatformIncident"
+    # A document that is no JSON object is rejected, not turned into an incident.
+    assert len(rows) == 4
 
 
 def test_small_alert_rules(spark):
@@ -172,3 +173,13 @@ def test_phrases_are_whole_tokens(spark):
     assert not hit("java.lang.Exception x", "Exception")
     assert hit("Connection refused while", "Connection refused") and not hit("Connection was refused", "Connection refused")
     assert not hit("PAYMENT_TIMEOUTS", "PAYMENT_TIMEOUT")
+
+
+def test_each_alert_of_a_document_is_one_incident(spark):
+    text = '{"alerts": [{"labels": {"alertname": "A"}}, {"labels": {"alertname": "B"}}]}'
+    df = spark.createDataFrame([(7, text), (8, "{broken"), (9, None), (10, "[1]")], "payload_id long, payload string")
+    rows = alerts.normalize_alerts(df, "2026-01-01 00:00:00", mode="all")
+    incidents = alerts.build_incidents(rows)
+    done = alerts.apply_parse_outcome(incidents, parsing.parse_logs(alerts.parse_requests(rows)), "2026-01-01 00:00:00").collect()
+    assert sorted(r.alert_name for r in done) == ["A", "B"] and len({r.id for r in done}) == 2 and min(r.id for r in done if r.alert_name == "A") == 7
+    assert {r.payload_id: r.reject_reason for r in alerts.rejected(df).collect()} == {8: "not a JSON object", 9: "empty document", 10: "not a JSON object"}

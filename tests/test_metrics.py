@@ -126,3 +126,31 @@ def test_state_changes_as_stream_in_steps(spark):
         query.awaitTermination()
     found = sorted((int((r.changed_at - START).total_seconds() / 60), r.state) for r in spark.read.parquet(out).collect())
     assert found == [(1, "active"), (4, "inactive"), (9, "active"), (10, "inactive"), (600, "active")]
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    table, lines = str(tmp_path / "table"), str(tmp_path / "lines")
+    logs = spark.createDataFrame([(START, "INFO", "m")], "ts timestamp_ntz, level string, message string")
+    for number in (0, 0, 1):
+        sources.fan_out_logs(logs, table, lines, number)
+    assert sources.read_daily_logs(spark, table, "2026.01.01", "2026.01.01").count() == 2
+    assert sources.read_json_lines(spark, lines).count() == 2
+
+
+def test_a_sample_without_a_number_is_an_error(spark):
+    rows = [(START, "up", {"job": job}, value) for job, value in (("a", None), ("b", float("nan")), ("c", 1.0), ("d", 0.0))]
+    df = spark.createDataFrame(rows, schemas.METRIC_SAMPLE)
+    states = {r.job: r.state for r in rules.no_data_state(df, [*"abcde"], START, 600.0).collect()}
+    assert states == {"a": "Alerting", "b": "Alerting", "c": "OK", "d": "Alerting", "e": "NoData"}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from faultline.session import drop_staged, shared_folder, stage
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", applicationId="app")
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(away)
+    assert stage(spark.range(3), "three").count() == 3 and drop_staged(spark) > 0 and drop_staged(spark) == 0

@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -100,6 +101,10 @@ def test_exact_quantile(spark, values, monkeypatch):
         assert math.isclose(forest.exact_quantile(df, "v", share), float(np.quantile(values, share)), abs_tol=1e-12)
 
 
+def day(n):
+    return datetime(2026, 1, n)
+
+
 # --- similarity -------------------------------------------------------------------------------------------
 
 COLUMNS = (
@@ -192,3 +197,42 @@ def test_recommendation_without_matches(spark):
     rows = recommend.recommend_root_causes(df, df.select(F.col("id").alias("incident_id")), stop_words=[]).collect()
     assert rows[0].similarity_score == 0 and rows[0].similar_incident_id is None and rows[0].similar_incidents == []
     assert rows[0].recommended_root_cause == C.CAUSE_PAYMENT and C.NO_MATCH_LINE in rows[0].evidence
+
+
+def test_an_incident_without_signal_fields_is_answered_but_no_candidate(spark):
+    blank = [None] * 13
+    rows = [(i, "A", None, None, None, "s", None, "OPEN", None, "x", None, None, None) for i in (1, 2)]
+    rows.append(tuple(v if i else 3 for i, v in enumerate([*blank[:2], "x only a title", *blank[3:]])))
+    found = similarity.find_similar_incidents(
+        spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([(1,), (3,)], "incident_id long"), k=5, stop_words=[]
+    ).collect()
+    assert sorted((r.query_id, r.incident_id) for r in found) == [(1, 2), (3, 1), (3, 2)]
+
+
+def test_repeated_logs_give_one_result(spark):
+    logs = [(1, "s", "ERROR", "m", None, 500, "t", "F", day(n), "r") for n in (1, 3, 2)] + [(2, "s", "INFO", "m", None, 200, "t", "F", day(1), "r")]
+    parsed = spark.createDataFrame(logs, (
+        "incident_id long, service_name string, log_level string, error_message string, exception_type string, "
+        "status_code int, trace_id string, failure_type string, log_timestamp timestamp_ntz, raw_log string"))
+    ids = spark.createDataFrame([(1,), (2,), (9,)], "incident_id long")
+    results = forest.detect_anomalies(ids, parsed, features.fit_encoders(parsed), None)
+    assert [(r.incident_id, r.found) for r in forest.missing_first(results).collect()] == [(9, False), (1, True), (2, True)]
+    assert forest.last_logs(parsed).filter("incident_id = 1").first().log_timestamp == day(3)
+
+
+def test_sampling_is_one_way_for_any_number_of_rows(spark):
+    names = ", ".join(f"{c} float" for c in C.FEATURES)
+    for rows in (3, 300, 40_000):
+        matrix = spark.range(rows).selectExpr("id % 97 as incident_id", *[f"cast(id % {p} as float) as {c}" for p, c in zip((5, 2, 7, 11, 24, 300), C.FEATURES)])
+        chosen = forest.sample_trees(matrix, 10, 256, 1)
+        assert {r["count"] for r in chosen.groupBy("tree").count().collect()} == {min(256, rows)}
+    assert forest.sample_trees(spark.createDataFrame([], "incident_id long, " + names), 10, 256, 1).count() == 0
+
+
+def test_a_model_is_one_version(spark, tmp_path):
+    path = str(tmp_path / "model")
+    assert tables.load_model(spark, path) == (None, None)
+    for n in (1, 2):
+        tables.save_model(path, *[spark.range(n).withColumnRenamed("id", name) for name in ("e", "n", "p")])
+    encoders, (nodes, params) = tables.load_model(spark, path)
+    assert (encoders.count(), nodes.count(), params.count()) == (2, 2, 2)
