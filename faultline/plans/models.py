@@ -158,9 +158,11 @@ def _path_constant(size):
       else 2 * (ln({size} - 1) + {forest.EULER}) - 2.0e0 * ({size} - 1) / {size} end"""
 
 
-@query(f"""
+def _scores(matrix):
+    """Decision and score of the fixed forest for the rows of a feature matrix, in SQL."""
+    return f"""
 with recursive walk as (
-  select m.*, n.tree, n.node, n.feature, n.threshold, n.lo, n.hi, n.size, n.depth from {{matrix}} m join {{fixed_nodes}} n on n.node = 0
+  select m.*, n.tree, n.node, n.feature, n.threshold, n.lo, n.hi, n.size, n.depth from {{{matrix}}} m join {{fixed_nodes}} n on n.node = 0
   union all
   select w.* exclude (tree, node, feature, threshold, lo, hi, size, depth), n.tree, n.node, n.feature, n.threshold, n.lo, n.hi, n.size, n.depth
   from walk w join {{fixed_nodes}} n on n.tree = w.tree and w.feature >= 0 and n.node = case
@@ -172,14 +174,24 @@ with recursive walk as (
 select incident_id, round(raw_score - {FIXED_THRESHOLD}, 6) as decision, raw_score - {FIXED_THRESHOLD} < 0 as is_anomaly,
        round(greatest(0.0e0, least(1.0e0, 0.5e0 - (raw_score - {FIXED_THRESHOLD}))), 6) as anomaly_score
 from raw
-""")
-def score_isolation_forest(spark, folder):
-    """The walk, decision and score of a forest that is known."""
+"""
+
+
+MAPPINGS["fixed_scores"] = _scores("matrix")
+
+
+def fixed_model(spark):
     nodes = spark.createDataFrame([(C.MODEL_VERSION, *n) for n in FIXED_NODES], schemas.FOREST_NODE)
     params = spark.createDataFrame(
         [(C.MODEL_VERSION, C.CONTAMINATION, FIXED_THRESHOLD, 2, FIXED_SAMPLE, C.FOREST_SEED)], schemas.FOREST_PARAMS
     )
-    scored = forest.score_isolation_forest(matrix(spark, folder), nodes, params)
+    return nodes, params
+
+
+@query("select * from {fixed_scores}")
+def score_isolation_forest(spark, folder):
+    """The walk, decision and score of a forest that is known."""
+    scored = forest.score_isolation_forest(matrix(spark, folder), *fixed_model(spark))
     return scored.select(
         "incident_id", F.round("decision", 6).alias("decision"), "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score")
     )

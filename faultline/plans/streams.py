@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from faultline import constants as C
-from faultline.operators import alerts, parsing, rules
+from faultline.operators import alerts, features, forest, parsing, rules
 from faultline.plans import adapters as A
 from faultline.plans import metrics as M
+from faultline.plans import models as M2
 from faultline.plans.logs import LOG_COLUMNS, logs
-from faultline.plans.registry import query
-from faultline.session import scratch
+from faultline.plans.registry import MAPPINGS, query
+from faultline.session import scratch, stage
 from faultline.sources import logs as sources
 from faultline.sources import tables
 from faultline.streaming import jobs, stateful
@@ -123,17 +124,63 @@ def stream_ingest_logs(spark, folder):
     )
 
 
-@query("""
-select n.payload_id as id, n.alert_name, p.failure_type, p.status_code, coalesce(nullif(p.trace_id, ''), n.trace_id) as trace_id
-from {normalized} n join {alert_parsed} p on p.incident_id = n.payload_id
-""")
+MAPPINGS["alert_encoders"] = MAPPINGS["encoders"].replace("{parsed}", "{alert_parsed}")
+MAPPINGS["alert_matrix"] = MAPPINGS["matrix"].replace("{parsed}", "{alert_parsed}").replace("{encoders}", "{alert_encoders}")
+MAPPINGS["alert_scores"] = MAPPINGS["fixed_scores"].replace("{matrix}", "{alert_matrix}")
+ALERT_RESULTS = f"""
+select n.payload_id as id, n.alert_name, p.failure_type, p.status_code, coalesce(nullif(p.trace_id, ''), n.trace_id) as trace_id,
+       s.is_anomaly, s.anomaly_score, case when not s.is_anomaly then '{C.REASON_NORMAL}'
+         when m.is_error = 0 and m.status_code < 500 and m.error_msg_length <= {C.LONG_MESSAGE} then '{C.REASON_STATISTICAL}'
+         else '{C.REASON_PREFIX}' || concat_ws(', ', case when m.is_error = 1 then '{C.REASON_LEVEL}' end,
+           case when m.status_code >= 500 then '{C.REASON_STATUS}' || cast(cast(m.status_code as int) as string) end,
+           case when m.error_msg_length > {C.LONG_MESSAGE} then '{C.REASON_LENGTH}' end) end as reason
+from {{normalized}} n join {{alert_parsed}} p on p.incident_id = n.payload_id
+join {{alert_matrix}} m on m.incident_id = n.payload_id join {{alert_scores}} s on s.incident_id = n.payload_id
+"""
+RESULT_COLUMNS = ["is_anomaly", "round(anomaly_score, 6) as anomaly_score", "reason"]
+
+
+def _alert_logs(spark, folder):
+    documents = A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True)
+    rows = stage(alerts.normalize_alerts(documents, A.EVENT_AS_OF), "alerts")
+    return rows, stage(parsing.parse_logs(alerts.parse_requests(rows)), "parsed-logs")
+
+
+@query(ALERT_RESULTS)
+def alerts_to_results(spark, folder):
+    """Alert documents to incidents, parsed logs and, last, anomaly results of a known forest."""
+    rows, parsed = _alert_logs(spark, folder)
+    encoders = stage(features.fit_encoders(parsed), "encoders")
+    marked = alerts.apply_parse_outcome(alerts.build_incidents(rows), parsed, A.EVENT_AS_OF)
+    results = forest.detect_anomalies(marked.select(F.col("id").alias("incident_id")), parsed, encoders, M2.fixed_model(spark))
+    logs_of = parsed.select(F.col("incident_id").alias("id"), "failure_type", "status_code")
+    return marked.select("id", "alert_name", "trace_id").join(logs_of, "id").join(
+        results.filter("found").selectExpr("incident_id as id", *RESULT_COLUMNS), "id")
+
+
+@query(ALERT_RESULTS)
 def stream_alerts_to_incidents(spark, folder):
     target, progress = scratch(spark, "incident-tables"), scratch(spark, "progress")
-    stream = as_stream(A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True), "payloads", files=2)
-    jobs.alerts_to_incidents(stream, target, progress, as_of=A.EVENT_AS_OF).awaitTermination()
+    _, known = _alert_logs(spark, folder)
+    encoders = stage(features.fit_encoders(known), "encoders")
+    stream = as_stream(A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True), "payloads", files=4)
+    jobs.alerts_to_incidents(stream, target, progress, encoders, M2.fixed_model(spark), A.EVENT_AS_OF).awaitTermination()
     marked = jobs.stored_batches(spark, target, "incidents").select("id", "alert_name", "trace_id")
-    parsed = jobs.stored_batches(spark, target, "parsed_logs")
-    return marked.join(parsed.select(F.col("incident_id").alias("id"), "failure_type", "status_code"), "id")
+    parsed = jobs.stored_batches(spark, target, "parsed_logs").select(F.col("incident_id").alias("id"), "failure_type", "status_code")
+    results = jobs.stored_batches(spark, target, "anomaly_results").selectExpr("incident_id as id", *RESULT_COLUMNS)
+    return marked.join(parsed, "id").join(results, "id")
+
+
+@query("""
+select s.incident_id, s.decision, s.is_anomaly, s.anomaly_score from {fixed_scores} s
+""")
+def stream_scores(spark, folder):
+    """Arriving parsed logs scored by a stored forest, in several triggers."""
+    rows = M2.stored_logs(spark, folder)
+    encoders = stage(features.fit_encoders(rows), "encoders")
+    scored = jobs.score_stream(as_stream(rows, "parsed", files=4), encoders, M2.fixed_model(spark))
+    return jobs.run_available(scored, "scores").select(
+        "incident_id", F.round("decision", 6).alias("decision"), "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score"))
 
 
 @query("""
