@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from faultline.llm.common import scratch
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 END_ID = 2
+UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def query(run):
@@ -95,6 +97,27 @@ def op7_circulant_minhash(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+# All pairs that share a shingle; only for small tables.
+ORACLES["op7_circulant_minhash"] = rf"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ \t\n\v\f\r]+') as w from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) >= 4 then [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from worded
+), shingles as (select doc_id, len(s) as n, unnest(s) as x from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id, doc_id as other from documents
+  union
+  select r.doc_id, l.b from reach r join links l on l.a = r.other
+), found as (select doc_id, min(other) as component_id from reach group by 1)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, f.component_id, s.doc_id = f.component_id as kept
+from sets s join found f on f.doc_id = s.doc_id
+"""
+
+
 @query
 def op9_simhash_decontamination(spark, sf_dir):
     """Benchmark passages found in the documents."""
