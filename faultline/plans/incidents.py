@@ -104,12 +104,14 @@ def itsm_queue(spark, folder):
 @query("""
 select id, case severity when 'critical' then 2 when 'error' then 2 when 'warning' then 1 end as severity_rank,
        case status when 'OPEN' then 2 when 'ACKNOWLEDGED' then 1 when 'RESOLVED' then 0 end as state_rank,
+       case status when 'ACKNOWLEDGED' then 1 when 'RESOLVED' then 0 end as plain_rank,
        case when resolved_at is null then null when date_diff('second', created_at, resolved_at) >= 45 * 60 then 'red'
             when date_diff('second', created_at, resolved_at) >= 15 * 60 then 'yellow' else 'green' end as mttr_band
 from {incidents}
 """)
 def queue_bands(spark, folder):
-    return I.queue_bands(incidents(spark, folder), open_is_active=True)
+    plain = I.queue_bands(incidents(spark, folder)).select("id", F.col("state_rank").alias("plain_rank"))
+    return I.queue_bands(incidents(spark, folder), open_is_active=True).join(plain, "id")
 
 
 # --- joins, filters, orders -------------------------------------------------------------------------------

@@ -97,9 +97,11 @@ def availability(spark, folder):
     return metrics.availability(samples(spark, folder, "up"))
 
 
-@query("select job, arg_max(value, ts) as value from {m_process_cpu_usage} group by 1")
+@query("select job, arg_max(value, ts) filter (where cast(epoch(ts) as bigint) % 2 = 0) as value from {m_process_cpu_usage} group by 1")
 def last_not_null(spark, folder):
+    """Samples of odd seconds have no value."""
     rows = samples(spark, folder, "process_cpu_usage")
+    rows = rows.withColumn("value", F.when(F.unix_seconds(F.col("ts").cast("timestamp")) % 2 == 0, F.col("value")))
     return metrics.last_not_null(rows, [F.col("labels")["job"].alias("job")])
 
 
