@@ -29,38 +29,92 @@ def _sorted(rows, column: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(column, kind="stable")
 
 
-class Growth(StatefulProcessor):
-    """Growth of each counter sample over the one before it."""
+class Increase(StatefulProcessor):
+    """Growth of one series over the last steps at every step, from closed steps.
+
+    A step arrives when the watermark has passed its end, so late samples are in it. State is the summaries of the
+    steps that an evaluation can still reach; a timer at each evaluation time gives its result.
+    """
+
+    COLUMNS = ["series", "at", "value"]
+
+    def __init__(self, step: float, spans: int):
+        self.step, self.spans = step, spans
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.steps = handle.getMapState("steps", "step bigint", "n bigint, growth double, joint double")
         self.last = handle.getValueState("last", "value double")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _sorted(rows, "ts")
+        batch = _sorted(rows, "step")
         before = self.last.get()[0] if self.last.exists() else None
-        grown = []
-        for value in batch["value"]:
-            grown.append(0.0 if before is None else value if value < before else value - before)
-            before = value
+        for step, n, first, final, growth in zip(batch["step"], batch["n"], batch["first"], batch["final"], batch["growth"]):
+            joint = 0.0 if before is None else first if first < before else first - before
+            self.steps.updateValue((int(step),), (int(n), float(growth), float(joint)))
+            before = float(final)
+            for at in range(int(step), int(step) + self.spans):
+                self.handle.registerTimer(int(at * self.step * 1000))
         self.last.update((before,))
-        yield pd.DataFrame({"ts": batch["ts"], "job": batch["job"], "growth": grown})
+        yield pd.DataFrame([], columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = round(expiredTimerInfo.getExpiryTimeInMs() / 1000.0 / self.step)
+        kept = sorted((step, *value) for (step,), value in self.steps.iterator())
+        inside = [row for row in kept if at - self.spans < row[0] <= at]
+        found = []
+        if sum(row[1] for row in inside) >= 2:
+            value = sum(growth + joint for _, _, growth, joint in inside) - inside[0][3]
+            found = [(key[0], at, value)] if value > 0 else []
+        for row in kept:
+            # The next evaluation starts one step later.
+            if row[0] <= at - self.spans + 1:
+                self.steps.removeKey((row[0],))
+        yield pd.DataFrame(found, columns=self.COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def blocked_payment_alerts(samples: DataFrame, length: str = "2 minutes", lateness: str = LATENESS) -> DataFrame:
-    """Windows in which the 400 responses of the payment service grew."""
+def counter_steps(samples: DataFrame, step: float, lateness: str) -> DataFrame:
+    """One row per series and closed step (left-open, right-closed), whatever the order of arrival.
+
+    Only the samples of one step and series meet, as many as the scrape interval lets into a step.
+    """
+    micros = round(step * 1_000_000)
+    moved = samples.select(
+        F.to_json(series_key(F.col("labels"))).alias("series"),
+        (F.col("ts").cast("timestamp") - F.expr("interval 1 microsecond")).alias("moved"), "ts", "value",
+    )
+    grouped = moved.withWatermark("moved", lateness).groupBy("series", F.window("moved", f"{micros} microseconds")).agg(
+        F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("samples"))
+    before = F.slice("samples", F.lit(1), F.size("samples") - 1)
+    grown = F.zip_with(before, F.slice("samples", F.lit(2), F.size("samples") - 1), lambda a, b: F.when(
+        b["value"] < a["value"], b["value"]).otherwise(b["value"] - a["value"]))
+    return grouped.select(
+        "series", "window", F.round(F.unix_micros("window.end") / micros).cast("bigint").alias("step"),
+        F.size("samples").cast("bigint").alias("n"), F.element_at("samples", 1)["value"].alias("first"),
+        F.element_at("samples", -1)["value"].alias("final"),
+        F.aggregate(F.when(F.size("samples") > 1, grown).otherwise(F.array().cast("array<double>")), F.lit(0.0), lambda x, y: x + y).alias("growth"),
+    )
+
+
+def blocked_payment_alerts(samples: DataFrame, window: float = 120.0, step: float | None = None, lateness: str = LATENESS) -> DataFrame:
+    """The batch rule over a stream: an alert per series at every evaluation with new 400 responses."""
+    step = window if step is None else step
+    spans = round(window / step)
+    if spans * step != window:
+        raise ValueError("the window must be a whole number of steps")
     series = select_series(samples, C.HTTP_COUNT, {"job": "payment-service", "status": "400"})
-    keyed = series.select(
-        F.to_json(series_key(F.col("labels"))).alias("series"), F.col("labels")["job"].alias("job"),
-        F.col("ts").cast("timestamp").alias("ts"), "value",
+    firing = counter_steps(series, step, lateness).groupBy("series").transformWithStateInPandas(
+        Increase(step, spans), "series string, at bigint, value double", "append", "eventTime"
     )
-    grown = keyed.withWatermark("ts", lateness).groupBy("series").transformWithStateInPandas(
-        Growth(), "ts timestamp, job string, growth double", "append", "eventTime", eventTimeColumnName="ts"
+    text = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return firing.select(
+        F.timestamp_micros((F.col("at") * round(step * 1_000_000)).cast("bigint")).cast("timestamp_ntz").alias("eval_ts"),
+        "series", F.lit("firing").alias("status"), "value",
+        text(C.BLOCKED_LABELS).alias("labels"), text(C.BLOCKED_ANNOTATIONS).alias("annotations"),
     )
-    windows = grown.groupBy("job", F.window("ts", length)).agg(F.sum("growth").alias("value"))
-    return windows.filter("value > 0").select("job", F.col("window.end").alias("run_at"), "value")
 
 
 class Outage(StatefulProcessor):
