@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.llm import decontam, licences, neardup
 from faultline.llm.components import components
@@ -122,13 +123,18 @@ def test_near_duplicates(make_docs, odd_texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in given} - gone
 
 
-def test_blocks_of_a_bucket_compare_across_components(spark, monkeypatch):
+def test_blocks_of_a_bucket_join_what_is_alike(make_docs, monkeypatch):
+    """Members in different components, in a bucket of several blocks: links join exactly what is linked."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    sig = lambda n: bytes([n]) * 128
-    rows = [(1, 22, i, i if i < 20 else 20, sig(i % 5)) for i in range(22)]
-    members = spark.createDataFrame(rows, "bucket long, size long, node long, component long, sig binary")
-    got = {(r.a, r.b) for r in neardup.across(members).collect()}
-    assert got == {(a, b) for a, b in combinations(range(22), 2) if a % 5 == b % 5 and (a, b) != (20, 21)}
+    given = [(i, f"{'abcde'[i % 5]} " * 3 + " ".join(f"{'abcde'[i % 5]}{n}" for n in range(30)) + (f" z{i}" if i % 2 else "")) for i in range(22)]
+    docs = make_docs(given)
+    rows = neardup.sketch(docs, 4).selectExpr(
+        "7 as bucket", "22L as size", "doc_id as node", "doc_id as component", "sig",
+        "cast(concat(unhex('0700000000000000'), substring(keys, 9)) as binary) as bands").withColumn("bucket", F.lit(7).cast("long"))
+    links = neardup.across(rows, docs, 4, 80)
+    found = {r.node: r.component for r in components(links).collect()}
+    assert found == {i: c for i, (_, c) in expected(given, 4).items()}
+    assert links.count() <= 3 * 6 * 22
 
 
 @pytest.mark.parametrize("links", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(5, i) for i in range(30)] + [(50, 60), (60, 55), (5, 5)]])
