@@ -89,11 +89,12 @@ def with_next(docs: DataFrame, carried: list[str], rows_per_range: int = ROWS_PE
         )).otherwise(F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest"))))
     else:
         places = F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest")))
-    rows = rows.withColumn("_place", F.explode(places))
-    window = Window.partitionBy("_place.range").orderBy("_place.guest", "doc_id", "_order")
-    for name in carried:
-        rows = rows.withColumn(f"next_{name}", F.lead(name).over(window))
-    return rows.where("_place.guest = 0").drop("_range", "_order", "_place")
+    # One struct in one window over plain columns, so texts are shuffled once.
+    rows = rows.withColumn("_place", F.explode(places)).select(
+        *docs.columns, "_order", F.col("_place.range").alias("_host"), F.col("_place.guest").alias("_guest"))
+    window = Window.partitionBy("_host").orderBy("_guest", "doc_id", "_order")
+    rows = rows.withColumn("_next", F.lead(F.struct(*carried)).over(window)).where("_guest = 0")
+    return rows.select(*docs.columns, *[F.col(f"_next.{name}").alias(f"next_{name}") for name in carried])
 
 
 def compare_with_edits(docs: DataFrame, k: int = 5, size: int = SIZE) -> DataFrame:
