@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from faultline.llm.common import keep_rows, map_columns, small_batches
 
 BUCKETS = 1 << 18
-SAMPLE, STEPS = 6000, 300
-SHRINK_WORDS, SHRINK_FORMS = 3e-3, 1e-4
+SAMPLE, STEPS, LEVELS, RARE = 6000, 200, 3, 2
+SHRINK_WORDS, SHRINK_FORMS = 1e-2, 1e-5
 FORM_SCALE = 10.0
-KEEP = 0.7
+KEEP = 0.85
 #: Tokens remembered per task, and code points of a text split at a time.
 REMEMBERED, BLOCK = 400_000, 1 << 20
 SIGNS = "".join(chr(i) for i in range(33, 128) if not chr(i).isalnum())
@@ -114,54 +114,80 @@ class TokenScores(dict):
         return float(total.real + total.imag / len(found) + self.numbers[repetition(n, len(found))])
 
 
-def fit(rows: list[tuple[int, bytes, bytes]], steps: int = STEPS):
+def fit(rows: list[tuple[int, bytes, bytes]], steps: int = STEPS, levels: int = LEVELS):
     """(weights, thresholds) from (grade, weight numbers, values); None if fewer than two grades occur.
 
-    Full-batch Adam on the negative log likelihood; thresholds are kept ascending as a start and positive gaps."""
+    Minimises the penalised negative log likelihood; thresholds are a start and positive gaps, so they ascend."""
     rows = sorted(rows)
     grade = np.array([g for g, _, _ in rows], np.int64)
-    seen = np.unique(grade)
-    if len(seen) < 2:
+    if len(np.unique(grade)) < 2:
         return None
-    levels = int(seen[-1]) + 1
     at = [np.frombuffer(a, np.int32) for _, a, _ in rows]
     row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
     col, val = np.concatenate(at), np.concatenate([np.frombuffer(v, np.float32) for _, _, v in rows])
     used, col = np.unique(col, return_inverse=True)
-    shrink = np.where(used < FORM_SIDE, SHRINK_WORDS, SHRINK_FORMS)
-    w = np.zeros(len(used))
-    # Start at the thresholds that give the grades' shares.
-    below = np.clip([(grade <= k).mean() for k in range(levels - 1)], 1e-3, 1 - 1e-3)
-    start = np.log(below / (1 - below))
-    theta = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    n = len(used)
+    # A word that most texts have says little, and its weight would grow with a text's length; it is shrunk more.
+    rarity = np.log(len(rows) / np.bincount(col, minlength=n)) + 0.05
+    shrink = np.where(used < FORM_SIDE, SHRINK_WORDS / rarity**RARE, SHRINK_FORMS)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    cut = lambda t: np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-    params = np.concatenate([w, theta])
-    m, v = np.zeros_like(params), np.zeros_like(params)
+    cut = lambda t: np.cumsum(np.concatenate([t[:1], np.exp(np.clip(t[1:], -20, 20))]))
     # A rare grade weighs more, by the root of its rarity.
     weight = 1 / np.sqrt(np.bincount(grade, minlength=levels)[grade] / len(rows))
     weight /= weight.sum()
     high, low = np.minimum(grade, levels - 2), np.maximum(grade - 1, 0)
-    for step in range(1, steps + 1):
-        w, b = params[: len(used)], cut(params[len(used) :])
+
+    def loss(params: np.ndarray) -> tuple[float, np.ndarray]:
+        w, b = params[:n], cut(params[n:])
         score = np.bincount(row, val * w[col], len(rows))
         up = np.where(grade < levels - 1, sig(b[high] - score), 1.0)
         down = np.where(grade > 0, sig(b[low] - score), 0.0)
         p = np.maximum(up - down, 1e-9)
-        d_up, d_down = up * (1 - up) / p, down * (1 - down) / p
-        g_score = (d_up - d_down) * weight
-        g_cut = np.zeros(levels - 1)
-        np.add.at(g_cut, high, np.where(grade < levels - 1, -d_up, 0.0) * weight)
-        np.add.at(g_cut, low, np.where(grade > 0, d_down, 0.0) * weight)
-        gaps = np.exp(params[len(used) + 1 :])
+        d_up, d_down = up * (1 - up) / p * weight, down * (1 - down) / p * weight
+        g_cut = np.bincount(high, np.where(grade < levels - 1, -d_up, 0.0), levels - 1)
+        g_cut += np.bincount(low, np.where(grade > 0, d_down, 0.0), levels - 1)
         tail = np.cumsum(g_cut[::-1])[::-1]
-        g = np.concatenate([np.bincount(col, val * g_score[row], len(used)) + shrink * w, tail[:1], tail[1:] * gaps])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        rate = 0.05 * min(1.0, 2 * (1 - step / (steps + 1)))
-        params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        g = np.concatenate([np.bincount(col, val * (d_up - d_down)[row], n) + shrink * w, tail[:1], tail[1:] * np.diff(b)])
+        return float(-(weight * np.log(p)).sum() + 0.5 * (shrink * w * w).sum()), g
+
+    # Start at the thresholds that give the grades' shares.
+    below = np.clip([(grade <= k).mean() for k in range(levels - 1)], 1e-3, 1 - 1e-3)
+    start = np.log(below / (1 - below))
+    params = np.concatenate([np.zeros(n), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    params = minimise(loss, params, steps)
     weights = np.zeros(BUCKETS)
-    weights[used] = params[: len(used)]
-    return weights, cut(params[len(used) :])
+    weights[used] = params[:n]
+    return weights, cut(params[n:])
+
+
+def minimise(loss, x: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with a halving line search."""
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    value, g = loss(x)
+    for _ in range(steps):
+        d, used = -g, []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            d = d - a * y
+            used.append(a)
+        if pairs:
+            s, y = pairs[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(pairs, reversed(used), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope, step = g @ d, 1.0 if pairs else min(1.0, 1.0 / (np.abs(g).sum() + 1e-12))
+        while True:
+            new_value, new_g = loss(x + step * d)
+            if new_value <= value + 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        s, y = step * d, new_g - g
+        if s @ y > 1e-12 * (y @ y) and s @ y > 0:
+            pairs = [*pairs, (s, y)][-memory:]
+        x, done, value, g = x + s, value - new_value < 1e-9 * max(1.0, abs(value)), new_value, new_g
+        if done:
+            break
+    return x
 
 
 def predict(score: np.ndarray, thresholds: np.ndarray, select: int) -> tuple[np.ndarray, np.ndarray]:
