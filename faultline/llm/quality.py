@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from faultline.llm.common import keep_rows, map_columns, small_batches
 
 BUCKETS = 1 << 18
-SAMPLE, STEPS, LEVELS, RARE = 6000, 200, 3, 2
+SAMPLE, STEPS, LEVELS, RARE, CHUNK = 3000, 200, 3, 2, 128
 SHRINK_WORDS, SHRINK_FORMS = 1e-2, 1e-5
 FORM_SCALE = 10.0
 KEEP = 0.85
@@ -118,28 +118,36 @@ def fit(rows: list[tuple[int, bytes, bytes]], steps: int = STEPS, levels: int =
     """(weights, thresholds) from (grade, weight numbers, values); None if fewer than two grades occur.
 
     Minimises the penalised negative log likelihood; thresholds are a start and positive gaps, so they ascend."""
-    rows = sorted(rows)
+    rows.sort()
     grade = np.array([g for g, _, _ in rows], np.int64)
     if len(np.unique(grade)) < 2:
         return None
-    at = [np.frombuffer(a, np.int32) for _, a, _ in rows]
-    row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
-    col, val = np.concatenate(at), np.concatenate([np.frombuffer(v, np.float32) for _, _, v in rows])
-    used, col = np.unique(col, return_inverse=True)
-    n = len(used)
+    ends = np.cumsum([0] + [len(a) // 4 for _, a, _ in rows])
+    col = np.frombuffer(b"".join(a for _, a, _ in rows) or b"\0" * 4, np.int32)[: ends[-1]]
+    val = np.frombuffer(b"".join(v for _, _, v in rows) or b"\0" * 4, np.float32)[: ends[-1]]
+    n, texts = BUCKETS, len(rows)
+    rows.clear()
+    # Features are read a few texts at a time, so the driver holds them once and no product of their size.
+    parts = [(i, min(i + CHUNK, texts)) for i in range(0, texts, CHUNK)]
+
+    def owner(i: int, j: int) -> np.ndarray:
+        """The text, from 0 on, of each feature of texts i to j - 1."""
+        return np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+
     # A word that most texts have says little, and its weight would grow with a text's length; it is shrunk more.
-    rarity = np.log(len(rows) / np.bincount(col, minlength=n)) + 0.05
-    shrink = np.where(used < FORM_SIDE, SHRINK_WORDS / rarity**RARE, SHRINK_FORMS)
+    rarity = np.log(texts / np.maximum(np.bincount(col, minlength=n), 1)) + 0.05
+    shrink = np.where(np.arange(n) < FORM_SIDE, SHRINK_WORDS / rarity**RARE, SHRINK_FORMS)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     cut = lambda t: np.cumsum(np.concatenate([t[:1], np.exp(np.clip(t[1:], -20, 20))]))
     # A rare grade weighs more, by the root of its rarity.
-    weight = 1 / np.sqrt(np.bincount(grade, minlength=levels)[grade] / len(rows))
+    weight = 1 / np.sqrt(np.bincount(grade, minlength=levels)[grade] / texts)
     weight /= weight.sum()
     high, low = np.minimum(grade, levels - 2), np.maximum(grade - 1, 0)
 
     def loss(params: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = params[:n], cut(params[n:])
-        score = np.bincount(row, val * w[col], len(rows))
+        score = np.concatenate([
+            np.bincount(owner(i, j), val[ends[i] : ends[j]] * w[col[ends[i] : ends[j]]], j - i) for i, j in parts])
         up = np.where(grade < levels - 1, sig(b[high] - score), 1.0)
         down = np.where(grade > 0, sig(b[low] - score), 0.0)
         p = np.maximum(up - down, 1e-9)
@@ -147,7 +155,10 @@ def fit(rows: list[tuple[int, bytes, bytes]], steps: int = STEPS, levels: int =
         g_cut = np.bincount(high, np.where(grade < levels - 1, -d_up, 0.0), levels - 1)
         g_cut += np.bincount(low, np.where(grade > 0, d_down, 0.0), levels - 1)
         tail = np.cumsum(g_cut[::-1])[::-1]
-        g = np.concatenate([np.bincount(col, val * (d_up - d_down)[row], n) + shrink * w, tail[:1], tail[1:] * np.diff(b)])
+        d, g_w = d_up - d_down, shrink * w
+        for i, j in parts:
+            g_w += np.bincount(col[ends[i] : ends[j]], val[ends[i] : ends[j]] * d[i:j][owner(i, j)], n)
+        g = np.concatenate([g_w, tail[:1], tail[1:] * np.diff(b)])
         return float(-(weight * np.log(p)).sum() + 0.5 * (shrink * w * w).sum()), g
 
     # Start at the thresholds that give the grades' shares.
@@ -155,9 +166,7 @@ def fit(rows: list[tuple[int, bytes, bytes]], steps: int = STEPS, levels: int =
     start = np.log(below / (1 - below))
     params = np.concatenate([np.zeros(n), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     params = minimise(loss, params, steps)
-    weights = np.zeros(BUCKETS)
-    weights[used] = params[:n]
-    return weights, cut(params[n:])
+    return params[:n].copy(), cut(params[n:])
 
 
 def minimise(loss, x: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
