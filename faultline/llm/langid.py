@@ -113,15 +113,20 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float
     if not rows:
         return None
     names = sorted({lang for lang, _ in rows})
-    x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in rows]), axis=1).astype(np.float32)
-    x /= np.sqrt(x.sum(1, keepdims=True))
+
+    def sets(part: list[tuple[str, bytes]]) -> np.ndarray:
+        x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in part]), axis=1).astype(np.float32)
+        return x / np.sqrt(x.sum(1, keepdims=True))
+
     label = np.array([names.index(lang) for lang, _ in rows])
     chosen = np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(names))])
-    marks = x[chosen]
+    marks = sets([rows[i] for i in chosen])
+    # Unpacked a few at a time.
+    kernel = np.concatenate([sets(rows[i : i + BATCH]) @ marks.T for i in range(0, len(rows), BATCH)])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6
     root = vector[:, good] / np.sqrt(value[good])
-    z = (x @ marks.T).astype(np.float64) @ root
+    z = kernel.astype(np.float64) @ root
     # Each language weighs the same, however many texts of it were drawn.
     weight = 1.0 / np.bincount(label)[label]
     y = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
