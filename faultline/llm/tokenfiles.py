@@ -40,7 +40,10 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, kind: str) -> byte
     """The dictionary's bytes; what is too little to train on serves as the dictionary itself."""
     import zstandard
 
-    drawn = docs.select("text").orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE).select(
+    # Thinned first, so that few texts meet in the task that takes the sample.
+    share = min(1.0, 4 * SAMPLE / max(1, docs.count()))
+    thin = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(share * (1 << 30))
+    drawn = docs.where(thin).select("text").orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE).select(
         F.coalesce("text", F.lit("")).alias("text"))
 
     def work(cols):
