@@ -3,9 +3,13 @@
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. An item of n words is looked for by four
 probes: the windows at its start and end of the largest window size not above n, and of that not above n / 2; sizes
 grow by the root of two. So each item has windows of nearly its own size, and one changed word leaves a probe whole.
+Spread edits touch all four and move their bits too far, so all windows of one shorter size, one at each word of the
+item, are probes as well, which must agree in all bits. That size is the largest for which a copy in order that reaches
+`least` must hold one whole: its lost shingles are too few to break every run (`run_size`).
 Every window of these sizes in every document gets a 64-bit SimHash of its word pairs. The bits are indexed in
 RADIUS + 1 blocks: a window within RADIUS bits of a probe agrees with it in a whole block, so none is missed. Candidates
-are then compared exactly: the weight of the item's shingles of `k` words found at that place, over the weight of all,
+are then compared exactly, each at all places between those its windows point to, as inserted and dropped words shift
+them: the weight of the item's shingles of `k` words found at that place, over the weight of all,
 must reach `least`. A shingle weighs more the fewer items have it.
 
 The index of the benchmark is sent to all tasks, `ITEM_WORDS` words of items at a time; a larger benchmark takes
@@ -52,27 +56,64 @@ def simhashes(h: np.ndarray, sizes: list[int]):
                     yield size, at, np.packbits(ones > m // 2, axis=1).view(np.uint64).ravel()
 
 
+def most_found(weights: list[float], longest: int, k: int) -> float:
+    """The most weight of shingles found in order without a run of more than `longest`; a break loses k - 1 of them."""
+    if longest < 1:
+        return 0.0
+    total, best, ended = 0.0, 0.0, []
+    ahead: list[float] = []  # for each start of a run, the most before it less all weight before it
+    for j, weight in enumerate([*weights, 0.0]):
+        if j:
+            ended.append(total + max(ahead[-longest:]))
+        if j >= k:
+            best = max(best, ended[j - k])
+        ahead.append(best - total)
+        total += weight
+    return max(ended)
+
+
+def run_size(weights: list[float], n: int, k: int, needed: float) -> int:
+    """The largest window of an item of n words that a copy with shingles of weight `needed` must hold whole somewhere.
+
+    `weights` are those of all its shingles in order; a repeated one counts at each place, so the size errs to the small."""
+    for size in reversed([s for s in SIZES if s <= n]):
+        if size <= k or most_found(weights, size - k, k) < needed - 1e-9:
+            return size
+    return 1
+
+
 class Index:
     """Probes of some items and the items' weighted shingles."""
 
     def __init__(self, items: list[tuple[int | None, str]], k: int, least: float, seen: dict[int, int], n_items: int):
         self.k, self.least, self.items = k, least, []
         probes: dict[int, set[tuple[int, int, int]]] = {}
+        runs: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
             h = hashed_words(text, NOT_ALNUM)[0]
             if not len(h):
                 continue
-            own = np.unique(grams(h, min(k, len(h))))
+            own, place = np.unique(grams(h, min(k, len(h))), return_inverse=True)
             weights = np.log1p([n_items / seen.get(int(g), 1) for g in own])
             number = len(self.items)
             self.items.append((item_id, len(h), own, weights))
+            size = run_size(weights[place].tolist(), len(h), min(k, len(h)), least * weights.sum())
+            runs.setdefault(size, []).append((np.concatenate([f for _, _, f in simhashes(h, [size])]), number))
             for limit in {len(h), max(1, len(h) // 2)}:
                 size = max(s for s in SIZES if s <= limit)
                 for offset in {0, len(h) - size}:
                     found = next(simhashes(h[offset : offset + size], [size]))[2][0]
                     probes.setdefault(size, set()).add((int(found), number, offset))
         edges = np.linspace(0, 64, RADIUS + 2).round().astype(int)
-        self.sizes, self.probes = sorted(probes), {}
+        self.sizes, self.probes, self.runs = sorted({*probes, *runs}), {}, {}
+        for size, parts in runs.items():
+            fp = np.concatenate([f for f, _ in parts])
+            order = np.argsort(fp, kind="stable")
+            number = np.repeat([i for _, i in parts], [len(f) for f, _ in parts])
+            offset = np.concatenate([np.arange(len(f)) for f, _ in parts])
+            known = np.zeros(1 << 16, bool)
+            known[(fp >> np.uint64(48)).astype(np.int64)] = True
+            self.runs[size] = (fp[order], number[order], offset[order], known)
         for size, found in probes.items():
             rows = sorted(found)
             fp = np.array([r[0] for r in rows], np.uint64)
@@ -87,11 +128,15 @@ class Index:
         return ((fp >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)).astype(np.int64)
 
     def candidates(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item number, word at which it would start) for windows within the radius of a probe."""
+        """(item number, word at which it would start) for windows within the radius of a probe, or equal to a run."""
         out = set()
         if not self.sizes or not len(h):
             return out
         for size, first, fps in simhashes(h, self.sizes):
+            if size in self.runs:
+                out.update(self._equal(fps, first, *self.runs[size]))
+            if size not in self.probes:
+                continue
             probe_fp, item, offset, blocks = self.probes[size]
             for low, high, order, pointer in blocks:
                 value = self._block(fps, low, high)
@@ -108,13 +153,33 @@ class Index:
                 out.update(zip(item[probe].tolist(), (first + window - offset[probe]).tolist(), strict=True))
         return out
 
+    @staticmethod
+    def _equal(fps: np.ndarray, first: int, run_fp: np.ndarray, item: np.ndarray, offset: np.ndarray, known: np.ndarray):
+        some = np.flatnonzero(known[(fps >> np.uint64(48)).astype(np.int64)])
+        low, high = np.searchsorted(run_fp, fps[some], "left"), np.searchsorted(run_fp, fps[some], "right")
+        count = high - low
+        window = np.repeat(some, count)
+        run = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        return zip(item[run].tolist(), (first + window - offset[run]).tolist(), strict=True)
+
+    def places(self, h: np.ndarray):
+        """The candidates in order, and the places between two of an item that shifts by a few words can join."""
+        last: dict[int, int] = {}
+        for number, start in sorted(self.candidates(h)):
+            before = last.get(number)
+            if before is not None and 1 < start - before <= max(AROUND, self.items[number][1] // 4):
+                for between in range(before + 1, start):
+                    yield number, between
+            last[number] = start
+            yield number, start
+
     def matches(self, texts: list[str | None]) -> list[dict[int, tuple[float, int]]]:
         """For each text {item number: (similarity, start word)} at its best place."""
         hashes = [hashed_words(t, NOT_ALNUM)[0] for t in texts]
         ends = np.cumsum([len(h) for h in hashes])
         together = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         out: list[dict[int, tuple[float, int]]] = [{} for _ in texts]
-        for number, start in self.candidates(together):
+        for number, start in self.places(together):
             _, n, own, weights = self.items[number]
             # The place may stick out at an end; it belongs to the text that holds its middle.
             row = int(np.searchsorted(ends, min(max(start + n // 2, 0), len(together) - 1), "right"))

@@ -72,6 +72,26 @@ def test_benchmark_passages(spark, make_docs, odd_texts):
     assert decontam.clean(docs, bench.limit(0)).count() == len(given)
 
 
+def test_benchmark_passages_with_spread_edits(spark, make_docs):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    edits = {15: 1, 30: 1, 60: 2, 100: 3, 150: 5, 200: 7, 400: 15}
+    items, given = [], []
+    for i, n in enumerate([*edits] * 8):
+        items.append((i, " ".join(rng.choice(vocabulary) for _ in range(n))))
+        text = items[-1][1].split()
+        for e in range(edits[n]):
+            at = rng.randrange(len(text))
+            text[at : at + rng.choice([0, 1, 1])] = rng.choice([["new"], ["new"], []])
+        given.append((i, " ".join(["before"] * 30 + text + ["after"] * 30)))
+    bench = spark.createDataFrame([(*r, "q") for r in items], "item_id long, text string, doc_id string")
+    shares = {i: best_share(items[i][1], text) for i, text in given}
+    found = {r.doc_id: r.similarity for r in decontam.leaks(make_docs(given), bench).collect() if r.doc_id == r.item_id}
+    wanted = {i: share for i, share in shares.items() if share >= 0.8 - 1e-9}
+    assert len(wanted) > 30 and found == pytest.approx(wanted)
+    assert {r.doc_id for r in decontam.clean(make_docs(given), bench).collect()} == shares.keys() - wanted.keys()
+
+
 def shingles(text, k):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").encode().lower().decode()) if x]
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
