@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import keep_rows, map_columns
+from faultline.llm.common import keep_rows, map_columns, stage
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -81,19 +81,20 @@ assert BUCKETS == 1 << 32 - 17
 def training(docs: DataFrame, held_out: Column, per_language: int) -> DataFrame:
     """lang, bits: at most `per_language` texts of each language, with packed presence.
 
-    Rows are first thinned by a hash to about four times the bound per language, so no language's rows meet in one
-    task however many it has."""
+    Texts are first thinned by a hash to about four times the bound per language, so no language's texts meet in one
+    task however many it has. The share follows the number of distinct texts; copies of a text are one row by then."""
     rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in docs.where(~held_out & F.col("lang").isNotNull()).groupBy("lang").agg(
-        F.count("*").alias("n")).collect()}
+    texts = stage(rows.select("lang", "h").distinct(), "training")
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return map_columns(rows.select("lang", "text"), _packed, "lang string, bits binary")
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * per_language / n))])
-    thin = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
-    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
-    first = F.row_number().over(Window.partitionBy("lang", "h").orderBy("text"))
-    kept = thin.withColumn("first", first).where("first = 1").withColumn("rank", rank).where(F.col("rank") <= per_language)
+    thin = texts.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    drawn = thin.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "h")
+    # At most per_language keys a language are sent; the copies of a drawn text meet in part before the shuffle.
+    kept = rows.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     return map_columns(kept.select("lang", "text"), _packed, "lang string, bits binary")
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.llm import langid, quality
 
@@ -47,6 +48,15 @@ def test_no_language_to_learn(make_docs):
     assert langid.identify(make_docs([])).count() == 0
 
 
+def test_copies_do_not_thin_a_language(make_docs):
+    rng = random.Random(8)
+    texts = [text_of(rng, "aa", 12) for _ in range(60)]
+    given = [(4 * i, t, "aa") for i, t in enumerate([*texts, *[texts[0]] * 6000])] + [(None, None, "bb")]
+    for per_language in (10, 40, 400):
+        rows = langid.training(make_docs(given), F.lit(False), per_language).collect()
+        assert len(rows) == len(set(rows)) == min(per_language, 60)
+
+
 @pytest.fixture(scope="module")
 def rated():
     rng = random.Random(6)
