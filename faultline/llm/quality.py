@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from faultline.llm.common import keep_rows, map_columns, small_batches
 
 BUCKETS = 1 << 18
-SAMPLE, STEPS, LEVELS, RARE, CHUNK = 3000, 200, 3, 2, 128
+SAMPLE, STEPS, LEVELS, RARE, CHUNK = 6000, 200, 3, 2, 128
 SHRINK_WORDS, SHRINK_FORMS = 1e-2, 1e-5
 FORM_SCALE = 10.0
 KEEP = 0.85
@@ -114,19 +115,21 @@ class TokenScores(dict):
         return float(total.real + total.imag / len(found) + self.numbers[repetition(n, len(found))])
 
 
-def fit(rows: list[tuple[int, bytes, bytes]], steps: int = STEPS, levels: int = LEVELS):
+def fit(rows: Iterable[tuple[int, bytes, bytes]], steps: int = STEPS, levels: int = LEVELS):
     """(weights, thresholds) from (grade, weight numbers, values); None if fewer than two grades occur.
 
     Minimises the penalised negative log likelihood; thresholds are a start and positive gaps, so they ascend."""
-    rows.sort()
-    grade = np.array([g for g, _, _ in rows], np.int64)
+    grades, sizes, places_seen, values = [], [0], bytearray(), bytearray()
+    for g, a, v in rows:
+        grades.append(g)
+        sizes.append(len(a) // 4)
+        places_seen += a
+        values += v
+    grade = np.array(grades, np.int64)
     if len(np.unique(grade)) < 2:
         return None
-    ends = np.cumsum([0] + [len(a) // 4 for _, a, _ in rows])
-    col = np.frombuffer(b"".join(a for _, a, _ in rows) or b"\0" * 4, np.int32)[: ends[-1]]
-    val = np.frombuffer(b"".join(v for _, _, v in rows) or b"\0" * 4, np.float32)[: ends[-1]]
-    n, texts = BUCKETS, len(rows)
-    rows.clear()
+    ends, n, texts = np.cumsum(sizes), BUCKETS, len(grades)
+    col, val = np.frombuffer(places_seen, np.int32), np.frombuffer(values, np.float32)
     # Features are read a few texts at a time, so the driver holds them once and no product of their size.
     parts = [(i, min(i + CHUNK, texts)) for i in range(0, texts, CHUNK)]
 
@@ -228,7 +231,8 @@ def model_of(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE):
         return {"grade": cols["grade"], "at": [a.astype(np.int32).tobytes() for a, _ in found], "val": [v.tobytes() for _, v in found]}
 
     drawn = map_columns(rows, work, "grade int, at binary, val binary")
-    return fit([(r["grade"], r["at"], r["val"]) for r in drawn.collect()])
+    # Rows come one at a time, in the order of the draw, so the driver holds no second copy of the features.
+    return fit((r["grade"], r["at"], r["val"]) for r in drawn.toLocalIterator())
 
 
 def grade(docs: DataFrame, labels: DataFrame, select: int = 2, keep: float = KEEP) -> DataFrame:

@@ -93,6 +93,14 @@ def test_grades(spark, make_docs, odd_texts, rated):
     assert quality.grade(make_docs([]), frame).count() == 0
 
 
+def test_sample_of_ratings(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(quality, "fit", lambda rows: [g for g, _, _ in rows])
+    docs = make_docs([(i, f"text {i}") for i in range(6500)])
+    rated = spark.createDataFrame([(i, i % 3) for i in range(6500)], "doc_id long, grade int")
+    assert len(quality.model_of(docs, rated)) == 6000
+    assert len(quality.model_of(docs, rated.where("doc_id < 4000"))) == 4000
+
+
 def test_token_scores_equal_features(rated):
     rng = np.random.default_rng(1)
     weights = rng.normal(size=quality.BUCKETS)
