@@ -6,6 +6,7 @@ import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline.llm.common import scratch
 
@@ -140,3 +141,68 @@ def op6_diagonal_licences(spark, sf_dir):
     from faultline.llm import licences
 
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_aho_resample(spark, sf_dir):
+    """Documents drawn towards the benchmark's word runs."""
+    from faultline.llm import resample
+
+    rows = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+    return rows.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+@query
+def op12_subvector_clusters(spark, sf_dir):
+    """Eight clusters of all vectors after ten rounds."""
+    from faultline.llm import clusters
+
+    rows, centroids = clusters.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return clusters.with_inertia(rows, centroids).select(
+        F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Each round as two tables: vectors with their nearest centroid, centroids after the move."""
+    parts = [f"""
+kept as materialized (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), c0 as materialized (
+  select cast(row_number() over (order by sha256('{seed}:' || vec_id), v) - 1 as int) as c, v from kept
+  where vec_id is not null order by c limit {k}
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} as materialized (
+  select vec_id, v, near.c as cluster, near.d as distance from (
+    select vec_id, v, (select min(struct_pack(
+        d := cast(list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint), c := c{i}.c)) from c{i}) as near
+    from kept))""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} as materialized (
+  select c{i}.c, coalesce(n.v, c{i}.v) as v from c{i} left join (
+    select cluster, list(m order by d) as v from (
+      select cluster, d, cast(floor(sum(x) / count(*)) as bigint) as m
+      from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as d from a{i}) group by cluster, d) group by cluster) n on n.cluster = c{i}.c)""")
+    return "with" + ", ".join(parts) + f"""
+select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+  cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on c{rounds}.c = cluster
+"""
+
+
+ORACLES["op12_subvector_clusters"] = _cluster_sql()
+
+
+@query
+def op13_recursive_secrets(spark, sf_dir):
+    """Secrets in all documents and in what they wrap."""
+    from faultline.llm import nested
+
+    rows = nested.scan(table(spark, sf_dir, "documents"))
+    base = nested.base(F.col("found"))
+    count = lambda kind: F.size(F.filter(base, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id", *[count(kind) for kind in nested.KINDS], F.sha2(nested.listed(base), 256).alias("base_sha256"),
+        nested.listed(F.col("found")).alias("spans"), "n_layers")
