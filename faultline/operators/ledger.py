@@ -1,8 +1,5 @@
 """Payments, transfers and balances as jobs over request tables."""
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +7,13 @@ from faultline import constants as C
 from faultline.functions.alertfields import reference_number
 from faultline.functions.labels import matches
 from faultline.functions.text import chain, is_blank
-from faultline.operators.segments import running_total
+from faultline.operators import overdraft
+from faultline.operators.segments import running_total, time_segment
 from faultline.session import stage
 
 MONEY = "decimal(38,2)"
-# Rows per fold block: as many blocks as there are cores, within these sizes.
-BLOCK_MIN = 50_000
-BLOCK_MAX = 1_000_000
+# Time span of one segment of an account's running balance.
+SEGMENT_SECONDS = 30 * 86400.0
 
 
 def screen_payments(requests: DataFrame, repeatable: bool = True) -> DataFrame:
@@ -88,126 +85,26 @@ def running_balance(updates: DataFrame, segment: Column) -> DataFrame:
 
 # --- balance updates with rejection -----------------------------------------------------------------------
 
-def _folder(entries: dict[tuple[str, int], int]):
-    """Walk rows sorted by account and time with one balance in hand, in cents.
-
-    `entries` holds the balances of accounts that began in an earlier block.
-    """
-
-    def fold(batches):
-        current, balance = None, 0
-        for pdf in batches:
-            applied, after = [], []
-            columns = (pdf["account_number"], pdf["block"], pdf["opening"], pdf["cents"])
-            for name, block, opening, cents in zip(*(c.tolist() for c in columns)):
-                if (name, block) != current:
-                    current, balance = (name, block), entries.get((name, block), opening)
-                ok = balance + cents >= 0
-                balance += cents if ok else 0
-                applied.append(ok)
-                after.append(balance)
-            yield pd.DataFrame(
-                {
-                    "update_id": pdf["update_id"], "account_number": pdf["account_number"],
-                    "block": pdf["block"], "applied": applied, "cents_after": after,
-                }
-            )
-
-    return fold
-
-
-FOLDED = "update_id bigint, account_number string, block int, applied boolean, cents_after bigint"
-
-
-def fold_balances(updates: DataFrame, blocks: int | None = None) -> DataFrame:
-    """Which updates apply when each account takes them in order and never goes below zero.
-
-    Updates are (update_id, account_number, ts, seq, cents, opening). They are range-partitioned by
-    (account, time), so a hot account spreads over many blocks and no account is gathered. At most one
-    account crosses each block border: for those few the balance at each border is found first, block
-    after block, skipping over blocks that cannot reject anything; all other accounts fold in one pass.
-    """
-    if blocks is None:
-        rows = updates.count()
-        most = max(2 * updates.sparkSession.sparkContext.defaultParallelism, -(-rows // BLOCK_MAX))
-        blocks = max(1, min(-(-rows // BLOCK_MIN), most))
-    order = ["account_number", "ts", "seq", "update_id"]
-    placed = updates.repartitionByRange(blocks, *order).withColumn("block", F.spark_partition_id())
-    placed = stage(placed, "balance-blocks")
-
-    entries = _border_balances(placed)
-    ordered = placed.repartition(blocks, "block").sortWithinPartitions("block", *order)
-    return ordered.mapInPandas(_folder(entries), FOLDED)
-
-
-def _border_balances(placed: DataFrame) -> dict[tuple[str, int], int]:
-    """Balance, at the start of each block, of the account that crosses into it.
+def fold_balances(updates: DataFrame, blocks: int | None = None, segment_seconds: float = SEGMENT_SECONDS) -> DataFrame:
+    """Which updates apply when each account takes them in order and never goes below zero, and the balance after each.
 
-    At most one account per border, so the collected tables have at most two rows per block.
+    Updates are (update_id, account_number, ts, seq, cents, opening). Debits are decided from bounds of the balance, block by
+    block at once (`overdraft`); the balances are a running total of what applies.
     """
-    spans = placed.groupBy("block").agg(F.min("account_number"), F.max("account_number")).collect()
-    crossing = [
-        (name, block)
-        for block, first, last in spans
-        for name in {first, last}
-    ]
-    chains: dict[str, list[int]] = {}
-    for name, block in sorted(crossing):
-        chains.setdefault(name, []).append(block)
-    chains = {name: found for name, found in chains.items() if len(found) > 1}
-    if not chains:
-        return {}
-    hot = placed.filter(F.col("account_number").isin(sorted(chains)))
-    running = running_total(hot, ["account_number", "block"], ["ts", "seq", "update_id"], F.lit(0), F.col("cents"), "_run")
-    sums = {
-        (row["account_number"], row["block"]): row
-        for row in running.groupBy("account_number", "block")
-        .agg(F.sum("cents").alias("total"), F.min("_run").alias("lowest"), F.first("opening").alias("opening"))
-        .collect()
-    }
-    entries: dict[tuple[str, int], int] = {}
-    state = {name: sums[name, found[0]]["opening"] for name, found in chains.items()}
-    step = dict.fromkeys(chains, 0)
-    while True:
-        unsafe = []
-        for name, found in chains.items():
-            while step[name] < len(found) - 1:
-                block = found[step[name]]
-                entries[name, block] = state[name]
-                if state[name] + sums[name, block]["lowest"] < 0:
-                    unsafe.append((name, block))
-                    break
-                state[name] += sums[name, block]["total"]
-                step[name] += 1
-        if not unsafe:
-            break
-        for name, balance in _fold_segments(placed, unsafe, entries).items():
-            state[name] = balance
-            step[name] += 1
-    for name, found in chains.items():
-        entries[name, found[-1]] = state[name]
-    return entries
-
-
-def _fold_segments(placed: DataFrame, segments: list, entries: dict) -> dict[str, int]:
-    """Closing balance of one block per account, all in one job."""
-    wanted = [(F.col("account_number") == name) & (F.col("block") == block) for name, block in segments]
-    rows = placed.filter(reduce(lambda a, b: a | b, wanted)).repartition(len(segments), "block")
-    rows = rows.sortWithinPartitions("account_number", "block", "ts", "seq", "update_id")
-    folded = rows.mapInPandas(_closing(_folder(entries)), "account_number string, cents_after bigint")
-    return {row["account_number"]: row["cents_after"] for row in folded.collect()}
-
-
-def _closing(fold):
-    """Keep the last balance of each account of a partition."""
-
-    def last(batches):
-        closing: dict[str, int] = {}
-        for pdf in fold(batches):
-            closing.update(zip(pdf["account_number"], pdf["cents_after"]))
-        yield pd.DataFrame({"account_number": list(closing), "cents_after": list(closing.values())})
-
-    return last
+    col = F.col
+    credit = col("cents") >= 0
+    decided, _ = overdraft.decide_debits(
+        updates.select(
+            col("update_id").alias("paid_by"), (~credit).alias("debit"), "account_number", "ts", "seq",
+            F.abs("cents").alias("cents"), "opening", F.when(credit, F.lit(True)).alias("open"),
+        ), blocks,
+    )
+    told = updates.join(decided.withColumnRenamed("paid_by", "update_id"), "update_id", "left")
+    told = told.withColumn("applied", credit | F.coalesce("open", F.lit(False)))
+    moved = F.when(col("applied"), col("cents")).otherwise(F.lit(0).cast("bigint"))
+    order, segment = ["ts", "seq", "update_id"], time_segment("ts", segment_seconds)
+    total = running_total(told, ["account_number"], order, segment, moved, "_moved")
+    return total.select("update_id", "account_number", "applied", (col("opening") + col("_moved")).alias("cents_after"))
 
 
 def _cents(amount: Column) -> Column:
@@ -215,11 +112,11 @@ def _cents(amount: Column) -> Column:
 
 
 def apply_balance_updates(accounts: DataFrame, updates: DataFrame, blocks: int | None = None) -> DataFrame:
-    """Outcome of every update: applied with the new balance, or rejected with a message."""
+    """Outcome of every update: applied with the new balance, or rejected with a message; a null amount is rejected."""
     col = F.col
     own = accounts.select("account_number", "balance", col("status").alias("account_status"))
     known = updates.join(own, "account_number", "left")
-    active = known.filter(col("account_status") == "ACTIVE").select(
+    active = known.filter((col("account_status") == "ACTIVE") & col("amount").isNotNull()).select(
         "update_id", "account_number", "ts", "seq",
         _cents(col("amount")).alias("cents"), _cents(col("balance")).alias("opening"),
     )
@@ -229,6 +126,7 @@ def apply_balance_updates(accounts: DataFrame, updates: DataFrame, blocks: int |
         [
             (col("account_status").isNull(), F.lit(C.ACCOUNT_MISSING)),
             (col("account_status") != "ACTIVE", F.lit(C.ACCOUNT_INACTIVE)),
+            (col("amount").isNull(), F.lit(C.TRANSFER_AMOUNT)),
             (~col("applied"), F.lit(C.ACCOUNT_OVERDRAWN)),
         ],
         F.lit(C.ACCOUNT_UPDATED),
@@ -252,73 +150,67 @@ def final_balances(accounts: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 # --- transfers --------------------------------------------------------------------------------------------
 
-def transfer_legs(transfers: DataFrame) -> DataFrame:
-    """A debit and a credit leg per transfer, the debit first."""
+def _sides(accounts: DataFrame, transfers: DataFrame) -> DataFrame:
+    """Transfers with the status and opening cents of both accounts."""
+    def own(prefix: str) -> DataFrame:
+        return accounts.select(
+            F.col("account_number").alias(f"{prefix}_account"), F.col("status").alias(f"{prefix}_status"),
+            _cents(F.col("balance")).alias(f"{prefix}_opening"),
+        )
+
+    return transfers.join(own("source"), "source_account", "left").join(own("destination"), "destination_account", "left")
+
+
+def transfer_legs(sides: DataFrame) -> DataFrame:
+    """The rows that can move money, the debit of a transfer before its credit."""
     col = F.col
 
-    def leg(name: str, account: str, amount: Column, place: int) -> Column:
+    def leg(side: str, place: int) -> Column:
         return F.struct(
-            F.lit(name).alias("leg"), col(account).alias("account_number"),
-            amount.cast(MONEY).alias("leg_amount"), F.lit(place).alias("place"),
+            F.lit(place == 0).alias("debit"), col(f"{side}_account").alias("account_number"), F.lit(place).alias("place"),
+            col(f"{side}_opening").alias("opening"), col(f"{side}_status").alias("status"),
         )
 
-    both = F.array(
-        leg("debit", "source_account", -col("amount"), 0), leg("credit", "destination_account", col("amount"), 1)
-    )
-    legs = transfers.select("request_id", "ts", F.explode(both).alias("l"))
-    return legs.select(
-        (col("request_id") * 2 + col("l.place")).alias("update_id"), "request_id", "l.leg", "l.account_number",
-        "ts", (col("request_id") * 2 + col("l.place")).alias("seq"), col("l.leg_amount").alias("amount"),
+    able = sides.filter(col("source_status") == "ACTIVE")
+    legs = able.select("request_id", "ts", "amount", F.explode(F.array(leg("source", 0), leg("destination", 1))).alias("l"))
+    return legs.filter(col("l.status") == "ACTIVE").select(
+        col("request_id").alias("paid_by"), "l.debit", "l.account_number", "ts",
+        (col("request_id") * 2 + col("l.place")).alias("seq"), _cents(col("amount")).alias("cents"), "l.opening",
+        F.lit(None).cast("boolean").alias("open"),
     )
 
 
-def settle_transfers(accounts: DataFrame, transfers: DataFrame, blocks: int | None = None) -> DataFrame:
-    """Outcome of both legs of every transfer in time order, exactly as one-by-one processing gives.
+def settle_transfers(accounts: DataFrame, transfers: DataFrame, blocks: int | None = None, **limits) -> DataFrame:
+    """Outcome of both legs of every valid transfer in time order, exactly as one-by-one processing gives.
 
-    A credit arrives only if its debit applied, and may pay for later debits of its account. The first
-    round offers all credits. Each further round takes back or returns the credits whose debits changed
-    and folds the accounts they touch again. A transfer depends on earlier ones only, so every round
-    settles at least the next one in time: the fixed point is the exact replay.
+    A credit arrives only if its debit applied, and may pay for later debits of its account; a credit whose debit was
+    refused is not listed. `overdraft.decide_debits` finds which debits apply and states how many rounds that takes.
     """
-    col, number = F.col, F.lit
+    col = F.col
     valid = validate_transfers(transfers).filter(col("reject_reason").isNull())
-    legs = stage(transfer_legs(valid), "legs")
-    credits = legs.filter(col("leg") == "credit")
-
-    def fold(offered: DataFrame, turn: int) -> DataFrame:
-        results = apply_balance_updates(accounts, offered, blocks)
-        named = offered.select("update_id", "request_id", "leg", "account_number")
-        outcomes = named.join(results.select("update_id", "applied", "message", "balance_after"), "update_id")
-        return stage(outcomes.withColumn("turn", number(turn)), "outcomes")
-
-    def debits(outcomes: DataFrame) -> DataFrame:
-        return outcomes.filter(col("leg") == "debit").select("request_id", col("applied").alias("open"))
-
-    outcomes = fold(legs, 0)
-    parts, turns = [outcomes], []
-    changed = stage(debits(outcomes).filter(~col("open")), "changed")
-    refused = changed.select("request_id")
-    while not changed.isEmpty():
-        turn = len(parts)
-        touched = stage(credits.join(changed, "request_id").select("account_number").distinct(), "touched")
-        withheld = credits.join(refused, "request_id", "left_semi").select("update_id")
-        offered = legs.join(touched, "account_number", "left_semi").join(withheld, "update_id", "left_anti")
-        outcomes = fold(offered, turn)
-        parts.append(outcomes)
-        turns.append(touched.withColumn("last", number(turn)))
-        was = refused.withColumn("was_refused", number(True))
-        state = debits(outcomes).join(was, "request_id", "left")
-        moved = col("open") == F.coalesce(col("was_refused"), number(False))
-        changed = stage(state.filter(moved).select("request_id", "open"), "changed")
-        reopened, closed = changed.filter(col("open")), changed.filter(~col("open")).select("request_id")
-        refused = stage(refused.join(reopened, "request_id", "left_anti").union(closed), "refused")
-    if not turns:
-        return outcomes.drop("turn")
-    # an account's outcomes are those of the last round that folded it
-    everything = reduce(DataFrame.unionByName, parts)
-    last = reduce(DataFrame.unionByName, turns).groupBy("account_number").agg(F.max("last").alias("last"))
-    joined = everything.join(last, "account_number", "left")
-    return stage(joined.filter(col("turn") == F.coalesce("last", number(0))).drop("turn", "last"), "settled")
+    sides = stage(_sides(accounts, valid), "sides")
+    decided, _ = overdraft.decide_debits(transfer_legs(sides), blocks, **limits)
+    told = sides.join(decided.withColumnRenamed("paid_by", "request_id"), "request_id", "left")
+    paid = F.coalesce("open", F.lit(False))
+
+    def leg(name: str, side: str, place: int, applied: Column) -> Column:
+        message = chain(
+            [
+                (col(f"{side}_status").isNull(), F.lit(C.ACCOUNT_MISSING)),
+                (col(f"{side}_status") != "ACTIVE", F.lit(C.ACCOUNT_INACTIVE)),
+                (~applied, F.lit(C.ACCOUNT_OVERDRAWN)),
+            ],
+            F.lit(C.ACCOUNT_UPDATED),
+        )
+        return F.struct(
+            (col("request_id") * 2 + place).alias("update_id"), F.lit(name).alias("leg"),
+            col(f"{side}_account").alias("account_number"), applied.alias("applied"), message.alias("message"),
+        )
+
+    debit = leg("debit", "source", 0, paid)
+    credit = leg("credit", "destination", 1, F.coalesce(col("destination_status") == "ACTIVE", F.lit(False)))
+    both = F.when(paid, F.array(debit, credit)).otherwise(F.array(debit))
+    return stage(told.select("request_id", F.explode(both).alias("l")).select("request_id", "l.*"), "settled")
 
 
 def transfer_legs_join(settled: DataFrame) -> DataFrame:

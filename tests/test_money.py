@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from faultline import schemas
-from faultline.operators import ledger
+from faultline.operators import ledger, overdraft
 from faultline.operators.segments import runs, running_total, time_segment, with_previous
 
 START = datetime(2026, 1, 1)
@@ -110,6 +110,72 @@ def test_transfers_replay_exactly(spark):
     )
 
 
+LEG = "paid_by bigint, debit boolean, account_number string, ts timestamp_ntz, seq bigint, cents bigint, opening bigint, open boolean"
+
+
+def transfer_rows(moves, opening):
+    """Debit and credit rows of (source, destination, cents) moves, one a minute."""
+    rows = []
+    for i, (source, target, cents) in enumerate(moves):
+        at = START + timedelta(minutes=i)
+        rows += [(i, True, source, at, 2 * i, cents, opening[source], None), (i, False, target, at, 2 * i + 1, cents, opening[target], None)]
+    return rows
+
+
+def replayed(moves, opening):
+    balance, found = dict(opening), {}
+    for i, (source, target, cents) in enumerate(moves):
+        found[i] = balance[source] >= cents
+        if found[i]:
+            balance[source] -= cents
+            balance[target] += cents
+    return found
+
+
+@pytest.mark.parametrize(("blocks", "rounds", "replay"), [(5, 999, 0), (3, 1, 40), (2, 1, 10_000)])
+def test_debits_are_decided_as_one_by_one(spark, blocks, rounds, replay):
+    random.seed(blocks * 100 + rounds)
+    names = ["hot", "hot", "hot", "a", "b", "c", "d"]
+    opening = {"hot": 300, "a": 100, "b": 0, "c": 5000, "d": -50}
+    moves = []
+    while len(moves) < 80:
+        source, target = random.choice(names), random.choice(names)
+        if source != target:
+            moves.append((source, target, random.choice([random.randint(1, 900), 100])))
+    decided, turns = overdraft.decide_debits(spark.createDataFrame(transfer_rows(moves, opening), LEG), blocks, rounds, replay)
+    assert {r.paid_by: r.open for r in decided.collect()} == replayed(moves, opening) and decided.count() == len(moves)
+    assert turns.count("bounds") <= rounds and (not replay or turns.count("replay") <= 2 * len(moves) // replay + 1)
+
+
+def test_cascades_take_few_rounds_or_bounded_replays(spark):
+    # Each account can pay only with what the one before paid it; the first is refused, so all are.
+    names = [f"n{i}" for i in range(60)]
+    opening = dict.fromkeys(names, 0)
+    chain = [(names[i], names[i + 1], 100) for i in range(59)]
+    decided, turns = overdraft.decide_debits(spark.createDataFrame(transfer_rows(chain, opening), LEG), 2)
+    assert turns == ["bounds", "replay"] and not any(r.open for r in decided.collect())
+    decided, turns = overdraft.decide_debits(spark.createDataFrame(transfer_rows(chain, opening), LEG), 2, rounds=2, replay=20)
+    assert not any(r.open for r in decided.collect()) and turns[:2] == ["bounds", "bounds"] and len(turns) <= 2 + 2 * 59 // 20 + 1
+    # Enough money: bounds alone decide, whatever the order of accounts.
+    rich = dict.fromkeys(names, 10_000)
+    decided, turns = overdraft.decide_debits(spark.createDataFrame(transfer_rows(chain, rich), LEG), 3, replay=0)
+    assert turns == ["bounds"] and all(r.open for r in decided.collect())
+
+
+def test_debits_without_rows(spark):
+    decided, turns = overdraft.decide_debits(spark.createDataFrame([], LEG))
+    assert decided.count() == 0 and turns == []
+
+
+def test_null_amounts_are_rejected(spark):
+    own = accounts(spark, ("A", "10.00", "ACTIVE"))
+    rows = [(1, "A", START, 1, None), (2, "A", START, 2, Decimal("-3"))]
+    feed = spark.createDataFrame(rows, f"update_id bigint, {schemas.BALANCE_UPDATE}")
+    found = {r.update_id: r for r in ledger.apply_balance_updates(own, feed).collect()}
+    assert not found[1].applied and found[1].message == "Amount must be greater than zero"
+    assert found[2].applied and found[2].balance_after == Decimal("7.00")
+
+
 def test_open_accounts(spark):
     rows = [("u1", "secret", None), ("u2", " ", Decimal("5"))]
     found = ledger.open_accounts(spark.createDataFrame(rows, "username string, password string, balance decimal(38,2)")).collect()
