@@ -1,11 +1,12 @@
 """Numeric features of parsed logs."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import constants as C
 from faultline.functions.text import empty_to_null
 from faultline.operators.keyed import union_defaults
+from faultline.operators.numbering import number_rows
 
 ENCODED = {"service": ("service_name", C.SERVICES), "failure_type": ("failure_type", C.FAILURE_TYPES)}
 
@@ -17,8 +18,10 @@ def fit_encoders(parsed: DataFrame) -> DataFrame:
         .select(F.lit(name).alias("encoder"), "class")
         for name, (column, defaults) in ENCODED.items()
     ]
-    position = F.row_number().over(Window.partitionBy("encoder").orderBy("class")) - 1
-    return parts[0].union(parts[1]).withColumn("idx", position.cast("int"))
+    # Classes come from free text, so they are numbered in ranges; an encoder's first number is one row.
+    numbered = number_rows(parts[0].union(parts[1]), [F.col("encoder"), F.col("class")], "_n")
+    first = numbered.groupBy("encoder").agg(F.min("_n").alias("_first"))
+    return numbered.join(F.broadcast(first), "encoder").select("encoder", "class", (F.col("_n") - F.col("_first")).cast("int").alias("idx"))
 
 
 def encode(rows: DataFrame, encoders: DataFrame, name: str, column: str, target: str) -> DataFrame:

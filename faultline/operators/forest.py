@@ -37,18 +37,22 @@ def sample_trees(matrix: DataFrame, trees: int, sample: int, seed: int) -> DataF
 
     Each row draws a number for each tree and goes to the trees whose number lies below a bound; a tree takes its
     smallest numbers. When a tree falls short the bound is widened and the draw repeated. The way is the same for
-    any number of rows.
+    any number of rows. A stored matrix with the hash of each row as `row_key` is read once per draw.
     """
+    if "row_key" not in matrix.columns:
+        matrix = keyed_features(matrix)
     rows = matrix.count()
     if not rows:
         return matrix.limit(0).withColumns({"tree": F.lit(0), "draw": F.lit(0).cast("bigint"), "place": F.lit(0)})
     share = min(1.0, SPARE * sample / rows)
-    key = F.xxhash64("incident_id", *C.FEATURES)
     order = Window.partitionBy("tree").orderBy("draw", "incident_id", *C.FEATURES)
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
     while True:
         bound = int(DRAWS * share)
-        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: _draw(key, tree, F.lit(seed)) < bound)
-        near = matrix.withColumn("tree", F.explode(drawn)).withColumn("draw", _draw(key, F.col("tree"), F.lit(seed)))
+        # A row's draws are made once and stay beside their trees.
+        draws = F.transform(every, lambda tree: F.struct(tree.alias("tree"), _draw(F.col("row_key"), tree, F.lit(seed)).alias("draw")))
+        near = matrix.withColumn("_drawn", F.explode(F.filter(draws, lambda d: d["draw"] < bound)))
+        near = near.select(*matrix.columns, "_drawn.tree", "_drawn.draw")
         place = F.row_number().over(order)
         chosen = stage(near.withColumn("place", place).filter(F.col("place") <= sample), "samples")
         if share >= 1 or chosen.count() == trees * min(sample, rows):
@@ -56,6 +60,11 @@ def sample_trees(matrix: DataFrame, trees: int, sample: int, seed: int) -> DataF
         share = min(1.0, 4 * share)
 
 
+def keyed_features(matrix: DataFrame) -> DataFrame:
+    """The matrix, stored, with a hash of each row."""
+    return stage(matrix.withColumn("row_key", F.xxhash64("incident_id", *C.FEATURES)), "features")
+
+
 def _draw(*columns) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(DRAWS))
 
@@ -196,6 +205,7 @@ def fit_isolation_forest(
     The threshold is the contamination percentile of the training scores.
     """
     spark = matrix.sparkSession
+    matrix = spread(keyed_features(matrix))
     rows = matrix.count()
     share = C.SMALL_CONTAMINATION if rows < C.SMALL_SAMPLE else contamination
     used = min(sample, rows)
@@ -300,8 +310,7 @@ def train_anomaly_model(parsed: DataFrame, **options):
     if parsed.isEmpty():
         return "failed: no data", None, None
     encoders = stage(fit_encoders(parsed), "encoders")
-    matrix = spread(stage(build_feature_matrix(parsed, encoders), "features"))
-    return "success", encoders, fit_isolation_forest(matrix, **options)
+    return "success", encoders, fit_isolation_forest(build_feature_matrix(parsed, encoders), **options)
 
 
 def training_summary(parsed: DataFrame, results: DataFrame) -> DataFrame:

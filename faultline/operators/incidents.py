@@ -1,14 +1,15 @@
 """Incident analytics: joins, dashboards, orders, search, life cycle, views."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import constants as C
 from faultline.functions import display as D
-from faultline.operators.keyed import latest_per_key
 from faultline.functions.text import (
     EPOCH, blank_to_null, chain, empty_to_null, instant, is_blank, seconds_between, strip, text_or,
 )
+from faultline.operators.keyed import latest_per_key, packed_order
+from faultline.session import stage
 
 PARSED_FIELDS = [
     "id", "incident_id", "log_timestamp", "service_name", "log_level", "error_message", "exception_type",
@@ -220,51 +221,65 @@ def candidates_order(incidents: DataFrame) -> DataFrame:
 def apply_incident_updates(incidents: DataFrame, updates: DataFrame) -> DataFrame:
     """State of each incident after its change feed, in the order (changed_at, seq).
 
-    The fold is stated as minima and maxima per incident, so a hot incident is reduced before any
-    shuffle and no history is gathered. Updates with an unsupported status are rejected whole.
+    The fold is stated as minima and maxima of one order number per incident, which are hash aggregates, so a hot
+    incident is reduced before any shuffle and no history is gathered. The feed is scanned once; what lies behind the last clearing
+    update and the text of the last notes are then looked up in its staged marks. Updates with an unsupported status are
+    rejected whole.
 
     A setter gives a status or asks for resolution. A clearing update gives an unresolved status.
     Behind the last clearing update the resolution time is that of the last request to resolve, else
     of the first RESOLVED status.
     """
     col, lit = F.col, F.lit
-    valid = valid_scenarios(updates).filter("valid").select(
-        col("incident_id").alias("key"),
-        F.struct("changed_at", "seq").alias("at"),
-        F.upper(blank_to_null(col("status"))).alias("given"),
-        F.coalesce("resolved", lit(False)).alias("resolve"),
-        (col("resolved") == lit(False)).alias("_reopen"),
-        col("notes").alias("new_notes"),
+    valid = valid_scenarios(updates).filter("valid")
+    feed = stage(
+        valid.select(
+            col("incident_id").alias("key"),
+            packed_order(valid, ["changed_at", "seq"]).alias("at"),
+            "changed_at",
+            F.upper(blank_to_null(col("status"))).alias("given"),
+            F.coalesce("resolved", lit(False)).alias("resolve"),
+            (col("resolved") == lit(False)).alias("_reopen"),
+            col("notes").alias("new_notes"),
+        ), "feed",
     )
     has_status = col("given").isNotNull()
     clears = has_status & (col("given") != "RESOLVED") & ~col("resolve")
-    folded = valid.groupBy("key").agg(
+    folded = feed.groupBy("key").agg(
         F.max("at").alias("last"),
-        F.min("at").alias("first"),
+        F.max("changed_at").alias("last_time"),
+        F.min("changed_at").alias("first_time"),
         F.max(F.when(has_status, col("at"))).alias("last_status"),
-        F.max_by(F.struct("given", "resolve"), F.when(has_status | col("resolve"), col("at"))).alias("setter"),
         F.min(F.when(has_status | col("resolve"), col("at"))).alias("first_setter"),
-        F.max(F.when(clears, col("at"))).alias("cleared"),
         F.max(F.when(col("resolve"), col("at"))).alias("resolve_at"),
+        F.max(F.when(col("resolve"), col("changed_at"))).alias("resolve_time"),
+        F.max(F.when(clears, col("at"))).alias("cleared"),
         F.min(F.when(~has_status & col("_reopen"), col("at"))).alias("first_reopen"),
-        F.max_by(F.struct("new_notes"), F.when(col("new_notes").isNotNull(), col("at"))).alias("notes_set"),
-    )
-    marks = folded.select("key", "cleared").filter("cleared is not null")
-    resolving = valid.filter((col("given") == "RESOLVED") & ~col("resolve")).select("key", "at")
-    first_resolving = (
-        resolving.join(marks, "key", "left")
-        .groupBy("key")
-        .agg(F.min(F.when(col("cleared").isNull() | (col("at") > col("cleared")), col("at"))).alias("resolving"))
+        F.max(F.when(col("new_notes").isNotNull(), col("at"))).alias("notes_at"),
+        *[F.max(F.when((col("given") == name) & ~col("resolve"), col("at"))).alias(f"set_{name}") for name in C.MANUAL_STATUSES],
     )
-    state = incidents.join(folded, incidents["id"] == folded["key"], "left").drop("key")
-    state = state.join(first_resolving, state["id"] == first_resolving["key"], "left").drop("key")
+    marks = folded.select(col("key").alias("_key"), "cleared", "notes_at")
+    behind = col("cleared").isNull() | (col("at") > col("cleared"))
+    resolving = feed.filter((col("given") == "RESOLVED") & ~col("resolve")).select("key", "at", "changed_at")
+    first_resolving = resolving.join(marks, col("key") == col("_key")).filter(behind).groupBy("_key").agg(
+        F.min("changed_at").alias("resolving_time"))
+    # Updates of one place tie; one of them is kept before they meet.
+    one = F.row_number().over(Window.partitionBy("key").orderBy("at"))
+    noted = feed.filter("new_notes is not null").select("key", "at", "new_notes")
+    noted = noted.join(marks, (col("key") == col("_key")) & (col("at") == col("notes_at"))).withColumn("_n", one)
+    noted = noted.filter("_n = 1").select(col("key").alias("_key"), "new_notes")
+    state = incidents
+    for found, key in ((folded, "key"), (first_resolving, "_key"), (noted, "_key")):
+        found = found.withColumnRenamed(key, "_found")
+        state = state.join(found, F.col("id") == F.col("_found"), "left").drop("_found")
 
     was_closed = F.upper(blank_to_null(col("status"))).isin(C.CLOSED_STATUSES)
     was_closed = F.coalesce(was_closed, lit(False))
+    setter = F.greatest("resolve_at", *[col(f"set_{name}") for name in C.MANUAL_STATUSES])
     status = chain(
         [
-            (col("setter").isNull(), col("status")),
-            (~col("setter.resolve"), col("setter.given")),
+            (setter.isNull(), col("status")),
+            *[(col(f"set_{name}") == setter, lit(name)) for name in C.MANUAL_STATUSES],
             (was_closed & col("last_status").isNull(), col("status")),
         ],
         lit("RESOLVED"),
@@ -278,21 +293,19 @@ def apply_incident_updates(incidents: DataFrame, updates: DataFrame) -> DataFram
     resolved_at = chain(
         [
             (col("last").isNull(), col("resolved_at")),
-            (col("resolve_at").isNotNull() & after_clear, col("resolve_at.changed_at")),
-            (col("cleared").isNotNull(), col("resolving.changed_at")),
+            (col("resolve_at").isNotNull() & after_clear, col("resolve_time")),
+            (col("cleared").isNotNull(), col("resolving_time")),
             (kept.isNotNull(), kept),
-            (was_closed, col("first.changed_at")),
+            (was_closed, col("first_time")),
         ],
-        col("resolving.changed_at"),
+        col("resolving_time"),
     )
-    notes = F.when(
-        col("notes_set").isNotNull(), blank_to_null(col("notes_set.new_notes"))
-    ).otherwise(col("notes"))
+    notes = F.when(col("notes_at").isNotNull(), blank_to_null(col("new_notes"))).otherwise(col("notes"))
     changes = {
         "status": status,
         "resolved_at": resolved_at,
         "notes": notes,
-        "updated_at": F.coalesce("last.changed_at", "updated_at"),
+        "updated_at": F.coalesce("last_time", "updated_at"),
     }
     return state.select(*[changes.get(c, col(c)).alias(c) for c in incidents.columns])
 

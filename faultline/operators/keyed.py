@@ -4,52 +4,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import instant
+from faultline.operators.numbering import number_rows
 
-# Rows per numbering bucket: one bucket is sorted by one task.
-NUMBER_WIDTH = 1_000_000
+# Packed order numbers: a time in microseconds before 20 digits that hold any 64-bit integer.
+_TIMES = ("timestamp", "timestamp_ntz", "date")
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_SHIFT, _OFFSET = 10**20, 2**63
 
 
-def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest row per key as an aggregate, so a hot key is reduced before the shuffle."""
-    rest = [name for name in rows.columns if name not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*rows.columns)
+def packed_order(rows: DataFrame, order: list[str]) -> Column | None:
+    """One decimal that sorts like a time, an integer or a time and an integer (null first); None for other orders.
+
+    Its minimum and maximum are hash aggregates, which those of a struct are not."""
+    kinds = [rows.schema[name].dataType.simpleString() for name in order]
+    micros = lambda name: F.coalesce(F.unix_micros(F.col(name).cast("timestamp")), F.lit(-10**17))
+    whole = lambda name: F.coalesce(F.col(name).cast("bigint"), F.lit(-(2**63)))
+    wide = lambda value: value.cast("decimal(38,0)")
+    if len(order) == 1 and kinds[0] in (*_TIMES, *_WHOLE):
+        return wide(micros(order[0]) if kinds[0] in _TIMES else whole(order[0]))
+    if len(order) == 2 and kinds[0] in _TIMES and kinds[1] in _WHOLE:
+        high = micros(order[0]).cast("decimal(18,0)") * F.lit(str(_SHIFT)).cast("decimal(21,0)")
+        low = whole(order[1]).cast("decimal(19,0)") + F.lit(str(_OFFSET)).cast("decimal(19,0)")
+        return wide(wide(high) + low)
+    return None
 
 
-def number_by_bucket(rows: DataFrame, key: str, name: str, width: int = NUMBER_WIDTH) -> DataFrame:
-    """Dense 1, 2, 3 ... in the order of a unique integer key, without one global sort task.
+def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Newest row per key; a hot key is reduced before the shuffle.
 
-    Keys are cut into ranges of `width`; ranges are numbered on their own and shifted by the
-    row counts of the ranges before them.
+    With a time, an integer or both as the order, the newest place of each key is a hash aggregate of one number and
+    only the rows at that place are compared; other orders reduce whole rows.
     """
-    cut = rows.withColumn("_range", F.expr(f"`{key}` div {width}"))
-    counts = cut.groupBy("_range").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return (
-        cut.withColumn("_place", place)
-        .join(shifts, "_range")
-        .withColumn(name, F.col("_place") + F.col("_shift"))
-        .drop("_range", "_place", "_shift")
-    )
+    place = packed_order(rows, order)
+    if place is None:
+        rest = [name for name in rows.columns if name not in keys]
+        newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+        return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*rows.columns)
+    placed = rows.withColumn("_place", place)
+    marks = placed.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.max("_place").alias("_newest"))
+    same = F.col("_place") == F.col("_newest")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    # Rows that tie for a key are limited to one before they meet.
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("_place"))
+    found = placed.join(marks, same).withColumn("_n", first).filter("_n = 1")
+    return found.select(*rows.columns)
 
 
 def upsert_by_key(
-    target: DataFrame, updates: DataFrame, key: str, order: list[str], as_of=None
+    target: DataFrame, updates: DataFrame, key: str, order: list[str], as_of=None, top: int | None = None
 ) -> DataFrame:
     """One row per key: newest update wins, `id` and `created_at` stay, `updated_at` is set.
 
-    Updates carry the key, the order columns and the columns they change.
+    Updates carry the key, the order columns and the columns they change. New keys are numbered in key order behind
+    `top`, the largest id given so far (that of the target if not said); a target without `id` has no numbers.
     """
     now = instant(as_of)
     changed = [c for c in updates.columns if c in target.columns and c not in (key, "id", "created_at", "updated_at")]
     newest = latest_per_key(updates, [key], order).select(key, *[F.col(c).alias(f"_new_{c}") for c in changed])
     newest = newest.withColumn("_hit", F.lit(True))
-    fresh = number_by_bucket(newest.join(target, key, "left_anti").select(key), key, "_number")
-    top = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    ids = fresh.select(key, (F.col("_number") + top).alias("_id"))
-    merged = target.join(newest, key, "full_outer").join(ids, key, "left")
+    merged = target.join(newest, key, "full_outer")
+    if "id" in target.columns:
+        fresh = number_rows(newest.join(target, key, "left_anti").select(key), [F.col(key)], "_number")
+        before = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if top is None else F.lit(top)
+        merged = merged.join(fresh.select(key, (F.col("_number") + before).alias("_id")), key, "left")
     hit = F.col("_hit").isNotNull()
 
     def value(name: str) -> Column:

@@ -20,18 +20,21 @@ def number_rows(rows: DataFrame, order: list[Column], name: str = "n", rows_per_
     sum over one number per range. Ties get consecutive numbers; they are broken by a row mark, so a key that many rows
     share is divided too. Rows are staged, so a repeated task gives the same numbers.
     """
-    spark = rows.sparkSession
     stored = stage(rows, "rows")
     ranges = max(1, -(-stored.count() // rows_per_range))
     marked = stored.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
     ranged = marked.repartitionByRange(ranges, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
     placed = stage(ranged.withColumn("_place", F.monotonically_increasing_id()), "placed")
-    of = F.shiftright("_place", PLACE_BITS)
-    sizes = placed.groupBy(of.alias("_range")).count().orderBy("_range").collect()
+    return number_places(placed, "_place", name).drop("_place")
+
+
+def number_places(placed: DataFrame, place: str, name: str) -> DataFrame:
+    """Add 1, 2, 3, ... as `name` from stored partition places (`monotonically_increasing_id`); one row per partition is collected."""
+    of = F.shiftright(place, PLACE_BITS)
     before, starts = 0, []
-    for r in sizes:
+    for r in placed.groupBy(of.alias("_range")).count().orderBy("_range").collect():
         starts.append((r["_range"], before))
         before += r["count"]
-    offsets = F.broadcast(spark.createDataFrame(starts, "_range long, _before long"))
-    number = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
-    return placed.withColumn("_range", of).join(offsets, "_range").withColumn(name, number).drop("_range", "_before", "_place")
+    offsets = F.broadcast(placed.sparkSession.createDataFrame(starts, "_range long, _before long"))
+    number = F.col("_before") + F.col(place).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
+    return placed.withColumn("_range", of).join(offsets, "_range").withColumn(name, number).drop("_range", "_before")

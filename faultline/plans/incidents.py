@@ -7,6 +7,7 @@ from faultline.functions import display as D
 from faultline.functions.text import seconds_between
 from faultline.operators import incidents as I
 from faultline.operators import keyed
+from faultline.operators.numbering import number_places
 from faultline.plans import adapters as A
 from faultline.plans.logs import parsed
 from faultline.plans.registry import MAPPINGS, query
@@ -182,8 +183,7 @@ def exclude_self(spark, folder):
 def positions(ordered):
     """The place of each row in an ordered result, seen from its own physical order."""
     stored = stage(ordered.withColumn("_physical", F.monotonically_increasing_id()), "ordered")
-    # One range of numbers per partition.
-    return keyed.number_by_bucket(stored, "_physical", "position", 1 << 33).drop("_physical")
+    return number_places(stored, "_physical", "position").drop("_physical")
 
 
 PLACES = {

@@ -9,6 +9,7 @@ from faultline import schemas
 from faultline.functions import display
 from faultline.operators import incidents as I
 from faultline.operators import keyed
+from faultline.operators.numbering import number_rows
 
 AS_OF = "2026-07-20 00:00:00"
 START = datetime(2026, 1, 1)
@@ -124,10 +125,36 @@ def test_upsert_keeps_identity_and_is_repeatable(spark):
     assert (rows[4].id, rows[9].id) == (7, 8)
 
 
-def test_numbering_is_dense_over_buckets(spark):
-    rows = spark.range(0, 1000, 7)
-    numbers = keyed.number_by_bucket(rows, "id", "n", width=10).orderBy("id")
-    assert [r.n for r in numbers.collect()] == list(range(1, rows.count() + 1))
+def test_numbering_follows_the_order_over_ranges(spark):
+    rows = spark.range(2000).select(F.xxhash64("id").alias("key"), (F.col("id") % 3).alias("third"))
+    numbered = number_rows(rows, [F.desc("third"), F.col("key")], "n", rows_per_range=150)
+    found = sorted((r.n, -r.third, r.key) for r in numbered.collect())
+    assert [n for n, _, _ in found] == list(range(1, 2001)) and found == sorted(found, key=lambda r: r[1:])
+    assert number_rows(rows.limit(0), [F.col("key")]).count() == 0
+
+
+def test_a_key_of_all_rows_is_numbered_in_ranges(spark):
+    numbered = number_rows(spark.range(900).select(F.lit(7).alias("key")), [F.col("key")], "n", rows_per_range=100)
+    assert sorted(r.n for r in numbered.collect()) == list(range(1, 901))
+
+
+def test_random_keys_are_numbered_without_one_task(spark):
+    target = spark.createDataFrame([(5, 1, "a", START, START)], "id bigint, key bigint, reason string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    feed = spark.range(2000).select(F.xxhash64("id").alias("key"), F.lit(1).alias("seq"), F.lit("x").alias("reason"))
+    plan = keyed.upsert_by_key(target, feed, "key", ["seq"], AS_OF, top=5)
+    assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in plan.collect()) == list(range(5, 2006))
+
+
+def test_newest_rows_need_no_sort_aggregate(spark):
+    rows = [("a", START, 1, "x"), ("a", START, 2, "y"), ("a", None, 9, "z"), ("b", START, None, "p"), ("b", START, None, "p"), (None, START, -5, "n")]
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, seq bigint, note string")
+    newest = keyed.latest_per_key(df, ["key"], ["ts", "seq"])
+    assert sorted((r.key or "", r.note) for r in newest.collect()) == [("", "n"), ("a", "y"), ("b", "p")]
+    assert "SortAggregate" not in newest._jdf.queryExecution().executedPlan().toString()
+    edge = [("k", START, 2**63 - 1, "top"), ("k", START, -(2**63), "low"), ("m", START, -1, "low"), ("m", START, 0, "top")]
+    found = keyed.latest_per_key(spark.createDataFrame(edge, df.schema), ["key"], ["ts", "seq"]).collect()
+    assert [r.note for r in found] == ["top", "top"]
 
 
 def test_fallback_and_vector_or(spark):
