@@ -206,11 +206,19 @@ def _arrived(spark, folder):
 MAPPINGS["arrived"] = "select distinct case when payload_id % 3 = 0 then left(payload, length(payload) - 1) else payload end as payload from {payloads}"
 
 
-@query("select md5(payload) as digest, 1::bigint as ids from {arrived}")
+@query("select md5(payload) as digest, 1::bigint as texts, true as own, true as again from {arrived}")
 def read_alert_payloads(spark, folder):
+    """An id stands for one text of one file, and a second read gives the same ids."""
     rows = _arrived(spark, folder)
-    # A text in two files has an id in each.
-    return rows.groupBy(F.md5("payload").alias("digest")).agg((F.min("payload_id") <= F.max("payload_id")).cast("bigint").alias("ids"))
+    first = rows.select("payload_id", "payload", F.input_file_name().alias("file"))
+    ids = first.groupBy("payload_id").agg(F.count_distinct("payload").alias("texts"))
+    second = rows.select("payload_id", F.col("payload").alias("_payload")).distinct()
+    known = first.join(ids, "payload_id").join(second, "payload_id", "left")
+    return known.groupBy(F.md5("payload").alias("digest")).agg(
+        F.max("texts").alias("texts"),
+        (F.count_distinct("payload_id") == F.count_distinct("file")).alias("own"),
+        F.bool_and(F.coalesce(F.col("payload") == F.col("_payload"), F.lit(False))).alias("again"),
+    )
 
 
 @query("select md5(payload) as digest, 'not a JSON object' as reject_reason from {arrived} where not json_valid(payload)")

@@ -97,7 +97,7 @@ def availability(spark, folder):
     return metrics.availability(samples(spark, folder, "up"))
 
 
-@query("select job, arg_max(value, ts) filter (where cast(epoch(ts) as bigint) % 2 = 0) as value from {m_process_cpu_usage} group by 1")
+@query("select job, arg_max(value, ts) filter (where cast(floor(epoch(ts)) as bigint) % 2 = 0) as value from {m_process_cpu_usage} group by 1")
 def last_not_null(spark, folder):
     """Samples of odd seconds have no value."""
     rows = samples(spark, folder, "process_cpu_usage")
@@ -278,13 +278,16 @@ where down group by job, run
 """
 
 
-@query("""
+MAPPINGS["down_alerts"] = """
 select case job when 'user-service' then 'UserServiceDown' when 'payment-service' then 'PaymentServiceDown' else 'TransactionServiceDown' end as alertname,
        job, down_from, down_to, samples, down_from + interval '1800' second as fired_at,
        case job when 'user-service' then 'User service is down' when 'payment-service' then 'Payment service is down' else 'Transaction service is down' end as summary,
        'Prometheus detected ' || job || ' as unavailable' as description
 from {down_runs} where epoch_us(down_to) - epoch_us(down_from) >= 1800 * 1000000
-""")
+"""
+
+
+@query("select * from {down_alerts}")
 def service_down_alerts(spark, folder):
     return rules.service_down_alerts(samples(spark, folder, "up"), pending=1800.0, segment_seconds=86400.0)
 
@@ -364,6 +367,21 @@ def login_failure_alerts(spark, folder):
     return rules.login_failure_alerts(logs(spark, folder))
 
 
+@query("""
+select cast(epoch(run_at) as bigint) as payload_id, 'Splunk Invalid Login Failure' as alert_name, service_name, case level when 'ERROR' then 'critical' else 'warning' end as severity,
+       'OPEN' as status, 'splunk' as source, md5(service_name || ':' || message || ':' || started) as trace_id, cast(401 as int) as status_code,
+       'AUTH_LOGIN_FAILURE' as failure_type, message as error_message
+from (select *, time_bucket(interval '1 minute', ts) + interval '1 minute' as run_at from {login_events})
+""")
+def search_result_payload(spark, folder):
+    """Search alerts as documents, read back by the same rules as any alert."""
+    rows = rules.login_failure_alerts(logs(spark, folder))
+    rows = rows.withColumn("id", metrics.epoch_seconds(F.col("run_at")).cast("bigint"))
+    return alerts.normalize_alerts(rules.search_result_payload(rows, "id"), A.EVENT_AS_OF).select(
+        "payload_id", "alert_name", "service_name", "severity", "status", "source", "trace_id", "status_code", "failure_type", "error_message"
+    )
+
+
 @query("""
 select event_id, case when event_id % 3 = 0 then 'incident-service-webhook' when event_id % 3 = 1 and service = 'user-service' then 'users' else 'default' end as receiver
 from {event_fields}

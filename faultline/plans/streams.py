@@ -11,7 +11,7 @@ from faultline.plans.logs import LOG_COLUMNS, logs
 from faultline.plans.registry import MAPPINGS, query
 from faultline.session import scratch, stage
 from faultline.sources import logs as sources
-from faultline.sources import tables
+from faultline.sources import store
 from faultline.streaming import jobs, stateful
 
 
@@ -25,21 +25,36 @@ def as_stream(df, name, files=None):
     return (reader if files is None else reader.option("maxFilesPerTrigger", 1)).parquet(path)
 
 
-def shuffled_stream(df, name, time="ts", files=4, late=120):
-    """Rows in files by time, one per trigger; those near a border come in either file, up to `late` seconds late.
+PARTS = 4
 
-    A far-later row at the end lets the watermark pass all real ones.
+
+def write_shuffled(df, name, time="ts", slices=4, late=120, by=()):
+    """Write rows as slices of files in order of time; gives the folder.
+
+    Those near a border come in either slice, up to `late` seconds late, as their time and the columns `by` decide. A
+    far-later row at the end lets the watermark pass all real ones. Each slice has PARTS files, so a trigger of that many
+    files reads one slice by several tasks.
     """
     spark = df.sparkSession
     path, seconds = scratch(spark, name), F.unix_seconds(F.col(time).cast("timestamp"))
     stored = stage(df, name)
-    cuts = stored.agg(F.percentile_approx(seconds, [i / files for i in range(1, files)], 10_000)).first()[0] or []
-    moved = seconds + F.pmod(F.xxhash64(F.col(time)), F.lit(late))
+    cuts = stored.agg(F.percentile_approx(seconds, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    moved = seconds + F.pmod(F.xxhash64(F.col(time), *by), F.lit(late))
     number = sum([(moved > cut).cast("int") for cut in cuts], F.lit(0))
-    for i in range(files):
-        stored.filter(number == i).coalesce(1).write.mode("append").parquet(path)
+    for i in range(slices):
+        stored.filter(number == i).drop(*by).repartition(PARTS).write.mode("append").parquet(path)
+    stored = stored.drop(*by)
     closed(stored, time).filter(F.col(time) > stored.agg(F.max(time)).scalar()).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return path
+
+
+def slices_of(spark, path, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", PARTS).parquet(path)
+
+
+def shuffled_stream(df, name, time="ts", **options):
+    """Rows as a stream over four triggers, out of order between them."""
+    return slices_of(df.sparkSession, write_shuffled(df, name, time, **options), df.schema)
 
 
 def closed(df, time="ts"):
@@ -66,7 +81,7 @@ def stream_normalize_alerts(spark, folder):
 @query("select * from {rule_runs}")
 def stream_log_pattern_alerts(spark, folder):
     end = f"timestamp_ntz '{A.EVENT_AS_OF}' + interval '1' day"
-    stream = as_stream(closed(logs(spark, folder)), "logs")
+    stream = shuffled_stream(logs(spark, folder), "logs")
     found = jobs.run_available(jobs.log_pattern_alerts(stream), "pattern-alerts")
     return found.filter(f"run_at < {end}")
 
@@ -77,17 +92,20 @@ select time_bucket(interval '1 minute', ts) + interval '1 minute' as run_at, ser
 def stream_login_failure_alerts(spark, folder):
     end = f"timestamp_ntz '{A.EVENT_AS_OF}' + interval '1' day"
     found = logs(spark, folder).filter(F.contains(F.lower("message"), F.lit(C.LOGIN_PHRASE.lower())))
-    stream = as_stream(closed(found), "logs")
+    stream = shuffled_stream(found, "logs")
     rows = jobs.run_available(jobs.login_failure_alerts(stream), "login-alerts")
     return rows.filter(f"run_at < {end}").select("run_at", "serviceName", "errorMessage")
 
 
 @query("""
-select job, down_from, down_from + interval '1800' second as fired_at from {down_runs} where epoch_us(down_to) - epoch_us(down_from) >= 1800 * 1000000
+select 'resolved' as status, * from {down_alerts}
+union all
+select 'firing', alertname, job, down_from, null, null, fired_at, summary, description from {down_alerts}
 """)
 def stream_service_down_alerts(spark, folder):
-    stream = as_stream(M.samples(spark, folder, "up"), "samples")
-    return jobs.run_available(stateful.service_down_alerts(stream, 1800.0), "down-alerts")
+    """The batch rule's own SQL, over four triggers out of order; an outage fires once and is resolved once."""
+    stream = shuffled_stream(M.samples(spark, folder, "up"), "samples")
+    return jobs.run_available(stateful.service_down_alerts(stream, 1800.0, quiet=100 * 86400.0), "down-alerts")
 
 
 @query("select eval_ts, 'firing' as status, value, 'PaymentServiceBlockedPayments' as alertname from {blocked_alerts}")
@@ -109,17 +127,43 @@ select rule, 'inactive', run_at + interval '1 minute' from {rule_runs} r where n
 def stream_on_state_change(spark, folder):
     end = f"timestamp_ntz '{A.EVENT_AS_OF}' + interval '1' day"
     runs = rules.log_pattern_alerts(logs(spark, folder)).select("rule", "run_at")
-    stream = as_stream(closed(runs, "run_at"), "runs")
+    stream = shuffled_stream(runs, "runs", "run_at")
     return jobs.run_available(stateful.on_state_change(stream, 60.0), "state-changes").filter(f"changed_at < {end}")
 
 
 @query("select rule as \"group\", sent_at, kind, new_alerts from {notifications}")
 def stream_group_notifications(spark, folder):
+    end = f"timestamp_ntz '{A.EVENT_AS_OF}' + interval '1' day"
     hits = rules.log_rule_hits(logs(spark, folder)).select("rule", "ts")
-    later = hits.groupBy().agg(F.max("ts").alias("ts"))
-    closing = later.select(F.lit("closing").alias("rule"), (F.col("ts") + F.expr("interval '400' day")).alias("ts"))
-    sent = stateful.group_notifications(as_stream(hits.unionByName(closing), "hits"), "rule", 600.0, 1800.0, 7200.0, 3600.0)
-    return jobs.run_available(sent, "notifications").filter("group <> 'closing'")
+    sent = stateful.group_notifications(shuffled_stream(hits, "hits"), "rule", 600.0, 1800.0, 7200.0, 3600.0)
+    return jobs.run_available(sent, "notifications").filter(f"sent_at < {end}")
+
+
+@query("select event_id, rule, ts from {rule_hits}")
+def stream_first_hits(spark, folder):
+    """Rule hits of a source that delivers every log twice, the second time in another place."""
+    end = f"timestamp_ntz '{A.EVENT_AS_OF}' + interval '1' day"
+    twice = logs(spark, folder).withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    own = logs(spark, folder).schema
+    stream = slices_of(spark, write_shuffled(twice, "logs", by=["_copy"]), own)
+    found = jobs.run_available(jobs.first_hits(stream, "event_id"), "first-hits")
+    return found.filter(f"ts < {end}").select("event_id", "rule", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""
+select 'late-hits' as job, count(*) as dropped from {rule_hits} where date_trunc('day', ts) = (select date_trunc('day', min(ts)) from {logs})
+union all select 'hits', 0
+""")
+def stream_late_rows(spark, folder):
+    """Rows behind the watermark, counted per job: the first day's logs come once more when all is over."""
+    rows = logs(spark, folder)
+    first = rows.agg(F.date_trunc("day", F.min("ts"))).scalar()
+    with jobs.late_rows(spark) as counted:
+        jobs.run_available(jobs.first_hits(shuffled_stream(rows, "logs"), "event_id"), "hits")
+        path = write_shuffled(rows, "logs")
+        rows.filter(F.date_trunc("day", "ts") == first).repartition(PARTS).write.mode("append").parquet(path)
+        jobs.run_available(jobs.first_hits(slices_of(spark, path, rows.schema), "event_id"), "late-hits")
+        return counted.table(spark)
 
 
 @query("""
@@ -171,14 +215,16 @@ def alerts_to_results(spark, folder):
 
 @query(ALERT_RESULTS)
 def stream_alerts_to_incidents(spark, folder):
+    """Every document comes twice, over four triggers; each incident has one row in each table of the last version."""
     target, progress = scratch(spark, "incident-tables"), scratch(spark, "progress")
     _, known = _alert_logs(spark, folder)
     encoders = stage(features.fit_encoders(known), "encoders")
-    stream = as_stream(A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True), "payloads", files=4)
+    documents = A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True)
+    stream = as_stream(documents.unionByName(documents), "payloads", files=4)
     jobs.alerts_to_incidents(stream, target, progress, encoders, M2.fixed_model(spark), A.EVENT_AS_OF).awaitTermination()
-    marked = jobs.stored_batches(spark, target, "incidents").select("id", "alert_name", "trace_id")
-    parsed = jobs.stored_batches(spark, target, "parsed_logs").select(F.col("incident_id").alias("id"), "failure_type", "status_code")
-    results = jobs.stored_batches(spark, target, "anomaly_results").selectExpr("incident_id as id", *RESULT_COLUMNS)
+    marked = store.read(spark, target, "incidents").select(F.col("incident_id").alias("id"), "alert_name", "trace_id")
+    parsed = store.read(spark, target, "parsed_logs").select(F.col("incident_id").alias("id"), "failure_type", "status_code")
+    results = store.read(spark, target, "anomaly_results").selectExpr("incident_id as id", *RESULT_COLUMNS)
     return marked.join(parsed, "id").join(results, "id")
 
 
@@ -204,8 +250,7 @@ def stream_upsert(spark, folder):
         "incident_id", "changed_at", "seq", F.coalesce("status", F.lit("none")).alias("failure_type")
     )
     schema = "id bigint, incident_id bigint, failure_type string, created_at timestamp_ntz, updated_at timestamp_ntz"
-    for part in ("changed_at < timestamp_ntz '1999-01-01 00:00:00'", "changed_at >= timestamp_ntz '1999-01-01 00:00:00'"):
-        stream = as_stream(feed.filter(part), "feed")
-        own = scratch(spark, "progress")
-        jobs.upsert_stream(stream, path, schema, "incident_id", ["changed_at", "seq"], own, A.ORDER_AS_OF).awaitTermination()
-    return tables.read_version(spark, path).select("incident_id", "failure_type")
+    stream = shuffled_stream(feed, "feed", "changed_at", late=1)
+    own = scratch(spark, "progress")
+    jobs.upsert_stream(stream, path, schema, "incident_id", ["changed_at", "seq"], own, A.ORDER_AS_OF).awaitTermination()
+    return store.read(spark, path, "rows").select("incident_id", "failure_type")

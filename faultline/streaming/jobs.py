@@ -4,16 +4,18 @@ Stateless operators (parsing, normalisation, enrichment, routing) are the batch
 stream. Here are the jobs that need a watermark, a sink or several writes.
 """
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from faultline.operators import alerts, forest, keyed, parsing, rules
-from faultline.session import scratch
+from faultline.session import scratch, stage
 from faultline.sources import logs as sources
-from faultline.sources import tables
+from faultline.sources import store
 
 LATENESS = "5 minutes"
 
@@ -23,7 +25,8 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     spark = stream.sparkSession
     path, progress = scratch(spark, name), scratch(spark, f"{name}-progress")
     query = (
-        stream.writeStream.format("parquet")
+        stream.writeStream.queryName(name)
+        .format("parquet")
         .outputMode(mode)
         .option("path", path)
         .option("checkpointLocation", progress)
@@ -51,15 +54,14 @@ def ingest_logs(stream: DataFrame, table_path: str, lines_path: str, progress: s
 
 
 def upsert_stream(
-    stream: DataFrame, path: str, schema: str, key: str, order: list[str], progress: str, as_of=None
+    stream: DataFrame, path: str, schema: str, key: str, order: list[str], progress: str, as_of=None,
+    name: str = "rows", source: str = "stream",
 ) -> StreamingQuery:
-    """Keep a versioned table with one row per key; a repeated batch leads to the same rows."""
+    """Keep a stored table with one row per key: a batch rewrites the buckets it touches, a repeated one nothing."""
+    store.create(stream.sparkSession, path, {name: (schema, key)})
 
-    def work(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        current = tables.read_version(spark, path)
-        target = tables.empty_table(spark, schema) if current is None else current
-        tables.write_version(keyed.upsert_by_key(target, batch, key, order, as_of), path)
+    def work(batch: DataFrame, number: int) -> None:
+        store.commit(batch.sparkSession, path, {name: (batch, order)}, source, number, as_of)
 
     return for_each_batch(stream, work, progress)
 
@@ -103,27 +105,83 @@ def alerts_to_incidents(
     model: tuple[DataFrame, DataFrame] | None = None,
     as_of=None,
 ) -> StreamingQuery:
-    """Alert documents to incidents, parsed logs and anomaly results, each batch written to its own place.
+    """Alert documents to incidents, parsed logs and anomaly results, kept as one row per incident.
 
-    The batch number is the partition of every table, so a batch that runs again replaces itself.
+    A micro-batch commits all its tables as one version of the store in `folder`, so readers never see an incident
+    without its log. A document that comes again updates its rows, and a batch that runs again changes nothing.
     """
-
-    def work(batch: DataFrame, number: int) -> None:
-        rows = alerts.normalize_alerts(batch, as_of).persist()
-        parsed = parsing.parse_logs(alerts.parse_requests(rows))
-        marked = alerts.apply_parse_outcome(alerts.build_incidents(rows), parsed, as_of)
-        written = {"incidents": marked, "parsed_logs": parsed}
+    spark = payloads.sparkSession
+
+    def tables_of(batch: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stage) -> dict[str, DataFrame]:
+        rows = alerts.normalize_alerts(batch, as_of)
+        if "received_at" in rows.columns:
+            rows = keyed.latest_per_key(rows, ["alert_id"], ["received_at"])
+        rows = keep(rows, "alerts")
+        parsed = keep(parsing.parse_logs(alerts.parse_requests(rows)), "parsed-logs")
+        incidents = alerts.apply_parse_outcome(alerts.build_incidents(rows), parsed, as_of)
+        found = {"incidents": incidents.withColumn("incident_id", F.col("id")), "parsed_logs": parsed}
         if encoders is not None:
             results = forest.detect_anomalies(rows.select(F.col("alert_id").alias("incident_id")), parsed, encoders, model)
-            written["anomaly_results"] = results.filter("found").drop("found")
-        for name, table in written.items():
-            table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-        rows.unpersist()
+            found["anomaly_results"] = results.filter("found").drop("found")
+        return {name: _stored_shape(table) for name, table in found.items()}
+
+    def work(batch: DataFrame, number: int) -> None:
+        changes = {name: (table.withColumn("arrived", F.lit(0)), ["arrived"]) for name, table in tables_of(batch).items()}
+        store.commit(spark, folder, changes, "alerts", number, as_of)
 
+    empty = tables_of(spark.createDataFrame([], payloads.schema), lambda table, _: table)
+    store.create(spark, folder, {name: (_ddl(table), "incident_id") for name, table in empty.items()})
     return for_each_batch(payloads, work, progress)
 
 
-def stored_batches(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}").drop("batch")
+def _stored_shape(table: DataFrame) -> DataFrame:
+    """The rows with the columns that a stored table sets itself; an alert's own time stays as `opened_at`."""
+    own = [c for c in table.columns if c not in ("id", "created_at", "updated_at")]
+    opened = [F.col("created_at").alias("opened_at")] if "created_at" in table.columns else []
+    none = F.lit(None).cast("timestamp_ntz")
+    return table.select(*own, *opened, none.alias("created_at"), none.alias("updated_at"))
+
+
+def _ddl(table: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
+
+
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that jobs drop because they come behind the watermark."""
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.running: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(event.name or str(event.id), 0)
+        self.running.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        name = event.progress.name or str(event.progress.id)
+        late = sum(state.numRowsDroppedByWatermark for state in event.progress.stateOperators)
+        self.dropped[name] = self.dropped.get(name, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.running.discard(str(event.runId))
+
+    def table(self, spark: SparkSession, wait: float = 60.0) -> DataFrame:
+        """job, dropped of every job that has started; waits for the last reports of those that have ended."""
+        until = time.monotonic() + wait
+        while self.running and time.monotonic() < until:
+            time.sleep(0.05)
+        return spark.createDataFrame(sorted(self.dropped.items()), "job string, dropped bigint")
 
 
+@contextmanager
+def late_rows(spark: SparkSession) -> Iterator[LateRows]:
+    """Count late rows of the jobs that run inside."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)

@@ -1,6 +1,7 @@
 """Keyed state over streams: counter growth, outages, rule state changes, notification groups.
 
-State per key is one small row; samples of a micro-batch are sorted by time before they meet it.
+State per key is one small row. Rows are aggregated per key and moment and wait for the watermark before they meet it, so a hot key sends
+few rows, in order of time whatever the order of arrival.
 """
 
 import math
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from faultline import constants as C
 from faultline.functions.labels import series_key
 from faultline.operators.metrics import select_series
+from faultline.operators.rules import down_rules
 
 LATENESS = "5 minutes"
 
@@ -118,43 +120,86 @@ def blocked_payment_alerts(samples: DataFrame, window: float = 120.0, step: floa
 
 
 class Outage(StatefulProcessor):
-    """Pending, then firing once, while a job stays down."""
+    """Outages of one job, from closed seconds in order of time.
 
-    def __init__(self, pending: float):
-        self.pending = pending
+    An outage is pending until a sample at least `pending` seconds behind its first one is down, then firing. It is
+    reported once firing and once more, as resolved, when an up sample or `quiet` seconds without a sample end it. State
+    is one row: first and last down sample, their number, and whether it fires.
+    """
+
+    COLUMNS = ["job", "status", "down_from", "down_to", "samples"]
+
+    def __init__(self, pending: float, quiet: float):
+        self.pending, self.quiet = pending, quiet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.down = handle.getValueState("down", "since double, fired boolean")
+        self.handle = handle
+        self.down = handle.getValueState("down", "since bigint, last bigint, n bigint, firing boolean")
+
+    def _row(self, job: str, status: str, since: int, last: int | None, n: int | None) -> tuple:
+        return (job, status, pd.Timestamp(since, unit="us"), None if last is None else pd.Timestamp(last, unit="us"), n)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _sorted(rows, "ts")
-        since, fired = self.down.get() if self.down.exists() else (None, False)
+        batch = _sorted(rows, "second")
+        since, last, n, firing = self.down.get() if self.down.exists() else (None, None, 0, False)
         found = []
-        for stamp, value in zip(batch["ts"], batch["value"]):
-            at = _seconds(stamp)
-            if value != 0:
-                since, fired = None, False
+        for at, down in ((int(at), bool(down)) for second in zip(batch["at"], batch["down"]) for at, down in zip(*second)):
+            if since is not None and (not down or at - last > self.quiet * 1e6):
+                if firing:
+                    found.append(self._row(key[0], "resolved", since, last, n))
+                since, last, n, firing = None, None, 0, False
+            if not down:
                 continue
-            since = at if since is None else since
-            if not fired and at - since >= self.pending:
-                fired = True
-                found.append((key[0], _stamp(since), _stamp(since + self.pending)))
+            since, last, n = at if since is None else since, at, n + 1
+            if not firing and last - since >= self.pending * 1e6:
+                firing = True
+                found.append(self._row(key[0], "firing", since, None, None))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if since is None:
             self.down.clear()
         else:
-            self.down.update((since, fired))
-        yield pd.DataFrame(found, columns=["job", "down_from", "fired_at"])
+            self.down.update((since, last, n, firing))
+            self.handle.registerTimer(int(last / 1000 + self.quiet * 1000) + 1)
+        yield pd.DataFrame(found, columns=self.COLUMNS).astype({"samples": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        since, last, n, firing = self.down.get()
+        self.down.clear()
+        found = [self._row(key[0], "resolved", since, last, n)] if firing else []
+        yield pd.DataFrame(found, columns=self.COLUMNS).astype({"samples": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def service_down_alerts(samples: DataFrame, pending: float = 30.0) -> DataFrame:
-    """An alert as soon as a watched service has been down for the pending time."""
+def service_down_alerts(
+    samples: DataFrame, pending: float = 30.0, quiet: float = 86400.0, lateness: str = LATENESS
+) -> DataFrame:
+    """The batch rule over a stream: each outage of a watched service when it fires and when it is over.
+
+    The columns are those of the batch rule and `status`; a firing row has no end yet. Samples of one job and second are
+    put in order before they meet the state, and only behind the watermark, so late ones are in their place.
+    """
+    col, lit = F.col, F.lit
     jobs = [job for _, job, _ in C.DOWN_RULES]
-    up = samples.filter(F.col("metric") == "up").select(F.col("labels")["job"].alias("job"), "ts", "value")
-    return up.filter(F.col("job").isin(jobs)).groupBy("job").transformWithStateInPandas(
-        Outage(pending), "job string, down_from timestamp_ntz, fired_at timestamp_ntz", "append", "none"
+    up = samples.filter(col("metric") == "up").select(
+        col("labels")["job"].alias("job"), col("ts").cast("timestamp").alias("ts"), (col("value") == 0).alias("down")
+    ).filter(col("job").isin(jobs))
+    sample = F.struct(F.unix_micros("ts").alias("at"), "down")
+    seconds = up.withWatermark("ts", lateness).groupBy("job", F.window("ts", "1 second")).agg(
+        F.sort_array(F.collect_list(sample)).alias("samples"))
+    seconds = seconds.select("job", "window", F.unix_seconds("window.start").alias("second"), "samples.at", "samples.down")
+    found = seconds.groupBy("job").transformWithStateInPandas(
+        Outage(pending, quiet), "job string, status string, down_from timestamp_ntz, down_to timestamp_ntz, samples bigint",
+        "append", "eventTime",
+    )
+    rule = F.filter(down_rules(), lambda item: item["job"] == col("job"))[0]
+    fired = F.timestamp_micros(F.unix_micros(col("down_from").cast("timestamp")) + lit(round(pending * 1_000_000)))
+    return found.select(
+        "status", rule["alertname"].alias("alertname"), "job", "down_from", "down_to", "samples",
+        fired.cast("timestamp_ntz").alias("fired_at"), rule["summary"].alias("summary"),
+        F.concat(lit("Prometheus detected "), "job", lit(" as unavailable")).alias("description"),
     )
 
 
@@ -196,9 +241,12 @@ class Flip(StatefulProcessor):
 
 
 def on_state_change(active: DataFrame, every: float, lateness: str = LATENESS) -> DataFrame:
-    """Notifications when a rule starts and stops, from its active runs."""
-    runs = active.select("rule", F.col("run_at").cast("timestamp").alias("run_at"))
-    return runs.withWatermark("run_at", lateness).groupBy("rule").transformWithStateInPandas(
+    """Notifications when a rule starts and stops, from its active runs.
+
+    Runs of a rule are one row per time before they meet its state, and only behind the watermark."""
+    runs = active.select("rule", F.col("run_at").cast("timestamp").alias("run_at")).withWatermark("run_at", lateness)
+    once = runs.groupBy("rule", "run_at").agg(F.count("*").alias("n"))
+    return once.groupBy("rule").transformWithStateInPandas(
         Flip(every), "rule string, state string, changed_at timestamp_ntz", "append", "eventTime"
     )
 
@@ -258,7 +306,8 @@ class Notifier(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         start, seen, sent, waiting = self._load()
         found = []
-        for stamp in _sorted(rows, "ts")["ts"]:
+        batch = _sorted(rows, "ts")
+        for stamp, count in zip(batch["ts"], batch["n"]):
             at = _seconds(stamp)
             if start is not None and at - seen > self.lifetime:
                 found += self._send(key[0], start, seen, sent, waiting, math.inf)[0]
@@ -266,7 +315,7 @@ class Notifier(StatefulProcessor):
             start = at if start is None else start
             seen = at
             beat = max(0, math.ceil((at - start - self.wait) / self.interval))
-            waiting[beat] = waiting.get(beat, 0) + 1
+            waiting[beat] = waiting.get(beat, 0) + int(count)
         self._keep(start, seen, sent, waiting)
         yield pd.DataFrame(found, columns=self.COLUMNS)
 
@@ -295,9 +344,12 @@ def group_notifications(
     lifetime: float = 300.0,
     lateness: str = LATENESS,
 ) -> DataFrame:
-    """Notifications of one alert group per key, driven by event-time timers."""
-    rows = alerts.select(F.col(key).alias("group"), F.col("ts").cast("timestamp").alias("ts"))
-    return rows.withWatermark("ts", lateness).groupBy("group").transformWithStateInPandas(
+    """Notifications of one alert group per key, driven by event-time timers.
+
+    Alerts of a group are counted per time before they meet its state, and only behind the watermark."""
+    rows = alerts.select(F.col(key).alias("group"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
+    counted = rows.groupBy("group", "ts").agg(F.count("*").alias("n"))
+    return counted.groupBy("group").transformWithStateInPandas(
         Notifier(wait, interval, repeat, lifetime),
         "group string, sent_at timestamp_ntz, kind string, new_alerts bigint", "append", "eventTime",
     )
