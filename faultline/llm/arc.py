@@ -11,8 +11,9 @@ others refer to it and keep only their HTTP head. Payloads never travel between
 each task converts whole ARC files.
 
 A null payload is empty, a null URL is `unknown:`; blanks and non-ASCII characters in URLs are percent-encoded. A null
-key is kept as null, counts as the smallest and is never referred to by key. Repeated keys each give a record. Other
-columns are left out. A header line that cannot be read, or a record shorter than it says, raises an error.
+key is kept as null, counts as the smallest and is never referred to by key. Repeated keys each give a record. A page whose
+URL begins like a description's is a page; only the record at a file's start describes it. Other columns are left out. A task
+holds one record at a time, so a very long payload must fit in its memory. A header line that cannot be read, or a record shorter than it says, raises an error.
 """
 
 from __future__ import annotations
@@ -283,7 +284,7 @@ def to_warc(fields: dict[str, str], body: bytes, row: dict) -> bytes:
         "WARC-Payload-Digest": row["digest"],
     }
     parts = http_parts(body)
-    if fields["URL"].startswith("filedesc:"):
+    if row.get("offset") == 0:
         headers |= {"WARC-Type": "warcinfo", "Content-Type": "text/plain"}
         del headers["WARC-Target-URI"]
     elif parts:

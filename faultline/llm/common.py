@@ -13,40 +13,46 @@ from faultline.session import scratch, stage  # noqa: F401  (re-exported)
 
 #: Rows and bytes in one Arrow batch, so that a task holds a bounded piece of text besides its longest one.
 BATCH_ROWS = "512"
-BATCH_BYTES = str(8 << 20)
+BATCH_BYTES = str(2 << 20)
+#: Bytes of a row group of staged tables; a task that writes texts holds one.
+ROW_GROUP = str(16 << 20)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small; texts may be very long."""
+    """Keep Arrow batches and row groups small; texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("parquet.block.size", ROW_GROUP)
 
 
-def map_columns(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Apply `work` to each Arrow batch as a dict of Python lists (numpy arrays may come back)."""
+def map_columns(df: DataFrame, work: Callable, schema: str, per_task: bool = False) -> DataFrame:
+    """Apply `work` to each Arrow batch as a dict of Python lists (numpy arrays may come back).
+
+    With `per_task` it is called once in each task and returns the function; what that remembers ends with the task."""
     small_batches(df.sparkSession)
     types = df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target = to_arrow_schema(types)
+        target, apply = to_arrow_schema(types), work() if per_task else work
         for batch in batches:
-            out = work({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+            out = apply({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
             arrays = [pa.array(out[field.name], type=field.type) for field in target]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return df.mapInArrow(run, types)
 
 
-def keep_rows(df: DataFrame, columns: list[str], good: Callable[..., list[bool]]) -> DataFrame:
+def keep_rows(df: DataFrame, columns: list[str], good: Callable, per_task: bool = False) -> DataFrame:
     """The rows, whole, for which `good` (given those columns of a batch as lists) says so."""
     small_batches(df.sparkSession)
     types = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = good() if per_task else good
         for batch in batches:
-            yield batch.filter(pa.array(good(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in columns)), pa.bool_()))
+            yield batch.filter(pa.array(apply(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in columns)), pa.bool_()))
 
     return df.mapInArrow(run, types)
 

@@ -7,7 +7,9 @@ Nyström map of the kernel, kernel ridge regression in that map is fitted one la
 scored in batches by two matrix products: presence x landmarks x weights.
 
 Only labelled training rows are learned from: at most `per_language` distinct texts of each language, drawn by a
-hash of the text, so the fit is bounded however large the corpus. Whole texts are scored, block by block.
+hash of the text, so the fit is bounded however large the corpus. Of more than `LANGUAGES` values of `lang` those with most
+distinct training texts are learned, ties in their order; all together have at most `TRAINING` texts and `MARKS` landmarks (one of
+each at least), so labels of any kind bound neither the driver nor the model less. Whole texts are scored, block by block.
 
 A text that is null, empty or has no letter is `und` with score 0. Without any training text all is `und`. Repeated
 rows get equal results; other columns are left out.
@@ -26,8 +28,9 @@ from faultline.llm.common import keep_rows, map_columns, stage
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 PER_LANGUAGE, LANDMARKS, RIDGE = 400, 16, 1e-3
+LANGUAGES, TRAINING, MARKS = 100, 8000, 256
 #: Code points read at a time, and documents scored in one product.
-BLOCK, BATCH = 1 << 20, 128
+BLOCK, BATCH = 1 << 18, 128
 #: Steepness of the score over the lead of the best language.
 STEEP = 6.0
 UNKNOWN = "und"
@@ -86,7 +89,9 @@ def training(docs: DataFrame, held_out: Column, per_language: int) -> DataFrame:
     rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", F.xxhash64("text").alias("h"))
     texts = stage(rows.select("lang", "h").distinct(), "training")
-    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
+    per_language = max(1, min(per_language, TRAINING // max(1, len(counts))))
     if not counts:
         return map_columns(rows.select("lang", "text"), _packed, "lang string, bits binary")
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * per_language / n))])
@@ -114,6 +119,7 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float
     if not rows:
         return None
     names = sorted({lang for lang, _ in rows})
+    landmarks = max(1, min(landmarks, MARKS // len(names)))
 
     def sets(part: list[tuple[str, bytes]]) -> np.ndarray:
         x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in part]), axis=1).astype(np.float32)
@@ -169,11 +175,11 @@ def model_of(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learns from the rows not held out."""
-    model = model_of(docs.select("doc_id", "text", "lang"), per_language, landmarks)
+    sent = docs.sparkSession.sparkContext.broadcast(model_of(docs.select("doc_id", "text", "lang"), per_language, landmarks))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
 
     def work(cols):
-        langs, best = scores(cols.pop("text"), model)
+        langs, best = scores(cols.pop("text"), sent.value)
         return cols | {"lang_pred": langs, "score": best}
 
     return map_columns(rows, work, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -181,5 +187,5 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
 
 def known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows, whole, whose language is known with a score of at least `least`."""
-    model = model_of(docs.select("doc_id", "text", "lang"))
-    return keep_rows(docs, ["text"], lambda texts: [s >= least and name != UNKNOWN for name, s in zip(*scores(texts, model), strict=True)])
+    sent = docs.sparkSession.sparkContext.broadcast(model_of(docs.select("doc_id", "text", "lang")))
+    return keep_rows(docs, ["text"], lambda texts: [s >= least and name != UNKNOWN for name, s in zip(*scores(texts, sent.value), strict=True)])

@@ -208,7 +208,9 @@ def across(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
         import pyarrow as pa
 
         for group in _groups(batches):
-            node, sets = group["node"].to_numpy(), group["found"].to_pylist()
+            node, column = group["node"].to_numpy(), group["found"].combine_chunks()
+            # Sets are read where they lie in the batches.
+            sets = lambda i, column=column: np.frombuffer(column[i].as_buffer(), np.uint64)
             root = {c: c for c in group["component"].to_pylist()}
 
             def top(c, root=root):
@@ -218,10 +220,10 @@ def across(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
             component, out = group["component"].to_pylist(), []
             for r, others in _candidates(group):
-                p = np.frombuffer(sets[r], np.uint64)
+                p = sets(r)
                 for x in others.tolist():
                     a, b = top(component[r]), top(component[x])
-                    if a != b and linked(p, np.frombuffer(sets[x], np.uint64), percent):
+                    if a != b and linked(p, sets(x), percent):
                         root[a] = b
                         out.append((min(node[r], node[x]), max(node[r], node[x])))
             if out:

@@ -36,8 +36,9 @@ SAMPLE, STEPS, LEVELS, RARE, CHUNK = 6000, 200, 3, 2, 128
 SHRINK_WORDS, SHRINK_FORMS = 1e-2, 1e-5
 FORM_SCALE = 10.0
 KEEP = 0.85
-#: Tokens remembered per task, and code points of a text split at a time.
-REMEMBERED, BLOCK = 400_000, 1 << 20
+#: Tokens remembered in a task, and code points of a text split at a time.
+REMEMBERED, BLOCK = 100_000, 1 << 18
+BLANK = re.compile(r"\s")
 SIGNS = "".join(chr(i) for i in range(33, 128) if not chr(i).isalnum())
 PREFIXES = (4, 5, 6)
 FORMS = [(re.compile(p), r) for p, r in (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0"), ("[^\x00-\x7f]+", "a"), ("a+", "a"))]
@@ -62,16 +63,19 @@ def places(token: str) -> tuple[list[int], int]:
         for pattern, letter in FORMS:
             form = pattern.sub(letter, form)
     words = [_word_place(core)] + [_word_place(f"{core[:n]}*") for n in PREFIXES if len(core) >= n] if core else []
-    return words, _form_place(form[:64])
+    return words, _form_place(form)
 
 
 def tokens(text: str | None) -> tuple[int, set[str]]:
-    """(number of tokens, distinct tokens) of a whole text; a token across a block's end is seen in two parts."""
-    text, n, found = text or "", 0, set()
-    for at in range(0, len(text), BLOCK):
-        part = text[at : at + BLOCK].split()
+    """(number of tokens, distinct tokens) of a whole text, read in blocks that end between tokens."""
+    text, n, found, at = text or "", 0, set(), 0
+    while at < len(text):
+        blank = BLANK.search(text, at + BLOCK)
+        end = blank.start() if blank else len(text)
+        part = text[at:end].split()
         n += len(part)
         found.update(part)
+        at = end
     return n, found
 
 
@@ -248,17 +252,24 @@ def apply(docs: DataFrame, model, select: int = 2, keep: float = KEEP) -> DataFr
     weights, thresholds = model if model else (None, None)
     sent = spark.sparkContext.broadcast(weights)  # BUCKETS numbers, whatever the data
 
-    def work(cols):
-        texts = cols.pop("text")
+    def ungraded(cols):
+        n = len(cols.pop("text"))
+        return cols | {"expected_grade": [None] * n, "tail_probability": [1.0] * n, "kept": [True] * n}
+
+    def start():
         if sent.value is None:
-            return cols | {"expected_grade": [None] * len(texts), "tail_probability": [1.0] * len(texts), "kept": [True] * len(texts)}
-        known = _scores(sent.value)
-        score = np.array([known.score(t) for t in texts])
-        mean, tail = predict(score, thresholds, select)
-        return cols | {"expected_grade": mean, "tail_probability": tail, "kept": tail >= keep}
+            return ungraded
+        known = TokenScores(sent.value)
+
+        def work(cols):
+            score = np.array([known.score(t) for t in cols.pop("text")])
+            mean, tail = predict(score, thresholds, select)
+            return cols | {"expected_grade": mean, "tail_probability": tail, "kept": tail >= keep}
+
+        return work
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
-    return map_columns(docs, work, schema + ", expected_grade double, tail_probability double, kept boolean")
+    return map_columns(docs, start, schema + ", expected_grade double, tail_probability double, kept boolean", per_task=True)
 
 
 def good(docs: DataFrame, labels: DataFrame, select: int = 2, keep: float = KEEP) -> DataFrame:
@@ -268,19 +279,9 @@ def good(docs: DataFrame, labels: DataFrame, select: int = 2, keep: float = KEEP
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(texts):
+    def start():
         weights, thresholds = sent.value
-        known = _scores(weights)
-        return (predict(np.array([known.score(t) for t in texts]), thresholds, select)[1] >= keep).tolist()
-
-    return keep_rows(docs, ["text"], work)
-
-
-_KNOWN: list[TokenScores] = []
-
+        known = TokenScores(weights)
+        return lambda texts: (predict(np.array([known.score(t) for t in texts]), thresholds, select)[1] >= keep).tolist()
 
-def _scores(weights: np.ndarray) -> TokenScores:
-    """The table of token scores of this worker, kept while the weights stay the same."""
-    if not _KNOWN or _KNOWN[0].weights is not weights:
-        _KNOWN[:] = [TokenScores(weights)]
-    return _KNOWN[0]
+    return keep_rows(docs, ["text"], start, per_task=True)

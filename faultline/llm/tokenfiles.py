@@ -6,7 +6,7 @@ read with the index and one ranged read. The dictionary, trained on a bounded sa
 files under its hash.
 
 A null or empty text has only the end id. Repeated doc_ids are written each time; a null doc_id comes first. Other
-columns are left out. An empty table gives no files.
+columns are left out. An empty table gives no files. Very long texts are encoded whole; a task holds one with its ids.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from faultline.llm.bytebpe import byte_bpe
 from faultline.llm.common import SharedFile, cuts_of, filesystem, map_columns, open_shared, range_of, stage
 
-#: The dictionary is fitted on so many documents, drawn by a hash, and on so many ids of each.
-SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 8192, 65_536
+#: The dictionary is fitted on so many documents, drawn by a hash, and of longer ones on so many pieces, at hashed places of all
+#: their ids, that together have SAMPLE_IDS ids.
+SAMPLE, SAMPLE_IDS, PIECES, DICTIONARY_BYTES = 2000, 8192, 8, 65_536
 ROWS_PER_FILE = 8192
 FILES = pa.schema([("bucket", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("n_tokens", pa.int64())])
@@ -36,6 +37,18 @@ def serialized(ids: bytes, kind: str) -> bytes:
     return np.frombuffer(ids, "<u4").astype(kind).tobytes()
 
 
+def drawn_pieces(data: bytes, pieces: int, size: int) -> list[bytes]:
+    """The data when they are short, otherwise so many pieces of `size` bytes at places that a hash of the data draws.
+
+    Each piece lies in a part of its own, so all of the data can be drawn."""
+    if len(data) <= pieces * size:
+        return [data]
+    # Places are whole ids of four bytes.
+    rng, part = np.random.Generator(np.random.PCG64(zlib.crc32(data))), len(data) // pieces // 4
+    starts = [4 * (i * part + int(rng.integers(0, part - size // 4 + 1))) for i in range(pieces)]
+    return [data[at : at + size] for at in starts]
+
+
 def train_dictionary(docs: DataFrame, path: str, end_id: int, kind: str) -> bytes:
     """The dictionary's bytes; what is too little to train on serves as the dictionary itself."""
     import zstandard
@@ -49,13 +62,14 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, kind: str) -> byte
     def work(cols):
         bpe = byte_bpe(path)
         end = array("I", [end_id]).tobytes()
-        return {"ids": [serialized((bpe.encode(t) + end)[: 4 * SAMPLE_IDS], kind) for t in cols["text"]]}
+        found = [drawn_pieces(bpe.encode(t) + end, PIECES, 4 * SAMPLE_IDS // PIECES) for t in cols["text"]]
+        return {"ids": [serialized(piece, kind) for pieces in found for piece in pieces]}
 
     samples = sorted(r["ids"] for r in map_columns(drawn, work, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[:DICTIONARY_BYTES]
+        return b"".join(drawn_pieces(b"".join(samples), PIECES, DICTIONARY_BYTES // PIECES))
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
@@ -108,7 +122,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, rows_per_file: i
             yield pa.RecordBatch.from_pylist(done, schema=FILES)
 
     frames = map_columns(rows, compress, "bucket int, doc_id long, n_tokens long, frame binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(cuts) + 1)
     ordered = frames.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", F.crc32("frame"))
     files = stage(ordered.mapInArrow(store, "bucket int, file string, n_docs long, n_tokens long"), "token-files")
     # One row per file, at most as many as cuts_of allows.

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 4 << 20
+#: Bytes of one array operation.
+BLOCK = 256 << 10
 _RNG = np.random.Generator(np.random.PCG64(20240101))
 _TABLE = _RNG.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
