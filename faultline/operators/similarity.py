@@ -102,19 +102,37 @@ def distinct_signatures(keyed: DataFrame) -> DataFrame:
     return grouped.select("signature", "copies", "place", "content.*")
 
 
-def term_occurrences(documents: DataFrame, stop_words: Iterable[str]) -> DataFrame:
-    grams = ngrams_1_2(remove_stop_words(tokenize(F.col("text")), stop_words))
-    return documents.select("signature", "copies", F.explode(grams).alias("term"))
-
-
-def limit_vocabulary(occurrences: DataFrame, size: int = C.VOCABULARY) -> DataFrame:
-    """The most frequent terms of the corpus, ties in term order."""
-    counts = occurrences.groupBy("term").agg(F.sum("copies").alias("tf"))
-    return counts.orderBy(F.col("tf").desc(), "term").limit(size)
-
-
-def document_terms(occurrences: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def document_words(documents: DataFrame, stop_words: Iterable[str]) -> DataFrame:
+    """(signature, copies, words) of every document; stored, so a text is split once."""
+    words = remove_stop_words(tokenize(F.col("text")), stop_words)
+    return stage(documents.select("signature", "copies", words.alias("words")), "words")
+
+
+def limit_vocabulary(words: DataFrame, size: int = C.VOCABULARY) -> DataFrame:
+    """The most frequent words and pairs of the corpus, ties in term order.
+
+    Counted level by level: a pair occurs at most as often as each of its words. So pairs with a word that occurs less often
+    than the last of the `size` most frequent words cannot be among the terms, and only the others are shuffled.
+    """
+    col = F.col
+    single = words.select("copies", F.explode("words").alias("term")).groupBy("term").agg(F.sum("copies").alias("tf"))
+    single = stage(single, "words-counted")
+    top = single.orderBy(col("tf").desc()).limit(size).agg(F.min("tf").alias("tf"), F.count("*").alias("n")).first()
+    bound = top["tf"] if top["n"] == size else 0
+    frequent = single.filter(col("tf") >= bound)
+    following = F.slice("words", F.lit(2), F.size("words"))
+    pair = F.zip_with("words", following, lambda first, second: F.struct(first.alias("first"), second.alias("second")))
+    pairs = words.filter(F.size("words") > 1).select("copies", F.explode(pair).alias("p")).select("copies", "p.*")
+    for name in ("first", "second"):
+        pairs = pairs.join(frequent.select(col("term").alias(name)), name, "left_semi")
+    double = pairs.groupBy("first", "second").agg(F.sum("copies").alias("tf")).filter(col("tf") >= bound)
+    double = double.select(F.concat_ws(" ", "first", "second").alias("term"), "tf")
+    return frequent.unionByName(double).orderBy(col("tf").desc(), "term").limit(size)
+
+
+def document_terms(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Term counts per document, vocabulary terms only (the vocabulary has a fixed upper size)."""
+    occurrences = words.select("signature", "copies", F.explode(ngrams_1_2(F.col("words"))).alias("term"))
     kept = occurrences.join(F.broadcast(vocabulary.select("term")), "term")
     return kept.groupBy("signature", "copies", "term").agg(F.count("*").alias("count"))
 
@@ -155,8 +173,8 @@ def fit_vectors(
 ) -> DataFrame:
     """Documents with their vectors; a document without vocabulary terms has an empty one."""
     stop_words = default_stop_words() if stop_words is None else stop_words
-    occurrences = term_occurrences(documents, stop_words)
-    terms = stage(document_terms(occurrences, limit_vocabulary(occurrences, vocabulary_size)), "terms")
+    words = document_words(documents, stop_words)
+    terms = stage(document_terms(words, limit_vocabulary(words, vocabulary_size)), "terms")
     return documents.join(vectors(terms, idf_table(terms, documents)), "signature", "left")
 
 
@@ -250,10 +268,15 @@ def find_similar_incidents(
 ) -> DataFrame:
     """Ranked similar incidents (query_id, rank, similarity_score, candidate columns) per requested id."""
     keyed = signatures(incidents)
-    pool = has_signal(keyed)
-    asked = keyed.join(ids.select(F.col("incident_id").alias("id")), "id", "left_semi")
+    wanted_ids = ids.select(F.col("incident_id").alias("id")).distinct()
+    # What decides candidates and order, without texts; the texts of the best are fetched at the end.
+    known = F.coalesce(signal_of(keyed), F.lit(False)).alias("known")
+    narrow = stage(keyed.select("id", "signature", "resolved_at", "updated_at", known), "keys")
+    pool = narrow.filter("known").drop("known")
+    asked = narrow.join(wanted_ids, "id", "left_semi")
     # Requested incidents are compared whatever fields they have; candidates need a signal.
-    fitted = pool.unionByName(asked.filter(~signal_of(asked)))
+    unknown = keyed.filter(~signal_of(keyed)).join(wanted_ids, "id", "left_semi")
+    fitted = has_signal(keyed).unionByName(unknown)
     distinct = spread(stage(distinct_signatures(fitted), "signatures"))
     every = stage(fit_vectors(distinct, vocabulary_size, stop_words).drop("text"), "vectors")
     wanted = every.join(asked.select("signature").distinct(), "signature", "left_semi")
@@ -265,8 +288,7 @@ def find_similar_incidents(
 
     first = Window.partitionBy("signature").orderBy(*candidate_order())
     front = pool.join(matches.select("signature").distinct(), "signature", "left_semi")
-    front = front.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") <= k + 1)
-    front = front.drop("content", "copy")
+    front = front.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") <= k + 1).drop("copy")
     queries = asked.select(F.col("id").alias("query_id"), F.col("signature").alias("query_signature"))
     pairs = (
         queries.join(matches.select("query_signature", "signature", "score"), "query_signature")
@@ -277,7 +299,7 @@ def find_similar_incidents(
     ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     shown = ["incident_number", "alert_name", "service_name", "status", "severity"]
     nested = ["parsed_log"] if "parsed_log" in incidents.columns else []
-    return ranked.select(
+    return ranked.select("query_id", "rank", "id", "score").join(incidents, "id").select(
         "query_id", "rank", F.col("id").alias("incident_id"), *[c for c in shown if c in incidents.columns],
         F.col("score").alias("similarity_score"), "notes", "raw_log", *nested,
     )

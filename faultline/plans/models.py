@@ -10,6 +10,7 @@ from faultline.plans import adapters as A
 from faultline.plans.logs import parsed
 from faultline.plans.registry import MAPPINGS, query
 from faultline.session import scratch, spread, stage
+from faultline.sources import results as saved
 from faultline.sources import tables
 
 STOP_WORDS = ["the", "of", "and", "to", "in", "le", "la", "les", "des", "der", "die", "und", "el", "los", "de"]
@@ -317,7 +318,7 @@ def _documents(spark, folder):
 @query("select term, tf from {doc_vocabulary}")
 def limit_vocabulary(spark, folder):
     _, documents = _documents(spark, folder)
-    return similarity.limit_vocabulary(similarity.term_occurrences(documents, STOP_WORDS))
+    return similarity.limit_vocabulary(similarity.document_words(documents, STOP_WORDS))
 
 
 @query("select id, cast(len(words) as bigint) as words, md5(array_to_string(words, ' ')) as digest from {doc_words}")
@@ -331,16 +332,16 @@ def tokenize(spark, folder):
 @query("select term, round(ln((1 + (select count(*) from {doc_incidents})) / (1 + df)) + 1, 6) as idf, df from {doc_vocabulary}")
 def idf(spark, folder):
     _, documents = _documents(spark, folder)
-    occurrences = similarity.term_occurrences(documents, STOP_WORDS)
-    terms = stage(similarity.document_terms(occurrences, similarity.limit_vocabulary(occurrences)), "terms")
+    words = similarity.document_words(documents, STOP_WORDS)
+    terms = stage(similarity.document_terms(words, similarity.limit_vocabulary(words)), "terms")
     return similarity.idf_table(terms, documents).select("term", F.round("idf", 6).alias("idf"), "df")
 
 
 @query("select id, term, round(weight, 5) as weight from {doc_weights}")
 def tfidf(spark, folder):
     keyed, documents = _documents(spark, folder)
-    occurrences = similarity.term_occurrences(documents, STOP_WORDS)
-    terms = stage(similarity.document_terms(occurrences, similarity.limit_vocabulary(occurrences)), "terms")
+    words = similarity.document_words(documents, STOP_WORDS)
+    terms = stage(similarity.document_terms(words, similarity.limit_vocabulary(words)), "terms")
     weights = similarity.tfidf_l2(terms, similarity.idf_table(terms, documents))
     rows = keyed.select("id", "signature").join(weights, "signature")
     return rows.select("id", "term", F.round("weight", 5).alias("weight"))
@@ -364,6 +365,28 @@ def similarity_pairs(spark, folder):
     )
 
 
+MAPPINGS["doc_dots"] = """
+select a.id as q, b.id as c, sum(a.weight * b.weight) as dot from {doc_weights} a join {doc_weights} b on a.term = b.term group by 1, 2
+"""
+
+
+@query("""
+select query_id, incident_id, similarity_score from (
+  select *, row_number() over (partition by query_id order by similarity_score desc, resolved_at desc nulls first, updated_at desc nulls first, incident_id desc) as rank
+  from (select q.id as query_id, c.id as incident_id, c.resolved_at, c.updated_at,
+               round(least(1.0, coalesce(d.dot, 0)
+                 + case when q.service_name = c.service_name and q.service_name <> '' then 0.15 else 0 end
+                 + case when q.alert_name = c.alert_name and q.alert_name <> '' then 0.12 else 0 end
+                 + case when upper(c.status) = 'RESOLVED' and c.notes <> '' then 0.08 else 0 end), 4) as similarity_score
+        from {doc_incidents} q join {doc_incidents} c on q.id <> c.id left join {doc_dots} d on d.q = q.id and d.c = c.id))
+where rank <= 3
+""")
+def similar_to_all(spark, folder):
+    """The three best candidates of every incident."""
+    every = doc_incidents(spark, folder)
+    return similarity.similarity_pairs(every, every.select(F.col("id").alias("incident_id")), k=3, stop_words=STOP_WORDS)
+
+
 @query("""
 select a.id, round(case when a.service_name = b.service_name and a.service_name <> '' then 0.15 else 0 end
   + case when a.alert_name = b.alert_name and a.alert_name <> '' then 0.12 else 0 end
@@ -464,11 +487,26 @@ def resolution_from_notes(spark, folder):
     return rows.select("id", advice.resolution_from_notes(F.col("notes")).alias("steps"))
 
 
+MAPPINGS["doc_recommended"] = f"""
+select m.*, case when best_notes <> '' then 'The incident is similar to a previous ' || name || ' incident. The past notes indicate the same operational pattern.'
+                 else name || ' is showing an incident pattern that needs service and log review.' end as recommended_root_cause,
+       case when best_notes <> '' then trim(replace(best_notes, 'Resolution steps:', ''))
+            else 'Check container status for ' || name || '{C.FIX_DEFAULT[1].replace("'", "''")}' end as recommended_fix,
+       'Current service: ' || coalesce(nullif(service_name, ''), 'unknown') || chr(10) || 'Alert: ' || coalesce(nullif(alert_name, ''), 'unknown') || chr(10)
+         || 'Failure type: unknown' || chr(10) || 'Status code: unknown' || chr(10) || 'Best match: ' || cast(similar_incident_id as string)
+         || ' with score ' || regexp_replace(printf('%.4f', similarity_score), '(\\.[0-9]+?)0+$', '\\1') as evidence,
+       '{C.RULES_MODEL}' as model_used
+from (select r.query_id as incident_id, max(case when r.rank = 1 then r.incident_id end) as similar_incident_id,
+             max(case when r.rank = 1 then r.similarity_score end) as similarity_score,
+             string_agg(cast(r.incident_id as string), ',' order by r.rank) as listed,
+             coalesce(max(case when r.rank = 1 then r.notes end), '') as best_notes
+      from {{doc_ranked}} r where r.rank <= 3 group by 1) m
+join (select id, service_name, alert_name, coalesce(nullif(service_name, ''), 'affected service') as name from {{doc_incidents}}) i on i.id = m.incident_id
+"""
+
+
 @query("""
-select query_id as incident_id, max(case when rank = 1 then incident_id end) as similar_incident_id,
-       max(case when rank = 1 then similarity_score end) as similarity_score,
-       string_agg(cast(incident_id as string), ',' order by rank) as listed
-from {doc_ranked} where rank <= 3 group by 1
+select incident_id, similar_incident_id, similarity_score, listed, recommended_root_cause, recommended_fix, evidence from {doc_recommended}
 """)
 def recommend_root_causes(spark, folder):
     rows = recommend.recommend_root_causes(
@@ -476,10 +514,43 @@ def recommend_root_causes(spark, folder):
     )
     listed = F.transform("similar_incidents", lambda item: item["incident_id"].cast("string"))
     return rows.select(
-        "incident_id", "similar_incident_id", "similarity_score", F.concat_ws(",", listed).alias("listed")
+        "incident_id", "similar_incident_id", "similarity_score", F.concat_ws(",", listed).alias("listed"),
+        "recommended_root_cause", "recommended_fix", "evidence",
     )
 
 
+@query("""
+select incident_id, similar_incident_id, similarity_score, recommended_root_cause, model_used,
+       row_number() over (order by incident_id) as id from {doc_recommended}
+""")
+def save_recommendations(spark, folder):
+    """Recommendations kept by incident; the batch comes twice and is stored once."""
+    path = scratch(spark, "recommendations")
+    rows = stage(recommend.recommend_root_causes(doc_incidents(spark, folder), doc_queries(spark, folder), stop_words=STOP_WORDS), "results")
+    for _ in range(2):
+        saved.save_results(spark, path, "recommendations", rows, "answers", 0, A.ORDER_AS_OF)
+    return saved.saved_results(spark, path, "recommendations").select(
+        "incident_id", "similar_incident_id", "similarity_score", "recommended_root_cause", "model_used", "id")
+
+
+@query(f"""
+select incident_id, false as is_anomaly, case when is_anomaly then 0 else round(anomaly_score, 6) end as anomaly_score,
+       case when is_anomaly then '{C.REASON_UNTRAINED}' else '{C.REASON_NORMAL}' end as reason, row_number() over (order by incident_id) as id
+from {{fixed_scores}}
+""")
+def save_anomaly_results(spark, folder):
+    """Results of all incidents, then new ones of those that were flagged: one row each, with the first row's id."""
+    rows, path = stored_logs(spark, folder), scratch(spark, "results")
+    encoders = stage(features.fit_encoders(rows), "encoders")
+    first = stage(forest.detect_anomalies(rows.select("incident_id"), rows, encoders, fixed_model(spark)), "first-results")
+    flagged = first.filter("is_anomaly").select("incident_id")
+    second = forest.detect_anomalies(flagged, rows, encoders, None)
+    for number, found in enumerate((first, second)):
+        saved.save_results(spark, path, "anomaly_results", found, "detection", number, A.ORDER_AS_OF)
+    return saved.saved_results(spark, path, "anomaly_results").select(
+        "incident_id", "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score"), "reason", "id")
+
+
 @query("""
 select i.id as incident_id, md5('You are helping an incident analyst. Use the current incident and similar past notes. Return two short sections exactly named ''Root cause:'' and ''Recommended fix:''.'
   || chr(10) || chr(10) || 'Current incident:' || chr(10)
