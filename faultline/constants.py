@@ -195,7 +195,6 @@ DOWN_RULES = [
     ("PaymentServiceDown", "payment-service", "Payment service is down"),
     ("TransactionServiceDown", "transaction-service", "Transaction service is down"),
 ]
-BLOCKED_ALERT = "PaymentServiceBlockedPayments"
 BLOCKED_LABELS = {
     "alertname": "PaymentServiceBlockedPayments",
     "severity": "critical",
@@ -230,7 +229,30 @@ ACCOUNT_MISSING = "Account not found"
 ACCOUNT_INACTIVE = "Account is not active"
 ACCOUNT_OVERDRAWN = "Insufficient balance"
 ACCOUNT_UPDATED = "Balance updated successfully"
-PASSWORD_REQUIRED = "Password is required"
+
+# --- fixed values: texts, tones and labels that are shown ------------------------------------------------
+UNTITLED = "Untitled incident"
+NO_RAW_LOG = "Raw log not available"
+NOT_AVAILABLE = "Not available"
+UNKNOWN_TEXT = "unknown"
+UNSUPPORTED_STATUS = "Unsupported incident status: "
+LOCAL_FORMAT = "dd/MM/yyyy, HH:mm:ss"
+EVIDENCE_LINES = ("Current service: ", "Alert: ", "Failure type: ", "Status code: ")
+BEST_MATCH = ("Best match: ", " with score ")
+PROMPT_CURRENT = "\n\nCurrent incident:\n"
+PROMPT_SIMILAR = "\n\nSimilar past incidents:\n"
+PROMPT_ITEM = ("Incident ", " score=", "\nNotes:\n")
+PROMPT_NO_NOTES = "No notes available"
+PROMPT_NO_SIMILAR = "No similar incidents found."
+SEVERITY_TONES = {"CRITICAL": "critical", "HIGH": "critical", "ERROR": "critical", "WARNING": "warning", "MEDIUM": "warning", "WARN": "warning"}
+SEVERITY_TONE = "info"
+PARSER_TONES = {"COMPLETED": "healthy", "FAILED": "critical"}
+PARSER_TONE = "warning"
+STATUS_TONES = {"RESOLVED": "healthy", "FAILED": "critical", "ACKNOWLEDGED": "warning"}
+STATUS_TONE = "neutral"
+# not checked, anomaly, normal
+ANOMALY_LABELS = ("Not checked", "Anomaly", "Normal")
+ANOMALY_TONES = ("neutral", "critical", "healthy")
 
 # --- fixed values: dashboard bands and ranks ------------------------------------------------------------
 MTTR_BANDS = [(None, "green"), (15, "yellow"), (45, "red")]

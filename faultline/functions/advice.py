@@ -77,30 +77,25 @@ def build_evidence(
     code = F.when(status != 0, status.cast("string"))
     best = F.when(
         best_name.isNotNull(),
-        F.concat(F.lit("Best match: "), best_name, F.lit(" with score "), score_text(best_score)),
+        F.concat(F.lit(C.BEST_MATCH[0]), best_name, F.lit(C.BEST_MATCH[1]), score_text(best_score)),
     ).otherwise(F.lit(C.NO_MATCH_LINE))
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("Current service: "), text_or(service, "unknown")),
-        F.concat(F.lit("Alert: "), text_or(alert, "unknown")),
-        F.concat(F.lit("Failure type: "), text_or(failure, "unknown")),
-        F.concat(F.lit("Status code: "), F.coalesce(code, F.lit("unknown"))),
-        best,
-    )
+    shown = [text_or(value, C.UNKNOWN_TEXT) for value in (service, alert, failure)]
+    shown.append(F.coalesce(code, F.lit(C.UNKNOWN_TEXT)))
+    return F.concat_ws("\n", *[F.concat(F.lit(head), value) for head, value in zip(C.EVIDENCE_LINES, shown)], best)
 
 
 def build_prompt(current: Column, similar: Column) -> Column:
     """Analyst prompt from the incident text and its ranked similar incidents (array of structs)."""
+    head, score, notes = C.PROMPT_ITEM
     lines = F.transform(
         similar,
         lambda item: F.concat(
-            F.lit("Incident "), F.coalesce(empty_to_null(item["incident_number"]), item["incident_id"].cast("string")),
-            F.lit(" score="), score_text(item["similarity_score"]),
-            F.lit("\nNotes:\n"), text_or(item["notes"], "No notes available"),
+            F.lit(head), F.coalesce(empty_to_null(item["incident_number"]), item["incident_id"].cast("string")),
+            F.lit(score), score_text(item["similarity_score"]),
+            F.lit(notes), text_or(item["notes"], C.PROMPT_NO_NOTES),
         ),
     )
     return F.concat(
-        F.lit(C.PROMPT_HEAD), F.lit("\n\nCurrent incident:\n"), current,
-        F.lit("\n\nSimilar past incidents:\n"),
-        text_or(F.concat_ws("\n\n", lines), "No similar incidents found."),
+        F.lit(C.PROMPT_HEAD), F.lit(C.PROMPT_CURRENT), current,
+        F.lit(C.PROMPT_SIMILAR), text_or(F.concat_ws("\n\n", lines), C.PROMPT_NO_SIMILAR),
     )

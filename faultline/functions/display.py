@@ -6,44 +6,37 @@ from pyspark.sql import functions as F
 from faultline import constants as C
 from faultline.functions.text import empty_to_null, strip
 
-LOCAL_FORMAT = "dd/MM/yyyy, HH:mm:ss"
-NOT_AVAILABLE = "Not available"
-
 
 def _name(text: Column) -> Column:
     return F.upper(strip(text))
 
 
+def _tone(text: Column, tones: dict[str, str], other: str) -> Column:
+    return F.coalesce(rank_of(_name(text), tones), F.lit(other))
+
+
 def severity_tone(severity: Column) -> Column:
-    name = _name(severity)
-    return (
-        F.when(name.isin("CRITICAL", "HIGH", "ERROR"), "critical")
-        .when(name.isin("WARNING", "MEDIUM", "WARN"), "warning")
-        .otherwise("info")
-    )
+    return _tone(severity, C.SEVERITY_TONES, C.SEVERITY_TONE)
 
 
 def parser_tone(status: Column) -> Column:
-    name = _name(status)
-    return F.when(name == "COMPLETED", "healthy").when(name == "FAILED", "critical").otherwise("warning")
+    return _tone(status, C.PARSER_TONES, C.PARSER_TONE)
 
 
 def status_tone(status: Column) -> Column:
-    name = _name(status)
-    return (
-        F.when(name == "RESOLVED", "healthy")
-        .when(name == "FAILED", "critical")
-        .when(name == "ACKNOWLEDGED", "warning")
-        .otherwise("neutral")
-    )
+    return _tone(status, C.STATUS_TONES, C.STATUS_TONE)
+
+
+def _checked(texts: tuple[str, str, str], checked: Column, is_anomaly: Column) -> Column:
+    return F.when(~checked, texts[0]).when(is_anomaly, texts[1]).otherwise(texts[2])
 
 
 def anomaly_label(checked: Column, is_anomaly: Column) -> Column:
-    return F.when(~checked, "Not checked").when(is_anomaly, "Anomaly").otherwise("Normal")
+    return _checked(C.ANOMALY_LABELS, checked, is_anomaly)
 
 
 def anomaly_tone(checked: Column, is_anomaly: Column) -> Column:
-    return F.when(~checked, "neutral").when(is_anomaly, "critical").otherwise("healthy")
+    return _checked(C.ANOMALY_TONES, checked, is_anomaly)
 
 
 def display_incident_number(number: Column, key: Column) -> Column:
@@ -63,11 +56,11 @@ def local_day(ts: Column, zone: str = C.LOCAL_ZONE) -> Column:
 
 
 def format_local(ts: Column, zone: str = C.LOCAL_ZONE) -> Column:
-    return F.coalesce(F.date_format(local_time(ts, zone), LOCAL_FORMAT), F.lit(NOT_AVAILABLE))
+    return F.coalesce(F.date_format(local_time(ts, zone), C.LOCAL_FORMAT), F.lit(C.NOT_AVAILABLE))
 
 
-def rank_of(value: Column, ranks: dict[str, int]) -> Column:
-    """Rank from a fixed map; values the map does not name give null."""
+def rank_of(value: Column, ranks: dict) -> Column:
+    """Entry of a fixed map; values the map does not name give null."""
     pairs = [F.lit(item) for pair in ranks.items() for item in pair]
     return F.try_element_at(F.create_map(*pairs), value)
 

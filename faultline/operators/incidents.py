@@ -101,7 +101,7 @@ def valid_scenarios(updates: DataFrame) -> DataFrame:
     return updates.withColumns(
         {
             "valid": ~F.coalesce(wrong, F.lit(False)),
-            "reject_reason": F.when(wrong, F.concat(F.lit("Unsupported incident status: "), "status")),
+            "reject_reason": F.when(wrong, F.concat(F.lit(C.UNSUPPORTED_STATUS), "status")),
         }
     )
 
@@ -347,7 +347,7 @@ def incident_list_view(incidents: DataFrame, anomalies: DataFrame) -> DataFrame:
     return incident_anomaly_join(incidents, anomalies).select(
         "id",
         D.display_incident_number(col("incident_number"), col("id")).alias("number"),
-        text_or(col("alert_name"), "Untitled incident").alias("alert_name"),
+        text_or(col("alert_name"), C.UNTITLED).alias("alert_name"),
         D.format_local(col("created_at")).alias("created"),
         text_or(col("service_name"), C.DEFAULT_SERVICE).alias("service_name"),
         text_or(col("status"), "OPEN").alias("status"),
@@ -359,7 +359,7 @@ def incident_list_view(incidents: DataFrame, anomalies: DataFrame) -> DataFrame:
         "anomaly_label", "anomaly_tone",
         F.format_string("%.2f", "anomaly_score").alias("_score"),
         "anomaly_score",
-        text_or(col("trace_id"), D.NOT_AVAILABLE).alias("trace_id"),
+        text_or(col("trace_id"), C.NOT_AVAILABLE).alias("trace_id"),
     ).withColumn("anomaly_score", F.when(col("anomaly_score").isNotNull(), col("_score"))).drop("_score")
 
 
@@ -370,14 +370,14 @@ def incident_detail_view(
     col = F.col
 
     def shown(value: Column) -> Column:
-        return F.coalesce(value.cast("string"), F.lit(D.NOT_AVAILABLE))
+        return F.coalesce(value.cast("string"), F.lit(C.NOT_AVAILABLE))
 
     rows = incidents_with_parsed_logs(incidents, parsed)
     rows = incident_recommendation_join(incident_anomaly_join(rows, anomalies), recommendations)
     listed = col("status").isin(C.MANUAL_STATUSES)
     return rows.select(
         "id",
-        text_or(col("alert_name"), "Untitled incident").alias("title"),
+        text_or(col("alert_name"), C.UNTITLED).alias("title"),
         F.concat(
             text_or(col("service_name"), C.DEFAULT_SERVICE), F.lit(" | "), D.format_local(col("created_at"))
         ).alias("meta"),
@@ -387,7 +387,7 @@ def incident_detail_view(
         text_or(col("parser_status"), "PENDING").alias("parser_status"),
         text_or(col("parser_message"), "No parser message available.").alias("parser_message"),
         text_or(col("trace_id"), "Trace id not available").alias("trace_id"),
-        text_or(col("raw_log"), "Raw log not available").alias("raw_log"),
+        text_or(col("raw_log"), C.NO_RAW_LOG).alias("raw_log"),
         text_or(col("notes"), "").alias("notes"),
         D.format_local(col("updated_at")).alias("updated"),
         D.format_local(col("parsed_at")).alias("parsed"),
@@ -401,7 +401,7 @@ def incident_detail_view(
         shown(col("parsed_log.error_message")).alias("error_message"),
         "anomaly_label",
         F.when(col("anomaly_score").isNotNull(), F.format_string("%.3f", "anomaly_score"))
-        .otherwise(F.lit(D.NOT_AVAILABLE)).alias("anomaly_score"),
+        .otherwise(F.lit(C.NOT_AVAILABLE)).alias("anomaly_score"),
         shown(col("anomaly_reason")).alias("anomaly_reason"),
         text_or(col("anomaly_model"), "Isolation Forest").alias("anomaly_model"),
         "has_recommendation",

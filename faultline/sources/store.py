@@ -19,56 +19,29 @@ from pyspark.sql import functions as F
 
 from faultline.operators import keyed
 from faultline.session import stage
+from faultline.sources import files
 
 BUCKETS = 32
 BUCKET = "_bucket"
 MANIFESTS, DATA = "manifests", "data"
 
 
-def _fs(spark: SparkSession, path: str):
-    """(file system, path object) of a path."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    fs, place = _fs(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
-
-
-def _write_new(spark: SparkSession, path: str, text: str) -> None:
-    """Create a file; fails if it exists, which is what tells a second writer that it came too late."""
-    fs, place = _fs(spark, path)
-    out = fs.create(place, False)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def _read(spark: SparkSession, path: str) -> str:
-    fs, place = _fs(spark, path)
-    stream = fs.open(place)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
 def versions(spark: SparkSession, path: str) -> list[int]:
-    return [int(name.removesuffix(".json")) for name in _names(spark, f"{path}/{MANIFESTS}") if name.endswith(".json")]
+    return [int(name.removesuffix(".json")) for name in files.names(spark, f"{path}/{MANIFESTS}") if name.endswith(".json")]
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
     """The newest (or a given) manifest; one that is still being written is passed over."""
     for number in [version] if version is not None else reversed(versions(spark, path)):
         try:
-            return json.loads(_read(spark, f"{path}/{MANIFESTS}/{number:012d}.json"))
+            return json.loads(files.read(spark, f"{path}/{MANIFESTS}/{number:012d}.json"))
         except json.JSONDecodeError:
             continue
     return None
 
 
 def _commit(spark: SparkSession, path: str, state: dict) -> int:
-    _write_new(spark, f"{path}/{MANIFESTS}/{state['version']:012d}.json", json.dumps(state, sort_keys=True))
+    files.write_new(spark, f"{path}/{MANIFESTS}/{state['version']:012d}.json", json.dumps(state, sort_keys=True))
     return state["version"]
 
 
@@ -133,12 +106,10 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
     kept = [manifest(spark, path, n) for n in numbers[-keep:]]
     used = {place for state in kept for table in state["tables"].values() for place in table["files"].values()}
     for n in numbers[:-keep]:
-        fs, place = _fs(spark, f"{path}/{MANIFESTS}/{n:012d}.json")
-        fs.delete(place, False)
+        files.remove(spark, f"{path}/{MANIFESTS}/{n:012d}.json")
     gone = 0
-    for write in _names(spark, f"{path}/{DATA}"):
-        for bucket in _names(spark, f"{path}/{DATA}/{write}"):
+    for write in files.names(spark, f"{path}/{DATA}"):
+        for bucket in files.names(spark, f"{path}/{DATA}/{write}"):
             if bucket.startswith(f"{BUCKET}=") and f"{DATA}/{write}/{bucket}" not in used:
-                fs, place = _fs(spark, f"{path}/{DATA}/{write}/{bucket}")
-                gone += fs.delete(place, True)
+                gone += files.remove(spark, f"{path}/{DATA}/{write}/{bucket}")
     return gone

@@ -3,9 +3,8 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from faultline import schemas
+from faultline.sources import files
 
 POINTER = "_current"
 
@@ -31,33 +30,29 @@ def write_version(df: DataFrame, path: str, partition_by: list[str] = []) -> str
 
     Readers keep the version they opened; a failed or repeated write leaves the old one in place.
     """
-    version = uuid.uuid4().hex
+    version, start = uuid.uuid4().hex, _number(df.sparkSession, path)
     df.write.partitionBy(*partition_by).parquet(f"{path}/{version}")
-    return _point(df.sparkSession, path, version)
+    return _point(df.sparkSession, path, version, start)
 
 
-def _point(spark: SparkSession, path: str, version: str) -> str:
-    """Make a written version the current one: the pointer with the highest number wins, whatever the clocks say."""
-    number = (_newest(spark, path) or (0, None))[0] + 1
-    one = spark.range(1).select(F.lit(version).alias("version"), F.lit(number).cast("bigint").alias("number"))
-    one.coalesce(1).write.mode("append").parquet(f"{path}/{POINTER}")
+def _point(spark: SparkSession, path: str, version: str, start: int | None = None) -> str:
+    """Make a written version the current one: the pointer with the highest number wins, whatever the clocks say.
+
+    A number is given once: of two writers that start from the same version the second fails.
+    """
+    number = (_number(spark, path) if start is None else start) + 1
+    files.write_new(spark, f"{path}/{POINTER}/{number:012d}", version)
     return version
 
 
-def _newest(spark: SparkSession, path: str) -> tuple[int, str] | None:
-    try:
-        pointers = spark.read.schema("version string, number bigint").parquet(f"{path}/{POINTER}")
-        row = pointers.agg(F.max("number").alias("number"), F.max_by("version", "number").alias("version")).first()
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    return (row["number"], row["version"])
+def _number(spark: SparkSession, path: str) -> int:
+    """Number of the newest pointer, 0 without one."""
+    return max(map(int, files.names(spark, f"{path}/{POINTER}")), default=0)
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
-    found = _newest(spark, path)
-    return found and found[1]
+    number = _number(spark, path)
+    return files.read(spark, f"{path}/{POINTER}/{number:012d}") if number else None
 
 
 def read_version(spark: SparkSession, path: str, version: str | None = None) -> DataFrame | None:
@@ -68,10 +63,10 @@ def read_version(spark: SparkSession, path: str, version: str | None = None) ->
 
 def save_model(path: str, encoders: DataFrame, nodes: DataFrame, params: DataFrame) -> str:
     """Write all parts of a model under one version, then switch one pointer, so no reader mixes two models."""
-    version = uuid.uuid4().hex
+    version, start = uuid.uuid4().hex, _number(encoders.sparkSession, path)
     for name, table in (("encoders", encoders), ("nodes", nodes), ("params", params)):
         table.write.parquet(f"{path}/{version}/{name}")
-    return _point(encoders.sparkSession, path, version)
+    return _point(encoders.sparkSession, path, version, start)
 
 
 def load_model(spark: SparkSession, path: str):
@@ -85,7 +80,3 @@ def load_model(spark: SparkSession, path: str):
 
 def empty_table(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
-
-
-def empty_results(spark: SparkSession) -> DataFrame:
-    return empty_table(spark, schemas.ANOMALY_RESULT)
