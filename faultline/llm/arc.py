@@ -4,7 +4,8 @@ An ARC record is a header line and as many bytes as the line's last field says.
 it and names the version; version 2 lines carry five more fields. Each record becomes a WARC record with what ARC lacks:
 an identifier made of the record's own facts (the same on every run), a W3C date, a type (warcinfo for the description,
 response for HTTP answers, resource for the rest, revisit for payloads stored elsewhere) and digests of block and
-payload. Records are gzip members of their own, so one can be read by its offset.
+payload. Records are gzip members of their own, so one can be read by its offset; plain files, in which one record follows
+the other, are read as well.
 
 Of HTTP answers with equal payloads of at least `REVISIT_BYTES` bytes the one with the largest key is the response; the
 others refer to it and keep only their HTTP head. Payloads never travel between tasks: only digests are joined, and
@@ -43,6 +44,7 @@ FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 PRINTABLE = "".join(chr(i) for i in range(33, 127))
 KEY = "X-Record-Key"
+GZIP = b"\x1f\x8b"
 
 
 def member(data: bytes) -> bytes:
@@ -69,6 +71,37 @@ def members(file) -> Iterator[tuple[int, int, bytes]]:
         at += used
 
 
+def plain_records(file) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, size, content) of each record of a file that is not compressed."""
+    at, end = 0, file.size()
+    while at < end:
+        line = b""
+        while b"\n" not in line and at + len(line) < end:
+            line += file.read_at(min(4096, end - at - len(line)), at + len(line))
+        head = line.partition(b"\n")[0]
+        if not head:  # the line end behind a body
+            at += 1
+            continue
+        length = head.rsplit(b" ", 1)[-1]
+        if not length.isdigit():
+            raise ValueError(f"no ARC header line: {head[:200]!r}")
+        size = len(head) + 1 + int(length)
+        if at + size > end:
+            raise ValueError("the last record is cut off")
+        yield at, size, file.read_at(size, at)
+        at += size
+
+
+def records_of(file) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, stored size, content) of each record, compressed or not."""
+    return members(file) if file.read_at(min(2, file.size()), 0) == GZIP else plain_records(file)
+
+
+def stored(data: bytes) -> bytes:
+    """The content of a record as it lies in its file."""
+    return zlib.decompress(data, 31) if data.startswith(GZIP) else data
+
+
 def arc_record(version: int, url: str, date: str, kind: str, body: bytes, status: int, name: str, offset: int) -> bytes:
     values = {
         "URL": url, "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": kind, "Result-code": str(status),
@@ -214,7 +247,7 @@ def scan_arc(archives: DataFrame, folder: str) -> DataFrame:
     def each(row):
         with open_shared(folder, row["archive"]) as file:
             version = None
-            for offset, size, data in members(file):
+            for offset, size, data in records_of(file):
                 fields, body = parse_record(data, version)
                 if version is None:
                     version = version_of(body)
@@ -263,8 +296,8 @@ def convert(decided: DataFrame, folder: str) -> DataFrame:
                         yield done()
                     archive, count = row["archive"], 0
                     file = open_shared(folder, archive)
-                    out = SharedFile(folder, archive.removesuffix(".arc.gz"), ".warc.gz")
-                data = zlib.decompress(file.read_at(row["size"], row["offset"]), 31)
+                    out = SharedFile(folder, archive.removesuffix(".gz").removesuffix(".arc"), ".warc.gz")
+                data = stored(file.read_at(row["size"], row["offset"]))
                 fields, body = parse_record(data, row["version"])
                 out.write(member(to_warc(fields, body, row)))
                 count += 1

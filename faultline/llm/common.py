@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,26 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("parquet.block.size", ROW_GROUP)
 
 
+def release() -> None:
+    """Give memory that is free back to the system; a Python worker outlives its tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same work on batches, with free memory given back when its task ends."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return work
+
+
 def map_columns(df: DataFrame, work: Callable, schema: str, per_task: bool = False) -> DataFrame:
     """Apply `work` to each Arrow batch as a dict of Python lists (numpy arrays may come back).
 
@@ -41,7 +62,7 @@ def map_columns(df: DataFrame, work: Callable, schema: str, per_task: bool = Fal
             arrays = [pa.array(out[field.name], type=field.type) for field in target]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return df.mapInArrow(run, types)
+    return df.mapInArrow(tidy(run), types)
 
 
 def keep_rows(df: DataFrame, columns: list[str], good: Callable, per_task: bool = False) -> DataFrame:
@@ -54,7 +75,7 @@ def keep_rows(df: DataFrame, columns: list[str], good: Callable, per_task: bool
         for batch in batches:
             yield batch.filter(pa.array(apply(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in columns)), pa.bool_()))
 
-    return df.mapInArrow(run, types)
+    return df.mapInArrow(tidy(run), types)
 
 
 def without(df: DataFrame, key: str, gone: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -30,7 +30,7 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE, LANDMARKS, RIDGE = 400, 16, 1e-3
 LANGUAGES, TRAINING, MARKS = 100, 8000, 256
 #: Code points read at a time, and documents scored in one product.
-BLOCK, BATCH = 1 << 18, 128
+BLOCK, BATCH = 1 << 18, 32
 #: Steepness of the score over the lead of the best language.
 STEEP = 6.0
 UNKNOWN = "und"

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import map_columns, small_batches, stage, without
+from faultline.llm.common import map_columns, small_batches, stage, tidy, without
 from faultline.llm.components import components
 from faultline.llm.words import BLANKS, hashed_words, mix, shingle_set
 
@@ -230,13 +230,13 @@ def across(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int64()) for n in (0, 1)], names=["a", "b"])
 
     sorted_rows = blocked(members).repartition(*order).sortWithinPartitions(*order)
-    named = stage(sorted_rows.mapInArrow(involved, key), "involved")
+    named = stage(sorted_rows.mapInArrow(tidy(involved), key), "involved")
     n = named.count()
     if not n:
         return named.select(F.col("node").alias("a"), F.col("node").alias("b"))
     found = sets_of(named.select("node").distinct(), n, docs, k)
     full = named.join(found.dropDuplicates(["node"]), "node").select(*order, "own", "node", "component", "sig", "bands", "found")
-    return full.repartition(*order).sortWithinPartitions(*order).mapInArrow(join, "a long, b long").distinct()
+    return full.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(join), "a long, b long").distinct()
 
 
 def _star(rows: DataFrame) -> DataFrame:

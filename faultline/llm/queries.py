@@ -37,7 +37,7 @@ def op2_tree_bpe(spark, sf_dir):
     from faultline.llm import treebpe
 
     encoded = treebpe.encode(table(spark, sf_dir, "documents"), byte_bpe_path())
-    return treebpe.digests(treebpe.decode(encoded, byte_bpe_path()))
+    return treebpe.decoded_digests(encoded, byte_bpe_path())
 
 
 @query

@@ -6,6 +6,10 @@ distinct shingles.
 
 Words are pieces between white space, lower-cased; fewer than `k` words are one shingle. A null or empty text, or one
 of white space, has an empty sketch; two empty sketches resemble each other fully, an empty and another one not at all.
+Repeated rows and texts have equal sketches each on their own. A very long text is split whole: its words and their hashes lie in
+arrays of one row, so it must fit a task. The next document is found in ranges of doc_ids; rows that share a doc_id lie in one
+range, in the order of a hash of their texts, as do those with a null doc_id, which come first. Other columns stay where a column is added and are
+left out of the comparison with edits.
 """
 
 from __future__ import annotations

@@ -167,21 +167,34 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_columns(encoded.select("doc_id", "ids"), work, "doc_id long, ids binary, text string")
 
 
+def decoded_digests(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ids and of what they decode to, in one pass by one worker."""
+
+    def work(cols):
+        bpe = byte_bpe(path)
+        return _digests(cols | {"text": [bpe.decode(x) for x in cols["ids"]]})
+
+    return map_columns(encoded.select("doc_id", "ids"), work, DIGESTS)
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return map_columns(decoded, _digests, DIGESTS)
+
+
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def work(cols):
-        import hashlib
 
-        names = _decimals()
-        joined = (",".join(map(names.__getitem__, array("I", x))) for x in cols["ids"])
-        return {
-            "doc_id": cols["doc_id"], "n_tokens": [len(x) // 4 for x in cols["ids"]],
-            "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in joined],
-            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in cols["text"]],
-        }
+def _digests(cols):
+    import hashlib
 
-    return map_columns(decoded, work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = _decimals()
+    joined = (",".join(map(names.__getitem__, array("I", x))) for x in cols["ids"])
+    return {
+        "doc_id": cols["doc_id"], "n_tokens": [len(x) // 4 for x in cols["ids"]],
+        "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in joined],
+        "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in cols["text"]],
+    }
 
 
 class _Decimals(dict):

@@ -21,6 +21,22 @@ def test_pages_named_like_descriptions_are_pages(spark):
     assert [(rows[i].record_type, rows[i].refers_to) for i in (1, 2, 3, 4)] == [("revisit", 3), ("revisit", 3), ("response", None), ("response", None)]
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_plain_archives(spark, version):
+    folder = scratch(spark, "archives")
+    bodies = [f"HTTP/1.1 200 OK\r\n{arc.KEY}: {i}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b for i, b in enumerate([b"", b"a\n\nb", b"x" * 5000, b"x" * 5000])]
+    file = arc.SharedFile(folder, "old", ".arc")
+    file.write(arc.description(version, "old.arc", arc.DATE))
+    for body in bodies:
+        file.write(arc.arc_record(version, "http://a/", arc.DATE, "text/html", body, 200, "old.arc", file.position))
+    file.close()
+    records = arc.scan_arc(spark.createDataFrame([(file.name, 4)], "archive string, records long"), folder)
+    assert records.count() == 5
+    rows = {r.page_id: r for r in arc.read_warc(arc.convert(arc.decide(records), folder), folder).collect()}
+    assert [(rows[i].payload_bytes, rows[i].record_type, rows[i].refers_to) for i in range(4)] == [
+        (0, "response", None), (4, "response", None), (5000, "revisit", 3), (5000, "response", None)]
+
+
 def test_tokens_do_not_depend_on_blocks(monkeypatch):
     text = "splendid words, " * 40 + "x" * 300 + " end\x1cof it"
     whole = quality.tokens(text)
