@@ -1,7 +1,12 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read by the next.
 
 Documents of unknown language, documents of low grade and documents with a benchmark passage go; of each group of near
-duplicates one stays; the rest is encoded. All but the last stage return the columns of `documents`.
+duplicates one stays; the rest is encoded. All but the last stage return the columns of `documents`, rows whole.
+
+A null or empty text, or one without letters, has no known language and goes with the first stage; so later stages see texts with
+words, however long. Rows with a null doc_id pass every stage and are never near duplicates. Rows that share a doc_id are judged each on
+their own but by near duplicates, where they are one document: they stay or go together. Copies tie for nothing: of a group the
+smallest doc_id stays. Without ratings the quality stage keeps all, without benchmark items decontamination does.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
     path = byte_bpe_path()
-    return treebpe.digests(treebpe.decode(treebpe.encode(docs, path), path))
+    return treebpe.decoded_digests(treebpe.encode(docs, path), path)
 
 
 STAGES = [
