@@ -8,7 +8,7 @@ sample without replacement that is proportional to the weights' exponentials.
 A dictionary of delimiter-bounded words (" word ") feeds the automaton. Each entry carries a payload: the CRC of the word,
 the CRC of a space and the word, and the length of both. A scan over blocks of text emits payload numbers; the CRC of a
 longer run is composed from the payloads of neighbours (the first CRC moved on by the second's length, exclusive-or the
-second's CRC), so no run is ever built as a string. The automaton has the `DICTIONARY` words that occur most often in
+second's CRC), so no run is ever built as a string. The automaton has at most the `DICTIONARY` words that occur most often in
 documents and target, counted over all of them; a word that it lacks shows as a gap between two emitted matches, gets a
 payload of its own once per batch and takes part in the same composition. So every word counts, whatever the
 dictionary holds.
@@ -40,6 +40,8 @@ from faultline.operators.numbering import number_rows
 BUCKETS, RUN, SEED = 10_000, 3, 42
 #: Words in the automaton and the longest of them in bytes; both bound what is sent to the tasks.
 DICTIONARY, LONGEST = 50_000, 64
+#: Classes of word counts for each doubling.
+LEVELS = 16
 #: Bytes of text scanned at a time, and distinct words counted in a task before they are passed on.
 BLOCK, COUNTED = 1 << 20, 100_000
 _SPACE = ord(" ")
@@ -201,9 +203,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, target: DataFrame, words: int = DICTIONARY) -> list[bytes]:
-    """The words that occur most often in both tables, ties by their bytes."""
-    counted = word_counts(docs.select("text").union(target.select("text")))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]
+    """At most so many of the words that occur most often in both tables.
+
+    Words are classed by the logarithm of their counts, and whole classes are taken from the top while they fit; so the driver
+    sees one row per class and the taken words, however many parts the table has."""
+    level = F.floor(F.log2("n") * LEVELS)
+    counted = stage(word_counts(docs.select("text").union(target.select("text"))).withColumn("level", level), "word-counts")
+    sizes = {r.level: r["count"] for r in counted.groupBy("level").count().collect()}
+    least, room = None, words
+    for found in sorted(sizes, reverse=True):
+        room -= sizes[found]
+        if room < 0:
+            break
+        least = found
+    return [] if least is None else sorted(bytes(r.word) for r in counted.where(F.col("level") >= least).select("word").collect())
 
 
 def bucket_counts(texts: DataFrame, words: list[bytes], buckets: int = BUCKETS, run: int = RUN) -> list[int]:

@@ -84,8 +84,13 @@ def test_payloads_compose():
 def test_dictionary_counts_every_word(spark, make_docs, given):
     items = spark.createDataFrame([(1, "alpha")], "item_id long, text string")
     count = Counter(f for _, t in [*given, (1, "alpha")] for f in features(t)[1] if " " not in f and len(f.encode()) <= resample.LONGEST)
-    want = sorted(count, key=lambda w: (-count[w], w.encode()))[:9]
-    assert resample.dictionary(make_docs(given), items, 9) == [w.encode() for w in want]
+    docs, level = make_docs(given), lambda n: math.floor(math.log2(n) * resample.LEVELS)
+    for most in (0, 9, 25, 50_000):
+        found = resample.dictionary(docs, items, most)
+        # Whole classes of counts from the top, as many as fit.
+        classes = sorted({level(n) for n in count.values()}, reverse=True)
+        fits = [c for c in classes if sum(level(n) >= c for n in count.values()) <= most]
+        assert found == sorted(w.encode() for w, n in count.items() if fits and level(n) >= fits[-1])
 
 
 def test_empty_tables_and_equal_rows(spark, make_docs):
