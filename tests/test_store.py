@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import rules
 from faultline.session import scratch
-from faultline.sources import store
+from faultline.sources import files, store
 from faultline.streaming import jobs, stateful
 
 AS_OF, LATER = "2026-07-20 00:00:00", "2026-07-21 00:00:00"
@@ -63,7 +63,7 @@ def test_tables_change_together_and_the_second_writer_fails(spark, path):
     with pytest.raises(Exception, match="[Ee]xist"):
         store._commit(spark, path, late)
     # A manifest that is still being written is passed over.
-    store._write_new(spark, f"{path}/{store.MANIFESTS}/{2:012d}.json", '{"version": 2, "tab')
+    files.write_new(spark, f"{path}/{store.MANIFESTS}/{2:012d}.json", '{"version": 2, "tab')
     assert store.manifest(spark, path)["version"] == 1
 
 
