@@ -163,3 +163,10 @@ def test_fallback_and_vector_or(spark):
     assert sorted(map(tuple, keyed.vector_or(first, second, ["job"]).collect())) == [(1, 1.0), (2, 2.0)]
     assert keyed.read_with_fallback(first, second, "job", "when_empty").count() == 1
     assert keyed.read_with_fallback(first.limit(0), second, "job", "when_empty").count() == 2
+
+
+def test_vector_or_keeps_repeated_label_sets(spark):
+    first = spark.createDataFrame([(1, 1.0), (1, 1.0), (1, 3.0), (None, 4.0)], "job int, value double")
+    second = spark.createDataFrame([(1, 9.0), (2, 2.0), (2, 2.0), (None, 5.0)], "job int, value double")
+    found = [tuple(row) for row in keyed.vector_or(first, second, ["job"]).collect()]
+    assert sorted(found, key=str) == [(1, 1.0), (1, 1.0), (1, 3.0), (2, 2.0), (2, 2.0), (None, 4.0), (None, 5.0)]
