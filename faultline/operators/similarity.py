@@ -1,17 +1,17 @@
 """Similar incidents: one TF-IDF fit over all incidents, structured bonus, exact top k per incident.
 
 Incidents with equal text and equal matched fields score equally against anything. They are folded into
-one signature first, so a flood of copies costs one comparison, and only the first rows of each
-signature in the tie order are brought back. Signatures are compared block by block: every block pairs a
-bounded number of query vectors with a bounded shard of candidate vectors and returns its own top rows,
-so neither pairs of incidents nor whole groups are shuffled.
+one signature, so a flood of copies costs one comparison, and only the first rows of each
+signature in the tie order are brought back. Words and terms are counted where the text is read; only vectors move.
+Signatures are compared block by block: every block pairs a bounded number of query vectors with a bounded shard of
+candidate vectors and returns its own top rows, so neither pairs of incidents nor whole groups are shuffled.
 """
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +20,14 @@ from faultline.functions.text import empty_to_null
 from faultline.operators.incidents import candidate_order, has_signal, signal_of
 from faultline.session import spread, stage
 
-QUERY_BLOCK = 2048
-CANDIDATE_SHARD = 50_000
+QUERY_BLOCK = 32_768
+CANDIDATE_SHARD = 32_768
+TILE = 2048
 CHUNK = 4096
+FIRST_CHUNK = 64
+# A score rounds to the next 0.0001 from 0.00005 on, less what single precision can be off.
+MARGIN = 0.00005 - 0.00002
+FREQUENT = 100_000
 ASKED = "asked_"
 TEXT_FIELDS = [
     "alert_name", "title", "description", "service_name", "severity", "source", "status", "raw_log", "notes",
@@ -72,7 +77,7 @@ def default_stop_words() -> list[str]:
 
 
 def signatures(incidents: DataFrame) -> DataFrame:
-    """Incidents with their text, matched fields and the hash of everything that decides a score."""
+    """Incidents with their text, matched fields, place in the tie order and the hash of everything that decides a score."""
     resolved = (F.upper("status") == "RESOLVED") & empty_to_null(F.col("notes")).isNotNull()
     fields = {
         "service_name": F.col("service_name"),
@@ -87,25 +92,14 @@ def signatures(incidents: DataFrame) -> DataFrame:
         F.coalesce(resolved, F.lit(False)).alias("has_notes"),
     )
     keyed = incidents.withColumn("content", decided)
-    return keyed.withColumn("signature", F.sha2(F.to_json("content"), 256))
+    return keyed.withColumn("signature", F.unhex(F.sha2(F.to_json("content"), 256)))
 
 
-def distinct_signatures(keyed: DataFrame) -> DataFrame:
-    """One row per signature with its number of copies and its best place in the tie order."""
-    place = F.struct(
-        (F.col("resolved_at").isNull()).alias("no_resolved"), "resolved_at",
-        (F.col("updated_at").isNull()).alias("no_updated"), "updated_at", "id",
-    )
-    grouped = keyed.groupBy("signature").agg(
-        F.count("*").alias("copies"), F.any_value("content").alias("content"), F.max(place).alias("place")
-    )
-    return grouped.select("signature", "copies", "place", "content.*")
-
-
-def document_words(documents: DataFrame, stop_words: Iterable[str]) -> DataFrame:
-    """(signature, copies, words) of every document; stored, so a text is split once."""
-    words = remove_stop_words(tokenize(F.col("text")), stop_words)
-    return stage(documents.select("signature", "copies", words.alias("words")), "words")
+def document_words(keyed: DataFrame, stop_words: Iterable[str], *also: Column) -> DataFrame:
+    """(id, signature, fields, words) of every incident; stored, so a text is hashed and split once and never shuffled."""
+    words = remove_stop_words(tokenize(F.col("content.text")), stop_words)
+    fields = [F.col(f"content.{name}") for name in (*MATCHED, "has_notes")]
+    return stage(keyed.select("id", "signature", *also, *fields, words.alias("words")), "words")
 
 
 def limit_vocabulary(words: DataFrame, size: int = C.VOCABULARY) -> DataFrame:
@@ -115,67 +109,79 @@ def limit_vocabulary(words: DataFrame, size: int = C.VOCABULARY) -> DataFrame:
     than the last of the `size` most frequent words cannot be among the terms, and only the others are shuffled.
     """
     col = F.col
-    single = words.select("copies", F.explode("words").alias("term")).groupBy("term").agg(F.sum("copies").alias("tf"))
+    single = words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
     single = stage(single, "words-counted")
     top = single.orderBy(col("tf").desc()).limit(size).agg(F.min("tf").alias("tf"), F.count("*").alias("n")).first()
     bound = top["tf"] if top["n"] == size else 0
     frequent = single.filter(col("tf") >= bound)
+    # Ties aside these are `size` words. They go to the pairs, which would otherwise be shuffled once per word.
+    few = frequent.limit(FREQUENT + 1).count() <= FREQUENT
     following = F.slice("words", F.lit(2), F.size("words"))
     pair = F.zip_with("words", following, lambda first, second: F.struct(first.alias("first"), second.alias("second")))
-    pairs = words.filter(F.size("words") > 1).select("copies", F.explode(pair).alias("p")).select("copies", "p.*")
+    pairs = words.filter(F.size("words") > 1).select(F.explode(pair).alias("p")).select("p.*")
     for name in ("first", "second"):
-        pairs = pairs.join(frequent.select(col("term").alias(name)), name, "left_semi")
-    double = pairs.groupBy("first", "second").agg(F.sum("copies").alias("tf")).filter(col("tf") >= bound)
+        wanted = frequent.select(col("term").alias(name))
+        pairs = pairs.join(F.broadcast(wanted) if few else wanted, name, "left_semi")
+    double = pairs.groupBy("first", "second").agg(F.count("*").alias("tf")).filter(col("tf") >= bound)
     double = double.select(F.concat_ws(" ", "first", "second").alias("term"), "tf")
     return frequent.unionByName(double).orderBy(col("tf").desc(), "term").limit(size)
 
 
-def document_terms(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Term counts per document, vocabulary terms only (the vocabulary has a fixed upper size)."""
-    occurrences = words.select("signature", "copies", F.explode(ngrams_1_2(F.col("words"))).alias("term"))
-    kept = occurrences.join(F.broadcast(vocabulary.select("term")), "term")
-    return kept.groupBy("signature", "copies", "term").agg(F.count("*").alias("count"))
+def document_terms(words: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every document with its terms' positions and counts, counted in place, and the (term, position) they refer to.
 
-
-def idf_table(terms: DataFrame, documents: DataFrame) -> DataFrame:
+    The vocabulary has a fixed upper size; a position is the rank of a term in term order.
+    """
+    terms = sorted(row["term"] for row in vocabulary.select("term").collect())
+    numbered = words.sparkSession.createDataFrame(list(zip(terms, range(len(terms)))), "term string, position int")
+    if terms:
+        counter = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="found")
+        found = counter.transform(words.withColumn("grams", ngrams_1_2(F.col("words"))))
+        counted = found.withColumn("found", F.unwrap_udt("found")).withColumns(
+            {"positions": F.col("found.indices"), "counts": F.col("found.values").cast("array<int>")}
+        ).drop("grams", "found")
+    else:
+        none = F.array().cast("array<int>")
+        counted = words.withColumns({"positions": none, "counts": none})
+    return stage(counted.drop("words"), "terms"), numbered
+
+
+def idf_table(counted: DataFrame, numbered: DataFrame) -> DataFrame:
     """Smooth inverse document frequency, ln((1 + n) / (1 + df)) + 1, with a position per term."""
-    counted = terms.groupBy("term").agg(F.sum("copies").alias("df"))
-    total = documents.agg(F.sum("copies")).scalar()
+    held = counted.select(F.explode("positions").alias("position")).groupBy("position").agg(F.count("*").alias("df"))
+    total = counted.agg(F.count("*")).scalar()
     weight = F.log((1 + total) / (1 + F.col("df"))) + 1
-    position = F.row_number().over(Window.orderBy("term")) - 1
-    return counted.select("term", "df", weight.alias("idf"), position.cast("int").alias("position"))
+    return held.join(F.broadcast(numbered), "position").select("term", "df", weight.alias("idf"), "position")
 
 
-def tfidf_l2(terms: DataFrame, idf: DataFrame) -> DataFrame:
-    """(signature, term, position, weight), of length 1 per document."""
-    weighted = terms.join(F.broadcast(idf), "term").withColumn("raw", F.col("count") * F.col("idf"))
-    norms = weighted.groupBy("signature").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, "signature").select(
-        "signature", "term", "position", (F.col("raw") / F.col("norm")).alias("weight")
-    )
+def tfidf_l2(counted: DataFrame, idf: DataFrame) -> DataFrame:
+    """Documents with one weight per position, of length 1 per document; at most one entry per vocabulary term."""
+    # No more values than the vocabulary has terms.
+    values = [row["idf"] for row in idf.orderBy("position").collect()]
+    known = F.expr(f"cast(array({', '.join(f'{value!r}D' for value in values)}) as array<double>)")
+    raw = F.zip_with("positions", "counts", lambda position, count: count * known[position])
+    weighted = counted.withColumn("raw", raw)
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, value: total + value * value))
+    # An array of the one norm binds it, or it would be summed again for every value.
+    weights = F.transform(F.array(norm), lambda length: F.transform("raw", lambda value: value / length))[0]
+    return weighted.withColumn("weights", weights).drop("raw", "counts")
 
 
-def vectors(terms: DataFrame, idf: DataFrame) -> DataFrame:
-    """One sparse vector per document: at most one entry per vocabulary term."""
-    weighted = terms.join(F.broadcast(idf), "term").withColumn("raw", F.col("count") * F.col("idf"))
-    entries = weighted.groupBy("signature").agg(
-        F.sort_array(F.collect_list(F.struct("position", "raw"))).alias("entries"),
-        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
-    )
-    return entries.select(
-        "signature", F.col("entries.position").alias("positions"),
-        F.transform("entries", lambda entry: entry["raw"] / F.col("norm")).alias("weights"),
-    )
+def fit_vectors(words: DataFrame, vocabulary_size: int = C.VOCABULARY) -> DataFrame:
+    """Documents with their vectors; a document without vocabulary terms has an empty one."""
+    counted, numbered = document_terms(words, limit_vocabulary(words, vocabulary_size))
+    return tfidf_l2(counted, stage(idf_table(counted, numbered), "idf"))
 
 
-def fit_vectors(
-    documents: DataFrame, vocabulary_size: int = C.VOCABULARY, stop_words: Iterable[str] | None = None
-) -> DataFrame:
-    """Documents with their vectors; a document without vocabulary terms has an empty one."""
-    stop_words = default_stop_words() if stop_words is None else stop_words
-    words = document_words(documents, stop_words)
-    terms = stage(document_terms(words, limit_vocabulary(words, vocabulary_size)), "terms")
-    return documents.join(vectors(terms, idf_table(terms, documents)), "signature", "left")
+def distinct_signatures(documents: DataFrame) -> DataFrame:
+    """One row per signature with its vector, its fields and its best place in the tie order."""
+    place = F.struct(
+        (F.col("resolved_at").isNull()).alias("no_resolved"), "resolved_at",
+        (F.col("updated_at").isNull()).alias("no_updated"), "updated_at", "id",
+    )
+    content = F.struct("positions", "weights", *MATCHED, "has_notes")
+    grouped = documents.groupBy("signature").agg(F.any_value(content).alias("content"), F.max(place).alias("place"))
+    return grouped.select("signature", "place", "content.*")
 
 
 def structured_bonus(current: Column, candidate: Column) -> Column:
@@ -191,57 +197,97 @@ def structured_bonus(current: Column, candidate: Column) -> Column:
 
 def _dense(frame: pd.DataFrame, width: int) -> np.ndarray:
     matrix = np.zeros((len(frame), width))
-    for row, (positions, weights) in enumerate(zip(frame["positions"], frame["weights"])):
-        if positions is not None and len(positions):
-            matrix[row, positions] = weights
+    sizes = frame["positions"].str.len().to_numpy(int)
+    if sizes.sum():
+        rows = np.repeat(np.arange(len(frame)), sizes)
+        matrix[rows, np.concatenate(frame["positions"].to_list())] = np.concatenate(frame["weights"].to_list())
     return matrix
 
 
-def _bonus(queries: pd.DataFrame, candidates: pd.DataFrame) -> np.ndarray:
-    total = np.zeros((len(queries), len(candidates)))
+def _codes(queries: pd.DataFrame, candidates: pd.DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The weight of every field that some query and candidate share, with both sides' values as numbers (none: -1)."""
+    found = []
     for name, weight in C.BONUS:
-        mine, other = queries[name].to_numpy(str), candidates[name].to_numpy(str)
-        total += weight * ((mine[:, None] == other[None, :]) & (mine != "")[:, None])
-    return total + C.BONUS_NOTES * candidates["has_notes"].to_numpy(bool)[None, :]
+        values = {value: n for n, value in enumerate(queries[name].unique()) if value != ""}
+        mine = queries[name].map(values).fillna(-1).to_numpy(np.int32)
+        other = candidates[name].map(values).fillna(-2).to_numpy(np.int32)
+        if len(values) and (other >= 0).any():
+            found.append((weight, mine, other))
+    return found
+
+
+def _chunks(size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of candidates; the first are short, so that few pairs pass before good scores are known."""
+    start, length = 0, min(FIRST_CHUNK, CHUNK)
+    while start < size:
+        yield start, min(start + length, size)
+        start, length = start + length, min(8 * length, CHUNK)
 
 
 def _compare(keep: int, width: int):
-    """Best candidates of one shard for every query of one block."""
+    """Best candidates of one shard for every query of one block.
+
+    Tiles of bounded size are scored in single precision; a pair that could round above its query's worst kept score is scored
+    again in double precision, so rounded scores and their ties are exact.
+    """
     layout = ["query_signature", "signature", "score"]
 
+    def tile(queries: pd.DataFrame, candidates: pd.DataFrame) -> list[tuple[bytes, bytes, float]]:
+        asked = _dense(queries, width)
+        rough = asked.astype(np.float32)
+        fields = _codes(queries, candidates)
+        noted = C.BONUS_NOTES * candidates["has_notes"].to_numpy(bool)
+        best = np.full((len(queries), keep), -1.0)
+        places = np.full((len(queries), keep), -1)
+        for start, end in _chunks(len(candidates)):
+            part = candidates.iloc[start:end]
+            chosen = slice(start, end)
+            other = _dense(part, width)
+            scores = rough @ other.astype(np.float32).T
+            scores += noted[None, chosen].astype(np.float32)
+            for weight, mine, theirs in fields:
+                scores += np.float32(weight) * (mine[:, None] == theirs[None, chosen])
+            # A tie goes to the earlier place, so only a rounded score above the worst kept one matters; 1 is never exceeded.
+            bounds = np.where(best[:, -1] >= 1.0, np.inf, best[:, -1] + MARGIN)
+            rows, hits = np.nonzero(scores >= bounds.astype(np.float32)[:, None])
+            exact = np.empty(len(rows))
+            for first in range(0, len(rows), CHUNK):
+                r, h = rows[first:first + CHUNK], hits[first:first + CHUNK]
+                total = sum([weight * (mine[r] == theirs[start + h]) for weight, mine, theirs in fields], np.zeros(len(r)))
+                total = np.einsum("ij,ij->i", asked[r], other[h]) + (total + noted[start + h])
+                exact[first:first + CHUNK] = np.round(np.minimum(1.0, total), 4)
+            # The kept ones come from earlier places, so a stable order by score keeps the tie order.
+            edges = np.searchsorted(rows, np.arange(len(queries) + 1))
+            for row in np.flatnonzero(edges[1:] > edges[:-1]):
+                own = slice(edges[row], edges[row + 1])
+                every = np.concatenate([best[row], exact[own]])
+                order = np.argsort(-every, kind="stable")[:keep]
+                best[row], places[row] = every[order], np.concatenate([places[row], start + hits[own]])[order]
+        names, askers = candidates["signature"].to_numpy(), queries["signature"].to_numpy()
+        rows, columns = np.nonzero(places >= 0)
+        return list(zip(askers[rows], names[places[rows, columns]], best[rows, columns]))
+
     def compare(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
             return pd.DataFrame([], columns=layout)
         queries = queries.rename(columns=lambda name: name.removeprefix(ASKED))
         candidates = candidates.sort_values(PLACE, ascending=False, na_position="last")
-        asked = _dense(queries, width)
-        names = candidates["signature"].to_numpy()
-        best: list[list[tuple[float, int]]] = [[] for _ in range(len(queries))]
-        for start in range(0, len(candidates), CHUNK):
-            part = candidates.iloc[start:start + CHUNK]
-            scores = np.minimum(1.0, asked @ _dense(part, width).T + _bonus(queries, part))
-            scores = np.round(scores, 4)
-            last = max(len(part) - keep, 0)
-            bounds = np.partition(scores, last, axis=1)[:, last]
-            for row, bound in enumerate(bounds):
-                hits = np.flatnonzero(scores[row] >= bound)
-                found = [(-scores[row, hit], start + hit) for hit in hits[np.argsort(-scores[row, hits], kind="stable")][:keep]]
-                best[row] = sorted(best[row] + found)[:keep]
-        rows = [
-            (query, names[place], -score)
-            for query, found in zip(queries["signature"], best)
-            for score, place in found
-        ]
+        rows = []
+        for start in range(0, len(queries), TILE):
+            rows += tile(queries.iloc[start:start + TILE], candidates)
         return pd.DataFrame(rows, columns=layout)
 
     return compare
 
 
 def cosine_matches(queries: DataFrame, candidates: DataFrame, keep: int, width: int) -> DataFrame:
-    """The best `keep` candidates per shard for each query signature, rounded scores, tie order kept."""
+    """The best `keep` candidates per shard for each query signature, rounded scores, tie order kept.
+
+    A query travels once per shard and a candidate once per block of queries; a task holds one of each as sparse vectors.
+    """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     parallel = queries.sparkSession.sparkContext.defaultParallelism
-    shards = max(parallel, -(-candidates.count() // CANDIDATE_SHARD))
+    shards = max(-(-parallel // blocks), -(-candidates.count() // CANDIDATE_SHARD))
     used = ["signature", "positions", "weights", *MATCHED, "has_notes"]
     own = queries.select(
         F.pmod(F.xxhash64("signature"), F.lit(blocks)).alias("block"),
@@ -249,13 +295,13 @@ def cosine_matches(queries: DataFrame, candidates: DataFrame, keep: int, width:
     )
     other = candidates.select(
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"),
-        F.pmod(F.xxhash64("signature"), F.lit(shards)).cast("int").alias("shard"), *used, "place.*",
+        F.pmod(F.hash("signature"), F.lit(shards)).cast("int").alias("shard"), *used, "place.*",
     )
     own = own.toDF(*[ASKED + name for name in own.columns])
     return (
         own.groupBy(f"{ASKED}block", f"{ASKED}shard")
         .cogroup(other.groupBy("block", "shard"))
-        .applyInPandas(_compare(keep, width), "query_signature string, signature string, score double")
+        .applyInPandas(_compare(keep, width), "query_signature binary, signature binary, score double")
     )
 
 
@@ -267,20 +313,21 @@ def find_similar_incidents(
     stop_words: Iterable[str] | None = None,
 ) -> DataFrame:
     """Ranked similar incidents (query_id, rank, similarity_score, candidate columns) per requested id."""
+    stop_words = default_stop_words() if stop_words is None else stop_words
     keyed = signatures(incidents)
     wanted_ids = ids.select(F.col("incident_id").alias("id")).distinct()
+    # Requested incidents are compared whatever fields they have; candidates need a signal.
+    unknown = keyed.filter(~signal_of(keyed)).join(wanted_ids, "id", "left_semi")
+    known = has_signal(keyed).withColumn("known", F.lit(True))
+    fitted = known.unionByName(unknown.withColumn("known", F.lit(False)))
+    words = document_words(fitted, stop_words, *map(F.col, ("resolved_at", "updated_at", "known")))
+    vectors = fit_vectors(words, vocabulary_size)
     # What decides candidates and order, without texts; the texts of the best are fetched at the end.
-    known = F.coalesce(signal_of(keyed), F.lit(False)).alias("known")
-    narrow = stage(keyed.select("id", "signature", "resolved_at", "updated_at", known), "keys")
+    narrow = words.select("id", "signature", "resolved_at", "updated_at", "known")
     pool = narrow.filter("known").drop("known")
     asked = narrow.join(wanted_ids, "id", "left_semi")
-    # Requested incidents are compared whatever fields they have; candidates need a signal.
-    unknown = keyed.filter(~signal_of(keyed)).join(wanted_ids, "id", "left_semi")
-    fitted = has_signal(keyed).unionByName(unknown)
-    distinct = spread(stage(distinct_signatures(fitted), "signatures"))
-    every = stage(fit_vectors(distinct, vocabulary_size, stop_words).drop("text"), "vectors")
-    wanted = every.join(asked.select("signature").distinct(), "signature", "left_semi")
-    documents = every.join(pool.select("signature").distinct(), "signature", "left_semi")
+    wanted = stage(distinct_signatures(vectors.join(wanted_ids, "id", "left_semi")), "wanted")
+    documents = stage(distinct_signatures(vectors.filter("known")), "vectors")
     matches = stage(cosine_matches(wanted, documents, k + 1, vocabulary_size), "matches")
     best = Window.partitionBy("query_signature").orderBy(F.col("score").desc(), F.col("place").desc())
     matches = matches.join(documents.select("signature", "place"), "signature")

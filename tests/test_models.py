@@ -5,6 +5,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,45 @@ def test_one_fit_equals_a_fit_per_query(spark, monkeypatch, block, shard):
         assert ranked[row[0]] == brute_force(rows, row, 4, 30)
 
 
+def test_blocks_copy_few_vectors_and_terms_are_not_shuffled(spark):
+    assert similarity.QUERY_BLOCK >= 32_768
+    df = spark.createDataFrame(small_corpus(), COLUMNS)
+    words = similarity.document_words(similarity.signatures(df), [])
+    counted, numbered = similarity.document_terms(words, similarity.limit_vocabulary(words, 30))
+    assert numbered.count() == 30
+    weights = similarity.tfidf_l2(counted, similarity.idf_table(counted, numbered))
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString()
+    lengths = weights.select(F.aggregate("weights", F.lit(0.0), lambda total, w: total + w * w).alias("n")).collect()
+    assert len(lengths) == 60 and all(round(row.n, 9) in (0, 1) for row in lengths)
+
+
+def test_tiles_keep_ties_and_capped_scores(monkeypatch):
+    """Small tiles against a plain product, with many scores of 1 and many equal ones."""
+    monkeypatch.setattr(similarity, "TILE", 7)
+    monkeypatch.setattr(similarity, "CHUNK", 16)
+    monkeypatch.setattr(similarity, "FIRST_CHUNK", 2)
+    rng = np.random.default_rng(5)
+    sparse = [np.sort(rng.choice(12, rng.integers(0, 4), replace=False)) for _ in range(120)]
+    frame = pd.DataFrame({"signature": [bytes([n]) for n in range(120)], "positions": sparse})
+    frame["weights"] = [np.full(len(p), 1 / math.sqrt(len(p) or 1)) for p in sparse]
+    for name in similarity.MATCHED:
+        frame[name] = rng.choice(["", "a", "b"], 120)
+    frame["has_notes"] = rng.random(120) < 0.5
+    frame = frame.assign(no_resolved=False, resolved_at=0, no_updated=False, updated_at=0, id=range(120))
+    dense = np.zeros((120, 12))
+    for row, (p, w) in enumerate(zip(frame["positions"], frame["weights"])):
+        dense[row, p] = w
+    found = similarity._compare(5, 12)(frame, frame)
+    for row in range(120):
+        total = dense @ dense[row] + C.BONUS_NOTES * frame["has_notes"]
+        for name, weight in C.BONUS:
+            total = total + weight * ((frame[name] == frame[name][row]) & (frame[name] != ""))
+        scores = np.round(np.minimum(1, total), 4)
+        expected = sorted((-score, -n) for n, score in enumerate(scores))[:5]
+        own = found[found["query_signature"] == bytes([row])]
+        assert [(-s, -n[0]) for n, s in zip(own["signature"], own["score"])] == expected
+
+
 def test_bonus_and_texts(spark):
     both = F.struct(
         *[F.lit("x").alias(n) for n in ("service_name", "alert_name", "failure_type", "exception_type")],
