@@ -25,6 +25,9 @@ CANDIDATE_SHARD = 32_768
 TILE = 2048
 CHUNK = 4096
 FIRST_CHUNK = 64
+# Pairs scored again at a time, and the share of a tile (one in so many) from which all of it is.
+PICKED = 256
+DENSE_SHARE = 64
 # A score rounds to the next 0.0001 from 0.00005 on, less what single precision can be off.
 MARGIN = 0.00005 - 0.00002
 FREQUENT = 100_000
@@ -250,12 +253,17 @@ def _compare(keep: int, width: int):
             # A tie goes to the earlier place, so only a rounded score above the worst kept one matters; 1 is never exceeded.
             bounds = np.where(best[:, -1] >= 1.0, np.inf, best[:, -1] + MARGIN)
             rows, hits = np.nonzero(scores >= bounds.astype(np.float32)[:, None])
-            exact = np.empty(len(rows))
-            for first in range(0, len(rows), CHUNK):
-                r, h = rows[first:first + CHUNK], hits[first:first + CHUNK]
-                total = sum([weight * (mine[r] == theirs[start + h]) for weight, mine, theirs in fields], np.zeros(len(r)))
-                total = np.einsum("ij,ij->i", asked[r], other[h]) + (total + noted[start + h])
-                exact[first:first + CHUNK] = np.round(np.minimum(1.0, total), 4)
+            if len(rows) * DENSE_SHARE > scores.size:
+                dots = (asked @ other.T)[rows, hits]
+            else:
+                dots = np.empty(len(rows))
+                for first in range(0, len(rows), PICKED):
+                    own = slice(first, first + PICKED)
+                    dots[own] = np.einsum("ij,ij->i", asked[rows[own]], other[hits[own]])
+            total = noted[start + hits]
+            for weight, mine, theirs in fields:
+                total = total + weight * (mine[rows] == theirs[start + hits])
+            exact = np.round(np.minimum(1.0, dots + total), 4)
             # The kept ones come from earlier places, so a stable order by score keeps the tie order.
             edges = np.searchsorted(rows, np.arange(len(queries) + 1))
             for row in np.flatnonzero(edges[1:] > edges[:-1]):
