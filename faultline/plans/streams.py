@@ -16,24 +16,29 @@ from faultline.streaming import jobs, stateful
 
 
 
-def as_stream(df, name, files=None):
-    """Write rows as files and read them back as a stream: in one trigger, or one file per trigger."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    (df if files is None else df.repartition(files)).write.parquet(path)
-    reader = spark.readStream.schema(df.schema)
-    return (reader if files is None else reader.option("maxFilesPerTrigger", 1)).parquet(path)
+PARTS = 4
 
 
-PARTS = 4
+def parts_of(spark):
+    """Files of one trigger: as many as cores, so that a trigger of any size is read by all of them."""
+    return max(PARTS, spark.sparkContext.defaultParallelism)
+
+
+def as_stream(df, name, triggers=None):
+    """Write rows as files and read them back as a stream: in one trigger, or in several of as many files as cores."""
+    spark = df.sparkSession
+    path, parts = scratch(spark, name), parts_of(spark)
+    (df if triggers is None else df.repartition(triggers * parts)).write.parquet(path)
+    reader = spark.readStream.schema(df.schema)
+    return (reader if triggers is None else reader.option("maxFilesPerTrigger", parts)).parquet(path)
 
 
 def write_shuffled(df, name, time="ts", slices=4, late=120, by=()):
     """Write rows as slices of files in order of time; gives the folder.
 
     Those near a border come in either slice, up to `late` seconds late, as their time and the columns `by` decide. A
-    far-later row at the end lets the watermark pass all real ones. Each slice has PARTS files, so a trigger of that many
-    files reads one slice by several tasks.
+    far-later row at the end lets the watermark pass all real ones. Each slice has `parts_of` files, so a trigger of that many
+    files reads one slice by all cores.
     """
     spark = df.sparkSession
     path, seconds = scratch(spark, name), F.unix_seconds(F.col(time).cast("timestamp"))
@@ -42,14 +47,13 @@ def write_shuffled(df, name, time="ts", slices=4, late=120, by=()):
     moved = seconds + F.pmod(F.xxhash64(F.col(time), *by), F.lit(late))
     number = sum([(moved > cut).cast("int") for cut in cuts], F.lit(0))
     for i in range(slices):
-        stored.filter(number == i).drop(*by).repartition(PARTS).write.mode("append").parquet(path)
-    stored = stored.drop(*by)
-    closed(stored, time).filter(F.col(time) > stored.agg(F.max(time)).scalar()).coalesce(1).write.mode("append").parquet(path)
+        stored.filter(number == i).drop(*by).repartition(parts_of(spark)).write.mode("append").parquet(path)
+    far_later(stored.drop(*by), time).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
 def slices_of(spark, path, schema):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", PARTS).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", parts_of(spark)).parquet(path)
 
 
 def shuffled_stream(df, name, time="ts", **options):
@@ -57,23 +61,22 @@ def shuffled_stream(df, name, time="ts", **options):
     return slices_of(df.sparkSession, write_shuffled(df, name, time, **options), df.schema)
 
 
-def closed(df, time="ts"):
-    """Rows plus one far-later row, so that the watermark passes all real ones."""
+def far_later(df, time="ts"):
+    """The newest row 400 days later, so that the watermark passes all real ones; every task gives one candidate."""
     last = df.orderBy(F.col(time).desc()).limit(1)
-    later = last.withColumn(time, F.col(time) + F.expr("interval '400' day"))
-    return df.unionByName(later)
+    return last.withColumn(time, F.col(time) + F.expr("interval '400' day"))
 
 
 @query("select incident_id, service_name, failure_type, status_code, log_timestamp from {parsed}")
 def stream_parse_logs(spark, folder):
-    stream = as_stream(A.mapped(spark, folder, A.PARSE_REQUESTS, heavy=True), "requests", files=4)
+    stream = as_stream(A.mapped(spark, folder, A.PARSE_REQUESTS, heavy=True), "requests", triggers=4)
     parsed = jobs.run_available(parsing.parse_logs(stream), "parsed")
     return parsed.select("incident_id", "service_name", "failure_type", "status_code", "log_timestamp")
 
 
 @query("select payload_id, alert_name, service_name, severity, status, created_at from {normalized}")
 def stream_normalize_alerts(spark, folder):
-    stream = as_stream(A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True), "payloads", files=4)
+    stream = as_stream(A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True), "payloads", triggers=4)
     rows = jobs.run_available(alerts.normalize_alerts(stream, A.EVENT_AS_OF), "alerts")
     return rows.select("payload_id", "alert_name", "service_name", "severity", "status", "created_at")
 
@@ -161,7 +164,7 @@ def stream_late_rows(spark, folder):
     with jobs.late_rows(spark) as counted:
         jobs.run_available(jobs.first_hits(shuffled_stream(rows, "logs"), "event_id"), "hits")
         path = write_shuffled(rows, "logs")
-        rows.filter(F.date_trunc("day", "ts") == first).repartition(PARTS).write.mode("append").parquet(path)
+        rows.filter(F.date_trunc("day", "ts") == first).repartition(parts_of(spark)).write.mode("append").parquet(path)
         jobs.run_available(jobs.first_hits(slices_of(spark, path, rows.schema), "event_id"), "late-hits")
         return counted.table(spark)
 
@@ -171,7 +174,7 @@ select strftime(ts, '%Y.%m.%d') as event_day, count(*) as logs, count(*) filter
 """)
 def stream_ingest_logs(spark, folder):
     table, lines, progress = (scratch(spark, name) for name in ("table", "lines", "progress"))
-    stream = as_stream(logs(spark, folder).select(*LOG_COLUMNS), "logs", files=4)
+    stream = as_stream(logs(spark, folder).select(*LOG_COLUMNS), "logs", triggers=4)
     jobs.ingest_logs(stream, table, lines, progress, A.EVENT_AS_OF).awaitTermination()
     stored = sources.read_daily_logs(spark, table, "0000.00.00", "9999.99.99")
     return stored.groupBy(F.col("event_day").cast("string").alias("event_day")).agg(
@@ -220,7 +223,7 @@ def stream_alerts_to_incidents(spark, folder):
     _, known = _alert_logs(spark, folder)
     encoders = stage(features.fit_encoders(known), "encoders")
     documents = A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True)
-    stream = as_stream(documents.unionByName(documents), "payloads", files=4)
+    stream = as_stream(documents.unionByName(documents), "payloads", triggers=4)
     jobs.alerts_to_incidents(stream, target, progress, encoders, M2.fixed_model(spark), A.EVENT_AS_OF).awaitTermination()
     marked = store.read(spark, target, "incidents").select(F.col("incident_id").alias("id"), "alert_name", "trace_id")
     parsed = store.read(spark, target, "parsed_logs").select(F.col("incident_id").alias("id"), "failure_type", "status_code")
@@ -235,7 +238,7 @@ def stream_scores(spark, folder):
     """Arriving parsed logs scored by a stored forest, in several triggers."""
     rows = M2.stored_logs(spark, folder)
     encoders = stage(features.fit_encoders(rows), "encoders")
-    scored = jobs.score_stream(as_stream(rows, "parsed", files=4), encoders, M2.fixed_model(spark))
+    scored = jobs.score_stream(as_stream(rows, "parsed", triggers=4), encoders, M2.fixed_model(spark))
     return jobs.run_available(scored, "scores").select(
         "incident_id", F.round("decision", 6).alias("decision"), "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score"))
 
