@@ -6,8 +6,9 @@ few rows, in order of time whatever the order of arrival.
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -120,17 +121,19 @@ def blocked_payment_alerts(samples: DataFrame, window: float = 120.0, step: floa
 
 
 class Outage(StatefulProcessor):
-    """Outages of one job, from closed seconds in order of time.
+    """Outages of one job, from the stretches of down samples of closed windows.
 
     An outage is pending until a sample at least `pending` seconds behind its first one is down, then firing. It is
     reported once firing and once more, as resolved, when an up sample or `quiet` seconds without a sample end it. State
-    is one row: first and last down sample, their number, and whether it fires.
+    is one row: first and last down sample, their number, and whether it fires. A batch is held as plain arrays of numbers.
     """
 
     COLUMNS = ["job", "status", "down_from", "down_to", "samples"]
+    STRETCH = ["at", "last", "n", "fresh", "closed"]
+    CHUNK = 10_000
 
-    def __init__(self, pending: float, quiet: float):
-        self.pending, self.quiet = pending, quiet
+    def __init__(self, pending: float, quiet: float, span: float):
+        self.pending, self.quiet, self.span = pending, quiet, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -139,28 +142,41 @@ class Outage(StatefulProcessor):
     def _row(self, job: str, status: str, since: int, last: int | None, n: int | None) -> tuple:
         return (job, status, pd.Timestamp(since, unit="us"), None if last is None else pd.Timestamp(last, unit="us"), n)
 
+    def _in_order(self, rows):
+        """The stretches of a batch in order of time."""
+        parts = [[pdf[name].to_numpy("int64") for name in self.STRETCH] for pdf in rows]
+        columns = [np.concatenate(column) for column in zip(*parts)]
+        order = np.argsort(columns[0], kind="stable")
+        for i in range(0, len(order), self.CHUNK):
+            chosen = order[i:i + self.CHUNK]
+            yield from zip(*(column[chosen].tolist() for column in columns))
+
     def handleInputRows(self, key, rows, timerValues):
-        batch = _sorted(rows, "second")
         since, last, n, firing = self.down.get() if self.down.exists() else (None, None, 0, False)
         found = []
-        for at, down in ((int(at), bool(down)) for second in zip(batch["at"], batch["down"]) for at, down in zip(*second)):
-            if since is not None and (not down or at - last > self.quiet * 1e6):
+        for at, end, count, fresh, closed in self._in_order(rows):
+            if since is not None and (fresh or at - last > self.quiet * 1e6):
                 if firing:
                     found.append(self._row(key[0], "resolved", since, last, n))
                 since, last, n, firing = None, None, 0, False
-            if not down:
+            if not count:
                 continue
-            since, last, n = at if since is None else since, at, n + 1
+            since, last, n = at if since is None else since, end, n + count
             if not firing and last - since >= self.pending * 1e6:
                 firing = True
                 found.append(self._row(key[0], "firing", since, None, None))
+            if closed:
+                if firing:
+                    found.append(self._row(key[0], "resolved", since, last, n))
+                since, last, n, firing = None, None, 0, False
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if since is None:
             self.down.clear()
         else:
             self.down.update((since, last, n, firing))
-            self.handle.registerTimer(int(last / 1000 + self.quiet * 1000) + 1)
+            # A sample within `quiet` may lie in a window that is still open, which closes at most `span` later.
+            self.handle.registerTimer(int(last / 1000 + (self.quiet + self.span) * 1000) + 1)
         yield pd.DataFrame(found, columns=self.COLUMNS).astype({"samples": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -173,25 +189,55 @@ class Outage(StatefulProcessor):
         pass
 
 
+def down_stretches(samples: str, pending: float, quiet: float) -> Column:
+    """The stretches of down samples of one window's sorted samples (at, down) that can belong to an outage that fires.
+
+    Up samples and gaps above `quiet` end a stretch. Those inside the window that are shorter than `pending` cannot fire. A stretch
+    is fresh if something inside the window ended what was before it, closed if something inside ended it. A window that leaves
+    no stretch but begins up gives a row without samples, which ends what was before it.
+    """
+    col, micros = F.col, lambda seconds: F.lit(round(seconds * 1_000_000))
+    whole = F.size(samples)
+    near = lambda i: F.get(col(samples), i)
+    apart = lambda a, b: (~a["down"]) | (~b["down"]) | (b["at"] - a["at"] > micros(quiet))
+    placed = F.transform(samples, lambda x, i: F.struct(
+        x["at"].alias("at"), x["down"].alias("down"), i.alias("i"),
+        F.coalesce(apart(near(i - 1), x), F.lit(True)).alias("begins"), F.coalesce(apart(x, near(i + 1)), F.lit(True)).alias("ends")))
+    kept = F.filter(placed, lambda x: x["down"] & (x["begins"] | x["ends"]))
+    flag = lambda condition: condition.cast("bigint")
+    stretches = F.zip_with(
+        F.filter(kept, lambda x: x["begins"]), F.filter(kept, lambda x: x["ends"]),
+        lambda a, b: F.struct(
+            a["at"].alias("at"), b["at"].alias("last"), (b["i"] - a["i"] + 1).cast("bigint").alias("n"),
+            flag(a["i"] > 0).alias("fresh"), flag(b["i"] < whole - 1).alias("closed")))
+    able = F.filter(stretches, lambda s: (s["fresh"] == 0) | (s["closed"] == 0) | (s["last"] - s["at"] >= micros(pending)))
+    first = near(F.lit(0))
+    none = F.struct(first["at"].alias("at"), first["at"].alias("last"), F.lit(0).cast("bigint").alias("n"),
+                    F.lit(1).cast("bigint").alias("fresh"), F.lit(1).cast("bigint").alias("closed"))
+    return F.when(F.size(able) > 0, able).otherwise(F.array(none))
+
+
 def service_down_alerts(
     samples: DataFrame, pending: float = 30.0, quiet: float = 86400.0, lateness: str = LATENESS
 ) -> DataFrame:
     """The batch rule over a stream: each outage of a watched service when it fires and when it is over.
 
-    The columns are those of the batch rule and `status`; a firing row has no end yet. Samples of one job and second are
-    put in order before they meet the state, and only behind the watermark, so late ones are in their place.
+    The columns are those of the batch rule and `status`; a firing row has no end yet. Samples of one job and window (`pending`
+    seconds, a minute at most) are put in order and folded to stretches before they meet the state, and only behind the watermark, so late
+    ones are in their place and the state meets a few rows per window, however many samples it has.
     """
     col, lit = F.col, F.lit
+    span = max(1, min(60, int(pending)))
     jobs = [job for _, job, _ in C.DOWN_RULES]
     up = samples.filter(col("metric") == "up").select(
         col("labels")["job"].alias("job"), col("ts").cast("timestamp").alias("ts"), (col("value") == 0).alias("down")
     ).filter(col("job").isin(jobs))
     sample = F.struct(F.unix_micros("ts").alias("at"), "down")
-    seconds = up.withWatermark("ts", lateness).groupBy("job", F.window("ts", "1 second")).agg(
+    windows = up.withWatermark("ts", lateness).groupBy("job", F.window("ts", f"{span} seconds")).agg(
         F.sort_array(F.collect_list(sample)).alias("samples"))
-    seconds = seconds.select("job", "window", F.unix_seconds("window.start").alias("second"), "samples.at", "samples.down")
-    found = seconds.groupBy("job").transformWithStateInPandas(
-        Outage(pending, quiet), "job string, status string, down_from timestamp_ntz, down_to timestamp_ntz, samples bigint",
+    stretches = windows.select("job", "window", F.inline(down_stretches("samples", pending, quiet)))
+    found = stretches.groupBy("job").transformWithStateInPandas(
+        Outage(pending, quiet, span), "job string, status string, down_from timestamp_ntz, down_to timestamp_ntz, samples bigint",
         "append", "eventTime",
     )
     rule = F.filter(down_rules(), lambda item: item["job"] == col("job"))[0]

@@ -1,6 +1,7 @@
 """Keyed tables in buckets under one manifest, and the jobs that keep them."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,41 @@ def test_one_late_row_counts_as_one(spark):
         hits = jobs.run_available(jobs.first_hits(stream, "event_id"), "late")
         assert {r.job: r.dropped for r in counted.table(spark).collect()} == {"late": 1}
     assert hits.count() == 4
+
+
+@pytest.mark.parametrize(("pending", "quiet", "every"), [(30.0, 86400.0, 7), (200.0, 400.0, 50), (45.0, 90.0, 1), (1.0, 20.0, 3)])
+def test_outages_at_random_equal_the_plain_walk(spark, pending, quiet, every):
+    random.seed(int(pending + every))
+    values, at, state = [], 0, 1
+    for _ in range(600):
+        at += random.choice([1, every, every, 3 * every, 300 if random.random() < 0.05 else every])
+        state = 1 - state if random.random() < 0.15 else state
+        values.append((at, state))
+    made = [(START + timedelta(seconds=s), "up", {"job": "payment-service"}, float(v)) for s, v in values]
+    layout = "ts timestamp_ntz, metric string, labels map<string,string>, value double"
+    path = scratch(spark, "samples")
+    for part in (made[:150], made[250:400], made[150:250] + made[400:]):
+        spark.createDataFrame(part, layout).repartition(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(made[-1][0] + timedelta(days=10), *made[0][1:3], 1.0)], layout).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(path)
+    alerts = stateful.service_down_alerts(stream, pending, quiet, "3 days")
+    found = jobs.run_available(alerts, "outages").collect()
+    want, run = [], []
+    for s, v in [*values, (at + 864000, 1)]:
+        if run and (v or s - run[-1] > quiet):
+            want += [(run[0], run[-1], len(run))] if run[-1] - run[0] >= pending else []
+            run = []
+        run += [] if v else [s]
+    seconds = lambda t: round((t - START).total_seconds())
+    assert want and sorted((seconds(r.down_from), seconds(r.down_to), r.samples) for r in found if r.status == "resolved") == want
+    assert sorted(seconds(r.down_from) for r in found if r.status == "firing") == [w[0] for w in want]
+
+
+def test_a_window_of_many_samples_is_few_rows_for_the_state(spark):
+    many = [(START + timedelta(milliseconds=20 * i), i // 250 % 2 == 1) for i in range(3000)]
+    rows = spark.createDataFrame(many, "ts timestamp_ntz, down boolean").selectExpr("unix_micros(cast(ts as timestamp)) as at", "down")
+    window = rows.agg(F.sort_array(F.collect_list(F.struct("at", "down"))).alias("samples"))
+    found = window.select(F.inline(stateful.down_stretches("samples", 30.0, 60.0))).collect()
+    # 60 seconds of 50 samples a second, down for five seconds at a time: only the last stretch, which is still open, can fire.
+    first = round((START - datetime(1970, 1, 1)).total_seconds() * 1e6)
+    assert [(r.at - first, r["last"] - first, r.n, r.fresh, r.closed) for r in found] == [(55_000_000, 59_980_000, 250, 1, 0)]
