@@ -214,15 +214,14 @@ def settle_transfers(accounts: DataFrame, transfers: DataFrame, blocks: int | No
 
 
 def transfer_legs_join(settled: DataFrame) -> DataFrame:
-    """One row per transfer with the outcome of its debit and its credit; an untried credit is null."""
-    col = F.col
-
-    def side(leg: str) -> DataFrame:
-        return settled.filter(col("leg") == leg).select(
-            "request_id", col("applied").alias(f"{leg}_applied"), col("message").alias(f"{leg}_message")
-        )
+    """One row per transfer with the outcome of its debit and its credit; an untried credit is null.
 
-    return side("debit").join(side("credit"), "request_id", "left")
+    The legs of a transfer lie beside each other, so an aggregate folds them before they are shuffled."""
+    col = F.col
+    values = [
+        F.max(F.when(col("leg") == leg, col(name))).alias(f"{leg}_{name}") for leg in ("debit", "credit") for name in ("applied", "message")
+    ]
+    return settled.groupBy("request_id").agg(*values).where(col("debit_applied").isNotNull())
 
 
 def build_ledger(transfers: DataFrame, settled: DataFrame, repeatable: bool = True) -> DataFrame:

@@ -36,6 +36,7 @@ ORDER = ["account_number", *TIME]
 #: One row: `paid_by` is the debit itself, or the debit that a credit waits for; `open` is what is known of it; cents are positive.
 ROWS = ["paid_by", "debit", "account_number", "ts", "seq", "cents", "opening", "open"]
 DECIDED = "paid_by long, open boolean"
+WALKED = f"{DECIDED}, waiting string"
 _NAMES = ("paid_by", "debit", "account_number", "cents", "opening", "open")
 
 
@@ -48,18 +49,22 @@ def _columns(batch: pa.RecordBatch, names: tuple[str, ...] = _NAMES):
     return zip(*(batch.column(batch.schema.names.index(n)).to_pylist() for n in names), strict=True)
 
 
-def _decisions(found: list[tuple[int, bool]]) -> pa.RecordBatch:
+def _decisions(found: list[tuple[int, bool]], waiting: list[str]) -> pa.RecordBatch:
+    none = [None] * len(waiting)
     return pa.RecordBatch.from_arrays(
-        [pa.array([k for k, _ in found], pa.int64()), pa.array([o for _, o in found], pa.bool_())], ["paid_by", "open"])
+        [pa.array([k for k, _ in found] + none, pa.int64()), pa.array([o for _, o in found] + none, pa.bool_()),
+         pa.array([None] * len(found) + waiting, pa.string())], ["paid_by", "open", "waiting"])
 
 
 def _walk(start: dict[tuple[str, int], tuple[int, int]]):
-    """Decide debits of blocks whose rows are in order; `start` has the bounds of accounts that began in an earlier block."""
+    """Decide debits of blocks whose rows are in order; `start` has the bounds of accounts that began in an earlier block.
+
+    Accounts that keep an open debit are named once per block in `waiting`."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, low, high, floor = None, 0, 0, 0
+        current, told, low, high, floor = None, None, 0, 0, 0
         for batch in batches:
-            found = []
+            found, waiting = [], []
             for key, debit, account, cents, opening, known, block in _columns(batch, (*_NAMES, "block")):
                 if (account, block) != current:
                     current, floor = (account, block), min(0, opening)
@@ -77,7 +82,10 @@ def _walk(start: dict[tuple[str, int], tuple[int, int]]):
                     found.append((key, False))
                 else:
                     low, high = max(low - cents, floor), max(high - cents, min(high, cents - 1))
-            yield _decisions(found)
+                    if told != current:
+                        told = current
+                        waiting.append(account)
+            yield _decisions(found, waiting)
 
     return walk
 
@@ -130,10 +138,10 @@ def _starts(placed: DataFrame, ordered: DataFrame) -> dict[tuple[str, int], tupl
 
 
 def _round(rows: DataFrame, blocks: int) -> DataFrame:
-    """The debits that bounds decide; each block is sorted and walked by one task."""
+    """The debits that bounds decide, and the accounts that keep an open one; each block is sorted and walked by one task."""
     placed = stage(rows.repartitionByRange(blocks, *ORDER).withColumn("block", F.spark_partition_id()), "blocks")
     ordered = placed.repartition(blocks, "block").sortWithinPartitions("block", *ORDER)
-    return stage(ordered.mapInArrow(_walk(_starts(placed, ordered)), DECIDED), "decided")
+    return stage(ordered.mapInArrow(_walk(_starts(placed, ordered)), WALKED), "decided")
 
 
 REPLAYED = "paid_by long, open boolean, account_number string, closing long"
@@ -184,9 +192,12 @@ def decide_debits(rows: DataFrame, blocks: int | None = None, rounds: int = ROUN
     while left:
         if len(turns) < rounds and (left > replay or not turns):
             turns.append("bounds")
-            found = _round(rows, blocks or blocks_for(spark, left))
+            walked = _round(rows, blocks or blocks_for(spark, left))
+            found = walked.where("paid_by is not null").select("paid_by", "open")
             decided.append(found)
-            rows = _known(rows, found)
+            # Rows of settled accounts go first, so only the others meet the decisions.
+            waiting = walked.where("waiting is not null").select(F.col("waiting").alias("account_number")).distinct()
+            rows = _known(rows.join(waiting, "account_number", "left_semi"), found)
         else:
             turns.append("replay")
             first = stage(rows.orderBy(*TIME).limit(replay), "first") if left > replay else rows
@@ -199,8 +210,8 @@ def decide_debits(rows: DataFrame, blocks: int | None = None, rounds: int = ROUN
             rest = rows.where(F.struct(*TIME) > end.scalar())
             closing = told.where("account_number is not null").select(F.col("account_number").alias("_name"), "closing")
             rest = rest.join(closing, F.col("account_number") == F.col("_name"), "left")
-            rows = _known(rest.withColumn("opening", F.coalesce("closing", "opening")).select(*ROWS), found)
-        rows = stage(_open_accounts(rows), "rows")
+            rows = _open_accounts(_known(rest.withColumn("opening", F.coalesce("closing", "opening")).select(*ROWS), found))
+        rows = stage(rows, "rows")
         left = rows.count()
     out = decided[0]
     for part in decided[1:]:

@@ -204,3 +204,20 @@ def test_segments_equal_plain_windows(spark, seconds):
             run += before != state
             assert (totals[seq], stretches[seq]) == (total, run)
             before = state
+
+
+def test_legs_of_a_transfer_are_folded_without_a_join(spark):
+    rows = [(1, "debit", True, "ok"), (1, "credit", False, "no"), (2, "debit", False, "poor"), (3, "debit", True, "ok"), (3, "credit", True, "ok")]
+    legs = ledger.transfer_legs_join(spark.createDataFrame(rows, "request_id long, leg string, applied boolean, message string"))
+    assert "Join" not in legs._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in legs.collect()} == {
+        (1, True, "ok", False, "no"), (2, False, "poor", None, None), (3, True, "ok", True, "ok")}
+
+
+def test_a_round_names_the_accounts_that_keep_an_open_debit(spark):
+    # a covers its debit; whether b does depends on a's refused or paid credit to it, c has no rows that wait.
+    moves, opening = [("c", "a", 5), ("a", "b", 50), ("b", "c", 30)], {"a": 47, "b": 0, "c": 9}
+    rows = spark.createDataFrame(transfer_rows(moves, opening), LEG)
+    walked = overdraft._round(rows, 2).collect()
+    assert {r.waiting for r in walked if r.waiting} == {"a", "b"}
+    assert {r.paid_by: r.open for r in walked if r.paid_by is not None} == {0: True}
