@@ -146,6 +146,14 @@ def test_random_keys_are_numbered_without_one_task(spark):
     assert sorted(r.id for r in plan.collect()) == list(range(5, 2006))
 
 
+def test_updates_are_reduced_once(spark):
+    target = spark.createDataFrame([(5, 1, "a", START, START)], "id bigint, key bigint, reason string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    feed = spark.range(77).select(F.col("id").alias("key"), F.lit(1).alias("seq"), F.lit("x").alias("reason"))
+    merged = keyed.upsert_by_key(target, feed, "key", ["seq"], AS_OF)
+    assert "Range (0, 77" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert merged.count() == 77
+
+
 def test_newest_rows_need_no_sort_aggregate(spark):
     rows = [("a", START, 1, "x"), ("a", START, 2, "y"), ("a", None, 9, "z"), ("b", START, None, "p"), ("b", START, None, "p"), (None, START, -5, "n")]
     df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, seq bigint, note string")
