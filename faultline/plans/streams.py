@@ -220,9 +220,11 @@ def alerts_to_results(spark, folder):
 def stream_alerts_to_incidents(spark, folder):
     """Every document comes twice, over four triggers; each incident has one row in each table of the last version."""
     target, progress = scratch(spark, "incident-tables"), scratch(spark, "progress")
-    _, known = _alert_logs(spark, folder)
-    encoders = stage(features.fit_encoders(known), "encoders")
     documents = A.mapped(spark, folder, A.ALERT_PAYLOADS, heavy=True)
+    known = parsing.parse_logs(alerts.parse_requests(alerts.normalize_alerts(documents, A.EVENT_AS_OF)))
+    # The classes are all that the encoders need of the logs.
+    known = stage(known.select("service_name", "failure_type").distinct(), "known")
+    encoders = stage(features.fit_encoders(known), "encoders")
     stream = as_stream(documents.unionByName(documents), "payloads", triggers=4)
     jobs.alerts_to_incidents(stream, target, progress, encoders, M2.fixed_model(spark), A.EVENT_AS_OF).awaitTermination()
     marked = store.read(spark, target, "incidents").select(F.col("incident_id").alias("id"), "alert_name", "trace_id")

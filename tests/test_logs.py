@@ -1,6 +1,7 @@
 """Log parsing and alert normalisation on single cases."""
 
 import json
+import re
 from datetime import datetime
 
 import pytest
@@ -183,3 +184,24 @@ def test_each_alert_of_a_document_is_one_incident(spark):
     done = alerts.apply_parse_outcome(incidents, parsing.parse_logs(alerts.parse_requests(rows)), "2026-01-01 00:00:00").collect()
     assert sorted(r.alert_name for r in done) == ["A", "B"] and len({r.id for r in done}) == 2 and min(r.id for r in done if r.alert_name == "A") == 7
     assert {r.payload_id: r.reject_reason for r in alerts.rejected(df).collect()} == {8: "not a JSON object", 9: "empty document", 10: "not a JSON object"}
+
+
+def test_incidents_that_carry_their_log_need_no_join(spark):
+    made = [(1, '{"alertName":"A","serviceName":"pay-é x","errorMessage":"e"}'), (2, '{"alertName":" ","search_name":"S","traceId":{"a":1},"sid":"s"}')]
+    rows = alerts.normalize_alerts(spark.createDataFrame(made, "payload_id long, payload string"), "2026-07-20 00:00:00")
+    as_of = "2026-07-21 00:00:00"
+    joined = alerts.apply_parse_outcome(alerts.build_incidents(rows), parsing.parse_logs(alerts.parse_requests(rows)), as_of)
+    carried = parsing.parse_logs(alerts.parse_requests(rows, incident=F.struct(*alerts.incident_columns())))
+    found = alerts.parsed_incidents(carried, as_of)
+    assert found.dtypes == joined.dtypes and sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
+    assert {r.id: (r.alert_name, r.trace_id, r.incident_number[:5]) for r in found.collect()} == {
+        1: ("A", "incident-a", "PAYX-"), 2: ("S", "s", "UNKNO")}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_failure_names_that_are_clean_skip_the_pattern(spark):
+    names = ["ok", "A_b", "__x__", "a__b", " pay-ment  down ", "ß x", "_", "-", "x.", "9", "é"]
+    clean = lambda name: re.sub("[^A-Za-z0-9]+", "_", name.strip().upper()).strip("_") or "APPLICATION_FAILURE"
+    found = spark.createDataFrame([(n,) for n in names], "n string").select("n", logfields.normalize_failure_type(F.col("n")).alias("f"))
+    assert {r.n: r.f for r in found.collect()} == {n: clean(n) for n in names}
+    assert "CASE WHEN" in str(logfields.cleaned_name(F.col("n"))._jc.toString()).upper()

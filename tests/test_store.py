@@ -150,3 +150,19 @@ def test_a_window_of_many_samples_is_few_rows_for_the_state(spark):
     # 60 seconds of 50 samples a second, down for five seconds at a time: only the last stretch, which is still open, can fire.
     first = round((START - datetime(1970, 1, 1)).total_seconds() * 1e6)
     assert [(r.at - first, r["last"] - first, r.n, r.fresh, r.closed) for r in found] == [(55_000_000, 59_980_000, 250, 1, 0)]
+
+
+def test_unique_updates_meet_their_bucket_in_one_shuffle(spark):
+    path = scratch(spark, "store")
+    schema = "key bigint, note string, kept string, created_at timestamp_ntz, updated_at timestamp_ntz"
+    store.create(spark, path, {"a": (schema, "key")}, buckets=4)
+    first = spark.createDataFrame([(k, f"n{k}", f"k{k}") for k in range(20)], "key int, note string, kept string")
+    store.commit(spark, path, {"a": (first, None)}, "feed", 0, AS_OF)
+    some = spark.createDataFrame([(3, "new"), (77, None), (None, "no key")], "key int, note string")
+    store.commit(spark, path, {"a": (some, None)}, "feed", 1, LATER)
+    found = {r.key: (r.note, r.kept, str(r.created_at), str(r.updated_at)) for r in store.read(spark, path, "a").collect()}
+    want = {k: (f"n{k}", f"k{k}", AS_OF, AS_OF) for k in range(20)}
+    assert found == want | {3: ("new", "k3", AS_OF, LATER), 77: (None, None, LATER, LATER)}
+    rows, bucket = store.read(spark, path, "a"), store.bucket_of(F.col("key"), 4)
+    merged = store._merged(rows.withColumn(store.BUCKET, bucket), rows.withColumn(store.BUCKET, bucket), "key", F.col("key") % 4, LATER)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
