@@ -276,3 +276,15 @@ def test_a_model_is_one_version(spark, tmp_path):
         tables.save_model(path, *[spark.range(n).withColumnRenamed("id", name) for name in ("e", "n", "p")])
     encoders, (nodes, params) = tables.load_model(spark, path)
     assert (encoders.count(), nodes.count(), params.count()) == (2, 2, 2)
+
+
+def test_equal_points_are_walked_once():
+    nodes = pd.DataFrame([(0, 0, 0, 0.0, 1, 2, 3, 0), (0, 1, -1, 0.0, -1, -1, 1, 1), (0, 2, -1, 0.0, -1, -1, 2, 1)],
+                         columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+    walker, seen = forest.Walker(nodes, 3), []
+    points = np.array([[0.0, 1], [-0.0, 1], [2, 1], [2, 1], [2, 5], [0, 1]])
+    want = walker._walk(points)
+    walk = walker._walk
+    walker._walk = lambda some: seen.append(len(some)) or walk(some)
+    assert walker.scores(points).tolist() == want.tolist() and seen == [3]
+    assert len(walker.scores(np.zeros((0, 2)))) == 0
