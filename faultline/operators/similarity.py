@@ -7,13 +7,14 @@ Signatures are compared block by block: every block pairs a bounded number of qu
 candidate vectors and returns its own top rows, so neither pairs of incidents nor whole groups are shuffled.
 """
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from faultline import constants as C
 from faultline.functions.text import empty_to_null
@@ -22,14 +23,30 @@ from faultline.session import spread, stage
 
 QUERY_BLOCK = 32_768
 CANDIDATE_SHARD = 32_768
-TILE = 2048
-CHUNK = 4096
-FIRST_CHUNK = 64
-# Pairs scored again at a time, and the share of a tile (one in so many) from which all of it is.
+TILE = 1024
+CHUNK = 1024
+# The start of the first chunk, while no scores are known.
+FIRST_CHUNK = 16
+# Least candidates that get groups of terms of their own; how many groups there are; which is tried first.
+SEGMENT = 4096
+LEVELS = (32, 64, 96, 128, 192, 256, 320, 384, 512)
+FIRST_LEVEL = 5
+# What scoring one pair costs, in groups of one pair's bound; by how much less it must be for a coarser level; width of a kind.
+PAIR_COST = 4_000
+COARSER = 12
+KIND = 0.06
+# Pairs scored at a time, and the share of a tile (one in so many) from which all of it is.
 PICKED = 256
-DENSE_SHARE = 64
-# A score rounds to the next 0.0001 from 0.00005 on, less what single precision can be off.
-MARGIN = 0.00005 - 0.00002
+DENSE_SHARE = 16
+# The share of a tile (one in so many) from which a finer level is tried at once.
+RAISE_SHARE = 40
+# Scores are rounded to 0.0001; single precision can be off by less than the margin.
+HALF = 0.00005
+MARGIN = 0.00003
+# Pairs of the first round, by how much rounds grow, and about how many places are sampled to divide them.
+ROUND_PAIRS = 1 << 33
+ROUND_GROWTH = 3
+SAMPLED = 4000
 FREQUENT = 100_000
 ASKED = "asked_"
 TEXT_FIELDS = [
@@ -38,6 +55,7 @@ TEXT_FIELDS = [
 PARSED_TEXT = ["log_level", "error_message", "exception_type", "status_code", "failure_type"]
 MATCHED = [name for name, _ in C.BONUS]
 PLACE = ["no_resolved", "resolved_at", "no_updated", "updated_at", "id"]
+MATCHES = ["query_signature", "signature", "score"]
 
 
 def _parsed(name: str, incidents: DataFrame) -> Column:
@@ -198,13 +216,61 @@ def structured_bonus(current: Column, candidate: Column) -> Column:
     return total + F.when(noted, C.BONUS_NOTES).otherwise(0.0)
 
 
-def _dense(frame: pd.DataFrame, width: int) -> np.ndarray:
-    matrix = np.zeros((len(frame), width))
-    sizes = frame["positions"].str.len().to_numpy(int)
-    if sizes.sum():
-        rows = np.repeat(np.arange(len(frame)), sizes)
-        matrix[rows, np.concatenate(frame["positions"].to_list())] = np.concatenate(frame["weights"].to_list())
-    return matrix
+class _Vectors:
+    """Sparse rows, the entries of all rows one after the other."""
+
+    def __init__(self, frame: pd.DataFrame, width: int):
+        self.width = width
+        self.sizes = frame["positions"].str.len().to_numpy(int)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        filled = self.sizes.sum() > 0
+        self.positions = np.concatenate(frame["positions"].to_list()).astype(np.int32) if filled else np.empty(0, np.int32)
+        self.weights = np.concatenate(frame["weights"].to_list()).astype(float) if filled else np.empty(0)
+
+    def entries(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row (from 0), position and weight of every entry of some rows."""
+        own = slice(self.starts[start], self.starts[end])
+        return np.repeat(np.arange(end - start), self.sizes[start:end]), self.positions[own], self.weights[own]
+
+    def dense(self, start: int, end: int) -> np.ndarray:
+        matrix = np.zeros((end - start, self.width))
+        rows, positions, weights = self.entries(start, end)
+        matrix[rows, positions] = weights
+        return matrix
+
+    def group_norms(self, start: int, end: int, groups: np.ndarray, size: int) -> np.ndarray:
+        """The length of every row within each group of terms; terms of group -1 are left out."""
+        rows, positions, weights = self.entries(start, end)
+        at = groups[positions]
+        held = at >= 0
+        squares = np.bincount(rows[held] * size + at[held], weights[held] ** 2, (end - start) * size)
+        return np.sqrt(squares).astype(np.float32).reshape(end - start, size)
+
+    def dots(self, rows: np.ndarray, other: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Products of some of these rows with rows of a dense matrix, pair by pair."""
+        found, flat = np.zeros(len(rows)), other.ravel()
+        for first in range(0, len(rows), PICKED):
+            own = slice(first, first + PICKED)
+            sizes = self.sizes[rows[own]]
+            ends = np.cumsum(sizes)
+            entry = np.repeat(self.starts[rows[own]] - ends + sizes, sizes)
+            entry += np.arange(len(entry))
+            at = np.repeat(others[own] * self.width, sizes)
+            at += self.positions.take(entry)
+            products = flat.take(at) * self.weights.take(entry)
+            filled = np.flatnonzero(sizes)
+            if len(filled):
+                found[first + filled] = np.add.reduceat(products, (ends - sizes)[filled])
+        return found
+
+
+def _pair_dots(left: np.ndarray, rows: np.ndarray, right: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Products of rows of two dense matrices, pair by pair."""
+    found = np.empty(len(rows), left.dtype)
+    for first in range(0, len(rows), PICKED):
+        own = slice(first, first + PICKED)
+        found[own] = np.einsum("ij,ij->i", left[rows[own]], right[others[own]])
+    return found
 
 
 def _codes(queries: pd.DataFrame, candidates: pd.DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
@@ -219,93 +285,262 @@ def _codes(queries: pd.DataFrame, candidates: pd.DataFrame) -> list[tuple[float,
     return found
 
 
-def _chunks(size: int) -> Iterator[tuple[int, int]]:
-    """Ranges of candidates; the first are short, so that few pairs pass before good scores are known."""
-    start, length = 0, min(FIRST_CHUNK, CHUNK)
-    while start < size:
-        yield start, min(start + length, size)
-        start, length = start + length, min(8 * length, CHUNK)
+def _runs(change: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows, cut where `change` says so once they hold `least` rows, and at `most`."""
+    found, start = [], 0
+    for cut in [*(np.flatnonzero(change[1:]) + 1).tolist(), len(change)]:
+        while cut - start > most:
+            found.append((start, start + most))
+            start += most
+        if cut - start >= least or cut == len(change) > start:
+            found.append((start, cut))
+            start = cut
+    return found
+
+
+def _group_terms(energy: np.ndarray, size: int) -> np.ndarray:
+    """Terms in at most `size` groups of about equal energy, heavy ones alone; -1 for terms that nobody has."""
+    groups = np.full(len(energy), -1)
+    order = np.argsort(-energy, kind="stable")[:np.count_nonzero(energy)]
+    left, group, held = energy.sum(), 0, 0.0
+    for term in order:
+        if held and group < size - 1 and held + energy[term] > left / (size - group):
+            left, group, held = left - held, group + 1, 0.0
+        groups[term] = group
+        held += energy[term]
+    return groups
+
+
+class _Segment:
+    """Neighbouring candidates with one grouping of the terms for each level, made when first needed."""
+
+    def __init__(self, vectors: _Vectors, start: int, end: int):
+        self.vectors, self.start, self.end = vectors, start, end
+        _, positions, weights = vectors.entries(start, end)
+        self.energy = np.bincount(positions, weights ** 2, vectors.width)
+        self.terms = np.count_nonzero(self.energy)
+        self.sizes = [size for size in LEVELS if size < self.terms] + [max(1, self.terms)]
+        self.fine = len(self.sizes) - 2
+        self.groups, self.norms, self.levels = {}, {}, {}
+
+    def grouping(self, level: int) -> tuple[np.ndarray, int]:
+        if level not in self.groups:
+            self.groups[level] = _group_terms(self.energy, self.sizes[level])
+        return self.groups[level], self.sizes[level]
+
+    def candidates(self, level: int, start: int, end: int) -> np.ndarray:
+        if level == len(self.sizes) - 1:  # one group a term: too wide to be kept
+            return self.vectors.group_norms(start, end, *self.grouping(level))
+        if level not in self.norms:
+            self.norms[level] = self.vectors.group_norms(self.start, self.end, *self.grouping(level))
+        return self.norms[level][start - self.start:end - self.start]
+
+    def level(self, kind: int) -> int:
+        return self.levels.get(kind, min(FIRST_LEVEL, len(self.sizes) - 1))
+
+    def adapt(self, kind: int, passed: float) -> None:
+        """A finer level while scoring what passed costs more than the step, a coarser one where it costs next to nothing."""
+        level = self.level(kind)
+        cost, size = PAIR_COST * passed, self.sizes[level]
+        if level + 1 < len(self.sizes) and cost > self.sizes[level + 1] - size:
+            self.levels[kind] = level + 1
+        elif level and COARSER * cost < size - self.sizes[level - 1]:
+            self.levels[kind] = level - 1
+
+
+class _Best:
+    """The best `keep` candidates of every query of a tile: rounded score, then place in the tie order (0: first)."""
+
+    def __init__(self, queries: int, keep: int, floor: np.ndarray):
+        self.keep, self.floor = keep, floor
+        self.scores = np.full((queries, keep), -1.0)
+        self.places = np.full((queries, keep), -1)
+
+    def needed(self, first_place: int) -> np.ndarray:
+        """The least exact score that matters among candidates from a place on; infinite where none can."""
+        worst = self.scores[:, -1]
+        # A tie goes to the earlier place; the floor comes from candidates that are all earlier. 1 is never exceeded.
+        late = self.places[:, -1] < first_place
+        least = np.maximum(worst + np.where(late, HALF, -HALF), self.floor + HALF) - MARGIN
+        least[worst < 0] = self.floor[worst < 0] + HALF - MARGIN
+        least[(late & (worst >= 1)) | (self.floor >= 1)] = np.inf
+        return least
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, places: np.ndarray) -> None:
+        worst = self.scores[rows, -1]
+        better = (scores > worst) | ((scores == worst) & (places < self.places[rows, -1]))
+        better &= scores > self.floor[rows]
+        if not better.any():
+            return
+        rows, scores, places = rows[better], scores[better], places[better]
+        changed = np.unique(rows)
+        every = np.concatenate([rows, np.repeat(changed, self.keep)])
+        scores = np.concatenate([scores, self.scores[changed].ravel()])
+        places = np.concatenate([places, self.places[changed].ravel()])
+        order = np.lexsort((places, -scores, every))
+        first = np.searchsorted(every[order], changed)
+        chosen = order[first[:, None] + np.arange(self.keep)]
+        self.scores[changed], self.places[changed] = scores[chosen], places[chosen]
 
 
 def _compare(keep: int, width: int):
     """Best candidates of one shard for every query of one block.
 
-    Tiles of bounded size are scored in single precision; a pair that could round above its query's worst kept score is scored
-    again in double precision, so rounded scores and their ties are exact.
+    Terms are put in groups, and a pair's product is at most the sum over groups of both sides' lengths in the group (Cauchy and
+    Schwarz). So a product of short rows in single precision bounds all scores of a tile; only pairs that could reach a
+    query's worst kept score are scored, in double precision, so rounded scores and their ties are exact. Both sides lie by matched
+    fields: most tiles have one bonus and few terms, and the candidates with the largest bonus come first.
     """
-    layout = ["query_signature", "signature", "score"]
 
-    def tile(queries: pd.DataFrame, candidates: pd.DataFrame) -> list[tuple[bytes, bytes, float]]:
-        asked = _dense(queries, width)
-        rough = asked.astype(np.float32)
-        fields = _codes(queries, candidates)
-        noted = C.BONUS_NOTES * candidates["has_notes"].to_numpy(bool)
-        best = np.full((len(queries), keep), -1.0)
-        places = np.full((len(queries), keep), -1)
-        for start, end in _chunks(len(candidates)):
-            part = candidates.iloc[start:end]
-            chosen = slice(start, end)
-            other = _dense(part, width)
-            scores = rough @ other.astype(np.float32).T
-            scores += noted[None, chosen].astype(np.float32)
+    def tile(asked: _Vectors, start: int, end: int, fields, floor, other: _Vectors, places, noted, chunks) -> _Best:
+        best = _Best(end - start, keep, floor)
+        matrix = asked.dense(start, end)
+        norms = {}
+
+        def asked_norms(segment: _Segment, level: int) -> np.ndarray:
+            if (segment, level) not in norms:
+                norms[segment, level] = asked.group_norms(start, end, *segment.grouping(level))
+            return norms[segment, level]
+
+        promise = np.array([
+            sum(weight * np.mean(mine == theirs[first]) for weight, mine, theirs in fields) + noted[first]
+            for _, first, _ in chunks
+        ])
+        # Chunks of one segment and about one bonus let about equally many pairs pass.
+        kinds = np.round(promise / KIND).astype(int)
+        queue = [(*chunks[n], kinds[n]) for n in np.lexsort((np.array([places[first] for _, first, _ in chunks]), -promise))]
+        fresh = 0
+        if (floor < 0).any():  # the first ones are short, so that few pairs pass before good scores are known
+            segment, first, last, kind = queue[0]
+            cuts = [first]
+            while cuts[-1] < last:
+                cuts.append(min(last, first + max(FIRST_CHUNK, 4 * (cuts[-1] - first))))
+            fresh = len(cuts) - 1
+            queue[:1] = [(segment, *cut, kind) for cut in zip(cuts, cuts[1:])]
+        for step, (segment, first, last, kind) in enumerate(queue):
+            chosen = slice(first, last)
+            need = best.needed(places[chosen].min())
+            bonus, varied = np.zeros(end - start), []
             for weight, mine, theirs in fields:
-                scores += np.float32(weight) * (mine[:, None] == theirs[None, chosen])
-            # A tie goes to the earlier place, so only a rounded score above the worst kept one matters; 1 is never exceeded.
-            bounds = np.where(best[:, -1] >= 1.0, np.inf, best[:, -1] + MARGIN)
-            rows, hits = np.nonzero(scores >= bounds.astype(np.float32)[:, None])
-            if len(rows) * DENSE_SHARE > scores.size:
-                dots = (asked @ other.T)[rows, hits]
+                values = np.unique(theirs[chosen])
+                if len(values) == 1:
+                    bonus += weight * (mine == values[0])
+                elif np.isin(mine, values).any():
+                    varied.append((weight, mine, theirs[chosen]))
+            if noted[chosen].min() == noted[chosen].max():
+                bonus += noted[first]
             else:
-                dots = np.empty(len(rows))
-                for first in range(0, len(rows), PICKED):
-                    own = slice(first, first + PICKED)
-                    dots[own] = np.einsum("ij,ij->i", asked[rows[own]], other[hits[own]])
-            total = noted[start + hits]
-            for weight, mine, theirs in fields:
-                total = total + weight * (mine[rows] == theirs[start + hits])
-            exact = np.round(np.minimum(1.0, dots + total), 4)
-            # The kept ones come from earlier places, so a stable order by score keeps the tie order.
-            edges = np.searchsorted(rows, np.arange(len(queries) + 1))
-            for row in np.flatnonzero(edges[1:] > edges[:-1]):
-                own = slice(edges[row], edges[row + 1])
-                every = np.concatenate([best[row], exact[own]])
-                order = np.argsort(-every, kind="stable")[:keep]
-                best[row], places[row] = every[order], np.concatenate([places[row], start + hits[own]])[order]
-        names, askers = candidates["signature"].to_numpy(), queries["signature"].to_numpy()
-        rows, columns = np.nonzero(places >= 0)
-        return list(zip(askers[rows], names[places[rows, columns]], best[rows, columns]))
+                varied.append((C.BONUS_NOTES, np.ones(end - start, bool), noted[chosen] > 0))
+            alive = np.flatnonzero(need < np.inf)
+            if not len(alive):
+                continue
+            # In the first ones a term is a group, so a bound is the score itself and ranks the pairs.
+            exact = len(segment.sizes) - 1
+            level = segment.level(kind) if step >= fresh else exact
+            while True:
+                rough, bounded = asked_norms(segment, level), segment.candidates(level, first, last)
+                bounds = (rough if len(alive) == len(rough) else rough[alive]) @ bounded.T
+                for weight, mine, theirs in varied:
+                    bounds += np.float32(weight) * (mine[alive][:, None] == theirs[None, :])
+                least = need[alive] - bonus[alive]
+                if step < fresh and keep < last - first:
+                    reached = np.partition(bounds, -keep, axis=1)[:, -keep]
+                    least = np.maximum(least, np.minimum(1 - bonus[alive], reached) - 2 * HALF - MARGIN)
+                hits = np.flatnonzero((bounds >= least.astype(np.float32)[:, None]).ravel())
+                if level == exact or len(hits) * RAISE_SHARE <= bounds.size:
+                    break
+                level = min(level + 2, exact)
+                segment.levels[kind] = level
+            reach = bounds.ravel()[hits]
+            rows, hits = hits // (last - first), first + hits % (last - first)
+            # A row's most promising ones come first: what they score rules out most others.
+            turn = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            if len(rows) and turn.max() >= 2 * keep:
+                order = np.lexsort((-reach, rows))
+                turns = [order[turn < 2 * keep], np.sort(order[turn >= 2 * keep])]
+            else:
+                turns = [np.arange(len(rows))]
+            passed = 0
+            for chosen in turns:
+                own, mates = alive[rows[chosen]], hits[chosen]
+                worst = best.scores[own, -1]
+                least = np.maximum(worst - HALF, floor[own] + HALF) - MARGIN
+                # Where a query's best are all 1, only earlier places matter.
+                left = (reach[chosen] >= least - bonus[own]) & ((worst < 1) | (places[mates] < best.places[own, -1]))
+                own, mates, least = own[left], mates[left], least[left]
+                passed += len(own)
+                total = noted[mates]
+                for weight, mine, theirs in fields:
+                    total = total + weight * (mine[own] == theirs[mates])
+                whole = len(own) * DENSE_SHARE > bounds.size
+                if level < segment.fine and not whole:  # a finer bound of a single pair is cheaper than a score
+                    theirs = segment.candidates(segment.fine, first, last)
+                    left = _pair_dots(asked_norms(segment, segment.fine), own, theirs, mates - first) + total >= least
+                    own, mates, total = own[left], mates[left], total[left]
+                if not len(own):
+                    continue
+                if whole:
+                    dots = (matrix @ other.dense(first, last).T)[own, mates - first]
+                else:
+                    dots = other.dots(mates, matrix, own)
+                best.add(own, np.round(np.minimum(1.0, dots + total), 4), places[mates])
+            if step >= fresh:
+                segment.adapt(kind, passed / bounds.size)
+        return best
 
     def compare(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
-            return pd.DataFrame([], columns=layout)
-        queries = queries.rename(columns=lambda name: name.removeprefix(ASKED))
-        candidates = candidates.sort_values(PLACE, ascending=False, na_position="last")
-        rows = []
+            return pd.DataFrame([], columns=MATCHES)
+        queries = queries.rename(columns=lambda name: name.removeprefix(ASKED)).sort_values(MATCHED, ignore_index=True)
+        candidates = candidates.sort_values(PLACE, ascending=False, na_position="last", ignore_index=True)
+        names = candidates["signature"].to_numpy()
+        candidates = candidates.rename_axis("rank").reset_index().sort_values([*MATCHED, "has_notes", "rank"], ignore_index=True)
+        places = candidates["rank"].to_numpy()
+        asked, other = _Vectors(queries, width), _Vectors(candidates, width)
+        fields = _codes(queries, candidates)
+        noted = C.BONUS_NOTES * candidates["has_notes"].to_numpy(bool)
+        floors = queries["floor"].to_numpy(float) if "floor" in queries else np.full(len(queries), -1.0)
+        kind = candidates[[*MATCHED, "has_notes"]]
+        change = (kind != kind.shift()).to_numpy()
+        chunks = []
+        for start, end in _runs(change[:, 0], SEGMENT, len(change)):
+            segment = _Segment(other, start, end)
+            cuts = _runs(change[start:end].any(axis=1), CHUNK // 4, CHUNK)
+            chunks += [(segment, start + first, start + last) for first, last in cuts]
+        found = []
         for start in range(0, len(queries), TILE):
-            rows += tile(queries.iloc[start:start + TILE], candidates)
-        return pd.DataFrame(rows, columns=layout)
+            end = min(start + TILE, len(queries))
+            own = [(weight, mine[start:end], theirs) for weight, mine, theirs in fields]
+            best = tile(asked, start, end, own, floors[start:end], other, places, noted, chunks)
+            rows, columns = np.nonzero(best.places >= 0)
+            signature = queries["signature"].to_numpy()[start:end][rows]
+            found.append(pd.DataFrame(dict(zip(MATCHES, (signature, names[best.places[rows, columns]], best.scores[rows, columns])))))
+        return pd.concat(found, ignore_index=True)
 
     return compare
 
 
-def cosine_matches(queries: DataFrame, candidates: DataFrame, keep: int, width: int) -> DataFrame:
-    """The best `keep` candidates per shard for each query signature, rounded scores, tie order kept.
-
-    A query travels once per shard and a candidate once per block of queries; a task holds one of each as sparse vectors.
-    """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parallel = queries.sparkSession.sparkContext.defaultParallelism
-    shards = max(-(-parallel // blocks), -(-candidates.count() // CANDIDATE_SHARD))
+def _cells(queries: DataFrame, candidates: DataFrame, keep: int, width: int, asked: int, known: int) -> DataFrame:
+    """The best `keep` candidates per shard for each query, found in cells of one block of queries and one shard of candidates each."""
+    blocks, shards = -(-asked // QUERY_BLOCK) or 1, -(-known // CANDIDATE_SHARD) or 1
+    # At least two cells a core. A query's first comparisons in a shard cost more than what a block costs a candidate.
+    cells = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    if blocks * shards < cells:
+        shards = max(shards, min(cells, round((cells * known / max(1, asked)) ** 0.5 / 2)))
+        blocks = max(blocks, -(-cells // shards))
     used = ["signature", "positions", "weights", *MATCHED, "has_notes"]
     own = queries.select(
         F.pmod(F.xxhash64("signature"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *used,
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *used, "floor",
     )
     other = candidates.select(
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"),
         F.pmod(F.hash("signature"), F.lit(shards)).cast("int").alias("shard"), *used, "place.*",
     )
     own = own.toDF(*[ASKED + name for name in own.columns])
+    # A cell is small but takes long, so partitions are neither as few as the bytes suggest nor shared by many cells.
+    own = own.repartition(3 * blocks * shards, f"{ASKED}block", f"{ASKED}shard")
+    other = other.repartition(3 * blocks * shards, "block", "shard")
     return (
         own.groupBy(f"{ASKED}block", f"{ASKED}shard")
         .cogroup(other.groupBy("block", "shard"))
@@ -313,6 +548,46 @@ def cosine_matches(queries: DataFrame, candidates: DataFrame, keep: int, width:
     )
 
 
+def _place_from(place: Row, fields: StructType) -> Column:
+    """Whether a candidate lies at or before a place; any place divides the candidates in two."""
+    bound = F.struct(*[F.lit(place[f.name]).cast(f.dataType).alias(f.name) for f in fields])
+    return F.col("place") >= bound
+
+
+def cosine_matches(queries: DataFrame, candidates: DataFrame, keep: int, width: int) -> DataFrame:
+    """The best candidates for each query signature with rounded scores, at least `keep` where there are as many, ties in place order.
+
+    A query travels once per shard and a candidate once per block of queries; a task holds one of each as sparse vectors. Many pairs
+    are compared in rounds, candidates of the earliest places first: what a round finds bounds the next ones, and a query
+    whose best all score 1 is answered, since later places lose every tie.
+    """
+    asked, known = queries.count(), candidates.count()
+    queries = queries.withColumn("floor", F.lit(-1.0))
+    first = -(-ROUND_PAIRS // max(1, asked))
+    ends = []
+    while known > 2 * (end := first * ROUND_GROWTH ** len(ends)):
+        ends.append(end)
+    if not ends:
+        return stage(_cells(queries, candidates, keep, width, asked, known), "matches")
+    # Places at about these ranks, from a sample; where exactly a round ends does not matter.
+    few = F.pmod(F.xxhash64("signature"), F.lit(max(1, known // SAMPLED))) == 0
+    sample = candidates.filter(few).select("place").orderBy(F.col("place").desc()).collect()
+    fields = candidates.schema["place"].dataType
+    places = [sample[len(sample) * end // known]["place"] for end in ends if sample]
+    cuts = [F.lit(False), *[_place_from(place, fields) for place in places], F.lit(True)]
+    found = None
+    for before, until in zip(cuts, cuts[1:]):
+        part = candidates.filter(until & ~before)
+        if found is not None:
+            best = F.sort_array(F.collect_list("score"), asc=False)
+            floors = found.groupBy(F.col("query_signature").alias("signature")).agg(F.get(best, F.lit(keep - 1)).alias("floor"))
+            queries = queries.drop("floor").join(floors, "signature", "left").fillna(-1.0, "floor").filter(F.col("floor") < 1)
+            asked = queries.count()
+        matches = stage(_cells(queries, part, keep, width, asked, part.count()), "matches")
+        found = matches if found is None else found.unionByName(matches)
+    return found
+
+
 def find_similar_incidents(
     incidents: DataFrame,
     ids: DataFrame,
@@ -336,7 +611,7 @@ def find_similar_incidents(
     asked = narrow.join(wanted_ids, "id", "left_semi")
     wanted = stage(distinct_signatures(vectors.join(wanted_ids, "id", "left_semi")), "wanted")
     documents = stage(distinct_signatures(vectors.filter("known")), "vectors")
-    matches = stage(cosine_matches(wanted, documents, k + 1, vocabulary_size), "matches")
+    matches = cosine_matches(wanted, documents, k + 1, vocabulary_size)
     best = Window.partitionBy("query_signature").orderBy(F.col("score").desc(), F.col("place").desc())
     matches = matches.join(documents.select("signature", "place"), "signature")
     matches = matches.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)

@@ -218,6 +218,60 @@ def test_tiles_keep_ties_and_capped_scores(monkeypatch):
         assert [(-s, -n[0]) for n, s in zip(own["signature"], own["score"])] == expected
 
 
+def test_rounds_of_places_give_the_ranks_of_one_round(spark, monkeypatch):
+    """Bounds and answered queries are carried from round to round, null times lie somewhere, too."""
+    for name, value in (("ROUND_PAIRS", 1500), ("ROUND_GROWTH", 2), ("QUERY_BLOCK", 11), ("CANDIDATE_SHARD", 9), ("SEGMENT", 4), ("CHUNK", 6)):
+        monkeypatch.setattr(similarity, name, value)
+    monkeypatch.setattr(similarity, "LEVELS", (2, 5, 9))
+    jobs, cells = [], similarity._cells
+    monkeypatch.setattr(similarity, "_cells", lambda *options: jobs.append(options[4:]) or cells(*options))
+    rows = small_corpus()
+    # Of the same words but for rare ones: their best score 1.
+    rows += [(100 + n, "A", None, None, None, "s1", None, "OPEN", None, f"payment blocked error retry x{n}", None, None, None) for n in range(30)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    ids = df.select(F.col("id").alias("incident_id"))
+    found = similarity.find_similar_incidents(df, ids, k=4, vocabulary_size=30, stop_words=[]).collect()
+    ranked = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        ranked.setdefault(r.query_id, []).append((r.incident_id, r.similarity_score))
+    for row in rows:
+        assert ranked[row[0]] == brute_force(rows, row, 4, 30)
+    # Every candidate is in one round, and some queries are answered before the last.
+    assert len(jobs) > 2 and jobs[-1][0] < jobs[0][0] - 9
+    assert sum(known for _, known in jobs) == jobs[0][0]
+
+
+def test_most_pairs_are_ruled_out_by_bounds_and_cells_stay_apart(spark, monkeypatch):
+    """Texts of four vocabularies: few pairs are scored one by one, and as many partitions as cells wait for cores."""
+    rng = np.random.default_rng(9)
+    sparse = [np.sort(rng.choice(60, rng.integers(8, 16), replace=False)) + 60 * (n % 4) for n in range(2000)]
+    frame = pd.DataFrame({"signature": [n.to_bytes(2) for n in range(2000)], "positions": sparse})
+    frame["weights"] = [(w := rng.random(len(p))) / np.linalg.norm(w) for p in sparse]
+    for name in similarity.MATCHED:
+        frame[name] = ""
+    frame["service_name"] = [f"s{n % 4}" for n in range(2000)]
+    frame = frame.assign(has_notes=False, no_resolved=False, resolved_at=0, no_updated=False, updated_at=0, id=range(2000))
+    scored, dots = [], similarity._Vectors.dots
+    monkeypatch.setattr(similarity._Vectors, "dots", lambda self, rows, *other: scored.append(len(rows)) or dots(self, rows, *other))
+    found = similarity._compare(4, 240)(frame, frame)
+    assert len(found) == 8000 and sum(scored) < 2000 * 2000 / 40
+    dense = np.zeros((2000, 240))
+    for row, (p, w) in enumerate(zip(frame["positions"], frame["weights"])):
+        dense[row, p] = w
+    for row in range(0, 2000, 50):
+        scores = np.round(np.minimum(1, dense @ dense[row] + 0.15 * (np.arange(2000) % 4 == row % 4)), 4)
+        expected = sorted((-score, -n) for n, score in enumerate(scores))[:4]
+        own = found[found["query_signature"] == row.to_bytes(2)]
+        assert [(-s, -int.from_bytes(n)) for n, s in zip(own["signature"], own["score"])] == expected
+    queries = spark.createDataFrame([(bytes([n]), [n], [1.0], "", "", "", "", "", False, -1.0) for n in range(40)], (
+        "signature binary, positions array<int>, weights array<double>, service_name string, alert_name string, failure_type string, "
+        "exception_type string, status_code string, has_notes boolean, floor double"))
+    place = F.expr("named_struct('no_resolved', true, 'resolved_at', 1, 'no_updated', true, 'updated_at', 1, 'id', 1L)")
+    cells = similarity._cells(queries, queries.withColumn("place", place), 4, 64, 40, 40)
+    assert cells.count() == 160
+    assert cells.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_bonus_and_texts(spark):
     both = F.struct(
         *[F.lit("x").alias(n) for n in ("service_name", "alert_name", "failure_type", "exception_type")],
