@@ -29,12 +29,14 @@ CHUNK = 1024
 FIRST_CHUNK = 16
 # Least candidates that get groups of terms of their own; how many groups there are; which is tried first.
 SEGMENT = 4096
-LEVELS = (32, 64, 96, 128, 192, 256, 320, 384, 512)
-FIRST_LEVEL = 5
+LEVELS = (48, 96, 160, 256, 384)
+FIRST_LEVEL = 3
 # What scoring one pair costs, in groups of one pair's bound; by how much less it must be for a coarser level; width of a kind.
-PAIR_COST = 4_000
-COARSER = 12
+PAIR_COST = 8_000
+COARSER = 4
 KIND = 0.06
+# Values that a field may have in a segment to be compared by columns of the product.
+COLUMNS = 64
 # Pairs scored at a time, and the share of a tile (one in so many) from which all of it is.
 PICKED = 256
 DENSE_SHARE = 16
@@ -285,14 +287,11 @@ def _codes(queries: pd.DataFrame, candidates: pd.DataFrame) -> list[tuple[float,
     return found
 
 
-def _runs(change: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
-    """Ranges of rows, cut where `change` says so once they hold `least` rows, and at `most`."""
+def _runs(change: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Ranges of rows, cut where `change` says so once they hold `least` rows."""
     found, start = [], 0
     for cut in [*(np.flatnonzero(change[1:]) + 1).tolist(), len(change)]:
-        while cut - start > most:
-            found.append((start, start + most))
-            start += most
-        if cut - start >= least or cut == len(change) > start:
+        if cut - start >= least or cut == len(change):
             found.append((start, cut))
             start = cut
     return found
@@ -312,40 +311,50 @@ def _group_terms(energy: np.ndarray, size: int) -> np.ndarray:
 
 
 class _Segment:
-    """Neighbouring candidates with one grouping of the terms for each level, made when first needed."""
+    """Neighbouring candidates with one grouping of the terms for each level, made when first needed.
 
-    def __init__(self, vectors: _Vectors, start: int, end: int):
+    `same` and `few` hold the fields with one value and those with few, by number; the latter's values get a column each beside the
+    groups. What is left is compared pair by pair.
+    """
+
+    def __init__(self, vectors: _Vectors, start: int, end: int, codes: list[np.ndarray]):
         self.vectors, self.start, self.end = vectors, start, end
         _, positions, weights = vectors.entries(start, end)
         self.energy = np.bincount(positions, weights ** 2, vectors.width)
-        self.terms = np.count_nonzero(self.energy)
-        self.sizes = [size for size in LEVELS if size < self.terms] + [max(1, self.terms)]
-        self.fine = len(self.sizes) - 2
-        self.groups, self.norms, self.levels = {}, {}, {}
+        terms = np.count_nonzero(self.energy)
+        self.sizes = [size for size in LEVELS if size < terms] + [max(1, terms)]
+        self.exact, self.fine = len(self.sizes) - 1, len(self.sizes) - 2
+        values = [np.unique(theirs[start:end]) for theirs in codes]
+        self.same = {n: held[0] for n, held in enumerate(values) if len(held) == 1}
+        self.few = {n: held for n, held in enumerate(values) if 1 < len(held) <= COLUMNS}
+        self.many = [n for n, held in enumerate(values) if len(held) > COLUMNS]
+        self.columns = [codes[n][start:end, None] == held for n, held in self.few.items()]
+        self.groups, self.norms, self.levels, self.latest = {}, {}, {}, min(FIRST_LEVEL, self.exact)
 
     def grouping(self, level: int) -> tuple[np.ndarray, int]:
         if level not in self.groups:
             self.groups[level] = _group_terms(self.energy, self.sizes[level])
         return self.groups[level], self.sizes[level]
 
+    def _wide(self, level: int, start: int, end: int) -> np.ndarray:
+        norms = self.vectors.group_norms(start, end, *self.grouping(level))
+        return np.hstack([norms, *(c[start - self.start:end - self.start].astype(np.float32) for c in self.columns)])
+
     def candidates(self, level: int, start: int, end: int) -> np.ndarray:
-        if level == len(self.sizes) - 1:  # one group a term: too wide to be kept
-            return self.vectors.group_norms(start, end, *self.grouping(level))
+        if level == self.exact:  # one group a term: too wide to be kept
+            return self._wide(level, start, end)
         if level not in self.norms:
-            self.norms[level] = self.vectors.group_norms(self.start, self.end, *self.grouping(level))
+            self.norms[level] = self._wide(level, self.start, self.end)
         return self.norms[level][start - self.start:end - self.start]
 
-    def level(self, kind: int) -> int:
-        return self.levels.get(kind, min(FIRST_LEVEL, len(self.sizes) - 1))
-
-    def adapt(self, kind: int, passed: float) -> None:
+    def adapt(self, kind: tuple, level: int, passed: float) -> None:
         """A finer level while scoring what passed costs more than the step, a coarser one where it costs next to nothing."""
-        level = self.level(kind)
         cost, size = PAIR_COST * passed, self.sizes[level]
-        if level + 1 < len(self.sizes) and cost > self.sizes[level + 1] - size:
-            self.levels[kind] = level + 1
+        if level < self.exact and cost > self.sizes[level + 1] - size:
+            level += 1
         elif level and COARSER * cost < size - self.sizes[level - 1]:
-            self.levels[kind] = level - 1
+            level -= 1
+        self.levels[kind] = self.latest = level
 
 
 class _Best:
@@ -388,69 +397,65 @@ def _compare(keep: int, width: int):
 
     Terms are put in groups, and a pair's product is at most the sum over groups of both sides' lengths in the group (Cauchy and
     Schwarz). So a product of short rows in single precision bounds all scores of a tile; only pairs that could reach a
-    query's worst kept score are scored, in double precision, so rounded scores and their ties are exact. Both sides lie by matched
-    fields: most tiles have one bonus and few terms, and the candidates with the largest bonus come first.
+    query's worst kept score are scored, in double precision, so rounded scores and their ties are exact. While no
+    scores are known both sides lie by matched fields, in tie order, so the best candidates come first and later ties are left
+    out; then by the first field and their number of terms, since rows of few terms are ruled out by few groups.
     """
 
-    def tile(asked: _Vectors, start: int, end: int, fields, floor, other: _Vectors, places, noted, chunks) -> _Best:
+    def tile(asked: _Vectors, start: int, end: int, fields, floor, other: _Vectors, places, noted, chunks, cold) -> _Best:
         best = _Best(end - start, keep, floor)
         matrix = asked.dense(start, end)
-        norms = {}
-
-        def asked_norms(segment: _Segment, level: int) -> np.ndarray:
-            if (segment, level) not in norms:
-                norms[segment, level] = asked.group_norms(start, end, *segment.grouping(level))
-            return norms[segment, level]
-
-        promise = np.array([
-            sum(weight * np.mean(mine == theirs[first]) for weight, mine, theirs in fields) + noted[first]
-            for _, first, _ in chunks
-        ])
-        # Chunks of one segment and about one bonus let about equally many pairs pass.
-        kinds = np.round(promise / KIND).astype(int)
-        queue = [(*chunks[n], kinds[n]) for n in np.lexsort((np.array([places[first] for _, first, _ in chunks]), -promise))]
+        made = {}
+
+        def rows_of(segment: _Segment, level: int) -> np.ndarray:
+            if (segment, level) not in made:
+                norms = asked.group_norms(start, end, *segment.grouping(level))
+                columns = [weight * (mine[:, None] == held) for n, held in segment.few.items() for weight, mine, _ in [fields[n]]]
+                made[segment, level] = np.hstack([norms, *(c.astype(np.float32) for c in columns)])
+            return made[segment, level]
+
+        def bonus_of(segment: _Segment) -> np.ndarray:
+            if segment not in made:
+                made[segment] = np.zeros(end - start)
+                for n, value in segment.same.items():
+                    made[segment] += fields[n][0] * (fields[n][1] == value)
+            return made[segment]
+
         fresh = 0
-        if (floor < 0).any():  # the first ones are short, so that few pairs pass before good scores are known
-            segment, first, last, kind = queue[0]
+        if not cold:
+            promise = [bonus_of(segment).mean() for segment, _, _ in chunks]
+            queue = [chunks[n] for n in np.argsort(promise, kind="stable")[::-1]]
+        else:  # the first ones are short, so that few pairs pass before good scores are known
+            promise = [sum(weight * np.mean(mine == theirs[first]) for weight, mine, theirs in fields) for _, first, _ in chunks]
+            queue = [chunks[n] for n in np.lexsort(([places[first] for _, first, _ in chunks], -np.array(promise)))]
+            segment, first, last = queue[0]
             cuts = [first]
             while cuts[-1] < last:
                 cuts.append(min(last, first + max(FIRST_CHUNK, 4 * (cuts[-1] - first))))
             fresh = len(cuts) - 1
-            queue[:1] = [(segment, *cut, kind) for cut in zip(cuts, cuts[1:])]
-        for step, (segment, first, last, kind) in enumerate(queue):
-            chosen = slice(first, last)
-            need = best.needed(places[chosen].min())
-            bonus, varied = np.zeros(end - start), []
-            for weight, mine, theirs in fields:
-                values = np.unique(theirs[chosen])
-                if len(values) == 1:
-                    bonus += weight * (mine == values[0])
-                elif np.isin(mine, values).any():
-                    varied.append((weight, mine, theirs[chosen]))
-            if noted[chosen].min() == noted[chosen].max():
-                bonus += noted[first]
-            else:
-                varied.append((C.BONUS_NOTES, np.ones(end - start, bool), noted[chosen] > 0))
+            queue[:1] = [(segment, *cut) for cut in zip(cuts, cuts[1:])]
+        for step, (segment, first, last) in enumerate(queue):
+            bonus = bonus_of(segment)
+            need = best.needed(places[first:last].min()) - bonus
             alive = np.flatnonzero(need < np.inf)
             if not len(alive):
                 continue
             # In the first ones a term is a group, so a bound is the score itself and ranks the pairs.
-            exact = len(segment.sizes) - 1
-            level = segment.level(kind) if step >= fresh else exact
+            kind = first, round(bonus.mean() / KIND)
+            level = segment.levels.get(kind, segment.latest) if step >= fresh else segment.exact
             while True:
-                rough, bounded = asked_norms(segment, level), segment.candidates(level, first, last)
-                bounds = (rough if len(alive) == len(rough) else rough[alive]) @ bounded.T
-                for weight, mine, theirs in varied:
-                    bounds += np.float32(weight) * (mine[alive][:, None] == theirs[None, :])
-                least = need[alive] - bonus[alive]
+                rough = rows_of(segment, level)
+                bounds = (rough if len(alive) == len(rough) else rough[alive]) @ segment.candidates(level, first, last).T
+                for weight, mine, theirs in (fields[n] for n in segment.many):
+                    bounds += np.float32(weight) * (mine[alive][:, None] == theirs[None, first:last])
+                least = need[alive]
                 if step < fresh and keep < last - first:
                     reached = np.partition(bounds, -keep, axis=1)[:, -keep]
                     least = np.maximum(least, np.minimum(1 - bonus[alive], reached) - 2 * HALF - MARGIN)
                 hits = np.flatnonzero((bounds >= least.astype(np.float32)[:, None]).ravel())
-                if level == exact or len(hits) * RAISE_SHARE <= bounds.size:
+                if level == segment.exact or len(hits) * RAISE_SHARE <= bounds.size:
                     break
-                level = min(level + 2, exact)
-                segment.levels[kind] = level
+                level = min(level + 2, segment.exact)
             reach = bounds.ravel()[hits]
             rows, hits = hits // (last - first), first + hits % (last - first)
             # A row's most promising ones come first: what they score rules out most others.
@@ -464,54 +469,59 @@ def _compare(keep: int, width: int):
             for chosen in turns:
                 own, mates = alive[rows[chosen]], hits[chosen]
                 worst = best.scores[own, -1]
-                least = np.maximum(worst - HALF, floor[own] + HALF) - MARGIN
+                least = np.maximum(worst - HALF, floor[own] + HALF) - MARGIN - bonus[own]
                 # Where a query's best are all 1, only earlier places matter.
-                left = (reach[chosen] >= least - bonus[own]) & ((worst < 1) | (places[mates] < best.places[own, -1]))
+                left = (reach[chosen] >= least) & ((worst < 1) | (places[mates] < best.places[own, -1]))
                 own, mates, least = own[left], mates[left], least[left]
                 passed += len(own)
-                total = noted[mates]
-                for weight, mine, theirs in fields:
-                    total = total + weight * (mine[own] == theirs[mates])
                 whole = len(own) * DENSE_SHARE > bounds.size
                 if level < segment.fine and not whole:  # a finer bound of a single pair is cheaper than a score
-                    theirs = segment.candidates(segment.fine, first, last)
-                    left = _pair_dots(asked_norms(segment, segment.fine), own, theirs, mates - first) + total >= least
-                    own, mates, total = own[left], mates[left], total[left]
+                    most = _pair_dots(rows_of(segment, segment.fine), own, segment.candidates(segment.fine, first, last), mates - first)
+                    for weight, mine, theirs in (fields[n] for n in segment.many):
+                        most = most + weight * (mine[own] == theirs[mates])
+                    own, mates = own[most >= least], mates[most >= least]
                 if not len(own):
                     continue
+                total = noted[mates]
+                for weight, mine, theirs in fields[:-1]:
+                    total = total + weight * (mine[own] == theirs[mates])
                 if whole:
                     dots = (matrix @ other.dense(first, last).T)[own, mates - first]
                 else:
                     dots = other.dots(mates, matrix, own)
                 best.add(own, np.round(np.minimum(1.0, dots + total), 4), places[mates])
             if step >= fresh:
-                segment.adapt(kind, passed / bounds.size)
+                segment.adapt(kind, level, passed / bounds.size)
         return best
 
     def compare(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
             return pd.DataFrame([], columns=MATCHES)
-        queries = queries.rename(columns=lambda name: name.removeprefix(ASKED)).sort_values(MATCHED, ignore_index=True)
+        queries = queries.rename(columns=lambda name: name.removeprefix(ASKED))
+        cold = "floor" not in queries or (queries["floor"] < 0).any()
+        queries = queries.assign(terms=queries["positions"].str.len())
+        queries = queries.sort_values(MATCHED if cold else [MATCHED[0], "terms"], ignore_index=True)
         candidates = candidates.sort_values(PLACE, ascending=False, na_position="last", ignore_index=True)
         names = candidates["signature"].to_numpy()
-        candidates = candidates.rename_axis("rank").reset_index().sort_values([*MATCHED, "has_notes", "rank"], ignore_index=True)
+        candidates = candidates.rename_axis("rank").reset_index().assign(terms=candidates["positions"].str.len())
+        candidates = candidates.sort_values([*MATCHED, "has_notes", "rank"] if cold else [MATCHED[0], "terms", "rank"], ignore_index=True)
         places = candidates["rank"].to_numpy()
         asked, other = _Vectors(queries, width), _Vectors(candidates, width)
-        fields = _codes(queries, candidates)
         noted = C.BONUS_NOTES * candidates["has_notes"].to_numpy(bool)
+        # Notes come last, as a field that every query shares with the candidates that have some.
+        fields = [*_codes(queries, candidates), (C.BONUS_NOTES, np.ones(len(queries), np.int32), np.sign(noted).astype(np.int32))]
         floors = queries["floor"].to_numpy(float) if "floor" in queries else np.full(len(queries), -1.0)
-        kind = candidates[[*MATCHED, "has_notes"]]
-        change = (kind != kind.shift()).to_numpy()
+        codes = [theirs for _, _, theirs in fields]
+        change = (candidates[MATCHED[0]] != candidates[MATCHED[0]].shift()).to_numpy()
         chunks = []
-        for start, end in _runs(change[:, 0], SEGMENT, len(change)):
-            segment = _Segment(other, start, end)
-            cuts = _runs(change[start:end].any(axis=1), CHUNK // 4, CHUNK)
-            chunks += [(segment, start + first, start + last) for first, last in cuts]
+        for start, end in _runs(change, SEGMENT):
+            segment = _Segment(other, start, end, codes)
+            chunks += [(segment, first, min(first + CHUNK, end)) for first in range(start, end, CHUNK)]
         found = []
         for start in range(0, len(queries), TILE):
             end = min(start + TILE, len(queries))
             own = [(weight, mine[start:end], theirs) for weight, mine, theirs in fields]
-            best = tile(asked, start, end, own, floors[start:end], other, places, noted, chunks)
+            best = tile(asked, start, end, own, floors[start:end], other, places, noted, chunks, cold)
             rows, columns = np.nonzero(best.places >= 0)
             signature = queries["signature"].to_numpy()[start:end][rows]
             found.append(pd.DataFrame(dict(zip(MATCHES, (signature, names[best.places[rows, columns]], best.scores[rows, columns])))))
@@ -529,21 +539,27 @@ def _cells(queries: DataFrame, candidates: DataFrame, keep: int, width: int, ask
         shards = max(shards, min(cells, round((cells * known / max(1, asked)) ** 0.5 / 2)))
         blocks = max(blocks, -(-cells // shards))
     used = ["signature", "positions", "weights", *MATCHED, "has_notes"]
-    own = queries.select(
-        F.pmod(F.xxhash64("signature"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *used, "floor",
-    )
-    other = candidates.select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"),
-        F.pmod(F.hash("signature"), F.lit(shards)).cast("int").alias("shard"), *used, "place.*",
-    )
+    # A cell is small but takes long: each gets a partition of its own, by a number whose hash is that partition's.
+    count = blocks * shards
+    numbers = queries.sparkSession.range(32 * count).select(F.col("id").cast("int").alias("number"))
+    numbers = numbers.groupBy(F.pmod(F.hash("number"), F.lit(count)).alias("partition")).agg(F.min("number").alias("number"))
+    labels = [row["number"] for row in numbers.orderBy("partition").collect()]
+    labels += range(32 * count, 33 * count - len(labels))  # hardly ever
+    label = F.array(*map(F.lit, labels))
+
+    def cell(block: Column, shard: Column) -> Column:
+        return F.get(label, (block * shards + shard).cast("int")).alias("cell")
+
+    block, shard = F.pmod(F.xxhash64("signature"), F.lit(blocks)), F.pmod(F.hash("signature"), F.lit(shards))
+    each = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("n") for n in (shards, blocks)]
+    own = queries.select(block.alias("own"), each[0], *used, "floor")
+    own = own.select(cell(F.col("own"), F.col("n")), *used, "floor")
+    other = candidates.select(shard.alias("own"), each[1], *used, "place.*")
+    other = other.select(cell(F.col("n"), F.col("own")), *used, *PLACE)
     own = own.toDF(*[ASKED + name for name in own.columns])
-    # A cell is small but takes long, so partitions are neither as few as the bytes suggest nor shared by many cells.
-    own = own.repartition(3 * blocks * shards, f"{ASKED}block", f"{ASKED}shard")
-    other = other.repartition(3 * blocks * shards, "block", "shard")
     return (
-        own.groupBy(f"{ASKED}block", f"{ASKED}shard")
-        .cogroup(other.groupBy("block", "shard"))
+        own.repartition(count, f"{ASKED}cell").groupBy(f"{ASKED}cell")
+        .cogroup(other.repartition(count, "cell").groupBy("cell"))
         .applyInPandas(_compare(keep, width), "query_signature binary, signature binary, score double")
     )
 
